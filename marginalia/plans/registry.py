@@ -1,0 +1,15 @@
+"""Every query of the library by name, with its DuckDB counterpart."""
+
+from __future__ import annotations
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
