@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, language_id, oracles, quality_classifier, sentencepiece_codec, url_filter
+from marginalia.llm import decontamination, jaccard_join, language_id, oracles, quality_classifier, sentencepiece_codec, url_filter
 
 #: The tokenizer file that production encodes with.
 MODEL = "piece_bpe_32k.model"
@@ -31,6 +31,10 @@ def op5_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), model_path())
 
 
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_join.components_of(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op7_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
@@ -48,4 +52,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": oracles.DECONTAMINATION}
+    return {"op4_decontamination": oracles.DECONTAMINATION, "op6_jaccard_join": oracles.JACCARD_JOIN}
