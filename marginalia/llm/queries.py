@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, jaccard_join, language_id, oracles, quality_classifier, sentencepiece_codec, url_filter
+from marginalia.llm import decontamination, jaccard_join, language_id, oracles, quality_classifier, sentencepiece_codec, suffix_dedup, url_filter
 
 #: The tokenizer file that production encodes with.
 MODEL = "piece_bpe_32k.model"
@@ -39,6 +39,10 @@ def op7_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
