@@ -5,7 +5,8 @@ bands such that similar sets lie in one band or in neighbours. For each pair of
 bands the feature domain is partitioned: sets whose symmetric difference is at
 most k differ in at most one feature in some first-level partition (there are
 more than k / 2), which is split in three; a signature stands for each pair of
-the three, so that similar sets share one. Sets sharing a signature form
+the three, so that similar sets share one. Signatures over no or one feature,
+which unrelated sets share, are left out where spare partitions make up for them. Sets sharing a signature form
 candidate families; within a family links are verified exactly.
 
 Nothing grows with the square of a group: equal sets collapse to one node
@@ -76,7 +77,13 @@ def _wrapped(x: int) -> np.uint64:
 
 
 def signatures(features: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarray:
-    """The set's signatures in its own band's scheme and the next one's."""
+    """The set's signatures in its own band's scheme and the next one's.
+
+    A signature over no or one feature is weak: unrelated sets share it. There
+    are ``spare`` partitions more than needed, so similar sets agree in more
+    than ``spare`` of them; a set with at most ``spare`` partitions that have a
+    weak signature leaves the weak ones out and still meets every similar set.
+    """
     out = []
     band = int(np.searchsorted(ends, len(features)))
     spread = mix(features * _K[1] + _K[2])
@@ -85,17 +92,27 @@ def signatures(features: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarr
         k = 2 * (100 - percent) * int(ends[scheme]) // (100 + percent)
         if k == 0:
             continue  # only equal sets are similar, and these are one node
-        n1 = k // 2 + 1
+        spare = spared(k // 2 + 1)
+        n1 = k // 2 + 1 + spare
         part = (mix(features + _wrapped((scheme + 1) * int(_K[0]))) % U(3 * n1)).astype(np.int64)
         sums = np.zeros(3 * n1, np.uint64)
         np.add.at(sums, part, spread)
-        s = sums.reshape(n1, 3)
+        s, size = sums.reshape(n1, 3), np.bincount(part, minlength=3 * n1).reshape(n1, 3)
+        total = size.sum(1, keepdims=True)
+        weak = total - size < 2  # column q leaves out subpartition q
+        keep = ~weak if weak.any(1).sum() <= spare else np.ones_like(weak)
         tag = (np.arange(n1, dtype=np.uint64) * U(3)) * _K[1] + _wrapped(scheme * int(_K[2]))
-        for q, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-            out.append(mix(mix(s[:, a] + U(1)) * _K[0] + s[:, b] * _K[3] + tag + _wrapped(q * int(_K[1]))))
+        for q, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
+            own = mix(mix(s[:, a] + U(1)) * _K[0] + s[:, b] * _K[3] + tag + _wrapped(q * int(_K[1])))
+            out.append(own[keep[:, q]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def spared(n1: int) -> int:
+    """Partitions added so that weak signatures can be left out: a twenty-fifth, none for the smallest sets."""
+    return (n1 + 12) // 25 + (n1 >= 8)
+
+
 def _sets(batch_column, n: int):
     """(document, distinct shingle hashes) of each document of a column."""
     data, offsets = text_view(batch_column)
@@ -180,58 +197,61 @@ def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
 
-def link_sets(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> np.ndarray:
+def link_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Component number of each set, by all links with Jaccard of percent / 100 or more.
 
-    A set is not compared with members of a component it already belongs to.
+    Sets come in order of size. A set that is similar to a smaller one shares
+    one of its rarest features (more of them than similar sets can differ in)
+    with that one's rarest, so only such sets are compared, and none that is
+    already in the same component.
     """
     n = len(sets)
     order = np.argsort([len(s) for s in sets], kind="stable")
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    _, flat, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(often), np.int64)
+    rarity[np.argsort(often, kind="stable")] = np.arange(len(often))
+    flat = rarity[flat]
     cut = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    ids = [flat[cut[i] : cut[i + 1]] for i in order]
+    ids = [np.sort(flat[cut[i] : cut[i + 1]]) for i in order]
     size = np.array([len(x) for x in ids])
-    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
-    comp = np.arange(n)
-    hubs: dict[int, list[int]] = {}
+    mark = np.zeros(len(often) + 1, bool)
+    comp, members = np.arange(n), {i: [i] for i in range(n)}
+    postings: dict[int, list[int]] = {}
 
     def linked(i, them):
         own = np.concatenate([ids[j] for j in them])
         at = np.concatenate([[0], np.cumsum(size[them])])[:-1]
-        both = np.add.reduceat(mark[own], at, dtype=np.int64)
-        return them[100 * both >= percent * (size[i] + size[them] - both)]
-
-    def merge(i, them):
-        """Join i's component and those of ``them``; members take the largest one's number."""
-        for c in np.unique(comp[them]):
-            mine = comp[i]
-            if c != mine:
-                comp[comp == mine] = c
-                hubs[c] = (hubs.get(c, []) + hubs.pop(mine, []))[-6:]
-
-    first = np.searchsorted(size * 100, size * percent)  # the smallest set that can be similar
+        shared = np.add.reduceat(mark[own], at, dtype=np.int64)
+        return them[100 * shared >= percent * (size[i] + size[them] - shared)]
+
+    def merge(i, j):
+        a, b = comp[i], comp[j]
+        if a != b:
+            if len(members[a]) > len(members[b]):
+                a, b = b, a
+            comp[members[a]] = b
+            members[b] += members.pop(a)
+
     for i in range(n):
-        lo = first[i]
-        mark[ids[i]] = True
-        if lo < i:
-            near = np.array([h for hs in hubs.values() for h in hs if h >= lo], np.int64)
-            if len(near) and len(near) < i - lo:
-                got = linked(i, near)
-                if len(got):
-                    merge(i, got)
-            rest = np.arange(lo, i)
-            rest = rest[comp[rest] != comp[i]]
-            for a in range(0, len(rest), 4096):
-                part = rest[a : a + 4096]
-                part = part[comp[part] != comp[i]]
-                if len(part):
-                    got = linked(i, part)
-                    if len(got):
-                        merge(i, got)
-        mark[ids[i]] = False
-        hubs[comp[i]] = ([*hubs.get(comp[i], []), i])[-6:]
-        if len(hubs) > 64:  # lone sets are no hubs
-            hubs = {c: h for c, h in hubs.items() if len(h) > 1}
+        rare = ids[i][: size[i] - (percent * size[i] + 99) // 100 + 1].tolist()
+        near = [postings[f] for f in rare if f in postings]
+        if near:
+            them = np.unique(np.concatenate([np.array(x) for x in near]))
+            them = them[100 * size[them] >= percent * size[i]]
+            mark[ids[i]] = True
+            # The latest member of each component first: one link spares the others.
+            _, last = np.unique(comp[them][::-1], return_index=True)
+            first = them[len(them) - 1 - last]
+            for part in [first] if len(first) == len(them) else [first, them]:
+                for lo in range(0, len(part), 1024):
+                    left = part[lo : lo + 1024]
+                    left = left[comp[left] != comp[i]]
+                    if len(left):
+                        for j in linked(i, left):
+                            merge(i, j)
+            mark[ids[i]] = False
+        for f in rare:
+            postings.setdefault(f, []).append(i)
     out = np.empty(n, np.int64)
     out[order] = comp
     return out
