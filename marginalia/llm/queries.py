@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, jaccard_join, language_id, oracles, quality_classifier, sentencepiece_codec, suffix_dedup, url_filter
+from marginalia.llm import decontamination, jaccard_join, language_id, multi_index, oracles, quality_classifier, sentencepiece_codec, suffix_dedup, url_filter
 
 #: The tokenizer file that production encodes with.
 MODEL = "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def model_path() -> str:
     return str(public_tokenizers.path(MODEL))
 
 
+def op3_multi_index(spark, sf_dir):
+    return multi_index.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontamination(spark, sf_dir):
     return decontamination.report(decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
