@@ -37,3 +37,36 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM d
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least_id AS component_id
 FROM d LEFT JOIN sized USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS least_id FROM reach GROUP BY x) USING (doc_id)
 """
+
+
+def license_scan() -> str:
+    """Every template at every beginning, without the index: what the scan must find."""
+    from marginalia.llm.license_scan import _VOCABULARY, BASE, COVER, TEMPLATES
+
+    base = ", ".join(f"('{p}', '{label}')" for p, label in BASE)
+    posted = ", ".join(f"({i}, '{label}', {t}, '{w}')" for i, (label, notice, _) in enumerate(TEMPLATES) for t, w in enumerate(notice.split()) if w in _VOCABULARY)
+    keys = ", ".join(f"({i}, '{k}')" for i, (_, _, own) in enumerate(TEMPLATES) for k in own)
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM documents),
+base(phrase, label) AS (VALUES {base}),
+posted(tid, label, t, word) AS (VALUES {posted}),
+keys(tid, phrase) AS (VALUES {keys}),
+words AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+places AS (SELECT doc_id, label, k - 1 AS p FROM words JOIN base
+           ON array_to_string(w[k:k + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
+b AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+hits AS (SELECT doc_id, tid, label, k - 1 - t AS begin, count(DISTINCT t) AS n
+         FROM words JOIN posted ON w[k] = word GROUP BY doc_id, tid, label, k - 1 - t),
+sizes AS (SELECT tid, count(*) AS size FROM posted GROUP BY tid),
+good AS (SELECT doc_id, label, tid, max(n / size) AS cover FROM hits JOIN sizes USING (tid)
+         GROUP BY doc_id, label, tid HAVING max(n / size) >= {COVER}),
+proven AS (SELECT DISTINCT doc_id, g.label, cover FROM good g JOIN d USING (doc_id) JOIN keys USING (tid)
+           WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' ')),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS cover
+           FROM (SELECT doc_id, label, cover FROM proven UNION ALL SELECT doc_id, label, 1.0 FROM places) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       round(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END::DOUBLE, 6) AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN labels USING (doc_id)
+"""
