@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, jaccard_join, language_id, license_scan, multi_index, oracles, quality_classifier, sentencepiece_codec, suffix_dedup, url_filter
+from marginalia.llm import decontamination, jaccard_join, language_id, license_scan, line_dedup, multi_index, oracles, quality_classifier, sentencepiece_codec, suffix_dedup, url_filter
 
 #: The tokenizer file that production encodes with.
 MODEL = "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def model_path() -> str:
     return str(public_tokenizers.path(MODEL))
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
