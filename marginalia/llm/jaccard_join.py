@@ -10,8 +10,9 @@ which unrelated sets share, are left out where spare partitions make up for them
 candidate families; within a family links are verified exactly.
 
 Nothing grows with the square of a group: equal sets collapse to one node
-before signatures meet, a signature's nodes are hung on its smallest node, and
-families beyond a bound are verified in pairs of bounded blocks.
+before signatures meet, sketches part most nodes of a bucket without a row for
+any pair, a set is not compared with members of its own component, and families
+beyond a bound are verified in pairs of bounded blocks.
 
 Defined results: null and empty texts have no shingles and link with nothing;
 fewer than ``n`` words are one shingle; equal sets link; repeated rows belong
@@ -34,6 +35,8 @@ from marginalia.session import checkpointed
 
 #: Features (64-bit hashes) of a family, or of a block of one, that a task holds at most.
 BLOCK_FEATURES = 4_000_000
+#: Nodes of a bucket that are compared by sketches at once; a larger bucket becomes one family.
+BUCKET_NODES = 4_096
 _K = [U(k) for k in (0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7)]
 
 
@@ -122,18 +125,41 @@ def _sets(batch_column, n: int):
             yield lo + d, np.unique(code[bounds[d] : bounds[d + 1]])
 
 
-def set_nodes(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and the node of its set."""
+def sketch(features: np.ndarray, ends: np.ndarray, percent: int) -> bytes:
+    """A byte for each of about 1.5 k parts of the feature domain, in the own band's scheme, then the next one's.
+
+    Parts with different bytes hold different features, so there are no more of
+    them than features in the symmetric difference: too many prove that two sets
+    are not similar.
+    """
+    out, band = [], int(np.searchsorted(ends, len(features)))
+    for scheme in (band, band + 1):
+        m = sketch_size(scheme, ends, percent)
+        part = (mix(features ^ _wrapped((scheme + 77) * int(_K[1]))) % U(max(m, 1))).astype(np.int64)
+        sums = np.zeros(max(m, 1), np.uint64)
+        np.add.at(sums, part, features)
+        out.append((mix(sums) >> U(56)).astype(np.uint8)[:m].tobytes())
+    return b"".join(out)
+
+
+def sketch_size(scheme: int, ends: np.ndarray, percent: int) -> int:
+    return 3 * (100 - percent) * int(ends[scheme]) // (100 + percent)
+
+
+def set_nodes(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, the node of its set and the set's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = bands(percent)
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sketches = [], [], []
             for _, features in _sets(batch.column(1), n):
                 sizes.append(len(features))
                 nodes.append(node_of(features))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
+                sketches.append(sketch(features, ends, percent) if len(features) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "node", "sketch"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
 
 
 def _signature_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
@@ -165,36 +191,127 @@ def _signature_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
     return documents.select("text").mapInArrow(run, "sig long, node long")
 
 
-def _candidate_stars(rows: DataFrame) -> DataFrame:
-    """(a, b): each signature's nodes hung on its smallest one."""
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, node) of the different groups of two nodes or more that share a signature."""
 
     def run(batches):
-        last_sig, lead, recent = None, None, np.zeros((0, 2), np.int64)
+        seen: set[int] = set()
+        out, held = [], 0
+        sig = node = np.zeros(0, np.int64)
+
+        def told(sig, node):
+            """Rows of complete groups; a group's name is the hash of its nodes."""
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node = sig[new], node[new]
+            first = np.ones(len(sig), bool)
+            first[1:] = sig[1:] != sig[:-1]
+            at = np.flatnonzero(first)
+            size = np.diff(np.append(at, len(sig)))
+            name = mix(np.add.reduceat(mix(node.view(np.uint64)), at) + size.astype(np.uint64)).view(np.int64) if len(at) else at
+            keep = size > 1
+            for i in np.flatnonzero(keep).tolist():
+                key = int(name[i])
+                if key in seen:
+                    keep[i] = False
+                elif len(seen) < 1_000_000:
+                    seen.add(key)
+            wide = np.repeat(keep, size)
+            return np.repeat(name, size)[wide], node[wide]
+
         for batch in batches:
-            if not batch.num_rows:
+            sig = np.concatenate([sig, np.asarray(batch.column(0))])
+            node = np.concatenate([node, np.asarray(batch.column(1))])
+            if not len(sig):
                 continue
-            sig, node = (np.asarray(c) for c in batch.columns)
-            new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            if last_sig is not None and sig[0] == last_sig:
-                new[0] = False
-            group = np.cumsum(new)
-            heads = node[new]
-            leads = np.concatenate([[lead if lead is not None else node[0]], heads])[group]
-            pairs = np.column_stack([node, leads])[node != leads]
-            last_sig, lead = sig[-1], leads[-1]
-            recent = np.unique(np.concatenate([recent, pairs]), axis=0) if len(pairs) else recent
-            if len(recent) > 100_000:
-                yield _pair_batch(recent)
-                recent = recent[:0]
-        yield _pair_batch(recent)
+            cut = int(np.searchsorted(sig, sig[-1]))  # the last group may go on
+            if cut:
+                out.append(told(sig[:cut], node[:cut]))
+                held += len(out[-1][0])
+                sig, node = sig[cut:], node[cut:]
+            if held > 100_000:
+                yield _pair_batch(np.column_stack([np.concatenate([o[k] for o in out]) for k in (0, 1)]), "bucket", "node")
+                out, held = [], 0
+        if len(sig):
+            out.append(told(sig, node))
+        if out:
+            yield _pair_batch(np.column_stack([np.concatenate([o[k] for o in out]) for k in (0, 1)]), "bucket", "node")
 
     dealt = rows.repartition("sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "bucket long, node long").distinct()
+
+
+def bucket_links(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Component numbers within a bucket, by pairs that the sketches do not tell apart."""
+    n, ends = len(sizes), bands(percent)
+    band = np.searchsorted(ends, sizes)
+    scheme = int(band.max())
+    m = sketch_size(scheme, ends, percent)
+    comp = np.arange(n)
+    if scheme - int(band.min()) > 1:  # sets of one signature are of one band or of neighbours, hashes aside
+        comp[:] = 0
+        return comp
+    rows = np.empty((n, m), np.uint8)
+    for i in range(n):
+        skip = sketch_size(scheme - 1, ends, percent) if band[i] < scheme else 0
+        rows[i] = np.frombuffer(sketches[i], np.uint8)[skip : skip + m]
+    for i in range(n - 1):
+        rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        both = sizes[rest] + sizes[i]
+        fits = 100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])
+        rest, both = rest[fits], both[fits]
+        if not len(rest):
+            continue
+        differ = (rows[rest] != rows[i]).sum(1)
+        for j in rest[differ * (100 + percent) <= (100 - percent) * both]:
+            if comp[j] != comp[i]:
+                comp[comp == comp[j]] = comp[i]
+    return comp
+
+
+def _candidate_forest(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): within each bucket, trees of nodes that may be similar; a very large bucket is one tree."""
 
+    def run(batches):
+        last, node, size, sketches, star = None, [], [], [], None
+        edges: list[tuple[int, int]] = []
+
+        def settle():
+            if len(node) > 1:
+                comp = bucket_links(np.array(size), sketches, percent) if star is None else np.zeros(len(node), np.int64)
+                low = {}
+                for c, v in zip(comp.tolist(), node):
+                    low[c] = min(v, low.get(c, v))
+                edges.extend((v, low[c]) for c, v in zip(comp.tolist(), node) if v != low[c])
+            if star is not None and node:
+                edges.append((node[0], star))
 
-def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+        for batch in batches:
+            for b, v, n, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != last:
+                    settle()
+                    last, node, size, sketches, star = b, [], [], [], None
+                node.append(v)
+                size.append(n)
+                sketches.append(s)
+                if len(node) >= BUCKET_NODES:
+                    star = node[0] if star is None else star
+                    edges.extend((v, star) for v in node)
+                    node, size, sketches = [], [], []
+            if len(edges) > 50_000:
+                yield _pair_batch(np.unique(np.array(edges, np.int64), axis=0))
+                edges.clear()
+        settle()
+        if edges:
+            yield _pair_batch(np.unique(np.array(edges, np.int64), axis=0))
+
+    known = nodes.select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    rows = buckets.join(known, "node").select("bucket", "node", "n_shingles", "sketch")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _pair_batch(pairs: np.ndarray, *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=names or ["a", "b"])
 
 
 def link_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -276,9 +393,10 @@ def _verified(sets: DataFrame, percent: int) -> DataFrame:
 def components_of(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links)."""
     docs = documents.select("doc_id", "text")
-    nodes = checkpointed(set_nodes(docs, n))
-    stars = checkpointed(_candidate_stars(_signature_rows(docs, n, percent)))
-    families = checkpointed(components(stars))
+    nodes = checkpointed(set_nodes(docs, n, percent))
+    buckets = checkpointed(_buckets(_signature_rows(docs, n, percent)))
+    families = components(_candidate_forest(buckets, nodes, percent))
+    nodes = nodes.select("doc_id", "n_shingles", "node")
     reps = nodes.where("n_shingles > 0").join(families, "node").groupBy("node", "n_shingles", "root").agg(F.min("doc_id").alias("doc_id"))
     weight = reps.groupBy("root").agg(F.sum("n_shingles").alias("weight"))
     blocks = F.ceil(F.col("weight") / BLOCK_FEATURES).cast("int")
