@@ -7,8 +7,9 @@ hold its share of the index, and the entries of those cells are ranked by
 their exact distance.
 
 Equal vectors are one entry with its smallest ids, so a vector that many rows
-share costs no more than another. Cells and queries meet in one join by cell;
-a cell beyond CELL_ROWS entries is dealt into slices, and more than QUERY_ROWS
+share costs no more than another. Cells and queries meet by the cells' first
+centroid, whose cells a query's list picks from, so that a task returns k + 1
+entries a query; one beyond CELL_ROWS entries is dealt into slices, and more than QUERY_ROWS
 queries into blocks, so that a task holds one slice and one block. Codebooks come from a bounded sample, chosen by a hash of the
 id; every row is indexed.
 
@@ -123,45 +124,56 @@ def search(embeddings: DataFrame, k: int = 10, every: int = 100, share: float =
     for r in index.groupBy("cell").count().collect():
         count[r["cell"]] = r["count"]
     enough = max(LEAST, int(np.ceil(share * total)))
-    slices = -(-count // CELL_ROWS)
+    slices = -(-count.reshape(-1, width).sum(1) // CELL_ROWS)
 
     def visit(batches):
         first, second = shared.value
         for batch in batches:
             v = _matrix(batch.column(1))
-            out = [[], [], []]
+            out = [[], [], [], []]
             for row, q in enumerate(v):
-                for cell in walk(((first - q[:half]) ** 2).sum(1), ((second - q[half:]) ** 2).sum(1), count, enough):
-                    for part in range(int(slices[cell])):
-                        for to, value in zip(out, (cell, part, row)):
+                reached = walk(((first - q[:half]) ** 2).sum(1), ((second - q[half:]) ** 2).sum(1), count, enough)
+                ring: dict[int, list[int]] = {}
+                for cell in reached:
+                    ring.setdefault(cell // width, []).append(cell % width)
+                for i, js in ring.items():
+                    for part in range(int(slices[i])):
+                        for to, value in zip(out, (i, part, row, js)):
                             to.append(value)
             at = pa.array(out[2], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "part", "query", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(out[3], pa.list_(pa.int32()))], names=["row", "part", "query", "v", "cells"])
 
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = asked.groupBy("key").agg(F.first("v").alias("v"))
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
     block = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")
-    visits = queries.mapInArrow(visit, "cell int, part int, query long, v array<double>").select("cell", "part", block, "query", "v")
-    parts = F.lit(1) if slices.max() <= 1 else F.element_at(F.array(*[F.lit(int(s)) for s in slices]), F.col("cell") + 1)
-    dealt = index.select("cell", F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "key", "v")
+    visits = queries.mapInArrow(visit, "row int, part int, query long, v array<double>, cells array<int>").select("row", "part", block, "query", "v", "cells")
+    in_row = (F.col("cell") / width).cast("int")
+    parts = F.lit(1) if slices.max() <= 1 else F.element_at(F.array(*[F.lit(max(1, int(s))) for s in slices]), in_row + 1)
+    dealt = index.select(in_row.alias("row"), (F.col("cell") % width).alias("cell"), F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "key", "v")
 
     def rerank(left, right):
         if not left.num_rows or not right.num_rows:
             return pa.table({"query": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         q, v = _matrix(left.column("v")), _matrix(right.column("v"))
-        ids, keys = left.column("query").to_numpy(), right.column("key").to_numpy()
+        ids, keys, cell = left.column("query").to_numpy(), right.column("key").to_numpy(), right.column("cell").to_numpy()
         out = [[], [], []]
-        for row, one in enumerate(q):
-            d = np.sqrt(((v - one) ** 2).sum(1))
+        for row, (one, reached) in enumerate(zip(q, left.column("cells").to_pylist())):
+            own = np.zeros(width, bool)
+            own[reached] = True
+            at = np.flatnonzero(own[cell])
+            if not len(at):
+                continue
+            d = np.sqrt(((v[at] - one) ** 2).sum(1))
             best = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
             out[0].append(np.full(len(best), ids[row]))
-            out[1].append(keys[best])
+            out[1].append(keys[at[best]])
             out[2].append(d[best])
-        a, b, c = map(np.concatenate, out)
+        a, b, c = (np.concatenate(o) if o else np.zeros(0, kind) for o, kind in zip(out, (np.int64, np.int64, np.float64)))
         return pa.table({"query": pa.array(a), "key": pa.array(b), "score": pa.array(c)})
 
-    found = visits.groupBy("cell", "part", "block").cogroup(dealt.groupBy("cell", "part", "block")).applyInArrow(rerank, "query long, key long, score double")
+    groups = ("row", "part", "block")
+    found = visits.groupBy(*groups).cogroup(dealt.groupBy(*groups)).applyInArrow(rerank, "query long, key long, score double")
     # Of a query vector, entries at the (k + 1)-th distance or nearer; ties all stay until ids decide.
     order = Window.partitionBy("query").orderBy("score")
     found = found.withColumn("r", F.rank().over(order)).where(F.col("r") <= k + 1)
