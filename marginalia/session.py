@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the JVM find shuffles and checkpoints that nothing refers to any more, so that their files go before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
