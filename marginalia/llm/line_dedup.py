@@ -22,12 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.session import checkpointed
+from marginalia.session import checkpointed, release
 
 EDITS = 2
 MIN_CHARS = 20
 #: Letters whose counts are compared before lines are; each edit moves two of them by one at most.
-LETTERS = "eatnoirs"
+LETTERS = ("eatnoirs", "hdlucmpq")
 #: Rows of (doc_id, line) that may be broadcast when lines are read again; beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -66,13 +66,13 @@ def _keys(line: str, edits: int) -> tuple[Column, Column]:
                 else:
                     fits = (start + shift >= 1) & (start + shift + size - 1 <= length) & (target >= MIN_CHARS)
                     probes.append(F.when(fits, key))
-    return F.array(*own), F.array_compact(F.array(*probes))
+    return F.array(*own), F.array(*probes)  # null where a substring does not fit
 
 
-def _counts(line: str) -> Column:
-    """Counts of LETTERS up to 255, a byte each."""
+def _counts(line: str, letters: str) -> Column:
+    """Counts of eight letters up to 255, a byte each."""
     packed = F.lit(0).cast("long")
-    for k, letter in enumerate(LETTERS):
+    for k, letter in enumerate(letters):
         n = F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(letter), F.lit("")))
         packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * k))
     return packed
@@ -81,17 +81,31 @@ def _counts(line: str) -> Column:
 def _apart(a: str, b: str) -> Column:
     """Sum of the differences of two packed counts."""
     total = F.lit(0)
-    for k in range(len(LETTERS)):
+    for k in range(8):
         x, y = (F.shiftrightunsigned(F.col(c), 8 * k).bitwiseAND(F.lit(255)) for c in (a, b))
         total = total + F.abs(x - y)
     return total
 
 
+def _shared_start(a: str, b: str) -> Column:
+    """Characters that both lines begin with, found by halving steps."""
+    most = F.least(F.char_length(a), F.char_length(b))
+
+    def step(at, size):
+        same = F.substring(a, at + 1, size) == F.substring(b, at + 1, size)
+        return F.when((at + size <= most) & same, at + size).otherwise(at)
+
+    sizes = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    return F.aggregate(F.filter(sizes, lambda s: s <= most), F.lit(0), step)
+
+
 def within(a: str, b: str, edits: int) -> Column:
     """Whether two lines' edit distance is at most ``edits``: a band of 2 * edits + 1 diagonals in one machine word.
 
     Bit t of column j stands for row j - edits + t. D0 tells where a diagonal
     step is free; the distance is read off the diagonal that ends in the corner.
+    Lines are compared from their first difference on (columns a and b must hold
+    what is left), and once the diagonal has cost too much nothing more is computed.
     """
     x, y = F.split(a, ""), F.split(b, "")
     tall, wide = F.greatest(F.char_length(a), F.char_length(b)), F.least(F.char_length(a), F.char_length(b))
@@ -121,7 +135,7 @@ def within(a: str, b: str, edits: int) -> Column:
 
     start = F.struct(F.lit(full ^ ((1 << edits) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(0).alias("far"))
     # The lines' characters are split once and handed to every step.
-    far = F.get(F.transform(F.array(packed), lambda g: F.aggregate(F.sequence(F.lit(0), g["wide"] - 1), start, lambda s, j: advance(s, j, g), lambda s: s["far"] + g["off"])), F.lit(0))
+    far = F.get(F.transform(F.array(packed), lambda g: F.aggregate(F.slice(F.sequence(F.lit(0), g["wide"]), F.lit(1), g["wide"]), start, lambda s, j: F.when(s["far"] + g["off"] > edits, s).otherwise(advance(s, j, g)), lambda s: s["far"] + g["off"])), F.lit(0))
     return F.when(off > edits, False).otherwise(far <= edits)
 
 
@@ -130,14 +144,17 @@ def classes(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFr
     raw = _lines(documents).withColumns({"len": F.char_length("line"), "h": F.xxhash64("line"), "g": F.xxhash64("line", F.lit(1))})
     own, probes = _keys("line", edits)
     lines = raw.select("doc_id", "pos", "h", "g")
-    keyed = raw.select("h", "g", F.struct("doc_id", "pos").alias("at"), F.struct(_counts("line").alias("counts"), own.alias("own"), probes.alias("probes")).alias("keys"))
+    keyed = raw.select("h", "g", F.struct("doc_id", "pos").alias("at"), F.struct(*[_counts("line", x).alias(f"c{i}") for i, x in enumerate(LETTERS)], own.alias("own"), probes.alias("probes")).alias("keys"))
     firsts = keyed.groupBy("h", "g").agg(F.min("at").alias("first"), F.first("keys").alias("keys"))
     firsts = checkpointed(firsts.select("h", "g", "first", "keys.*"))
-    posted = firsts.select("h", "counts", F.explode("own").alias("key"))
-    asking = firsts.select(F.col("h").alias("h2"), F.col("counts").alias("counts2"), F.explode("probes").alias("key"), F.lit(True).alias("other"))
-    asking = asking.unionByName(firsts.select(F.col("h").alias("h2"), F.col("counts").alias("counts2"), F.explode("own").alias("key"), F.lit(False).alias("other")))
-    met = posted.join(asking, (posted.key == asking.key) & ((F.col("other") & (F.col("h") != F.col("h2"))) | (~F.col("other") & (F.col("h") < F.col("h2")))) & (_apart("counts", "counts2") <= 2 * edits))
+    posted = firsts.select("h", "c0", "c1", F.explode("own").alias("key"))
+    probing = [F.col("h").alias("h2"), F.col("c0").alias("d0"), F.col("c1").alias("d1")]
+    asking = firsts.select(*probing, F.explode("probes").alias("key"), F.lit(True).alias("other")).where("key IS NOT NULL")
+    asking = asking.unionByName(firsts.select(*probing, F.explode("own").alias("key"), F.lit(False).alias("other")))
+    order = (F.col("other") & (F.col("h") != F.col("h2"))) | (~F.col("other") & (F.col("h") < F.col("h2")))
+    met = posted.join(asking, (posted.key == asking.key) & order & (_apart("c0", "d0") + _apart("c1", "d1") <= 2 * edits))
     met = checkpointed(met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct())
+    release(documents.sparkSession)  # the keys' shuffles
     wanted = met.select(F.col("a").alias("h")).unionByName(met.select(F.col("b").alias("h"))).distinct()
     places = checkpointed(firsts.select("h", "first").join(wanted, "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), "first"))
     by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h", "first")).alias("wanted"))
@@ -148,6 +165,8 @@ def classes(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFr
     read = checkpointed(read.select("w.h", "w.first", F.get("all", F.col("w.pos")).alias("line")).dropDuplicates(["h"]))
     pairs = met.join(read.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), "a")
     pairs = pairs.join(read.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb")), "b")
+    same = _shared_start("la", "lb")
+    pairs = pairs.withColumn("same", same).select("a", "b", "fa", "fb", F.substring("la", F.col("same") + 1, F.char_length("la")).alias("la"), F.substring("lb", F.col("same") + 1, F.char_length("lb")).alias("lb"))
     near = pairs.where(within("la", "lb", edits)).select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
     return lines, firsts.select("h", "g", "first"), checkpointed(near)
 
