@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.arrow_text import SPACE_TABLE, U, chunks, mix, powers, prefix_hash, span_hash, text_view, words
 from marginalia.llm.graph import components
-from marginalia.session import checkpointed
+from marginalia.session import checkpointed, release
 
 #: Features (64-bit hashes) of a family, or of a block of one, that a task holds at most.
 BLOCK_FEATURES = 4_000_000
@@ -395,6 +395,7 @@ def components_of(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     docs = documents.select("doc_id", "text")
     nodes = checkpointed(set_nodes(docs, n, percent))
     buckets = checkpointed(_buckets(_signature_rows(docs, n, percent)))
+    release(documents.sparkSession)  # the signatures' shuffle
     families = components(_candidate_forest(buckets, nodes, percent))
     nodes = nodes.select("doc_id", "n_shingles", "node")
     reps = nodes.where("n_shingles > 0").join(families, "node").groupBy("node", "n_shingles", "root").agg(F.min("doc_id").alias("doc_id"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.arrow_text import U, chunks, mix, prefix_hash, span_hash, text_view
 from marginalia.llm.jaccard_join import prefiltered
-from marginalia.session import checkpointed
+from marginalia.session import checkpointed, release
 
 LENGTH = 200
 GRAM = 40
@@ -302,6 +302,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     """
     rows = _marked(_anchor_rows(documents, length, gram))
     marked = checkpointed(rows)
+    release(documents.sparkSession)  # the anchors' shuffle
     contexts = _contexts(documents, marked, length)
     contexts = checkpointed(contexts) if marked.where("hot").limit(1).count() else contexts
     found = marked.where("kind < 2").select("t", "a", "b").unionByName(_edge_runs(contexts, length))
