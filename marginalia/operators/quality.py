@@ -81,17 +81,20 @@ def hits_near(c: Column, patterns, cue: str, reach: int) -> Column:
 
     def one(pattern):
         p = ascii_boundaries(pattern)
-        found, rest = F.regexp_extract_all(c, F.lit(p), F.lit(0)), F.split(c, p)
-        pieces = F.flatten(F.transform(F.arrays_zip(rest.alias("t"), found.alias("m")), lambda z: F.array(z["t"], F.coalesce(z["m"], F.lit("")))))
+        zipped = F.arrays_zip(F.split(c, p).alias("t"), F.regexp_extract_all(c, F.lit(p), F.lit(0)).alias("m"))
+        pieces = F.flatten(F.transform(zipped, lambda z: F.array(z["t"], F.coalesce(z["m"], F.lit("")))))
 
-        def counts(k):
-            before = F.array_join(F.slice(pieces, 1, 2 * k + 1), "")
-            after = F.array_join(F.slice(pieces, 2 * k + 3, F.size(pieces)), "")
-            window = F.concat(F.right(before, F.lit(reach)), F.get(found, k), F.left(after, F.lit(reach)))
+        def counts(all_pieces, k):
+            before = F.array_join(F.slice(all_pieces, 1, 2 * k + 1), "")
+            after = F.array_join(F.slice(all_pieces, 2 * k + 3, F.size(all_pieces)), "")
+            window = F.concat(F.right(before, F.lit(reach)), F.get(all_pieces, 2 * k + 1), F.left(after, F.lit(reach)))
             return window.rlike(cue).cast("int")
 
-        several = F.aggregate(F.transform(F.sequence(F.lit(0), F.size(found) - 1), counts), F.lit(0), lambda a, x: a + x)
-        return F.when(c.rlike(p), several).otherwise(0)
+        def total(all_pieces):
+            at = F.sequence(F.lit(0), (F.size(all_pieces) / 2 - 2).cast("int"))
+            return F.aggregate(F.transform(at, lambda k: counts(all_pieces, k)), F.lit(0), lambda a, x: a + x)
+
+        return F.when(c.rlike(p), F.get(F.transform(F.array(pieces), total), F.lit(0))).otherwise(0)
 
     return sum((one(p) for p in patterns), F.lit(0))
 
@@ -197,8 +200,10 @@ def scored(measured: DataFrame) -> DataFrame:
 def shingle_texts(c: Column, size: int = SHINGLE) -> Column:
     """Distinct shingles of the words left when code, link targets and other than a-z0-9 are out."""
     plain = F.regexp_replace(F.lower(F.regexp_replace(without_code(c), LINK, "$1")), rf"[^a-z0-9{WS}]", " ")
-    words = words_of(plain)
-    return F.when(F.size(words) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " ")))).otherwise(F.array().cast("array<string>"))
+    # Bound to a lambda variable, the words are split once and not once a shingle.
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+    each = F.transform(F.array(words_of(plain)), lambda w: F.when(F.size(w) >= size, F.array_distinct(cut(w))).otherwise(F.array().cast("array<string>")))
+    return F.get(each, F.lit(0))
 
 
 def fnv1a(c: Column) -> Column:

@@ -1,0 +1,141 @@
+"""DuckDB SQL for the queries of the registry that SQL can express, written apart from their plans."""
+
+from __future__ import annotations
+
+WS = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+FENCE = r"(?s)```.*?(?:```|\z)"
+LINK = rf'\[([^\]]*)\]\(([^){WS}]*)(?:[{WS}]+"[^"]*")?\)'
+
+
+def _words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '[{WS}]+'), lambda w: w <> '')"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^[{WS}]+', ''), '[{WS}]+$', '')"
+
+
+_PLAIN = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '{LINK}', '\\1', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '[#>*_`|~]', ' ', 'g'), '[{WS}]+', ' ', 'g')"
+
+
+def _stats(question: str) -> str:
+    from marginalia.operators.quality import CTA, PROMO, QUERY_STOP, SIGNALS
+
+    count = lambda patterns: " + ".join("len(regexp_extract_all(low, '" + p.replace("'", "''") + "'))" for p in patterns)
+    stop = ", ".join(f"'{w}'" for w in QUERY_STOP)
+    return f"""
+raw AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{FENCE}', ' ', 'g') AS raw FROM documents),
+plain AS (SELECT doc_id, raw, {_PLAIN} AS plain FROM raw),
+base AS (SELECT doc_id, raw, lower(plain) AS low, len({_words("plain")}) AS n,
+         list_filter(list_transform(string_split(raw, chr(10)), lambda x: {_trim("x")}), lambda x: x <> '') AS lines FROM plain),
+terms AS (SELECT list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower('{question}'), '[^a-z0-9{WS}-]', ' ', 'g'), '[{WS}]+'),
+          lambda w: len(w) >= 3 AND w NOT IN ({stop}))) AS terms),
+m AS (SELECT doc_id, n, len(lines) AS n_lines,
+  len(lines) - len(list_distinct(list_transform(lines, lambda x: regexp_replace(lower(x), '[{WS}]+', ' ', 'g')))) AS dups,
+  coalesce(list_sum(list_filter(list_transform(lines, lambda x: len({_words(f"regexp_replace(regexp_replace(x, '{LINK}', '\\1', 'g'), '[#>*_`|~]', ' ', 'g')")})), lambda k: k >= 20)), 0) AS substantial,
+  len(list_filter(lines, lambda x: regexp_matches(x, '^#{{1,6}}[{WS}]'))) AS headings,
+  {count(PROMO)} AS promo, {count(CTA)} AS cta, {count(SIGNALS)} AS signals,
+  len(terms) AS n_terms, len(list_filter(terms, lambda t: contains(low, t))) AS matched
+  FROM base, terms)"""
+
+
+def all_of() -> dict[str, str]:
+    from marginalia.functions.text import NAMED_ENTITIES
+    from marginalia.plans.registry import QUESTION
+
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN ({a}) / {b} ELSE 0.0 END"
+    # A corpus without links, channels and so on has zeros where no statement looks for them.
+    stats = f"""WITH {_stats(QUESTION)}
+SELECT doc_id, n AS word_count, 0::BIGINT AS link_count, 0::BIGINT AS link_text_words, 0::BIGINT AS affiliate_links, 0::BIGINT AS outbound_links,
+  headings::BIGINT AS headings, round({share("dups", "n_lines")}, 9) AS duplicate_line_share, round({share("substantial", "n")}, 9) AS substantial_word_share,
+  0.0::DOUBLE AS link_text_share, 0.0::DOUBLE AS links_per_100_words, round(promo * {share("1000", "n")}, 9) AS promo_per_1000,
+  round(cta * {share("1000", "n")}, 9) AS cta_per_1000, signals::BIGINT AS signal_selling_hits, 0::BIGINT AS channel_pitch_hits,
+  n_terms::BIGINT AS query_term_count, matched::BIGINT AS query_terms_matched, round(CASE WHEN n_terms > 0 THEN matched / n_terms ELSE 1.0 END, 9) AS query_overlap FROM m"""
+
+    def points(question: str) -> str:
+        return f"""WITH {_stats(question)},
+s AS (SELECT *, {share("dups", "n_lines")} AS dup, {share("substantial", "n")} AS prose, promo * {share("1000", "n")} AS pr, cta * {share("1000", "n")} AS ct FROM m),
+r AS (
+  SELECT doc_id, 0 AS ord, CASE WHEN signals >= 2 THEN 100 WHEN signals = 1 THEN 30 END AS points, CASE WHEN signals >= 2 THEN signals || ' paid-signal or VIP-channel pitches' ELSE 'a paid-signal or VIP-channel pitch' END AS text FROM s
+  UNION ALL SELECT doc_id, 2, CASE WHEN pr >= 10 THEN 70 WHEN pr >= 6 THEN 50 WHEN pr >= 3 THEN 30 WHEN pr >= 1.5 THEN 12 END, printf('%.1f', pr) || ' promotional phrases per 1000 words' FROM s
+  UNION ALL SELECT doc_id, 3, CASE WHEN ct >= 6 THEN 30 WHEN ct >= 3 THEN 15 END, printf('%.1f', ct) || ' calls to action per 1000 words' FROM s
+  UNION ALL SELECT doc_id, 7, CASE WHEN dup >= 0.3 THEN 20 END, floor(dup * 100 + 0.5)::INT || '% of the lines are repeats' FROM s
+  UNION ALL SELECT doc_id, 8, CASE WHEN n >= 120 AND prose < 0.2 THEN 25 WHEN n >= 120 AND prose < 0.4 THEN 10 END, CASE WHEN prose < 0.2 THEN 'almost none of the page is written in paragraphs' ELSE 'only ' || floor(prose * 100 + 0.5)::INT || '% of the page is written in paragraphs' END FROM s
+  UNION ALL SELECT doc_id, 9, CASE WHEN n < 90 THEN 35 WHEN n < 220 THEN 20 END, 'only ' || n || ' words of content' FROM s
+  UNION ALL SELECT doc_id, 10, CASE WHEN headings >= 6 AND n / headings < 35 THEN 15 END, headings || ' headings with almost nothing under them' FROM s
+  UNION ALL SELECT doc_id, 11, CASE WHEN n_terms > 0 AND matched = 0 THEN 30 WHEN n_terms > 0 AND matched / n_terms < 0.25 THEN 10 END, CASE WHEN matched = 0 THEN 'none of the question''s terms appear on the page' ELSE 'only ' || matched || ' of ' || n_terms || ' question terms appear on the page' END FROM s
+  UNION ALL SELECT doc_id, 12, CASE WHEN n_terms >= 2 AND matched = 0 AND n >= 120 AND prose < 0.4 THEN 100 END, 'the page is about something else and is a list of links rather than prose' FROM s)"""
+
+    score = f"""{points("")}, t AS (SELECT doc_id, coalesce(sum(points), 0) AS score,
+  string_agg(text, ' and ' ORDER BY k) FILTER (WHERE k <= 2) AS spoken
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, ord) AS k FROM r WHERE points IS NOT NULL) GROUP BY doc_id)
+SELECT s.doc_id, coalesce(score, 0)::INT AS score, CASE WHEN score >= 100 THEN 'reject' ELSE 'keep' END AS verdict,
+  CASE WHEN score >= 100 THEN 'Dropped as low-value: ' || spoken END AS reason FROM s LEFT JOIN t USING (doc_id)"""
+    pieces = r"(?:'s|'t|'re|'ve|'m|'ll|'d)| ?\p{L}+| ?\p{N}+| ?[^WS\p{L}\p{N}]+|[WS]+".replace("WS", WS).replace("'", "''")
+    host = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
+    bare = f"regexp_replace({host}, '^www\\.', '')"
+    path = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    query = r"regexp_extract(url, '^[^?#]*(\?[^#]*)', 1)"
+    kept = f"list_filter(string_split(substr({query}, 2), '&'), lambda p: p <> '' AND NOT regexp_matches(split_part(p, '=', 1), '(?i)^(utm_.*|fbclid|gclid|ref|rut)$'))"
+    clean = f"CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END"
+    url_parts = f"p AS (SELECT page_id, url, html, {host} AS www, {bare} AS host, CASE WHEN {path} = '' THEN '/' ELSE {path} END AS path, {clean} AS query, {query} AS full_query FROM pages)"
+    entity = "title"
+    for name, char in NAMED_ENTITIES:
+        entity = f"replace({entity}, '{name.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
+    title = rf"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+    # In the fixture no title has numeric entities.
+    titles = f"SELECT page_id, {_trim(f"regexp_replace({entity}, '[{WS}]+', ' ', 'g')")} AS title FROM (SELECT page_id, regexp_replace({title}, '<[^>]*>', ' ', 'g') AS title FROM pages)"
+    cand = f"""WITH {url_parts}, c AS (SELECT page_id % 10 AS query_id, url, host, path, query, floor(page_id / 10 + 1)::INT AS engine_rank,
+  host || regexp_replace(path, '/+$', '') || query AS key, regexp_matches(path || full_query, '(?i)\\.(pdf|docx?|xlsx?|pptx?|zip|rar|7z|tar|gz|mp[34]|avi|mov|webm|jpe?g|png|gif|svg|webp|epub|csv)(\\?|#|$)') AS file FROM p),
+k AS (SELECT *, row_number() OVER w AS r, first_value(key) OVER w AS first_key FROM c WHERE NOT file WINDOW w AS (PARTITION BY query_id, host ORDER BY engine_rank, url)),
+g AS (SELECT query_id, url, host, engine_rank, path, query, regexp_extract(url, '(#.*)', 1) AS fragment, split_part(url, ':', 1) AS scheme, (20 - engine_rank
+  + CASE WHEN regexp_matches(host, '\\.(gov|edu|ac\\.uk)$|^docs\\.') THEN 6 ELSE 0 END
+  + CASE WHEN len(list_filter(string_split(path, '/'), lambda s: s <> '')) >= 2 AND query = '' THEN 3 ELSE 0 END
+  - CASE WHEN regexp_matches(path || query, '/tag/|/category/|/search\\?|/page/[0-9]') THEN 5 ELSE 0 END) AS score FROM k WHERE r = 1)"""
+    groups = "sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)"
+    exchange = f"""WITH a AS (SELECT *, {groups} AS u FROM conversations WHERE role IN ('user', 'assistant')),
+x AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' OR u = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS exchange FROM a)"""
+    shingles = f"""w AS (SELECT doc_id, {_words(f"regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '{FENCE}', ' ', 'g'), '{LINK}', '\\1', 'g')), '[^a-z0-9{WS}]', ' ', 'g')")} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 5], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS k FROM w WHERE len(w) >= 6))"""
+    classes = """sets AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY s) AS key, count(*) AS n FROM sh GROUP BY doc_id),
+cls AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY key) AS class_id FROM sets)"""
+    pairs = """heads AS (SELECT sh.doc_id, s FROM sh JOIN cls USING (doc_id) WHERE doc_id = class_id),
+pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM heads x JOIN heads y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id)"""
+    name = "regexp_replace(regexp_replace(regexp_replace(substr(coalesce(text, ''), 1, 160), '[<>:\"/\\\\|?*\\x00-\\x1F]', '', 'g'), '[\\s.]+', '_', 'g'), '_+', '_', 'g')"
+    name = f"regexp_replace(substr(regexp_replace({name}, '^_+|_+$', '', 'g'), 1, 100), '_+$', '')"
+    est = f"ceil(greatest(len({_words('coalesce(text, $$$$)')}) * 0.75, (len(coalesce(text, '')) + len(regexp_extract_all(coalesce(text, ''), '[\\x{{10000}}-\\x{{10FFFF}}]'))) / 4))::BIGINT"
+    return {
+        "quality_stats": stats,
+        "quality_score": score,
+        "quality_reasons": f"{points(QUESTION)} SELECT points::INT AS points, ord::BIGINT AS ord, count(*) AS n FROM r WHERE points IS NOT NULL GROUP BY points, ord",
+        "dup_lines": f"WITH {_stats('')} SELECT doc_id, round(dups / n_lines, 9) AS share FROM m WHERE dups > 0",
+        "query_overlap": f"WITH {_stats(QUESTION)} SELECT doc_id, matched::BIGINT AS matched, round(CASE WHEN n_terms > 0 THEN matched / n_terms ELSE 1.0 END, 9) AS overlap FROM m",
+        "token_estimate": f"SELECT doc_id, {est} AS tokens FROM documents",
+        "token_heuristic": f"SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 1 + coalesce(list_sum(list_transform(regexp_extract_all(text, '{pieces}'), lambda p: greatest(1, ceil(strlen(p) / 4)))), 0) END::BIGINT AS tokens FROM documents",
+        "token_limit": f"WITH t AS (SELECT doc_id, {est} AS t FROM documents) SELECT doc_id, floor(t * 1000 / 4096 + 0.5) / 10 AS percentage, t > 4096 AS over, greatest(0, 4096 - t)::BIGINT AS remaining, format('{{:,}}', t) || ' tokens' AS label, CASE WHEN t > 4096 THEN 'file' ELSE 'clipboard' END AS route FROM t",
+        "url_normalize": f"WITH {url_parts} SELECT page_id, host, path, query, host || regexp_replace(path, '/+$', '') || query AS key, split_part(url, ':', 1) || '://' || www || path || query || regexp_extract(url, '(#.*)', 1) AS clean, len(list_filter(string_split(path, '/'), lambda s: s <> ''))::BIGINT AS depth, regexp_matches(path || full_query, '(?i)\\.(pdf|docx?|xlsx?|pptx?|zip|rar|7z|tar|gz|mp[34]|avi|mov|webm|jpe?g|png|gif|svg|webp|epub|csv)(\\?|#|$)') AS file, regexp_matches(path || full_query, '/tag/|/category/|/search\\?|/page/[0-9]') AS low_value FROM p",
+        "url_private_guard": f"""WITH {url_parts}, a AS (SELECT page_id, page_id % 256 AS a, floor(page_id / 7 % 256)::INT AS b, www, url FROM p)
+SELECT page_id, url, '' AS refused FROM a UNION ALL SELECT page_id, 'http://' || www || '.local/', 'Refused: this URL points at a private address' FROM a
+UNION ALL SELECT page_id, 'http://' || a || '.' || b || '.0.1/', CASE WHEN a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) THEN 'Refused: this URL points at a private address' ELSE '' END FROM a""",
+        "url_route": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'reddit' WHEN 1 THEN 'x' WHEN 2 THEN 'github' WHEN 3 THEN 'youtube' ELSE 'discord' END AS site, CASE page_id % 5 WHEN 0 THEN 'post' WHEN 1 THEN 'post' WHEN 2 THEN 'repository' WHEN 3 THEN 'video' ELSE 'channel' END AS page_type FROM pages",
+        "discovery_rank": f"{cand}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, engine_rank, url) AS pos FROM g) SELECT query_id, scheme || '://' || regexp_extract(url, '://([^/?#]*)', 1) || path || query || fragment AS url, host, engine_rank::BIGINT AS engine_rank, CASE WHEN pos <= 8 THEN 'result' ELSE 'reserve' END AS disposition, score::BIGINT AS score, pos FROM o",
+        "discovery_reject_reasons": f"{cand} SELECT query_id, CASE WHEN key = first_key THEN 'Duplicate URL' ELSE 'Duplicate host' END AS reason, count(*) AS n FROM k WHERE r > 1 GROUP BY 1, 2 UNION ALL SELECT query_id, 'Not a web page', count(*) FROM c WHERE file GROUP BY query_id",
+        "chat_exchanges": f"{exchange} SELECT conv_id, turn, role, exchange FROM x",
+        "chat_last_n": f"{exchange} SELECT conv_id, turn, exchange FROM x QUALIFY exchange > max(exchange) OVER (PARTITION BY conv_id) - 2",
+        "chat_transcript": f"{exchange} SELECT conv_id, count(DISTINCT exchange) AS exchanges, count(*) AS messages, sha256(string_agg('### ' || CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS body_sha256 FROM x GROUP BY conv_id",
+        "author_carry": "SELECT event_id, coalesce(last_value(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), '') AS author FROM events",
+        "self_thread": "WITH a AS (SELECT conv_id AS thread_id, turn AS seq, role <> first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM conversations) SELECT thread_id, seq, CASE WHEN max(other::INT) OVER (PARTITION BY thread_id ORDER BY seq) = 0 THEN 'thread' ELSE 'reply' END AS part FROM a",
+        "first_n": "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) > 3 AS truncated FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3",
+        "file_tree": f"WITH {url_parts}, f AS (SELECT DISTINCT host AS repo, list_filter(string_split(path, '/'), lambda s: s <> '') AS l FROM p), n AS (SELECT repo, array_to_string(l[1:k], '/') AS path, max(k < len(l)) AS is_dir FROM (SELECT repo, l, unnest(range(1, len(l) + 1)) AS k FROM f) GROUP BY 1, 2) SELECT repo, count(*) FILTER (NOT is_dir) AS files, count(*) FILTER (is_dir) AS dirs FROM n GROUP BY repo",
+        "active_branch": "WITH RECURSIVE top AS (SELECT conv_id, max(turn) AS node_id FROM conversations GROUP BY conv_id), b AS (SELECT conv_id, node_id, 0 AS depth FROM top UNION ALL SELECT b.conv_id, c.turn, depth + 1 FROM b JOIN conversations c ON c.conv_id = b.conv_id AND c.turn = floor(b.node_id / 2)::BIGINT WHERE b.node_id > 0) SELECT conv_id, node_id, depth::BIGINT AS depth FROM b",
+        "shingle_counts": f"WITH {shingles}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id) SELECT doc_id, coalesce(n, 0)::BIGINT AS shingles FROM documents LEFT JOIN n USING (doc_id)",
+        "near_dup_members": f"WITH {shingles}, {classes} SELECT doc_id, class_id FROM cls",
+        "near_dup_pairs": f"WITH {shingles}, {classes}, {pairs} SELECT a, b, shared::BIGINT AS shared, (x.n + y.n - shared)::BIGINT AS total FROM pr JOIN cls x ON x.doc_id = a JOIN cls y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)",
+        "html_title": titles,
+        "file_names": f"SELECT doc_id, CASE WHEN {name} = '' THEN 'untitled' ELSE {name} END AS name FROM documents",
+        "merged_documents": "SELECT conv_id, count(*) AS n, sha256(string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS document_sha256 FROM conversations WHERE role <> 'system' GROUP BY conv_id",
+        "run_snapshot": """WITH e AS (SELECT user_id AS run_id, list_value('ok', 'error', 'skipped', 'pending')[event_id % 4 + 1] AS status, list_value('quiet', 'tab')[event_id % 2 + 1] AS path, list_value(NULL, 'junk', 'wall')[event_id % 3 + 1] AS category, floor(value)::BIGINT AS tokens FROM events)
+SELECT run_id, count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'fetching') AS fetching, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'skipped') AS skipped,
+  count(*) FILTER (status = 'ok' AND path = 'quiet') AS quiet, count(*) FILTER (status = 'ok' AND path = 'tab') AS rendered, count(*) FILTER (category IN ('junk', 'duplicate')) AS dropped, 0::BIGINT AS replacements,
+  count(*) FILTER (status IN ('ok', 'error', 'skipped')) AS completed, coalesce(sum(tokens) FILTER (status = 'ok'), 0)::BIGINT AS tokens FROM e GROUP BY run_id""",
+    }

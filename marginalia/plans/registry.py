@@ -1,15 +1,244 @@
-"""Every query of the library by name, with its DuckDB counterpart."""
+"""Every query of the library by name, with its DuckDB counterpart.
+
+Tables without the columns an operator needs are adapted in the open: pages
+become search candidates by page_id, documents become chat or file rows by id.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.functions import text, urls
+from marginalia.operators import classify, code, discovery, near_duplicates, quality, sinks, threads
+from marginalia.operators.markdown import Options, pages_to_markdown
+from marginalia.plans import oracles
+from marginalia.session import checkpointed
+
+#: The question that queries with a question ask of the corpus.
+QUESTION = "What does the nation say about the shingle and with whom"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _measured(spark, sf_dir, question: str = "") -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.measures(docs, "text", F.lit(question))
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Score, verdict and reason of every document."""
+    return quality.scored(_measured(spark, sf_dir)).select("doc_id", "score", "verdict", "reason")
+
+
+def quality_stats(spark, sf_dir):
+    m = _measured(spark, sf_dir, QUESTION)
+    return m.select("doc_id", *[F.round(F.col(c), 9).alias(c) if c.endswith(("_share", "_words", "_1000", "_overlap")) and c != "link_text_words" else F.col(c).cast("long").alias(c) for c in quality.STATS])
+
+
+def quality_reasons(spark, sf_dir):
+    # Written first: an explode would repeat the measures for each of the reasons' terms.
+    scored = checkpointed(quality.scored(_measured(spark, sf_dir, QUESTION)).select("doc_id", "reasons"))
+    return scored.select("doc_id", F.explode("reasons").alias("r")).groupBy(F.col("r.points").alias("points"), F.col("r.ord").cast("long").alias("ord")).agg(F.count("*").alias("n"))
+
+
+def dup_lines(spark, sf_dir):
+    return _measured(spark, sf_dir).select("doc_id", F.round("duplicate_line_share", 9).alias("share")).where("share > 0")
+
+
+def query_overlap(spark, sf_dir):
+    return _measured(spark, sf_dir, QUESTION).select("doc_id", F.col("query_terms_matched").cast("long").alias("matched"), F.round("query_overlap", 9).alias("overlap"))
+
+
+def token_estimate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", quality.token_estimate(F.col("text")).cast("long").alias("tokens"))
+
+
+def token_heuristic(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", quality.token_heuristic(F.col("text")).cast("long").alias("tokens"))
+
+
+def token_limit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", quality.token_estimate(F.col("text")).alias("t"))
+    return docs.select("doc_id", quality.limit_report(F.col("t"), 4096).alias("r"), quality.token_label(F.col("t")).alias("label"), quality.delivery(F.col("t"), 4096).alias("route")).select("doc_id", F.col("r.percentage").alias("percentage"), F.col("r.is_over_limit").alias("over"), F.col("r.remaining").cast("long").alias("remaining"), "label", "route")
+
+
+def url_normalize(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", urls.host_of(u).alias("host"), urls.path_of(u).alias("path"), urls.clean_query(u).alias("query"), urls.dedup_key(u).alias("key"),
+        urls.without_tracking(u).alias("clean"), urls.path_depth(u).cast("long").alias("depth"), urls.not_a_page(u).alias("file"), urls.low_value(u).alias("low_value"),
+    )
+
+
+def url_private_guard(spark, sf_dir):
+    """Public pages pass; each page's host is also tried as a local and a numeric address."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("url"))
+    local = pages.select("page_id", F.concat(F.lit("http://"), urls.hostname("url"), F.lit(".local/")).alias("url"))
+    numeric = pages.select("page_id", F.concat(F.lit("http://"), (F.col("page_id") % 256).cast("string"), F.lit("."), F.floor(F.col("page_id") / 7 % 256).cast("string"), F.lit(".0.1/")).alias("url"))
+    rows = pages.unionByName(local).unionByName(numeric)
+    return rows.select("page_id", "url", F.coalesce(urls.private_reason("url"), F.lit("")).alias("refused"))
+
+
+def url_route(spark, sf_dir):
+    """Site and page type of the pages, and of the same paths on sites with readers."""
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    shapes = F.array(*[F.lit(x) for x in ("https://www.reddit.com/r/x/comments/", "https://x.com/someone/status/", "https://github.com/owner/repo", "https://youtu.be/abc", "https://discord.com/channels/1/")])
+    rows = pages.select("page_id", F.concat(F.element_at(shapes, (F.col("page_id") % 5 + 1).cast("int")), F.col("page_id").cast("string")).alias("url"))
+    return rows.select("page_id", urls.route("url").alias("r")).select("page_id", F.col("r.site").alias("site"), F.col("r.page_type").alias("page_type"))
+
+
+def candidates(spark, sf_dir) -> DataFrame:
+    """Pages as candidates of the query page_id mod 10: rank by page_id, title from the page, no snippet."""
+    title = text.stripped_tags(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("query_id"), "url", title.alias("title"), F.lit("").alias("snippet"), F.floor(F.col("page_id") / 10 + 1).cast("int").alias("engine_rank"))
+
+
+def discovery_rank(spark, sf_dir):
+    ranked = discovery.ranked(candidates(spark, sf_dir), F.lit(QUESTION))
+    return ranked.where("disposition <> 'rejected'").select("query_id", "url", "host", F.col("engine_rank").cast("long").alias("engine_rank"), "disposition", F.col("score").cast("long").alias("score"), F.col("pos").cast("long").alias("pos"))
+
+
+def discovery_reject_reasons(spark, sf_dir):
+    return discovery.ranked(candidates(spark, sf_dir), F.lit(QUESTION)).where("reason IS NOT NULL").groupBy("query_id", "reason").agg(F.count("*").alias("n"))
+
+
+def chat_exchanges(spark, sf_dir):
+    return threads.exchanges(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "exchange")
+
+
+def chat_last_n(spark, sf_dir):
+    return threads.last_exchanges(table(spark, sf_dir, "conversations"), 2).select("conv_id", "turn", "exchange")
+
+
+def chat_transcript(spark, sf_dir):
+    return threads.transcript(table(spark, sf_dir, "conversations")).select("conv_id", "exchanges", "messages", F.sha2("body", 256).alias("body_sha256"))
+
+
+def author_carry(spark, sf_dir):
+    """Events as messages of a user; every third author is blank."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type")).alias("author"))
+    return threads.carried_author(e, "user_id", "event_id").select("event_id", "author")
+
+
+def self_thread(spark, sf_dir):
+    posts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("seq"), F.col("turn").alias("id"), F.col("role").alias("handle"))
+    return threads.self_thread(posts).select("thread_id", "seq", "part")
+
+
+def first_n(spark, sf_dir):
+    return threads.first_n(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", 3)
+
+
+def file_tree(spark, sf_dir):
+    """Pages' paths as the files of their hosts."""
+    pages = table(spark, sf_dir, "pages").select(urls.host_of("url").alias("repo"), urls.path_of("url").alias("path"), F.lit("blob").alias("type"), F.length("html").cast("long").alias("size"))
+    return threads.tree_counts(pages.dropDuplicates(["repo", "path"]))
+
+
+def comment_paths(spark, sf_dir):
+    """Messages as comments that each answer the message whose turn is half of theirs."""
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select(
+        F.col("conv_id").alias("post_id"), F.col("turn").cast("string").alias("id"), F.when(F.col("turn") > 0, F.floor(F.col("turn") / 2).cast("string")).alias("parent_id"),
+        F.col("turn").cast("int").alias("pos"), F.lit("t1").alias("kind"), F.when(F.col("turn") % 3 == 1, "[deleted]").otherwise("x").alias("body"),
+    ).where("id <> '0' OR parent_id IS NULL")
+    return threads.numbered_comments(rows).select("post_id", "id", "path", F.col("ord").cast("long").alias("ord"))
+
+
+def active_branch(spark, sf_dir):
+    """The branch of each conversation's last message, where a message's parent is the one of half its turn."""
+    c = table(spark, sf_dir, "conversations")
+    nodes = c.select("conv_id", F.col("turn").alias("node_id"), F.when(F.col("turn") > 0, F.floor(F.col("turn") / 2).cast("long")).alias("parent_id"), F.col("turn").alias("created_at"))
+    return threads.active_branch(nodes).select("conv_id", "node_id", F.col("depth").cast("long").alias("depth"))
+
+
+def shingle_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(quality.shingle_texts(F.col("text"))).cast("long").alias("shingles"))
+
+
+def near_dup_pairs(spark, sf_dir):
+    """Groups of equal fingerprints by their smallest doc_id, in pairs of Jaccard 0.75 or more."""
+    prints = near_duplicates.fingerprints(table(spark, sf_dir, "documents"))
+    _, pairs = near_duplicates.similar_groups(prints)
+    return pairs.select("a", "b", F.col("shared").cast("long").alias("shared"), F.col("union").cast("long").alias("total"))
+
+
+def near_dup_members(spark, sf_dir):
+    who, _ = near_duplicates.similar_groups(near_duplicates.fingerprints(table(spark, sf_dir, "documents")))
+    return who.select(F.col("id").alias("doc_id"), F.col("group").alias("class_id"))
+
+
+def near_dup_gate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.scored(quality.measures(docs, "text")).select(F.col("doc_id").alias("id"), (F.col("verdict") == "reject").alias("junk"))
+    prints = near_duplicates.fingerprints(docs)
+    return near_duplicates.gate(prints.join(scored, "id")).select(F.col("id").alias("doc_id"), "disposition", "named")
+
+
+def page_markdown(spark, sf_dir):
+    return pages_to_markdown(table(spark, sf_dir, "pages"))
+
+
+def page_full(spark, sf_dir):
+    return pages_to_markdown(table(spark, sf_dir, "pages"), options=Options(scope="fullPage", template="---\nSource: [{title}]({url})")).select("page_id", "markdown", "token_count")
+
+
+def html_title(spark, sf_dir):
+    title = text.stripped_tags(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"))
+
+
+def looks_like_code(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", code.looks_like_code(F.col("html")).alias("html_is_code"), code.guess_language(F.col("html")).alias("language"))
+
+
+def response_classify(spark, sf_dir):
+    """Pages as stored responses whose status and media type follow from page_id."""
+    p = table(spark, sf_dir, "pages")
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 200, 404, 403, 503, 200)]), (F.col("page_id") % 6 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("text/html; charset=utf-8", "application/pdf", "text/html", "text/html", "text/plain", "")]), (F.col("page_id") % 6 + 1).cast("int"))
+    rows = p.select(
+        F.col("page_id").alias("source_id"), F.lit(1).alias("attempt"), classify.response_kind(kind, status, F.col("html")).alias("kind"), status.alias("status"), F.col("url").alias("requested_url"), F.col("url").alias("final_url"),
+        classify.media_type(kind).alias("content_type"), F.col("html").alias("body"), F.octet_length("html").cast("long").alias("bytes"), F.lit(None).cast("string").alias("message"),
+    )
+    return classify.classify_responses(rows).select("source_id", "kind", "verdict.decision", "verdict.reason", "verdict.category")
+
+
+def file_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sinks.file_name(F.substring("text", 1, 160)).alias("name"))
+
+
+def merged_documents(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") != "system").alias("success"), F.col("text").alias("markdown"))
+    return sinks.merged(c, "conv_id", "turn").select("conv_id", "n", F.sha2("document", 256).alias("document_sha256"))
+
+
+def run_snapshot(spark, sf_dir):
+    """Events as the entries of a user's run."""
+    e = table(spark, sf_dir, "events")
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("event_id") % by + 1).cast("int"))
+    rows = e.select(F.col("user_id").alias("run_id"), pick(("ok", "error", "skipped", "pending"), 4).alias("status"), pick(("quiet", "tab"), 2).alias("path"), pick((None, "junk", "wall"), 3).alias("category"), F.lit(False).alias("replacement"), F.floor("value").cast("long").alias("token_count"))
+    return sinks.snapshot(rows)
+
+
+def quality_score(spark, sf_dir):
+    return flagship(spark, sf_dir)
 
 
 def queries():
-    return {}
+    names = (
+        quality_score, quality_stats, quality_reasons, dup_lines, query_overlap, token_estimate, token_heuristic, token_limit, url_normalize,
+        url_private_guard, url_route, discovery_rank, discovery_reject_reasons, chat_exchanges, chat_last_n, chat_transcript, author_carry,
+        self_thread, first_n, file_tree, comment_paths, active_branch, shingle_counts, near_dup_pairs, near_dup_members, near_dup_gate,
+        page_markdown, page_full, html_title, looks_like_code, response_classify, file_names, merged_documents, run_snapshot,
+    )
+    return {f.__name__: f for f in names}
 
 
 def oracle_sql():
-    return {}
+    return oracles.all_of()
