@@ -27,7 +27,7 @@ from marginalia.session import checkpointed, release
 EDITS = 2
 MIN_CHARS = 20
 #: Letters whose counts are compared before lines are; each edit moves two of them by one at most.
-LETTERS = ("eatnoirs", "hdlucmpq")
+LETTERS = "eatnoirshd"
 #: Rows of (doc_id, line) that may be broadcast when lines are read again; beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -38,51 +38,49 @@ def _lines(documents: DataFrame) -> DataFrame:
     return split.where(F.char_length("line") >= MIN_CHARS)
 
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(first character from 1, size) of each segment of a line of ``length``; later ones take the remainder."""
+def _with_shares(lines: DataFrame, edits: int) -> DataFrame:
+    """For each length a line may be compared with (its own, and up to ``edits`` less): q, and the remainder r, of segments.
+
+    Columns of their own keep the generated code of the keys small.
+    """
     n = edits + 1
-    small = F.floor(length / n)
-    longer = length - small * n
-    out = []
-    for i in range(n):
-        before = F.greatest(F.lit(0), longer - (n - i))  # longer segments among the first i
-        out.append(((small * i + before + 1).cast("int"), (small + (F.lit(n - i) <= longer).cast("int")).cast("int")))
-    return out
+    return lines.withColumns({f"q{t}": F.expr(f"CAST((len - {t}) DIV {n} AS INT)") for t in range(n)} | {f"r{t}": F.expr(f"(len - {t}) % {n}") for t in range(n)})
+
 
+def _segment(shorter: int, i: int, edits: int) -> tuple[Column, Column]:
+    """(first character from 1, size) of segment i of a line ``shorter`` characters less long; the last r segments are one longer."""
+    q, r = F.col(f"q{shorter}"), F.col(f"r{shorter}")
+    before = edits + 1 - i  # segments from this one on
+    return q * i + F.greatest(F.lit(0), r - before) + 1, q + (r >= before).cast("int")
 
-def _keys(line: str, edits: int) -> tuple[Column, Column]:
+
+def _keys(line: str, edits: int) -> tuple[list[Column], list[Column]]:
     """(own segments' keys, keys of substrings that may match segments of other lines)."""
     own, probes = [], []
-    length = F.col("len")
     for shorter in range(edits + 1):
-        target = length - shorter
-        for i, (start, size) in enumerate(_segments(target, edits)):
+        for i in range(edits + 1):
+            start, size = _segment(shorter, i, edits)
             left, right = i, edits - i  # edits before and after the segment at most
-            low, high = max(-left, shorter - right), min(left, shorter + right)
-            for shift in range(low, high + 1):
-                key = F.xxhash64(F.substring(line, start + shift, size), target, F.lit(i))
-                if shorter == 0 and shift == 0:
-                    own.append(key)
-                else:
-                    fits = (start + shift >= 1) & (start + shift + size - 1 <= length) & (target >= MIN_CHARS)
-                    probes.append(F.when(fits, key))
-    return F.array(*own), F.array(*probes)  # null where a substring does not fit
-
-
-def _counts(line: str, letters: str) -> Column:
-    """Counts of eight letters up to 255, a byte each."""
+            for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
+                key = F.xxhash64(F.substring(line, start + shift, size), F.col("len") - shorter, F.lit(i))
+                (own if shorter == 0 and shift == 0 else probes).append(key)
+    return own, probes
+
+
+def _counts(line: str) -> Column:
+    """Counts of LETTERS up to 63, six bits each."""
     packed = F.lit(0).cast("long")
-    for k, letter in enumerate(letters):
+    for k, letter in enumerate(LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(letter), F.lit("")))
-        packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * k))
+        packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(63)).cast("long"), 6 * k))
     return packed
 
 
 def _apart(a: str, b: str) -> Column:
     """Sum of the differences of two packed counts."""
     total = F.lit(0)
-    for k in range(8):
-        x, y = (F.shiftrightunsigned(F.col(c), 8 * k).bitwiseAND(F.lit(255)) for c in (a, b))
+    for k in range(len(LETTERS)):
+        x, y = (F.shiftrightunsigned(F.col(c), 6 * k).bitwiseAND(F.lit(63)) for c in (a, b))
         total = total + F.abs(x - y)
     return total
 
@@ -104,8 +102,8 @@ def within(a: str, b: str, edits: int) -> Column:
 
     Bit t of column j stands for row j - edits + t. D0 tells where a diagonal
     step is free; the distance is read off the diagonal that ends in the corner.
-    Lines are compared from their first difference on (columns a and b must hold
-    what is left), and once the diagonal has cost too much nothing more is computed.
+    A caller may cut what lines share at both ends, which leaves the distance as it
+    is; once the diagonal has cost too much nothing more is computed.
     """
     x, y = F.split(a, ""), F.split(b, "")
     tall, wide = F.greatest(F.char_length(a), F.char_length(b)), F.least(F.char_length(a), F.char_length(b))
@@ -144,15 +142,16 @@ def classes(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFr
     raw = _lines(documents).withColumns({"len": F.char_length("line"), "h": F.xxhash64("line"), "g": F.xxhash64("line", F.lit(1))})
     own, probes = _keys("line", edits)
     lines = raw.select("doc_id", "pos", "h", "g")
-    keyed = raw.select("h", "g", F.struct("doc_id", "pos").alias("at"), F.struct(*[_counts("line", x).alias(f"c{i}") for i, x in enumerate(LETTERS)], own.alias("own"), probes.alias("probes")).alias("keys"))
+    keys = F.struct(_counts("line").alias("counts"), F.array(*own).alias("own"), F.array(*probes).alias("probes"))
+    keyed = _with_shares(raw, edits).select("h", "g", F.struct("doc_id", "pos").alias("at"), keys.alias("keys"))
     firsts = keyed.groupBy("h", "g").agg(F.min("at").alias("first"), F.first("keys").alias("keys"))
     firsts = checkpointed(firsts.select("h", "g", "first", "keys.*"))
-    posted = firsts.select("h", "c0", "c1", F.explode("own").alias("key"))
-    probing = [F.col("h").alias("h2"), F.col("c0").alias("d0"), F.col("c1").alias("d1")]
-    asking = firsts.select(*probing, F.explode("probes").alias("key"), F.lit(True).alias("other")).where("key IS NOT NULL")
+    posted = firsts.select("h", "counts", F.explode("own").alias("key"))
+    probing = [F.col("h").alias("h2"), F.col("counts").alias("counts2")]
+    asking = firsts.select(*probing, F.explode("probes").alias("key"), F.lit(True).alias("other"))
     asking = asking.unionByName(firsts.select(*probing, F.explode("own").alias("key"), F.lit(False).alias("other")))
     order = (F.col("other") & (F.col("h") != F.col("h2"))) | (~F.col("other") & (F.col("h") < F.col("h2")))
-    met = posted.join(asking, (posted.key == asking.key) & order & (_apart("c0", "d0") + _apart("c1", "d1") <= 2 * edits))
+    met = posted.join(asking, (posted.key == asking.key) & order & (_apart("counts", "counts2") <= 2 * edits))
     met = checkpointed(met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct())
     release(documents.sparkSession)  # the keys' shuffles
     wanted = met.select(F.col("a").alias("h")).unionByName(met.select(F.col("b").alias("h"))).distinct()
@@ -165,8 +164,10 @@ def classes(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFr
     read = checkpointed(read.select("w.h", "w.first", F.get("all", F.col("w.pos")).alias("line")).dropDuplicates(["h"]))
     pairs = met.join(read.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), "a")
     pairs = pairs.join(read.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb")), "b")
-    same = _shared_start("la", "lb")
-    pairs = pairs.withColumn("same", same).select("a", "b", "fa", "fb", F.substring("la", F.col("same") + 1, F.char_length("la")).alias("la"), F.substring("lb", F.col("same") + 1, F.char_length("lb")).alias("lb"))
+    rest = lambda c: F.substring(c, F.col("same") + 1, F.char_length(c)).alias(c)
+    pairs = pairs.withColumn("same", _shared_start("la", "lb")).select("a", "b", "fa", "fb", rest("la"), rest("lb"))
+    pairs = pairs.select("a", "b", "fa", "fb", F.reverse("la").alias("la"), F.reverse("lb").alias("lb"))
+    pairs = pairs.withColumn("same", _shared_start("la", "lb")).select("a", "b", "fa", "fb", rest("la"), rest("lb"))
     near = pairs.where(within("la", "lb", edits)).select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
     return lines, firsts.select("h", "g", "first"), checkpointed(near)
 
