@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,5 +53,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the JVM find shuffles and checkpoints that nothing refers to any more, so that their files go before the next large step."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first finds may hold what the second does
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
