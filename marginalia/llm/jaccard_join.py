@@ -107,7 +107,7 @@ def signatures(features: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarr
         tag = (np.arange(n1, dtype=np.uint64) * U(3)) * _K[1] + _wrapped(scheme * int(_K[2]))
         for q, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
             own = mix(mix(s[:, a] + U(1)) * _K[0] + s[:, b] * _K[3] + tag + _wrapped(q * int(_K[1])))
-            out.append(own[keep[:, q]])
+            out.append(own[keep[:, q]] & ~U(1) | U(scheme & 1))  # the last bit tells the scheme
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -125,21 +125,21 @@ def _sets(batch_column, n: int):
             yield lo + d, np.unique(code[bounds[d] : bounds[d + 1]])
 
 
-def sketch(features: np.ndarray, ends: np.ndarray, percent: int) -> bytes:
-    """A byte for each of about 1.5 k parts of the feature domain, in the own band's scheme, then the next one's.
+def sketch(features: np.ndarray, ends: np.ndarray, percent: int) -> list[bytes]:
+    """A byte for each of about 1.5 k parts of the feature domain, in the set's scheme of even number and in its odd one.
 
     Parts with different bytes hold different features, so there are no more of
     them than features in the symmetric difference: too many prove that two sets
     are not similar.
     """
-    out, band = [], int(np.searchsorted(ends, len(features)))
+    out, band = [b"", b""], int(np.searchsorted(ends, len(features)))
     for scheme in (band, band + 1):
         m = sketch_size(scheme, ends, percent)
         part = (mix(features ^ _wrapped((scheme + 77) * int(_K[1]))) % U(max(m, 1))).astype(np.int64)
         sums = np.zeros(max(m, 1), np.uint64)
         np.add.at(sums, part, features)
-        out.append((mix(sums) >> U(56)).astype(np.uint8)[:m].tobytes())
-    return b"".join(out)
+        out[scheme & 1] = (mix(sums) >> U(56)).astype(np.uint8)[:m].tobytes()
+    return out
 
 
 def sketch_size(scheme: int, ends: np.ndarray, percent: int) -> int:
@@ -156,10 +156,10 @@ def set_nodes(documents: DataFrame, n: int, percent: int) -> DataFrame:
             for _, features in _sets(batch.column(1), n):
                 sizes.append(len(features))
                 nodes.append(node_of(features))
-                sketches.append(sketch(features, ends, percent) if len(features) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "node", "sketch"])
+                sketches.append(sketch(features, ends, percent) if len(features) else [b"", b""])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array([x[k] for x in sketches], pa.binary()) for k in (0, 1))], names=["doc_id", "n_shingles", "node", "even", "odd"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, even binary, odd binary")
 
 
 def _signature_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _signature_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, node) of the different groups of two nodes or more that share a signature."""
+    """(bucket, node, parity of the scheme) of the different groups of two nodes or more that share a signature."""
 
     def run(batches):
         seen: set[int] = set()
@@ -217,7 +217,11 @@ def _buckets(rows: DataFrame) -> DataFrame:
                 elif len(seen) < 1_000_000:
                     seen.add(key)
             wide = np.repeat(keep, size)
-            return np.repeat(name, size)[wide], node[wide]
+            return np.repeat(name, size)[wide], node[wide], sig[wide] & 1
+
+        def batch_of(out):
+            b, n, s = (np.concatenate([o[k] for o in out]) for k in range(3))
+            return pa.RecordBatch.from_arrays([pa.array(b), pa.array(n), pa.array(s.astype(np.int8))], names=["bucket", "node", "parity"])
 
         for batch in batches:
             sig = np.concatenate([sig, np.asarray(batch.column(0))])
@@ -230,22 +234,24 @@ def _buckets(rows: DataFrame) -> DataFrame:
                 held += len(out[-1][0])
                 sig, node = sig[cut:], node[cut:]
             if held > 100_000:
-                yield _pair_batch(np.column_stack([np.concatenate([o[k] for o in out]) for k in (0, 1)]), "bucket", "node")
+                yield batch_of(out)
                 out, held = [], 0
         if len(sig):
             out.append(told(sig, node))
         if out:
-            yield _pair_batch(np.column_stack([np.concatenate([o[k] for o in out]) for k in (0, 1)]), "bucket", "node")
+            yield batch_of(out)
 
     dealt = rows.repartition("sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(run, "bucket long, node long").distinct()
+    # A group met in two schemes is compared in one; all its nodes have met in the same ones.
+    return dealt.mapInArrow(run, "bucket long, node long, parity byte").groupBy("bucket", "node").agg(F.min("parity").alias("parity"))
 
 
-def bucket_links(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+def bucket_links(sizes: np.ndarray, sketches: list[bytes], percent: int, parity: int) -> np.ndarray:
     """Component numbers within a bucket, by pairs that the sketches do not tell apart."""
     n, ends = len(sizes), bands(percent)
     band = np.searchsorted(ends, sizes)
     scheme = int(band.max())
+    scheme += (scheme ^ parity) & 1
     m = sketch_size(scheme, ends, percent)
     comp = np.arange(n)
     if scheme - int(band.min()) > 1:  # sets of one signature are of one band or of neighbours, hashes aside
@@ -253,8 +259,7 @@ def bucket_links(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.n
         return comp
     rows = np.empty((n, m), np.uint8)
     for i in range(n):
-        skip = sketch_size(scheme - 1, ends, percent) if band[i] < scheme else 0
-        rows[i] = np.frombuffer(sketches[i], np.uint8)[skip : skip + m]
+        rows[i] = np.frombuffer(sketches[i], np.uint8)
     for i in range(n - 1):
         rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
         both = sizes[rest] + sizes[i]
@@ -273,12 +278,12 @@ def _candidate_forest(buckets: DataFrame, nodes: DataFrame, percent: int) -> Dat
     """(a, b): within each bucket, trees of nodes that may be similar; a very large bucket is one tree."""
 
     def run(batches):
-        last, node, size, sketches, star = None, [], [], [], None
+        last, node, size, sketches, star, parity = None, [], [], [], None, 0
         edges: list[tuple[int, int]] = []
 
         def settle():
             if len(node) > 1:
-                comp = bucket_links(np.array(size), sketches, percent) if star is None else np.zeros(len(node), np.int64)
+                comp = bucket_links(np.array(size), sketches, percent, parity) if star is None else np.zeros(len(node), np.int64)
                 low = {}
                 for c, v in zip(comp.tolist(), node):
                     low[c] = min(v, low.get(c, v))
@@ -287,9 +292,10 @@ def _candidate_forest(buckets: DataFrame, nodes: DataFrame, percent: int) -> Dat
                 edges.append((node[0], star))
 
         for batch in batches:
-            for b, v, n, s in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, v, n, s, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != last:
                     settle()
+                    parity = own
                     last, node, size, sketches, star = b, [], [], [], None
                 node.append(v)
                 size.append(n)
@@ -305,13 +311,16 @@ def _candidate_forest(buckets: DataFrame, nodes: DataFrame, percent: int) -> Dat
         if edges:
             yield _pair_batch(np.unique(np.array(edges, np.int64), axis=0))
 
-    known = nodes.select("node", "n_shingles", "sketch").dropDuplicates(["node"])
-    rows = buckets.join(known, "node").select("bucket", "node", "n_shingles", "sketch")
+    # Only nodes of some bucket, and of each node one document's sketches, travel on.
+    first = nodes.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    known = nodes.join(first, ["node", "doc_id"]).select("node", "n_shingles", "even", "odd")
+    chosen = F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")).alias("sketch")
+    rows = buckets.join(known, "node").select("bucket", "node", "n_shingles", chosen, "parity")
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def _pair_batch(pairs: np.ndarray, *names: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=names or ["a", "b"])
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
 
 def link_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
