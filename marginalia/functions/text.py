@@ -114,11 +114,11 @@ def decoded_entities(c: Column) -> Column:
 
     def value(e):
         low = F.lower(e)
-        digits = F.when(low.startswith("&#x"), F.conv(F.substring(low, 4, 8), 16, 10)).otherwise(F.substring(low, 3, 10)).try_cast("long")
+        digits = F.when(low.startswith("&#x"), F.conv(F.substring(low, 4, 8), 16, 10)).otherwise(F.regexp_extract(low, "[0-9]+", 0)).try_cast("long")
         digits = F.when(F.length(low) > 12, F.lit(None).cast("long")).otherwise(digits)
         valid = (digits <= 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
         # A code point as UTF-32 bytes, decoded.
-        char = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32BE")
+        char = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")
         return F.coalesce(F.try_element_at(named, low), F.when(low.startswith("&#") & valid, char), e)
 
     pieces = F.concat(F.transform(F.arrays_zip(F.slice(rest, 1, F.size(found)).alias("t"), found.alias("e")), lambda z: F.concat(z["t"], value(z["e"]))), F.slice(rest, F.size(found) + 1, 1))

@@ -34,7 +34,7 @@ def clamped_limit(limit: Column, low: int = 5, high: int = 12, default: int = 8)
     raw = F.coalesce(F.trim(limit.cast("string")), F.lit(""))
     value = F.when(raw == "", 0.0).otherwise(raw.try_cast("double"))
     whole = F.floor(value + 0.5)
-    return F.coalesce(F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(F.least(F.greatest(whole, F.lit(low)), F.lit(high))), F.lit(default)).cast("int")
+    return F.coalesce(F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(F.least(F.greatest(whole, F.lit(low)), F.lit(high))), F.lit(default)).cast("int")
 
 
 def time_sensitive(query: Column) -> Column:
