@@ -19,7 +19,7 @@ def test_text_helpers(spark):
         spark, text.decoded_entities(F.lit("a &amp; &#x41;&#66; &#xD800; &lt;b&gt; &nope;")), text.truncated(F.lit("one two three"), 9), text.inline_code(F.lit("a`b")),
         text.safe_inline(F.lit("a [b]\n*c*")), text.safe_target(F.lit("u (1)")), text.demoted_headings(F.lit("# a\nb")), text.normalised_body(F.lit(" a\r\n\n\n\nb ")), text.indented(F.lit("a\n\nb"), "  "),
     )
-    assert got.c0 == "a & AB &#xD800; <b> &nope;" and got.c1 == "one…" and got.c2 == "``a`b``" and got.c3 == r"a \[b\] \*c\*"
+    assert got.c0 == "a & AB &#xD800; <b> &nope;" and got.c1 == "one two…" and got.c2 == "``a`b``" and got.c3 == r"a \[b\] \*c\*"
     assert got.c4 == "<u%20%281%29>" and got.c5 == "\\# a\nb" and got.c6 == "a\n\nb" and got.c7 == "  a\n\n  b"
 
 
