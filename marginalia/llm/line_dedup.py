@@ -30,6 +30,8 @@ MIN_CHARS = 20
 LETTERS = "eatnoirshd"
 #: Rows of (doc_id, line) that may be broadcast when lines are read again; beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
+#: Columns added for a while; no table has columns of these names.
+GONE, TEXT = "__lines_gone__", "__text_kept__"
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def _apart(a: str, b: str) -> Column:
     return total
 
 
-def _shared_start(a: str, b: str) -> Column:
+def _shared_start(a: Column, b: Column) -> Column:
     """Characters that both lines begin with, found by halving steps."""
     most = F.least(F.char_length(a), F.char_length(b))
 
@@ -164,10 +166,11 @@ def classes(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFr
     read = checkpointed(read.select("w.h", "w.first", F.get("all", F.col("w.pos")).alias("line")).dropDuplicates(["h"]))
     pairs = met.join(read.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), "a")
     pairs = pairs.join(read.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb")), "b")
-    rest = lambda c: F.substring(c, F.col("same") + 1, F.char_length(c)).alias(c)
-    pairs = pairs.withColumn("same", _shared_start("la", "lb")).select("a", "b", "fa", "fb", rest("la"), rest("lb"))
-    pairs = pairs.select("a", "b", "fa", "fb", F.reverse("la").alias("la"), F.reverse("lb").alias("lb"))
-    pairs = pairs.withColumn("same", _shared_start("la", "lb")).select("a", "b", "fa", "fb", rest("la"), rest("lb"))
+    ends = pairs.withColumns({"head": _shared_start(F.col("la"), F.col("lb")), "tail": _shared_start(F.reverse("la"), F.reverse("lb"))})
+    shorter = F.least(F.char_length("la"), F.char_length("lb")) - F.col("head")
+    rest = lambda c: F.substring(c, F.col("head") + 1, F.char_length(c) - F.col("head") - F.least(F.col("tail"), shorter)).alias(c)
+    # Written here, or the filter below would be rewritten over these expressions many times.
+    pairs = checkpointed(ends.select("a", "b", "fa", "fb", rest("la"), rest("lb")))
     near = pairs.where(within("la", "lb", edits)).select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
     return lines, firsts.select("h", "g", "first"), checkpointed(near)
 
@@ -197,10 +200,10 @@ def report(documents: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def remove_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """Documents without their dropped lines; those of which nothing is left go. Columns as given."""
-    gone = dropped(documents, edits).select("doc_id", F.concat("exact", "near").alias("_gone"))
+    gone = dropped(documents, edits).select("doc_id", F.concat("exact", "near").alias(GONE))
     joined = documents.join(gone, "doc_id", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("_text", text).where(F.col("_gone").isNull() | (F.trim("_text") != ""))
-    columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in documents.columns]
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(GONE, i)), "\n")
+    text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(kept)
+    out = joined.withColumn(TEXT, text).where(F.col(GONE).isNull() | (F.trim(F.col(TEXT)) != ""))
+    columns = [F.col(TEXT).alias("text") if c == "text" else F.length(TEXT).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in documents.columns]
     return out.select(*columns)
