@@ -53,6 +53,7 @@ def gate(candidates: DataFrame, percent: int = int(DUPLICATE * 100)) -> DataFram
     all settled otherwise is accepted. Of a group of equal sets the first that is
     not junk speaks for it. Rounds end; each settles the smallest open id at least.
     """
+    candidates = checkpointed(candidates)  # read several times below
     who, pairs = similar_groups(candidates.select("id", "prints"), percent)
     who = checkpointed(who.join(candidates.select("id", "junk"), "id"))
     speaker = who.where("NOT junk").groupBy("group").agg(F.min("id").alias("speaker"))
