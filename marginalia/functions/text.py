@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 
 #: White space as web scripts see it, as the inside of a character class.
 WS = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-_BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_BEFORE, _AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
 def ascii_boundaries(pattern: str) -> str:
-    """The pattern with every ``\\b`` between ASCII word characters and others only."""
-    return pattern.replace(r"\b", _BOUNDARY)
+    """The pattern with every ``\\b`` between ASCII word characters and others only.
+
+    Patterns have word characters on the inner side of each ``\\b``, so one look
+    is enough: backwards where something of the pattern follows, else forwards.
+    """
+    parts = pattern.split(r"\b")
+    out = parts[0]
+    for part in parts[1:]:
+        out += (_AFTER if not part or part[0] in "|)[.*+?$" else _BEFORE) + part
+    return out
 
 
 def js_pattern(pattern: str) -> str:
