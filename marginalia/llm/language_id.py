@@ -68,6 +68,8 @@ class ContextTrees:
 
     def __init__(self, texts: dict[str, list[bytes]]):
         self.langs = sorted(texts)
+        if not texts:
+            return
         seen = np.zeros(256, bool)
         for own in texts.values():
             seen[folded(np.frombuffer(b"".join(own), np.uint8))] = True
