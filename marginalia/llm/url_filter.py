@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from marginalia.llm.arrow_text import mix
 
 BUCKETS = 1 << 14
+#: Score from which the model blocks: unseen URLs of the blocked kinds score above it, neutral ones below.
+THRESHOLD = 0.8
 SIZES = (3, 4, 5)
 RULES = (
     ("block", "com", "/en/"),
@@ -155,7 +157,7 @@ def rule_for(host, path, rules):
     return chosen
 
 
-def judge(pages: DataFrame, rules=RULES, model: UrlModel | None = None, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, model: UrlModel | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Per page: host, path, the rule that fits, the verdict and the model's score."""
     model = model or train()
     host, path = parts()
