@@ -82,8 +82,8 @@ def _wrapped(x: int) -> np.uint64:
 def signatures(features: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarray:
     """The set's signatures in its own band's scheme and the next one's.
 
-    A signature over no or one feature is weak: unrelated sets share it. There
-    are ``spare`` partitions more than needed, so similar sets agree in more
+    A signature over no feature (or over one, where signatures hold more) is weak:
+    unrelated sets share it. There are ``spare`` partitions more than needed, so similar sets agree in more
     than ``spare`` of them; a set with at most ``spare`` partitions that have a
     weak signature leaves the weak ones out and still meets every similar set.
     """
@@ -95,25 +95,33 @@ def signatures(features: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarr
         k = 2 * (100 - percent) * int(ends[scheme]) // (100 + percent)
         if k == 0:
             continue  # only equal sets are similar, and these are one node
-        spare = spared(k // 2 + 1)
+        fewest, spare = weakness(k // 2 + 1, percent)
         n1 = k // 2 + 1 + spare
         part = (mix(features + _wrapped((scheme + 1) * int(_K[0]))) % U(3 * n1)).astype(np.int64)
         sums = np.zeros(3 * n1, np.uint64)
         np.add.at(sums, part, spread)
         s, size = sums.reshape(n1, 3), np.bincount(part, minlength=3 * n1).reshape(n1, 3)
         total = size.sum(1, keepdims=True)
-        weak = total - size < 2  # column q leaves out subpartition q
+        weak = total - size < fewest  # column q leaves out subpartition q
         keep = ~weak if weak.any(1).sum() <= spare else np.ones_like(weak)
         tag = (np.arange(n1, dtype=np.uint64) * U(3)) * _K[1] + _wrapped(scheme * int(_K[2]))
         for q, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
             own = mix(mix(s[:, a] + U(1)) * _K[0] + s[:, b] * _K[3] + tag + _wrapped(q * int(_K[1])))
-            out.append(own[keep[:, q]] & ~U(1) | U(scheme & 1))  # the last bit tells the scheme
+            # 48 bits are enough for candidates and shuffle smaller; the last one tells the scheme.
+            out.append(own[keep[:, q]] >> U(16) & ~U(1) | U(scheme & 1))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def spared(n1: int) -> int:
-    """Partitions added so that weak signatures can be left out: a twenty-fifth, none for the smallest sets."""
-    return (n1 + 12) // 25 + (n1 >= 8)
+def weakness(n1: int, percent: int) -> tuple[int, int]:
+    """(features below which a signature is weak, partitions added so that weak ones can be left out).
+
+    A signature of the smallest sets of a scheme holds about 2/3 p**2 (1 + p) / (1 - p)
+    features; where these are few, too many would have one, and only empty ones are weak.
+    """
+    p = percent / 100
+    if 2 / 3 * p * p * (1 + p) / (1 - p) >= 5.5:
+        return 2, (n1 + 12) // 25 + (n1 >= 8)
+    return 1, (n1 + 6) // 12 + (n1 >= 8)
 
 
 def _sets(batch_column, n: int):
