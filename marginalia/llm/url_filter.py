@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from marginalia.llm.arrow_text import mix
 
 BUCKETS = 1 << 14
-#: Score from which the model blocks: unseen URLs of the blocked kinds score above it, neutral ones below.
-THRESHOLD = 0.8
+#: Score from which the model blocks: more likely than not to be of the blocked kinds.
+THRESHOLD = 0.5
 SIZES = (3, 4, 5)
 RULES = (
     ("block", "com", "/en/"),
@@ -82,6 +82,31 @@ LABELLED = (
     ("https://blog.science.example/en/2210?utm_source=feed", 0),
     ("https://film.example/fr/critique/7781/", 0),
     ("https://m.sport.example/de/tabelle/33", 0),
+    # Paths of the neutral kind under both kinds of hosts, or the path alone would decide.
+    ("https://www.casino-royal.example/en/4410", 1),
+    ("http://online-casino.example/de/7702.html", 1),
+    ("http://m.betting-odds.example/fr/618?page=3", 1),
+    ("https://bets-bonus.example/es/2205/", 1),
+    ("https://ads-server.example/en/913?utm_source=mail", 1),
+    ("http://m.click-track.example/de/5081#end", 1),
+    ("http://www.pills-online.example/fr/3317.html", 1),
+    ("https://cheap-meds.example/es/740", 1),
+    ("http://blog.adult-tube.example/en/6124", 1),
+    ("https://adult-cams.example/de/259/", 1),
+    ("https://www.spam-seo.example/en/8406?page=4", 1),
+    ("http://spam-mailer.example/fr/1573.html", 1),
+    ("https://www.orchard.example/en/4418", 0),
+    ("http://bridge-club.example/de/7713.html", 0),
+    ("http://m.lighthouse.example/fr/627?page=3", 0),
+    ("https://weather-station.example/es/2211/", 0),
+    ("https://observatory.example/en/921?utm_source=mail", 0),
+    ("http://m.theatre.example/de/5090#end", 0),
+    ("http://www.northern-times.example/fr/3325.html", 0),
+    ("https://botany.example/es/751", 0),
+    ("http://blog.another-thing.example/en/6133", 0),
+    ("https://mathematics.example/de/268/", 0),
+    ("https://www.station.example/en/8415?page=4", 0),
+    ("http://theory.example/fr/1582.html", 0),
 )
 
 

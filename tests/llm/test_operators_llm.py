@@ -305,6 +305,16 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_filter_blocks_unseen_spam_hosts(spark):
+    spam = ["http://m.casino-win.example.com/fr/7054.html", "http://free-bets.example.com/fr/1258", "https://m.ads-track.example.com/de/6855", "https://www.cheap-pills.example.com/de/77", "http://blog.adult-x.example.net/en/330.html", "http://example.com/casino/bonus", "https://xxx-cams.tv/live"]
+    neutral = ["https://blog.tionsh.example.com/de/31", "http://tionble.example.net/fr/2998/", "https://m.ththth.example.net/es/12", "https://www.ththon.example.com/de/9", "https://library.edu/history/lecture"]
+    trained = {url_filter.split(u)[0] for u, _ in url_filter.LABELLED}
+    assert not trained & {url_filter.split(u)[0] for u in spam + neutral}
+    df = spark.createDataFrame(list(enumerate(spam + neutral)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df, rules=()).collect()}
+    assert [got[i] for i in sorted(got)] == ["block"] * len(spam) + ["allow"] * len(neutral)
+
+
 # ---------------------------------------------------------------- 8
 
 
