@@ -1,10 +1,11 @@
 """Licence scans with a positional rare-token index, in DataFrame functions only.
 
 A file's licence words (those of the templates, stop words left out) are kept
-with their positions. The rarest of them over all files (highest inverse
-document frequency) are looked up among the templates' postings; each hit says
-where a template would begin in the file. From there the other words of the
-template are intersected at their relative positions, and a template whose
+with their positions. Of each template the words that are rarest over all files
+(highest inverse document frequency) are looked up among them, one more than
+may be out of place; each hit says where the template would begin in the file.
+From there the other words of the template are intersected at their relative
+positions, and a template whose
 share of words in place is high enough counts once one of its mandatory key
 phrases stands in the file word by word. Everything about a file happens in
 its own row; only the document counts of the licence words are shuffled.
@@ -43,8 +44,6 @@ TEMPLATES = (
 )
 #: Words of the notices that every text uses.
 STOP = ("a", "and", "any", "are", "by", "form", "free", "in", "is", "of", "or", "person", "source", "the", "this", "to", "use", "v", "with", "work", "0", "2", "3", "4")
-#: Rarest licence words of a file that are looked up.
-LOOKED_UP = 8
 #: Share of a template's licence words that must stand in place.
 COVER = 0.6
 
@@ -96,13 +95,15 @@ def _ranked(index: DataFrame) -> list[str]:
 
 
 def _coverage(notice: str, ranked: list[str]) -> Column:
-    """Share of the template's licence words in place, at the best of the beginnings that rare words point to."""
+    """Share of the template's licence words in place, at the best of the beginnings that its rare words point to.
+
+    A share of COVER leaves fewer words out of place than are looked up, so every beginning that reaches it is pointed to.
+    """
     own = _template_words(notice)
-    rank = F.array(*[F.lit(w) for w in ranked])
-    mine = F.array_sort(F.array_distinct(F.transform("postings", lambda x: F.array_position(rank, x["w"]))))
-    rare = F.transform(F.slice(mine, 1, LOOKED_UP), lambda r: F.element_at(rank, r.cast("int")))
-    hits = F.filter("postings", lambda x: F.array_contains(rare, x["w"]))
-    begins = F.flatten(F.transform(hits, lambda x: F.array_compact(F.array(*[F.when(x["w"] == w, x["p"] - t) for t, w in own]))))
+    needed = next(n for n in range(1, len(own) + 1) if n / len(own) >= COVER)
+    rare = sorted(own, key=lambda x: ranked.index(x[1]))[: len(own) - needed + 1]
+    hits = F.filter("postings", lambda x: x["w"].isin([w for _, w in rare]))
+    begins = F.flatten(F.transform(hits, lambda x: F.array_compact(F.array(*[F.when(x["w"] == w, x["p"] - t) for t, w in rare]))))
 
     def share(begin):
         return sum((F.coalesce(F.try_element_at(F.col("at"), begin + t) == w, F.lit(False)).cast("int") for t, w in own), F.lit(0)) / F.lit(float(len(own)))

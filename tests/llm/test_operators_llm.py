@@ -102,6 +102,17 @@ def test_license_scan(spark):
     assert got[8].first_word == 3000 and license_scan.scan(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_license_scan_of_many_notices(spark):
+    bsd, mit, mpl, gpl, rights = (next(n for label, n, _ in license_scan.TEMPLATES if label == x and len(n) > (40 if x == "mit" else 0)) for x in ("bsd", "mit", "mpl-2", "gpl-3", "all-rights-reserved"))
+    texts = [f"{mpl} x {bsd} y {gpl} z {rights}", f"{bsd} x {mit} y {rights}"] + [rights] * 5 + [gpl] * 3
+    got = {r.doc_id: r.labels for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert got[0] == "all-rights-reserved,bsd,gpl-3,mpl-2" and got[1] == "all-rights-reserved,bsd,mit"
+    # The words that are left are the common ones: a share of 0.6 must still be found.
+    texts = ["mozilla public license v 2 terms subject code"] + [gpl.replace("work", "thing").replace("licensed", "given")] + [gpl] * 4
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert got[0] == ("", 0.0) and got[1][0] == "gpl-3" and 0.6 <= got[1][1] < 1
+
+
 # ---------------------------------------------------------------- 3
 
 
