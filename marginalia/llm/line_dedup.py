@@ -1,14 +1,18 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines of at least MIN_CHARS characters are compared; shorter ones (headings,
-brackets, blank lines) always stay. Equal lines are one class, known by two
+Lines of at least MIN_CHARS characters are compared, and with a smaller
+``min_chars`` those shorter ones too that are not blank; other lines always
+stay. Equal lines are one class, known by two
 64-bit hashes, and only the first of them in order of (doc_id, line) stays.
 A class is also dropped when a line within EDITS character edits stands
 earlier. Two such lines have a segment in common when one of them is cut in
 EDITS + 1 segments: every class posts its own segments and, for each length it
 may be compared with, the substrings that can match a segment of that length
 (the multi-match-aware choice of starts). What meets is compared by letter
-counts first and then by a banded bit-parallel edit distance.
+counts first and then by a banded bit-parallel edit distance. Lines of at most
+EDITS characters have no EDITS + 1 segments: they are all within EDITS of each
+other, so only the first stays, and share a character with any longer line that
+is near, so those meet by characters.
 
 Texts never move: hashes meet, and only lines that met are read again.
 
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 from marginalia.session import checkpointed, release
 
 EDITS = 2
+#: Shortest line compared unless a caller asks for less.
 MIN_CHARS = 20
+BLANK = " \t\r\x0b\x0c"
 #: Letters whose counts are compared before lines are; each edit moves two of them by one at most.
 LETTERS = "eatnoirshd"
 #: Rows of (doc_id, line) that may be broadcast when lines are read again; beyond, they are shuffled.
@@ -34,10 +40,11 @@ BROADCAST_ROWS = 500_000
 GONE, TEXT = "__lines_gone__", "__text_kept__"
 
 
-def _lines(documents: DataFrame) -> DataFrame:
+def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, pos, line of the lines that are compared."""
     split = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return split.where(F.char_length("line") >= MIN_CHARS)
+    some = (F.char_length("line") >= min_chars) & (F.trim("line", F.lit(BLANK)) != "")
+    return split.where((F.char_length("line") >= MIN_CHARS) | some if min_chars < MIN_CHARS else F.char_length("line") >= min_chars)
 
 
 def _with_shares(lines: DataFrame, edits: int) -> DataFrame:
@@ -69,6 +76,17 @@ def _keys(line: str, edits: int) -> tuple[list[Column], list[Column]]:
     return own, probes
 
 
+def _characters(line: str) -> Column:
+    """Keys of a line's different characters."""
+    return F.transform(F.array_distinct(F.split(line, "")), lambda c: F.xxhash64(c, F.lit("character")))
+
+
+def _all_but_the_first(classes: DataFrame) -> DataFrame:
+    """h of all classes but the one that stands first."""
+    least = classes.agg(F.min("first").alias("least"))
+    return classes.join(F.broadcast(least), F.col("first") > F.col("least")).select("h")
+
+
 def _counts(line: str) -> Column:
     """Counts of LETTERS up to 63, six bits each."""
     packed = F.lit(0).cast("long")
@@ -139,19 +157,21 @@ def within(a: str, b: str, edits: int) -> Column:
     return F.when(off > edits, False).otherwise(far <= edits)
 
 
-def classes(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def classes(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, firsts, near): every compared line's class, each class's first place, and the classes that go."""
-    raw = _lines(documents).withColumns({"len": F.char_length("line"), "h": F.xxhash64("line"), "g": F.xxhash64("line", F.lit(1))})
+    raw = _lines(documents, min_chars).withColumns({"len": F.char_length("line"), "h": F.xxhash64("line"), "g": F.xxhash64("line", F.lit(1))})
     own, probes = _keys("line", edits)
     lines = raw.select("doc_id", "pos", "h", "g")
-    keys = F.struct(_counts("line").alias("counts"), F.array(*own).alias("own"), F.array(*probes).alias("probes"))
+    keys = F.struct("len", _counts("line").alias("counts"), F.array(*own).alias("own"), F.array(*probes).alias("probes"), F.when(F.col("len") <= 2 * edits, _characters("line")).alias("chars"))
     keyed = _with_shares(raw, edits).select("h", "g", F.struct("doc_id", "pos").alias("at"), keys.alias("keys"))
     firsts = keyed.groupBy("h", "g").agg(F.min("at").alias("first"), F.first("keys").alias("keys"))
     firsts = checkpointed(firsts.select("h", "g", "first", "keys.*"))
-    posted = firsts.select("h", "counts", F.explode("own").alias("key"))
+    tiny = F.col("len") <= edits
+    posted = firsts.select("h", "counts", F.explode(F.when(tiny, F.col("chars")).otherwise(F.col("own"))).alias("key"))
     probing = [F.col("h").alias("h2"), F.col("counts").alias("counts2")]
-    asking = firsts.select(*probing, F.explode("probes").alias("key"), F.lit(True).alias("other"))
-    asking = asking.unionByName(firsts.select(*probing, F.explode("own").alias("key"), F.lit(False).alias("other")))
+    others = F.when(F.col("chars").isNull(), F.col("probes")).otherwise(F.concat("probes", "chars"))
+    asking = firsts.where(~tiny).select(*probing, F.explode(others).alias("key"), F.lit(True).alias("other"))
+    asking = asking.unionByName(firsts.where(~tiny).select(*probing, F.explode("own").alias("key"), F.lit(False).alias("other")))
     order = (F.col("other") & (F.col("h") != F.col("h2"))) | (~F.col("other") & (F.col("h") < F.col("h2")))
     met = posted.join(asking, (posted.key == asking.key) & order & (_apart("counts", "counts2") <= 2 * edits))
     met = checkpointed(met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct())
@@ -172,12 +192,14 @@ def classes(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFr
     # Written here, or the filter below would be rewritten over these expressions many times.
     pairs = checkpointed(ends.select("a", "b", "fa", "fb", rest("la"), rest("lb")))
     near = pairs.where(within("la", "lb", edits)).select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
+    if min_chars <= edits:
+        near = near.unionByName(_all_but_the_first(firsts.where(tiny))).distinct()
     return lines, firsts.select("h", "g", "first"), checkpointed(near)
 
 
-def dropped(documents: DataFrame, edits: int = EDITS) -> DataFrame:
+def dropped(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, exact, near): positions of the lines that go, of documents that have any."""
-    lines, firsts, near = classes(documents, edits)
+    lines, firsts, near = classes(documents, edits, min_chars)
     known = firsts.join(near.withColumn("near", F.lit(True)), "h", "left")
     judged = lines.join(known, ["h", "g"])
     later = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.pos") != F.col("pos"))
@@ -186,11 +208,11 @@ def dropped(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.array_sort(exact).alias("exact"), F.array_sort(F.collect_list(F.when(~F.col("later"), F.col("pos")))).alias("near"))
 
 
-def report(documents: DataFrame, edits: int = EDITS) -> DataFrame:
+def report(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per document: its lines, those dropped as copies and as near copies, and their numbers from 0."""
     base = documents.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
-    joined = base.join(dropped(documents, edits), "doc_id", "left")
+    joined = base.join(dropped(documents, edits, min_chars), "doc_id", "left")
     exact, near = F.coalesce("exact", none), F.coalesce("near", none)
     return joined.select(
         "doc_id", "n_lines", F.size(exact).cast("long").alias("n_exact"), F.size(near).cast("long").alias("n_near"),
@@ -198,9 +220,9 @@ def report(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     )
 
 
-def remove_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
+def remove_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Documents without their dropped lines; those of which nothing is left go. Columns as given."""
-    gone = dropped(documents, edits).select("doc_id", F.concat("exact", "near").alias(GONE))
+    gone = dropped(documents, edits, min_chars).select("doc_id", F.concat("exact", "near").alias(GONE))
     joined = documents.join(gone, "doc_id", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(GONE, i)), "\n")
     text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(kept)

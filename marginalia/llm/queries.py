@@ -24,7 +24,7 @@ def model_path() -> str:
 
 
 def op1_line_dedup(spark, sf_dir):
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op2_license_scan(spark, sf_dir):

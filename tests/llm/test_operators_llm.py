@@ -87,6 +87,29 @@ def test_line_dedup_is_brute_force(spark):
     assert line_dedup.remove_lines(df).columns == df.columns
 
 
+def test_line_dedup_of_short_lines_is_brute_force(spark):
+    rng = random.Random(21)
+    texts = ["\n".join("".join(rng.choice("abcdé1") for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 6, 8, 11, 15)))) for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    texts += [None, "", " \t\n \t", "Of, edti oner.\nxyzzy", "Of, edti oner.", "Of, edti oners", "xyzzyx plugh"]
+    first = {}
+    for i, t in enumerate(texts):
+        for p, line in enumerate((t or "").split("\n")):
+            if line.strip():
+                first.setdefault(line, (i, p))
+    near = {b for b in first for a in first if a != b and first[a] < first[b] and distance(a, b) <= 2}
+    want = {i: ",".join(str(p) for p, line in enumerate((t or "").split("\n")) if line.strip() and (first[line] != (i, p) or line in near)) for i, t in enumerate(texts)}
+    df = docs_of(spark, texts)
+    assert {r.doc_id: r.dropped for r in line_dedup.report(df, min_chars=1).collect()} == want
+    assert want[64] == "0" and want[65] == "0"
+
+
+def test_op1_takes_short_lines(spark, tmp_path):
+    from marginalia.llm import queries
+
+    docs_of(spark, ["}\nOf, edti oner.", "Of, edti oner.\n\nqqqqqqqqq"]).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.dropped for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()} == {0: "", 1: "0"}
+
+
 # ---------------------------------------------------------------- 2
 
 
