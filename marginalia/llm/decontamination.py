@@ -4,8 +4,9 @@ Every task builds a positional inverted index of its own block of documents:
 for each benchmark term the sorted list of the token positions that hold it.
 A test phrase is looked up by intersecting offset-adjusted lists, beginning
 with its rarest term in the block; an exact occurrence survives every list.
-Proximity matches (all terms within a span) come from the same lists. The
-corpus is never shuffled: only the benchmark travels, in blocks of bounded size.
+Proximity matches (stretches of at most SPAN words of one document that hold
+every term of a window, in any order) come from the same lists and stand in
+columns of their own; an exact occurrence is one of them. The corpus is never shuffled: only the benchmark travels, in blocks of bounded size.
 
 Defined results: null and empty texts have no words and no hits; an item
 without words has no windows; repeated documents are each reported; repeated
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 from marginalia.llm.arrow_text import ALNUM_TABLE, chunks, text_view
 
 WINDOW = 10
+#: Words of a stretch at most that holds all terms of a window.
+SPAN = 2 * WINDOW
 #: Bytes of benchmark text that one pass over the corpus carries to the executors.
 BLOCK_BYTES = 16 << 20
-SCHEMA = "doc_id long, n_words long, hits array<struct<start:int,stop:int>>, item_ids array<long>"
+SCHEMA = "doc_id long, n_words long, hits array<struct<start:int,stop:int>>, item_ids array<long>, near_hits array<struct<start:int,stop:int>>, near_item_ids array<long>"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -94,6 +97,20 @@ class PositionalIndex:
             at = at[np.minimum(before, after) <= span]
         return at
 
+    def stretches(self, phrase: tuple[int, ...], span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, stops) of the stretches of at most ``span`` words that begin at a term and hold every term."""
+        begin = np.unique((self.near(phrase, span - 1)[:, None] - np.arange(span)).ravel())
+        begin = begin[begin >= 0]
+        begin = begin[np.isin(self.ids[begin], phrase)]
+        end = begin
+        for term in set(phrase):
+            other = self.postings(term)
+            k = np.searchsorted(other, begin)
+            inside = k < len(other)
+            begin, end = begin[inside], np.maximum(end[inside], other[k[inside]])
+        kept = end - begin < span
+        return begin[kept], end[kept] + 1
+
 
 def _tokenised(data: np.ndarray, offsets: np.ndarray, terms: dict[bytes, int], gap: int):
     """Term ids of a block's words with ``gap`` unknown words after each document; first words; word counts."""
@@ -109,22 +126,29 @@ def _tokenised(data: np.ndarray, offsets: np.ndarray, terms: dict[bytes, int], g
     return np.array(ids, np.int32), np.concatenate([[0], np.cumsum(counts + gap)]), counts
 
 
-def search_block(data: np.ndarray, offsets: np.ndarray, phrases: PhraseIndex):
-    """Per document: words, merged hit spans, and the items with occurring windows."""
-    ids, first, counts = _tokenised(data, offsets, phrases.terms, phrases.window)
+def search_block(data: np.ndarray, offsets: np.ndarray, phrases: PhraseIndex, span: int = SPAN):
+    """Per document: words, merged spans and items of exact windows, and the same of proximity matches."""
+    # Unknown words between documents, as many as a match may be long, so that none crosses.
+    ids, first, counts = _tokenised(data, offsets, phrases.terms, max(phrases.window, span))
     index = PositionalIndex(ids, len(phrases.terms))
     present = index.count > 0
-    delta = np.zeros(len(ids) + 1, np.int32)
-    found: dict[int, set[int]] = {}
+    deltas = np.zeros((2, len(ids) + 1), np.int32)
+    found: tuple[dict[int, set[int]], dict[int, set[int]]] = ({}, {})
     for phrase, owners in zip(phrases.phrases, phrases.owners):
         if not all(present[t] for t in phrase):
             continue
         at = index.phrase(phrase)
-        if len(at):
-            np.add.at(delta, at, 1)
-            np.add.at(delta, at + len(phrase), -1)
-            for d in np.unique(np.searchsorted(first, at, side="right") - 1):
-                found.setdefault(int(d), set()).update(owners)
+        for delta, items, (start, stop) in zip(deltas, found, ((at, at + len(phrase)), index.stretches(phrase, span))):
+            if len(start):
+                np.add.at(delta, start, 1)
+                np.add.at(delta, stop, -1)
+                for d in np.unique(np.searchsorted(first, start, side="right") - 1):
+                    items.setdefault(int(d), set()).update(owners)
+    return counts, _merged(deltas[0], first), found[0], _merged(deltas[1], first), found[1]
+
+
+def _merged(delta: np.ndarray, first: np.ndarray) -> dict[int, list[dict]]:
+    """Each document's covered stretches, from the steps up and down at their ends."""
     hit = np.cumsum(delta[:-1]) > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
     starts, stops = edge[::2], edge[1::2]
@@ -132,7 +156,7 @@ def search_block(data: np.ndarray, offsets: np.ndarray, phrases: PhraseIndex):
     spans: dict[int, list[dict]] = {}
     for d, a, b in zip(doc, starts - first[doc], stops - first[doc]):
         spans.setdefault(int(d), []).append({"start": int(a), "stop": int(b)})
-    return counts, spans, found
+    return spans
 
 
 def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -149,8 +173,8 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: n_words, merged hit spans in words, and the contaminating item_ids.
+def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int = SPAN) -> DataFrame:
+    """Per document: n_words, merged hit spans in words, the contaminating item_ids, and near_hits and near_item_ids of proximity matches.
 
     One pass over ``documents`` for each BLOCK_BYTES of benchmark text; several
     passes are merged by document and row.
@@ -160,35 +184,31 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     parts = []
     for block in _item_blocks(benchmark):
         phrases = spark.sparkContext.broadcast(PhraseIndex(block, window))
-        parts.append(docs.mapInArrow(_searcher(phrases), SCHEMA))
+        parts.append(docs.mapInArrow(_searcher(phrases, span), SCHEMA))
     if not parts:
-        parts.append(docs.mapInArrow(_searcher(spark.sparkContext.broadcast(PhraseIndex([], window))), SCHEMA))
+        parts.append(docs.mapInArrow(_searcher(spark.sparkContext.broadcast(PhraseIndex([], window)), span), SCHEMA))
     if len(parts) == 1:
         return parts[0]
     # Several blocks: copies of a doc_id have the same text or are told apart by their word count.
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
-    return merged.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+    return merged.groupBy("doc_id", "n_words").agg(*[f(F.flatten(F.collect_list(p + c))).alias(p + c) for p in ("", "near_") for f, c in ((F.array_sort, "hits"), (F.array_distinct, "item_ids"))])
 
 
-def _searcher(shared):
+def _searcher(shared, span):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
         for batch in batches:
             data, offsets = text_view(batch.column(1))
             for lo, hi in chunks(offsets, 4 << 20):
-                counts, spans, found = search_block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], phrases)
+                counts, *found = search_block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], phrases, span)
                 n = hi - lo
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, n),
-                        pa.array(counts),
-                        pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                        pa.array([sorted(x for x in found.get(d, ()) if x is not None) for d in range(n)], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_words", "hits", "item_ids"],
-                )
+                columns = [batch.column(0).slice(lo, n), pa.array(counts)]
+                for spans, items in (found[:2], found[2:]):
+                    columns.append(pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))))
+                    columns.append(pa.array([sorted(x for x in items.get(d, ()) if x is not None) for d in range(n)], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "hits", "item_ids", "near_hits", "near_item_ids"])
 
     return search
 
@@ -207,7 +227,7 @@ def _covered(hits):
 
 
 def report(overlaps: DataFrame) -> DataFrame:
-    """The digest columns of ``find_overlaps``."""
+    """The digest columns of ``find_overlaps``, of exact windows."""
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
     hit = _covered(F.col("hits"))
     return overlaps.select(

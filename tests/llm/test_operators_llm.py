@@ -202,6 +202,32 @@ def test_decontamination_is_brute_force(spark, monkeypatch):
     assert kept == {d for d, x in want.items() if not x[4]}
 
 
+def test_proximity_matches_are_brute_force(spark):
+    rng = random.Random(22)
+    items = [words(rng, n, 40) for n in (24, 12, 4, 10)]
+    own = items[0].split()
+    texts = [" ".join(x for k in range(0, 24, 6) for x in (*own[k : k + 6], "new")), " ".join(reversed(items[1].split())), items[3][: len(items[3]) // 2], items[3][len(items[3]) // 2 :], None, ""]
+    texts += [words(rng, 120, 40) for _ in range(6)] + [f"{words(rng, 9, 40)} {items[2]} x {items[2]}"]
+    want = {}
+    for d, t in enumerate(texts):
+        w, hit, found = (t or "").split(), set(), set()
+        for i, item in enumerate(items):
+            x = item.split()
+            for k in range(len(x) - min(10, len(x)) + 1):
+                terms = set(x[k : k + 10])
+                for a in range(len(w)):
+                    if w[a] in terms:
+                        end = next((b for b in range(a + 1, min(a + 20, len(w)) + 1) if terms <= set(w[a:b])), None)
+                        if end:
+                            hit |= set(range(a, end))
+                            found.add(i)
+        want[d] = (hit, sorted(found))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontamination.find_overlaps(docs_of(spark, texts).coalesce(1), bench).collect()
+    assert {r.doc_id: ({p for h in r.near_hits for p in range(h.start, h.stop)}, r.near_item_ids) for r in got} == want
+    assert got[0].item_ids == [] and got[0].near_item_ids == [0] and want[1][1] == [1]
+
+
 def test_proximity():
     ids = np.array([0, 9, 1, 9, 9, 9, 2, 0, 1, 2], np.int32)
     index = decontamination.PositionalIndex(ids, 10)
