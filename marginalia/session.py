@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,34 +26,73 @@ def local_session(cpus: int = 8, partitions: int = 8, app: str = "marginalia") -
     return spark
 
 
+#: Set while a result is written: shuffle files of the run go when it ends, on every executor.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one under the warehouse where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one under the warehouse where that is unset.
+
+    A folder of one machine serves local sessions only; on a cluster without a
+    shared folder nothing is written and the caller is told.
+    """
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if not held.isEmpty():
         return held.get()
-    own = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    own = sc.getConf().get("spark.checkpoint.dir", None)
+    if own is None:
+        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if own.startswith(("file:", "/")) and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+@contextlib.contextmanager
+def _without_shuffle_files(spark: SparkSession):
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage through a reliable checkpoint in ``shared_dir``."""
+    """``df`` cut from its lineage through a reliable checkpoint in ``shared_dir``; its shuffle files go once it is written."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _without_shuffle_files(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # the setting holds for plans made under it
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to ``shared_dir`` and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _without_shuffle_files(spark):
+        df.select("*").write.parquet(path)
     return spark.read.parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Delete what ``checkpointed`` and ``stored`` wrote for these results; nothing may read them any more."""
+    for df in frames:
+        plan, spark = df._jdf.queryExecution().logical(), df.sparkSession
+        if plan.getClass().getSimpleName() == "LogicalRDD":
+            held = plan.rdd().getCheckpointFile()
+            paths = [] if held.isEmpty() else [held.get()]
+        else:
+            paths = sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
+            paths = [x for x in paths if "/tables/" in x]
+        for path in paths:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
-    """Let the JVM find shuffles and checkpoints that nothing refers to any more, so that their files go before the next large step."""
-    for _ in range(2):  # what the first finds may hold what the second does
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    """Let the JVM find shuffles and broadcasts that nothing refers to any more, so that their files go before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
