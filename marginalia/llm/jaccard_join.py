@@ -16,27 +16,36 @@ beyond a bound are verified in pairs of bounded blocks.
 
 Defined results: null and empty texts have no shingles and link with nothing;
 fewer than ``n`` words are one shingle; equal sets link; repeated rows belong
-to one component; an empty table gives an empty result; extra columns are ignored.
+to one component, and several texts with one doc_id are judged each by itself;
+a null doc_id comes after all others; an empty table gives an empty result;
+extra columns are ignored.
 Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.arrow_text import SPACE_TABLE, U, chunks, mix, powers, prefix_hash, span_hash, text_view, words
 from marginalia.llm.graph import components
-from marginalia.session import checkpointed, release
+from marginalia.session import checkpointed, dropped
 
 #: Features (64-bit hashes) of a family, or of a block of one, that a task holds at most.
 BLOCK_FEATURES = 4_000_000
 #: Nodes of a bucket that are compared by sketches at once; a larger bucket becomes one family.
 BUCKET_NODES = 4_096
+#: Parts of the signature space that are shuffled one after the other, so that a fixed share of it is on disk.
+TURNS = 3
+#: Signatures that a task holds before it sends them on, and sets among these that may share one.
+BLOCK_SIGNATURES = 1_000_000
+HOT_NODES = 256
 _K = [U(k) for k in (0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7)]
 
 
@@ -79,8 +88,8 @@ def _wrapped(x: int) -> np.uint64:
     return U(x & 0xFFFFFFFFFFFFFFFF)
 
 
-def signatures(features: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarray:
-    """The set's signatures in its own band's scheme and the next one's.
+def signatures(features: np.ndarray, ends: np.ndarray, percent: int, turn: int = 0, turns: int = 1) -> np.ndarray:
+    """The set's signatures in its own band's scheme and the next one's, of every ``turns``-th first-level partition from ``turn`` on.
 
     A signature over no feature (or over one, where signatures hold more) is weak:
     unrelated sets share it. There are ``spare`` partitions more than needed, so similar sets agree in more
@@ -104,11 +113,13 @@ def signatures(features: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarr
         total = size.sum(1, keepdims=True)
         weak = total - size < fewest  # column q leaves out subpartition q
         keep = ~weak if weak.any(1).sum() <= spare else np.ones_like(weak)
-        tag = (np.arange(n1, dtype=np.uint64) * U(3)) * _K[1] + _wrapped(scheme * int(_K[2]))
-        for q, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
-            own = mix(mix(s[:, a] + U(1)) * _K[0] + s[:, b] * _K[3] + tag + _wrapped(q * int(_K[1])))
-            # 48 bits are enough for candidates and shuffle smaller; the last one tells the scheme.
-            out.append(own[keep[:, q]] >> U(16) & ~U(1) | U(scheme & 1))
+        s, keep = s[turn::turns], keep[turn::turns]
+        tag = (np.arange(turn, n1, turns, dtype=np.uint64) * U(3)) * _K[1] + _wrapped(scheme * int(_K[2]))
+        q = np.arange(3)
+        left, right = s[:, [1, 0, 0]], s[:, [2, 2, 1]]
+        own = mix(mix(left + U(1)) * _K[0] + right * _K[3] + tag[:, None] + q.astype(np.uint64) * _K[1])
+        # 48 bits are enough for candidates and shuffle smaller; the last one tells the scheme.
+        out.append(own[keep] >> U(16) & ~U(1) | U(scheme & 1))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -155,57 +166,80 @@ def sketch_size(scheme: int, ends: np.ndarray, percent: int) -> int:
 
 
 def set_nodes(documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, the node of its set and the set's sketch."""
+    """doc_id, t (the text's hash), n_shingles, the node of its set and the set's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = bands(percent)
         for batch in batches:
             sizes, nodes, sketches = [], [], []
-            for _, features in _sets(batch.column(1), n):
+            for _, features in _sets(batch.column(2), n):
                 sizes.append(len(features))
                 nodes.append(node_of(features))
                 sketches.append(sketch(features, ends, percent) if len(features) else [b"", b""])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array([x[k] for x in sketches], pa.binary()) for k in (0, 1))], names=["doc_id", "n_shingles", "node", "even", "odd"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array([x[k] for x in sketches], pa.binary()) for k in (0, 1))], names=["doc_id", "t", "n_shingles", "node", "even", "odd"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, even binary, odd binary")
+    return documents.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, n_shingles long, node long, even binary, odd binary")
 
 
-def _signature_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, node); a task tells of each set once, so hot copies become a row per task."""
+def _signature_rows(documents: DataFrame, n: int, percent: int, turn: int, turns: int) -> DataFrame:
+    """(sig, node, star): the signatures of one turn; a task tells of each set once, so hot copies become a row per task.
+
+    Where more than HOT_NODES sets of a task's block share a signature, they
+    become one family there: each comes once with ``star``, its family's smallest
+    node, and that node alone stands for them under the signature.
+    """
 
     def run(batches):
         ends, seen = bands(percent), set()
         out, nodes, held = [], [], 0
 
         def flush():
-            sig = np.concatenate(out) if out else np.zeros(0, np.uint64)
+            sig = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
             node = np.repeat(np.array(nodes, np.int64), [len(x) for x in out]) if out else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node)], names=["sig", "node"])
+            order = np.lexsort((node, sig)) if len(nodes) > HOT_NODES else np.zeros(0, np.int64)
+            star = np.zeros(len(sig), np.int64)
+            own = np.zeros(len(sig), bool)
+            if len(order):
+                ordered = sig[order]
+                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+                size = np.diff(np.append(first, len(sig)))
+                low = np.repeat(node[order[first]], size)
+                hot = np.repeat(size > HOT_NODES, size) & (node[order] != low)
+                star[order[hot]], own[order[hot]] = low[hot], True
+                # Of many signatures that give a node the same family one is enough.
+                told = np.flatnonzero(own)
+                _, at = np.unique(np.stack([node[told], star[told]]), axis=1, return_index=True) if len(told) else (0, told)
+                gone = np.ones(len(told), bool)
+                gone[at] = False
+                stay = np.ones(len(sig), bool)
+                stay[told[gone]] = False
+                sig, node, star, own = sig[stay], node[stay], star[stay], own[stay]
+            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(star, mask=~own)], names=["sig", "node", "star"])
 
         for batch in batches:
             for _, features in _sets(batch.column(0), n):
                 if not len(features) or (node := node_of(features)) in seen:
                     continue
                 seen.add(node)
-                own = signatures(features, ends, percent)
+                own = signatures(features, ends, percent, turn, turns)
                 out.append(own)
                 nodes.append(node)
                 held += len(own)
-                if held > 200_000:
+                if held > BLOCK_SIGNATURES:
                     yield flush()
                     out, nodes, held = [], [], 0
         yield flush()
 
-    return documents.select("text").mapInArrow(run, "sig long, node long")
+    return documents.select("text").mapInArrow(run, "sig long, node long, star long")
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, node, parity of the scheme) of the different groups of two nodes or more that share a signature."""
+    """(bucket, node, parity of the scheme, star) of the different groups of two nodes or more that share a signature, and of the stars made before."""
 
     def run(batches):
         seen: set[int] = set()
         out, held = [], 0
-        sig = node = np.zeros(0, np.int64)
+        pending: list[tuple[np.ndarray, np.ndarray]] = []  # the group that may go on
 
         def told(sig, node):
             """Rows of complete groups; a group's name is the hash of its nodes."""
@@ -229,29 +263,39 @@ def _buckets(rows: DataFrame) -> DataFrame:
 
         def batch_of(out):
             b, n, s = (np.concatenate([o[k] for o in out]) for k in range(3))
-            return pa.RecordBatch.from_arrays([pa.array(b), pa.array(n), pa.array(s.astype(np.int8))], names=["bucket", "node", "parity"])
+            return pa.RecordBatch.from_arrays([pa.array(b), pa.array(n), pa.array(s.astype(np.int8)), pa.nulls(len(b)).cast(pa.int64())], names=names)
+
+        def whole():
+            return tuple(np.concatenate([x[k] for x in pending]) for k in range(2))
 
         for batch in batches:
-            sig = np.concatenate([sig, np.asarray(batch.column(0))])
-            node = np.concatenate([node, np.asarray(batch.column(1))])
-            if not len(sig):
+            made = pc.is_valid(batch.column(2))
+            stars = batch.filter(made)
+            if stars.num_rows:
+                nothing = pa.nulls(stars.num_rows)
+                yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), stars.column(1), nothing.cast(pa.int8()), stars.column(2)], names=names)
+                batch = batch.filter(pc.invert(made))
+            if not batch.num_rows:
+                continue
+            sig, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cut = int(np.searchsorted(sig, sig[-1])) if not pending or sig[0] != sig[-1] or pending[0][0][0] != sig[0] else -1
+            if cut < 0:  # all of the batch goes on with the group
+                pending.append((sig, node))
                 continue
-            cut = int(np.searchsorted(sig, sig[-1]))  # the last group may go on
-            if cut:
-                out.append(told(sig[:cut], node[:cut]))
-                held += len(out[-1][0])
-                sig, node = sig[cut:], node[cut:]
+            pending.append((sig[:cut], node[:cut]))
+            out.append(told(*whole()))
+            held += len(out[-1][0])
+            pending = [(sig[cut:], node[cut:])]
             if held > 100_000:
                 yield batch_of(out)
                 out, held = [], 0
-        if len(sig):
-            out.append(told(sig, node))
+        if pending:
+            out.append(told(*whole()))
         if out:
             yield batch_of(out)
 
-    dealt = rows.repartition("sig").sortWithinPartitions("sig", "node")
-    # A group met in two schemes is compared in one; all its nodes have met in the same ones.
-    return dealt.mapInArrow(run, "bucket long, node long, parity byte").groupBy("bucket", "node").agg(F.min("parity").alias("parity"))
+    names = ["bucket", "node", "parity", "star"]
+    return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "bucket long, node long, parity byte, star long")
 
 
 def bucket_links(sizes: np.ndarray, sketches: list[bytes], percent: int, parity: int) -> np.ndarray:
@@ -319,9 +363,9 @@ def _candidate_forest(buckets: DataFrame, nodes: DataFrame, percent: int) -> Dat
         if edges:
             yield _pair_batch(np.unique(np.array(edges, np.int64), axis=0))
 
-    # Only nodes of some bucket, and of each node one document's sketches, travel on.
-    first = nodes.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    known = nodes.join(first, ["node", "doc_id"]).select("node", "n_shingles", "even", "odd")
+    # Only nodes of some bucket, and of each node one sketch, travel on.
+    met = nodes.join(buckets.select("node").distinct(), "node", "left_semi")
+    known = met.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "even", "odd")])
     chosen = F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")).alias("sketch")
     rows = buckets.join(known, "node").select("bucket", "node", "n_shingles", chosen, "parity")
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").where("a <> b").distinct()
@@ -409,17 +453,39 @@ def _verified(sets: DataFrame, percent: int) -> DataFrame:
 
 def components_of(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links)."""
-    docs = documents.select("doc_id", "text")
+    return _linked(documents, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _place():
+    """The order of rows: by doc_id, those without one last, and by text hash."""
+    return F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")
+
+
+def _linked(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, t, n_shingles, component_id and whether the row is its component's first by (doc_id, t)."""
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("t"))
     nodes = checkpointed(set_nodes(docs, n, percent))
-    buckets = checkpointed(_buckets(_signature_rows(docs, n, percent)))
-    release(documents.sparkSession)  # the signatures' shuffle
-    families = components(_candidate_forest(buckets, nodes, percent))
-    nodes = nodes.select("doc_id", "n_shingles", "node")
-    reps = nodes.where("n_shingles > 0").join(families, "node").groupBy("node", "n_shingles", "root").agg(F.min("doc_id").alias("doc_id"))
-    weight = reps.groupBy("root").agg(F.sum("n_shingles").alias("weight"))
-    blocks = F.ceil(F.col("weight") / BLOCK_FEATURES).cast("int")
-    reps = checkpointed(reps.join(weight, "root").select("doc_id", "root", blocks.alias("nb")))
-    split = reps.agg(F.coalesce(F.max("nb"), F.lit(0))).first()[0] > 1
+    turns = [checkpointed(_buckets(_signature_rows(docs, n, percent, k, TURNS))) for k in range(TURNS)]
+    found = reduce(DataFrame.unionByName, turns)
+    # A group met in two schemes is compared in one; all its nodes have met in the same ones.
+    buckets = checkpointed(found.where("star IS NULL").groupBy("bucket", "node").agg(F.min("parity").alias("parity")))
+    stars = found.where("star IS NOT NULL").select(F.col("node").alias("a"), F.col("star").alias("b"))
+    forest = checkpointed(_candidate_forest(buckets, nodes, percent).unionByName(stars.distinct()))
+    dropped(buckets, *turns)
+    families = components(forest)
+    dropped(forest)
+    whole = nodes
+    nodes = checkpointed(nodes.select("doc_id", "t", "n_shingles", "node"))
+    dropped(whole)
+    reps = nodes.where("n_shingles > 0").join(families, "node").groupBy("node", "n_shingles", "root").agg(F.min(_place()).alias("at"))
+    reps = checkpointed(reps.select("at.doc_id", "at.t", "root", "n_shingles"))
+    dropped(families)
+    # Only families beyond a block are named again, so no join brings a family together.
+    weight = reps.groupBy("root").agg(F.sum("n_shingles").alias("weight")).where(F.col("weight") > BLOCK_FEATURES)
+    large = checkpointed(weight.select("root", F.ceil(F.col("weight") / BLOCK_FEATURES).cast("int").alias("nb")))
+    split = not large.isEmpty()
+    reps = reps.drop("n_shingles")
+    reps = reps.join(large, "root", "left").select("doc_id", "t", "root", F.coalesce("nb", F.lit(1)).alias("nb")) if split else reps.withColumn("nb", F.lit(1))
 
     def load(batches):
         for batch in batches:
@@ -430,17 +496,25 @@ def components_of(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(node, pa.int64()), lists], names=["fam", "nb", "node", "features"])
 
-    wanted = prefiltered(docs, reps, "doc_id").join(reps, "doc_id").select("text", F.col("root").alias("fam"), "nb")
+    mine = prefiltered(docs, reps, "t").alias("d").join(reps.alias("r"), F.expr("d.doc_id <=> r.doc_id AND d.t = r.t"))
+    wanted = mine.select("text", F.col("root").alias("fam"), "nb")
     sets = wanted.mapInArrow(load, "fam long, nb int, node long, features array<long>")
     own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
     sets = sets.select("fam", "node", "features", F.explode(pairs).alias("p")).select("fam", "p.i", "p.j", "node", "features")
     links = checkpointed(_verified(sets, percent))
+    dropped(large)
     # One task's forest is stars on the smallest node already; forests of block pairs are joined.
     roots = components(links) if split else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    named = nodes.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    least = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = checkpointed(nodes.join(roots, "node", "left").select("doc_id", "t", "n_shingles", F.coalesce("root", "node").alias("root")))
+    dropped(nodes, links)
+    several = named.where("n_shingles > 0").groupBy("root").agg(F.count("*").alias("rows"), F.min(_place()).alias("least"))
+    # Written, so that a hot component's rows are split when they meet the one row here.
+    least = checkpointed(several.where("rows > 1").select("root", "least"))
+    judged = named.join(least, "root", "left")
+    alone = F.col("least").isNull() | (F.col("n_shingles") == 0)
+    first = alone | (F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.t") == F.col("t")))
+    return judged.select("doc_id", "t", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), first.alias("first"))
 
 
 def prefiltered(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 22) -> DataFrame:
@@ -467,8 +541,16 @@ def prefiltered(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 2
     return rows.withColumn("_slot", slot).mapInArrow(run, rows.schema)
 
 
+#: Columns added for a while; no table has columns of these names.
+TEXT_HASH, GONE_ID, GONE_HASH = "__text_hash__", "__gone_id__", "__gone_hash__"
+
+
 def keep_first(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component (the smallest doc_id); documents without shingles all stay."""
-    found = components_of(documents, n, percent)
-    drop = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return documents.join(drop, "doc_id", "left_anti")
+    """One document of each component (the first by doc_id and text hash); documents without shingles all stay.
+
+    Rows are told apart by doc_id and text, so of several texts with one doc_id
+    each is judged by itself; rows that repeat both stand or fall together.
+    """
+    gone = _linked(documents, n, percent).where("NOT first").select(F.col("doc_id").alias(GONE_ID), F.col("t").alias(GONE_HASH)).distinct()
+    rows = documents.withColumn(TEXT_HASH, F.xxhash64("text"))
+    return rows.join(checkpointed(gone), F.expr(f"doc_id <=> {GONE_ID} AND {TEXT_HASH} = {GONE_HASH}"), "left_anti").drop(TEXT_HASH)

@@ -323,6 +323,41 @@ def test_jaccard_join_keeps_one_of_each(spark):
     assert jaccard_join.components_of(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_tells_rows_apart(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b + " x"), (2, b), (None, a), (7, "c d e f g h"), (7, "c d e f g h i")]
+    df = spark.createDataFrame(rows, DOC).withColumns(odd())
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_first(df).collect()), key=str)
+    # The unique text of doc_id 2 stays with its repeated row; (7, ...) are told apart and not similar enough.
+    assert kept == sorted([(1, a), (2, b), (2, b), (7, "c d e f g h"), (7, "c d e f g h i")], key=str)
+    got = [(r.doc_id, r.component_id) for r in jaccard_join.components_of(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (2, 1), (2, 2), (3, 2), (2, 2), (None, 1), (7, 7), (7, 7)], key=str)
+
+
+@pytest.mark.parametrize("bound", [2, 256])
+def test_hot_signatures_become_families(spark, monkeypatch, bound):
+    monkeypatch.setattr(jaccard_join, "HOT_NODES", bound)
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(900)}" for _ in range(60)]
+    texts = []
+    for _ in range(60):  # one large group of near copies, all different
+        own = list(base)
+        own[rng.randrange(60)] = f"v{rng.randrange(10_000)}"
+        texts.append(" ".join(own))
+    texts += near_copies(rng, 30)
+    got = jaccard_join.components_of(docs_of(spark, texts).coalesce(1), n=4, percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 4, 85)
+
+
+def test_signatures_of_all_turns_are_the_whole():
+    rng = np.random.default_rng(4)
+    ends = jaccard_join.bands(80)
+    for size in (3, 40, 700):
+        a = np.unique(rng.integers(0, 1 << 60, size).astype(np.uint64))
+        parts = [jaccard_join.signatures(a, ends, 80, k, 3).tolist() for k in range(3)]
+        assert sorted(sum(parts, [])) == sorted(jaccard_join.signatures(a, ends, 80).tolist())
+
+
 def test_signatures_and_sketches_lose_no_link():
     rng = np.random.default_rng(2)
     ends = jaccard_join.bands(85)
