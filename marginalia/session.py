@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import gc
 import uuid
 
@@ -26,10 +25,6 @@ def local_session(cpus: int = 8, partitions: int = 8, app: str = "marginalia") -
     return spark
 
 
-#: Set while a result is written: shuffle files of the run go when it ends, on every executor.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one under the warehouse where that is unset.
 
@@ -49,31 +44,30 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-@contextlib.contextmanager
-def _without_shuffle_files(spark: SparkSession):
-    before = spark.conf.get(_CLEANUP, None)
-    if before is not None:
-        spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP, before)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage through a reliable checkpoint in ``shared_dir``; its shuffle files go once it is written."""
     shared_dir(df.sparkSession)
-    with _without_shuffle_files(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)  # the setting holds for plans made under it
+    df = df.select("*")  # a plan of its own, whose shuffles nothing else reads
+    out = df.checkpoint(eager=True)
+    _without_shuffle_files(df)
+    return out
+
+
+def _without_shuffle_files(df: DataFrame) -> None:
+    """Delete the shuffle files of a plan that has run and will not run again, on every executor."""
+    plan, cleaner = df._jdf.queryExecution().executedPlan(), df.sparkSession.sparkContext._jsc.sc().cleaner()
+    if plan.getClass().getSimpleName() != "AdaptiveSparkPlanExec" or cleaner.isEmpty():
+        return  # they go when the JVM finds that nothing refers to them
+    ids = plan.context().shuffleIds().keySet().iterator()
+    while ids.hasNext():
+        cleaner.get().doCleanupShuffle(ids.next(), True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to ``shared_dir`` and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    with _without_shuffle_files(spark):
-        df.select("*").write.parquet(path)
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 
