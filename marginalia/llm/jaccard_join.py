@@ -42,7 +42,7 @@ BLOCK_FEATURES = 4_000_000
 #: Nodes of a bucket that are compared by sketches at once; a larger bucket becomes one family.
 BUCKET_NODES = 4_096
 #: Parts of the signature space that are shuffled one after the other, so that a fixed share of it is on disk.
-TURNS = 3
+TURNS = 2
 #: Signatures that a task holds before it sends them on, and sets among these that may share one.
 BLOCK_SIGNATURES = 1_000_000
 HOT_NODES = 256
@@ -78,52 +78,63 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return mix(code), bounds
 
 
-def node_of(features: np.ndarray) -> int:
-    """A set's 64-bit identity, signed."""
-    total = int(mix(features ^ _K[3]).sum(dtype=np.uint64))
-    return int(mix(np.array([_wrapped(total + len(features) * int(_K[0]))]))[0].astype(np.int64))
+def nodes_of(features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The 64-bit identity of each set, signed."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(features ^ _K[3]), dtype=np.uint64)])
+    return mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * _K[0]).view(np.int64)
 
 
-def _wrapped(x: int) -> np.uint64:
-    return U(x & 0xFFFFFFFFFFFFFFFF)
+def node_of(features: np.ndarray) -> int:
+    return int(nodes_of(features, np.array([0, len(features)]))[0])
 
 
-def signatures(features: np.ndarray, ends: np.ndarray, percent: int, turn: int = 0, turns: int = 1) -> np.ndarray:
-    """The set's signatures in its own band's scheme and the next one's, of every ``turns``-th first-level partition from ``turn`` on.
+def signatures_of(features: np.ndarray, bounds: np.ndarray, ends: np.ndarray, percent: int, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, number of its set) in the set's own band's scheme and the next one's, of every ``turns``-th first-level partition from ``turn`` on.
 
     A signature over no feature (or over one, where signatures hold more) is weak:
     unrelated sets share it. There are ``spare`` partitions more than needed, so similar sets agree in more
     than ``spare`` of them; a set with at most ``spare`` partitions that have a
     weak signature leaves the weak ones out and still meets every similar set.
     """
-    out = []
-    band = int(np.searchsorted(ends, len(features)))
+    sizes = np.diff(bounds)
+    of = np.repeat(np.arange(len(sizes)), sizes)
     spread = mix(features * _K[1] + _K[2])
+    band, out = np.searchsorted(ends, sizes), []
     for scheme in (band, band + 1):
-        # Symmetric difference of similar sets of at most ends[scheme] features each.
-        k = 2 * (100 - percent) * int(ends[scheme]) // (100 + percent)
-        if k == 0:
-            continue  # only equal sets are similar, and these are one node
+        # Symmetric difference of similar sets of at most ends[scheme] features each; if 0, only equal sets are similar, and these are one node.
+        k = 2 * (100 - percent) * ends[scheme] // (100 + percent)
         fewest, spare = weakness(k // 2 + 1, percent)
-        n1 = k // 2 + 1 + spare
-        part = (mix(features + _wrapped((scheme + 1) * int(_K[0]))) % U(3 * n1)).astype(np.int64)
-        sums = np.zeros(3 * n1, np.uint64)
-        np.add.at(sums, part, spread)
-        s, size = sums.reshape(n1, 3), np.bincount(part, minlength=3 * n1).reshape(n1, 3)
-        total = size.sum(1, keepdims=True)
-        weak = total - size < fewest  # column q leaves out subpartition q
-        keep = ~weak if weak.any(1).sum() <= spare else np.ones_like(weak)
-        s, keep = s[turn::turns], keep[turn::turns]
-        tag = (np.arange(turn, n1, turns, dtype=np.uint64) * U(3)) * _K[1] + _wrapped(scheme * int(_K[2]))
-        q = np.arange(3)
+        n1 = np.where((k > 0) & (sizes > 0), k // 2 + 1 + spare, 0)
+        row = np.concatenate([[0], np.cumsum(n1)])
+        some = n1[of] > 0
+        mine, own_features = of[some], features[some]
+        salt = (scheme.astype(np.uint64) + U(1)) * _K[0]
+        cell = 3 * row[mine] + (mix(own_features + salt[mine]) % (3 * n1[mine]).astype(np.uint64)).astype(np.int64)
+        sums = np.zeros(3 * row[-1], np.uint64)
+        np.add.at(sums, cell, spread[some])
+        s, size = sums.reshape(-1, 3), np.bincount(cell, minlength=len(sums)).reshape(-1, 3)
+        weak = size.sum(1, keepdims=True) - size < fewest  # column q leaves out subpartition q
+        owner = np.repeat(np.arange(len(n1)), n1)
+        leave = np.bincount(owner[weak.any(1)], minlength=len(n1)) <= spare
+        keep = ~(weak & leave[owner][:, None])
+        j = np.arange(row[-1]) - row[:-1][owner]
+        now = j % turns == turn
+        s, keep, owner, j = s[now], keep[now], owner[now], j[now]
+        tag = j.astype(np.uint64) * U(3) * _K[1] + scheme[owner].astype(np.uint64) * _K[2]
         left, right = s[:, [1, 0, 0]], s[:, [2, 2, 1]]
-        own = mix(mix(left + U(1)) * _K[0] + right * _K[3] + tag[:, None] + q.astype(np.uint64) * _K[1])
+        own = mix(mix(left + U(1)) * _K[0] + right * _K[3] + tag[:, None] + np.arange(3, dtype=np.uint64) * _K[1])
         # 48 bits are enough for candidates and shuffle smaller; the last one tells the scheme.
-        out.append(own[keep] >> U(16) & ~U(1) | U(scheme & 1))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        own = own >> U(16) & ~U(1) | (scheme[owner] & 1).astype(np.uint64)[:, None]
+        out.append((own[keep], np.repeat(owner, keep.sum(1))))
+    return tuple(np.concatenate([x[i] for x in out]) for i in (0, 1))
+
+
+def signatures(features: np.ndarray, ends: np.ndarray, percent: int, turn: int = 0, turns: int = 1) -> np.ndarray:
+    """One set's signatures."""
+    return signatures_of(features, np.array([0, len(features)]), ends, percent, turn, turns)[0]
 
 
-def weakness(n1: int, percent: int) -> tuple[int, int]:
+def weakness(n1: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     """(features below which a signature is weak, partitions added so that weak ones can be left out).
 
     A signature of the smallest sets of a scheme holds about 2/3 p**2 (1 + p) / (1 - p)
@@ -136,33 +147,49 @@ def weakness(n1: int, percent: int) -> tuple[int, int]:
 
 
 def _sets(batch_column, n: int):
-    """(document, distinct shingle hashes) of each document of a column."""
+    """(first document, distinct shingle hashes of some documents in a row, bounds of each one's) over a column."""
     data, offsets = text_view(batch_column)
     for lo, hi in chunks(offsets, 1 << 20):
         code, bounds = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
+        new = np.ones(len(code), bool)
         for d in range(hi - lo):
-            yield lo + d, np.unique(code[bounds[d] : bounds[d + 1]])
+            code[bounds[d] : bounds[d + 1]].sort()
+        new[1:] = code[1:] != code[:-1]
+        new[bounds[:-1][np.diff(bounds) > 0]] = True
+        yield lo, code[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
-def sketch(features: np.ndarray, ends: np.ndarray, percent: int) -> list[bytes]:
-    """A byte for each of about 1.5 k parts of the feature domain, in the set's scheme of even number and in its odd one.
+def sketches_of(features: np.ndarray, bounds: np.ndarray, ends: np.ndarray, percent: int) -> list[list[bytes]]:
+    """Of each set a byte for each of about 1.5 k parts of the feature domain, in its scheme of even number and in its odd one.
 
     Parts with different bytes hold different features, so there are no more of
     them than features in the symmetric difference: too many prove that two sets
     are not similar.
     """
-    out, band = [b"", b""], int(np.searchsorted(ends, len(features)))
+    sizes = np.diff(bounds)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    out, band = [[b""] * len(sizes), [b""] * len(sizes)], np.searchsorted(ends, sizes)
     for scheme in (band, band + 1):
-        m = sketch_size(scheme, ends, percent)
-        part = (mix(features ^ _wrapped((scheme + 77) * int(_K[1]))) % U(max(m, 1))).astype(np.int64)
-        sums = np.zeros(max(m, 1), np.uint64)
-        np.add.at(sums, part, features)
-        out[scheme & 1] = (mix(sums) >> U(56)).astype(np.uint8)[:m].tobytes()
+        m = np.where(sizes > 0, sketch_size(scheme, ends, percent), 0)
+        first = np.concatenate([[0], np.cumsum(m)])
+        some = m[of] > 0
+        mine, own = of[some], features[some]
+        salt = (scheme.astype(np.uint64) + U(77)) * _K[1]
+        sums = np.zeros(first[-1], np.uint64)
+        np.add.at(sums, first[mine] + (mix(own ^ salt[mine]) % m[mine].astype(np.uint64)).astype(np.int64), own)
+        told = (mix(sums) >> U(56)).astype(np.uint8).tobytes()
+        for d, odd in enumerate((scheme & 1).tolist()):
+            out[odd][d] = told[first[d] : first[d + 1]]
     return out
 
 
-def sketch_size(scheme: int, ends: np.ndarray, percent: int) -> int:
-    return 3 * (100 - percent) * int(ends[scheme]) // (100 + percent)
+def sketch(features: np.ndarray, ends: np.ndarray, percent: int) -> list[bytes]:
+    """One set's sketches."""
+    return [x[0] for x in sketches_of(features, np.array([0, len(features)]), ends, percent)]
+
+
+def sketch_size(scheme, ends: np.ndarray, percent: int):
+    return 3 * (100 - percent) * ends[scheme] // (100 + percent)
 
 
 def set_nodes(documents: DataFrame, n: int, percent: int) -> DataFrame:
@@ -171,12 +198,10 @@ def set_nodes(documents: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = bands(percent)
         for batch in batches:
-            sizes, nodes, sketches = [], [], []
-            for _, features in _sets(batch.column(2), n):
-                sizes.append(len(features))
-                nodes.append(node_of(features))
-                sketches.append(sketch(features, ends, percent) if len(features) else [b"", b""])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array([x[k] for x in sketches], pa.binary()) for k in (0, 1))], names=["doc_id", "t", "n_shingles", "node", "even", "odd"])
+            for lo, features, bounds in _sets(batch.column(2), n):
+                count = len(bounds) - 1
+                own = [pa.array(np.diff(bounds)), pa.array(nodes_of(features, bounds)), *(pa.array(x, pa.binary()) for x in sketches_of(features, bounds, ends, percent))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, count), batch.column(1).slice(lo, count), *own], names=["doc_id", "t", "n_shingles", "node", "even", "odd"])
 
     return documents.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, n_shingles long, node long, even binary, odd binary")
 
@@ -191,43 +216,48 @@ def _signature_rows(documents: DataFrame, n: int, percent: int, turn: int, turns
 
     def run(batches):
         ends, seen = bands(percent), set()
-        out, nodes, held = [], [], 0
+        out, held = [], 0
 
         def flush():
-            sig = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-            node = np.repeat(np.array(nodes, np.int64), [len(x) for x in out]) if out else np.zeros(0, np.int64)
-            order = np.lexsort((node, sig)) if len(nodes) > HOT_NODES else np.zeros(0, np.int64)
+            sig, node = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
             star = np.zeros(len(sig), np.int64)
             own = np.zeros(len(sig), bool)
-            if len(order):
+            slot = (sig >> 1) & 0xFFFF  # only slots that are full enough can hold a hot signature
+            often = np.bincount(slot, minlength=1 << 16) > HOT_NODES
+            at = np.flatnonzero(often[slot]) if often.any() else np.zeros(0, np.int64)
+            if len(at):
+                order = at[np.lexsort((node[at], sig[at]))]
                 ordered = sig[order]
                 first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                size = np.diff(np.append(first, len(sig)))
+                size = np.diff(np.append(first, len(order)))
                 low = np.repeat(node[order[first]], size)
                 hot = np.repeat(size > HOT_NODES, size) & (node[order] != low)
                 star[order[hot]], own[order[hot]] = low[hot], True
                 # Of many signatures that give a node the same family one is enough.
                 told = np.flatnonzero(own)
-                _, at = np.unique(np.stack([node[told], star[told]]), axis=1, return_index=True) if len(told) else (0, told)
-                gone = np.ones(len(told), bool)
-                gone[at] = False
-                stay = np.ones(len(sig), bool)
-                stay[told[gone]] = False
+                stay = ~own
+                if len(told):
+                    stay[told[np.unique(np.stack([node[told], star[told]]), axis=1, return_index=True)[1]]] = True
                 sig, node, star, own = sig[stay], node[stay], star[stay], own[stay]
             return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(star, mask=~own)], names=["sig", "node", "star"])
 
         for batch in batches:
-            for _, features in _sets(batch.column(0), n):
-                if not len(features) or (node := node_of(features)) in seen:
-                    continue
-                seen.add(node)
-                own = signatures(features, ends, percent, turn, turns)
-                out.append(own)
-                nodes.append(node)
-                held += len(own)
+            for _, features, bounds in _sets(batch.column(0), n):
+                node = nodes_of(features, bounds)
+                new = np.diff(bounds) > 0
+                for d, key in enumerate(node.tolist()):
+                    if key in seen:
+                        new[d] = False
+                    elif new[d]:
+                        seen.add(key)
+                if not new.all():
+                    features, bounds = features[np.repeat(new, np.diff(bounds))], np.concatenate([[0], np.cumsum(np.diff(bounds)[new])])
+                sig, own = signatures_of(features, bounds, ends, percent, turn, turns)
+                out.append((sig.view(np.int64), node[new][own]))
+                held += len(sig)
                 if held > BLOCK_SIGNATURES:
                     yield flush()
-                    out, nodes, held = [], [], 0
+                    out, held = [], 0
         yield flush()
 
     return documents.select("text").mapInArrow(run, "sig long, node long, star long")
@@ -489,12 +519,10 @@ def _linked(documents: DataFrame, n: int, percent: int) -> DataFrame:
 
     def load(batches):
         for batch in batches:
-            node, sets = [], []
-            for _, features in _sets(batch.column(0), n):
-                node.append(node_of(features))
-                sets.append(features.view(np.int64))
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(node, pa.int64()), lists], names=["fam", "nb", "node", "features"])
+            for lo, features, bounds in _sets(batch.column(0), n):
+                count = len(bounds) - 1
+                lists = pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(features.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, count), batch.column(2).slice(lo, count), pa.array(nodes_of(features, bounds)), lists], names=["fam", "nb", "node", "features"])
 
     mine = prefiltered(docs, reps, "t").alias("d").join(reps.alias("r"), F.expr("d.doc_id <=> r.doc_id AND d.t = r.t"))
     wanted = mine.select("text", F.col("root").alias("fam"), "nb")
