@@ -3,46 +3,60 @@
 Lines of at least MIN_CHARS characters are compared, and with a smaller
 ``min_chars`` those shorter ones too that are not blank; other lines always
 stay. Equal lines are one class, known by two
-64-bit hashes, and only the first of them in order of (doc_id, line) stays.
+64-bit hashes, and only the first of them in order of (doc_id, text, line) stays.
 A class is also dropped when a line within EDITS character edits stands
 earlier. Two such lines have a segment in common when one of them is cut in
 EDITS + 1 segments: every class posts its own segments and, for each length it
 may be compared with, the substrings that can match a segment of that length
-(the multi-match-aware choice of starts). What meets is compared by letter
-counts first and then by a banded bit-parallel edit distance. Lines of at most
-EDITS characters have no EDITS + 1 segments: they are all within EDITS of each
-other, so only the first stays, and share a character with any longer line that
-is near, so those meet by characters.
-
-Texts never move: hashes meet, and only lines that met are read again.
-
-Defined results: null and empty texts have no lines worth comparing; repeated
-rows share a doc_id and are one document, each row reported; ties go to the
-smaller line number; an empty table gives an empty result; extra columns stay.
+(the multi-match-aware choice of starts). What meets is compared by counts of
+letters and digits first and then by a banded bit-parallel edit distance.
+
+A segment that more than HOT_LINES classes post is hot (all lines of one
+template share some): its lines are not paired. What is left of them without
+the segment is within EDITS edits again, so it is cut into EDITS + 1 segments
+anew, at places that share out what varies in the bucket, and so on until no
+bucket is hot or EDITS characters are left.
+
+Lines of at most EDITS characters have no EDITS + 1 segments: they are all
+within EDITS of each other, so only the first stays, and share a character with
+any longer line that is near, so those meet by characters.
+
+Hashes meet, and only lines that met, or stand in a hot bucket, are read again.
+
+Defined results: null and empty texts have no lines worth comparing; rows are
+told apart by doc_id and text, so several texts with one doc_id are each judged
+by themselves, and rows that repeat both are one document, each row reported;
+a null doc_id stands before all others; ties go to the smaller line number; an
+empty table gives an empty result; extra columns stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.session import checkpointed, release
+from marginalia.session import checkpointed, dropped as delete
 
 EDITS = 2
 #: Shortest line compared unless a caller asks for less.
 MIN_CHARS = 20
 BLANK = " \t\r\x0b\x0c"
-#: Letters whose counts are compared before lines are; each edit moves two of them by one at most.
-LETTERS = "eatnoirshd"
+#: Characters, or groups of them, whose counts are compared before lines are; each edit moves two of them by one at most.
+LETTERS = ("e", "a", "t", "n", "o", "i", "rs", "h", "0123", "456789")
+#: Classes that may post one segment before its bucket is parted by further segments.
+HOT_LINES = 64
 #: Rows of (doc_id, line) that may be broadcast when lines are read again; beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
 #: Columns added for a while; no table has columns of these names.
-GONE, TEXT = "__lines_gone__", "__text_kept__"
+GONE, TEXT, HASH = "__lines_gone__", "__text_kept__", "__text_hash__"
+GONE_ID, GONE_HASH = "__gone_id__", "__gone_hash__"
 
 
 def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, pos, line of the lines that are compared."""
-    split = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """doc_id, t (the text's hash), pos, line of the lines that are compared."""
+    split = documents.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     some = (F.char_length("line") >= min_chars) & (F.trim("line", F.lit(BLANK)) != "")
     return split.where((F.char_length("line") >= MIN_CHARS) | some if min_chars < MIN_CHARS else F.char_length("line") >= min_chars)
 
@@ -63,17 +77,25 @@ def _segment(shorter: int, i: int, edits: int) -> tuple[Column, Column]:
     return q * i + F.greatest(F.lit(0), r - before) + 1, q + (r >= before).cast("int")
 
 
-def _keys(line: str, edits: int) -> tuple[list[Column], list[Column]]:
-    """(own segments' keys, keys of substrings that may match segments of other lines)."""
-    own, probes = [], []
+def _shifts(shorter: int, i: int, edits: int) -> range:
+    """How far from segment i of a line ``shorter`` characters less long its match may stand: i edits before it at most, the rest after it."""
+    return range(max(-i, shorter - edits + i), min(i, shorter + edits - i) + 1)
+
+
+def _keys(line: str, edits: int) -> tuple[list[Column], list[Column], list[tuple[int, int, int]]]:
+    """(own segments' keys, keys of substrings that may match segments of other lines, what these are: shorter, segment, shift)."""
+    own, probes, kinds = [], [], []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
             start, size = _segment(shorter, i, edits)
-            left, right = i, edits - i  # edits before and after the segment at most
-            for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
+            for shift in _shifts(shorter, i, edits):
                 key = F.xxhash64(F.substring(line, start + shift, size), F.col("len") - shorter, F.lit(i))
-                (own if shorter == 0 and shift == 0 else probes).append(key)
-    return own, probes
+                if shorter == shift == 0:
+                    own.append(key)
+                else:
+                    probes.append(key)
+                    kinds.append((shorter, i, shift))
+    return own, probes, kinds
 
 
 def _characters(line: str) -> Column:
@@ -84,14 +106,14 @@ def _characters(line: str) -> Column:
 def _all_but_the_first(classes: DataFrame) -> DataFrame:
     """h of all classes but the one that stands first."""
     least = classes.agg(F.min("first").alias("least"))
-    return classes.join(F.broadcast(least), F.col("first") > F.col("least")).select("h")
+    return classes.join(F.broadcast(least), F.col("first") > F.col("least")).select("h", "g")
 
 
 def _counts(line: str) -> Column:
     """Counts of LETTERS up to 63, six bits each."""
     packed = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
-        n = F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(letter), F.lit("")))
+        n = F.octet_length(line) - F.octet_length(F.translate(F.col(line), letter, ""))
         packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(63)).cast("long"), 6 * k))
     return packed
 
@@ -157,62 +179,198 @@ def within(a: str, b: str, edits: int) -> Column:
     return F.when(off > edits, False).otherwise(far <= edits)
 
 
+def _order() -> Column:
+    """Which of two classes that meet is told: pairs that meet from both sides are told once."""
+    return (F.col("other") & (F.col("h") != F.col("h2"))) | (~F.col("other") & (F.col("h") < F.col("h2")))
+
+
+def _paired(posted: DataFrame, asking: DataFrame, edits: int) -> DataFrame:
+    """(a, b, apart): classes that meet under a key and have nearly the same letters."""
+    met = posted.select("k", "h", "counts").join(asking.select("k", "h2", "counts2", "other"), "k")
+    met = met.withColumn("apart", _apart("counts", "counts2")).where(_order() & (F.col("apart") <= 2 * edits))
+    return met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b"), F.col("apart").cast("byte").alias("apart"))
+
+
+def _verified(documents: DataFrame, firsts: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
+    """(h, g): the later classes of the pairs that are within ``edits``."""
+    who = pairs.select(F.col("later.h").alias("h"), F.col("later.g").alias("g")).unionByName(pairs.select("earlier.h", "earlier.g")).distinct()
+    places = checkpointed(firsts.join(who, ["h", "g"]).select("h", "g", "first"))
+    read = _read(documents, places)
+    side = lambda k, c: read.select(F.struct("h", "g").alias(k), F.col("line").alias(c))
+    # Few bytes, much work: as many tasks as shuffles have.
+    dealt = pairs.select("later", "earlier").repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "later", "earlier")
+    texts = dealt.join(side("later", "la"), "later").join(side("earlier", "lb"), "earlier")
+    ends = texts.withColumns({"head": _shared_start(F.col("la"), F.col("lb")), "tail": _shared_start(F.reverse("la"), F.reverse("lb"))})
+    shorter = F.least(F.char_length("la"), F.char_length("lb")) - F.col("head")
+    rest = lambda c: F.substring(c, F.col("head") + 1, F.char_length(c) - F.col("head") - F.least(F.col("tail"), shorter)).alias(c)
+    # Written here, or the filter below would be rewritten over these expressions many times.
+    trimmed = checkpointed(ends.select("later", rest("la"), rest("lb")))
+    near = checkpointed(trimmed.where(within("la", "lb", edits)).select("later.h", "later.g").distinct())
+    delete(places, read, trimmed)
+    return near
+
+
+def _beside(rows: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row for each of its keys: broadcast if it is small, shuffled if not."""
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
+
+
+def _read(documents: DataFrame, places: DataFrame) -> DataFrame:
+    """(h, g, first, line): the lines of classes, from their first places."""
+    by_doc = places.groupBy("first.doc_id", "first.t").agg(F.collect_list(F.struct("first", "h", "g")).alias("wanted"))
+    if places.count() <= BROADCAST_ROWS:
+        by_doc = F.broadcast(by_doc)
+    texts = documents.select("doc_id", F.xxhash64("text").alias("t"), "text").alias("x")
+    read = texts.join(by_doc.alias("y"), F.expr("x.doc_id <=> y.doc_id AND x.t = y.t")).select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
+    return checkpointed(read.select("w.h", "w.g", "w.first", F.get("all", F.col("w.first.pos")).alias("line")).dropDuplicates(["h", "g"]))
+
+
+def _without(text: str, start: Column, size: Column) -> Column:
+    """A text without ``size`` characters from ``start`` (from 1) on."""
+    return F.concat(F.substring(text, F.lit(1), start - 1), F.substring(text, start + size, F.char_length(text)))
+
+
+def _cuts(posted: DataFrame, edits: int) -> DataFrame:
+    """(k, cut): bounds of EDITS + 1 segments for each bucket's texts (all of one length), which share out the variety of characters."""
+    n = edits + 1
+    each = posted.select("k", F.char_length("rest").alias("size"), F.posexplode(F.split("rest", "")).alias("pos", "c")).where("c <> ''")
+    places = each.groupBy("k", "size", "pos", "c").agg(F.lit(1)).groupBy("k", "size", "pos").agg(F.log(F.count("*")).alias("w"))
+    upto = F.sum("w").over(Window.partitionBy("k").orderBy("pos"))
+    places = places.withColumns({"upto": upto, "total": F.sum("w").over(Window.partitionBy("k"))})
+    ends = [F.min(F.when(F.col("upto") >= F.col("total") * j / n, F.col("pos") + 1)).alias(f"e{j}") for j in range(1, n)]
+    step = places.groupBy("k", "size").agg(*ends).withColumn("e0", F.lit(0))
+    for j in range(1, n):
+        step = step.withColumn(f"e{j}", F.greatest(F.col(f"e{j - 1}") + 1, F.least(F.col(f"e{j}"), F.col("size") - (n - j))))
+    return step.select("k", F.array(*[f"e{j}" for j in range(n)], "size").alias("cut"))
+
+
+def _parted(posted: DataFrame, asking: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets under keys of one more segment, without that segment."""
+    cuts = checkpointed(_cuts(posted, edits))
+    spot = lambda i: (F.get("cut", F.lit(i)) + 1, F.get("cut", F.lit(i + 1)) - F.get("cut", F.lit(i)))
+
+    def at(i, shift, other):
+        start, size = spot(i)
+        key = F.xxhash64("k", F.lit(i), F.substring("rest", start + shift, size))
+        return F.struct(key.alias("k"), _without("rest", start + shift, size).alias("rest"), other.alias("other"))
+
+    own = F.explode(F.array(*[at(i, 0, F.lit(False)) for i in range(edits + 1)])).alias("x")
+    p = _beside(posted, cuts, "k").select("h", "counts", own).select("x.k", "h", "counts", "x.rest")
+    asked = [
+        F.when(F.col("shorter") == shorter, at(i, shift, F.col("other") | F.lit(bool(shorter or shift))))
+        for shorter in range(edits + 1) for i in range(edits + 1) for shift in _shifts(shorter, i, edits)
+    ]
+    probes = F.explode(F.array_compact(F.array(*asked))).alias("x")
+    a = _beside(asking, cuts, "k").select("h2", "counts2", "shorter", probes).select("x.k", "h2", "counts2", "shorter", "x.other", "x.rest")
+    p, a = checkpointed(p), checkpointed(a)
+    delete(cuts)
+    return p, a
+
+
+def _hot(posted: DataFrame) -> DataFrame:
+    return checkpointed(posted.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > HOT_LINES).select("k"))
+
+
+def _met_in_hot_buckets(documents: DataFrame, firsts: DataFrame, posted: DataFrame, asking: DataFrame, hot: DataFrame, kinds, edits: int) -> list[DataFrame]:
+    """(a, b) of the pairs that meet in hot buckets, part by part."""
+    p, a = checkpointed(_beside(posted, hot, "k")), checkpointed(_beside(asking, hot, "k"))
+    who = p.select("h").unionByName(a.select(F.col("h2").alias("h"))).distinct()
+    read = _read(documents, checkpointed(firsts.join(who, "h").select("h", "g", "first"))).select("h", F.col("line").alias("rest"))
+    sized = lambda rows: _with_shares(rows.withColumn("len", F.char_length("rest")), edits)
+
+    def cut_out(kinds):
+        spots = [(*_segment(shorter, i, edits), shift) for shorter, i, shift in kinds]
+        return F.array(*[_without("rest", start + shift, size) for start, size, shift in spots])
+
+    p = sized(p.join(read, "h")).select("k", "h", "counts", F.get(cut_out([(0, i, 0) for i in range(edits + 1)]), F.col("at")).alias("rest"))
+    every = [(0, i, 0) for i in range(edits + 1)] + kinds
+    shorter = F.get(F.array(*[F.lit(x) for x, _, _ in every]), F.col("at"))
+    a = sized(a.join(read.withColumnRenamed("h", "h2"), "h2")).select("k", "h2", "counts2", "other", shorter.alias("shorter"), F.get(cut_out(every), F.col("at")).alias("rest"))
+    found = []
+    while True:
+        p, a = _parted(checkpointed(p), checkpointed(a), edits)
+        # Few different texts of EDITS characters are left of any bucket.
+        hot = _hot(p.where(F.char_length("rest") > edits))
+        if hot.isEmpty():
+            return [*found, checkpointed(_paired(p, a, edits).distinct())]
+        found.append(checkpointed(_paired(_beside(p, hot, "k", "left_anti"), a, edits).distinct()))
+        whole = p, a
+        p, a = checkpointed(_beside(p, hot, "k")), checkpointed(_beside(a, hot, "k"))
+        delete(hot, *whole)
+
+
 def classes(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, firsts, near): every compared line's class, each class's first place, and the classes that go."""
+    """(lines, firsts, near): every compared line's class, each class's first place, and the classes (h, g) that go."""
     raw = _lines(documents, min_chars).withColumns({"len": F.char_length("line"), "h": F.xxhash64("line"), "g": F.xxhash64("line", F.lit(1))})
-    own, probes = _keys("line", edits)
-    lines = raw.select("doc_id", "pos", "h", "g")
+    own, probes, kinds = _keys("line", edits)
+    lines = raw.select("doc_id", "t", "pos", "h", "g")
     keys = F.struct("len", _counts("line").alias("counts"), F.array(*own).alias("own"), F.array(*probes).alias("probes"), F.when(F.col("len") <= 2 * edits, _characters("line")).alias("chars"))
-    keyed = _with_shares(raw, edits).select("h", "g", F.struct("doc_id", "pos").alias("at"), keys.alias("keys"))
+    keyed = _with_shares(raw, edits).select("h", "g", F.struct("doc_id", "t", "pos").alias("at"), keys.alias("keys"))
     firsts = keyed.groupBy("h", "g").agg(F.min("at").alias("first"), F.first("keys").alias("keys"))
-    firsts = checkpointed(firsts.select("h", "g", "first", "keys.*"))
+    whole = checkpointed(firsts.select("h", "g", "first", "keys.*"))
     tiny = F.col("len") <= edits
-    posted = firsts.select("h", "counts", F.explode(F.when(tiny, F.col("chars")).otherwise(F.col("own"))).alias("key"))
+    posted = whole.where(~tiny).select("h", "counts", F.posexplode("own").alias("at", "k"))
     probing = [F.col("h").alias("h2"), F.col("counts").alias("counts2")]
-    others = F.when(F.col("chars").isNull(), F.col("probes")).otherwise(F.concat("probes", "chars"))
-    asking = firsts.where(~tiny).select(*probing, F.explode(others).alias("key"), F.lit(True).alias("other"))
-    asking = asking.unionByName(firsts.where(~tiny).select(*probing, F.explode("own").alias("key"), F.lit(False).alias("other")))
-    order = (F.col("other") & (F.col("h") != F.col("h2"))) | (~F.col("other") & (F.col("h") < F.col("h2")))
-    met = posted.join(asking, (posted.key == asking.key) & order & (_apart("counts", "counts2") <= 2 * edits))
-    met = checkpointed(met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct())
-    release(documents.sparkSession)  # the keys' shuffles
-    wanted = met.select(F.col("a").alias("h")).unionByName(met.select(F.col("b").alias("h"))).distinct()
-    places = checkpointed(firsts.select("h", "first").join(wanted, "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), "first"))
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h", "first")).alias("wanted"))
-    texts = documents.select("doc_id", "text")
-    if places.count() <= BROADCAST_ROWS:
-        by_doc = F.broadcast(by_doc)
-    read = texts.join(by_doc, "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
-    read = checkpointed(read.select("w.h", "w.first", F.get("all", F.col("w.pos")).alias("line")).dropDuplicates(["h"]))
-    pairs = met.join(read.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), "a")
-    pairs = pairs.join(read.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb")), "b")
-    ends = pairs.withColumns({"head": _shared_start(F.col("la"), F.col("lb")), "tail": _shared_start(F.reverse("la"), F.reverse("lb"))})
-    shorter = F.least(F.char_length("la"), F.char_length("lb")) - F.col("head")
-    rest = lambda c: F.substring(c, F.col("head") + 1, F.char_length(c) - F.col("head") - F.least(F.col("tail"), shorter)).alias(c)
-    # Written here, or the filter below would be rewritten over these expressions many times.
-    pairs = checkpointed(ends.select("a", "b", "fa", "fb", rest("la"), rest("lb")))
-    near = pairs.where(within("la", "lb", edits)).select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
+    others = whole.where(~tiny).select(*probing, F.posexplode("probes").alias("at", "k"), F.lit(True).alias("other")).withColumn("at", F.col("at") + (edits + 1))
+    asking = others.unionByName(whole.where(~tiny).select(*probing, F.posexplode("own").alias("at", "k"), F.lit(False).alias("other")))
+    hot = _hot(posted)
+    if hot.isEmpty():
+        found = [checkpointed(_paired(posted, asking, edits).distinct())]
+    else:
+        found = [checkpointed(_paired(_beside(posted, hot, "k", "left_anti"), asking, edits).distinct())]
+        found += _met_in_hot_buckets(documents, whole, posted, asking, hot, kinds, edits)
+    if min_chars <= edits:
+        brief = whole.where(tiny).select("h", "counts", F.explode("chars").alias("k"))
+        longer = whole.where(~tiny).select(*probing, F.explode("chars").alias("k"), F.lit(True).alias("other"))
+        found.append(_paired(brief, longer, edits))
+    firsts = checkpointed(whole.select("h", "g", "first", "len"))
+    met = checkpointed(reduce(DataFrame.unionByName, found).distinct())
+    delete(hot, whole, *found[: len(found) - (min_chars <= edits)])
+    mark = lambda k: firsts.select(F.col("h").alias(k), F.struct("h", "g").alias(f"c{k}"), F.col("first").alias(f"f{k}"))
+    swap = F.col("fa") < F.col("fb")
+    pairs = met.join(mark("a"), "a").join(mark("b"), "b")
+    pairs = checkpointed(pairs.select(F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("later"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("earlier"), "apart"))
+    delete(met)
+    # One earlier line is enough: each class is compared with the likeliest one first, and only if that fails with all.
+    best = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("x")).select("later", "x.earlier")
+    sure = _verified(documents, firsts, checkpointed(best), edits)
+    left = checkpointed(pairs.join(sure.select(F.struct("h", "g").alias("later")), "later", "left_anti"))
+    delete(pairs)
+    near = sure.unionByName(_verified(documents, firsts, left, edits))
+    delete(left)
     if min_chars <= edits:
         near = near.unionByName(_all_but_the_first(firsts.where(tiny))).distinct()
-    return lines, firsts.select("h", "g", "first"), checkpointed(near)
+    near = checkpointed(near)
+    delete(sure)
+    return lines, firsts.select("h", "g", "first"), near
 
 
 def dropped(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, exact, near): positions of the lines that go, of documents that have any."""
+    """(doc_id, t, exact, near): positions of the lines that go, of documents that have any; t is the text's hash."""
     lines, firsts, near = classes(documents, edits, min_chars)
-    known = firsts.join(near.withColumn("near", F.lit(True)), "h", "left")
+    # Written, so that a hot line's rows can be split when they meet its one row here.
+    known = checkpointed(firsts.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left"))
     judged = lines.join(known, ["h", "g"])
-    later = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.pos") != F.col("pos"))
-    gone = judged.select("doc_id", "pos", later.alias("later"), F.coalesce("near", F.lit(False)).alias("near")).where("later OR near").distinct()
+    later = ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.t") == F.col("t")) & (F.col("first.pos") == F.col("pos")))
+    gone = judged.select("doc_id", "t", "pos", later.alias("later"), F.coalesce("near", F.lit(False)).alias("near")).where("later OR near").distinct()
     exact = F.collect_list(F.when(F.col("later"), F.col("pos")))
-    return gone.groupBy("doc_id").agg(F.array_sort(exact).alias("exact"), F.array_sort(F.collect_list(F.when(~F.col("later"), F.col("pos")))).alias("near"))
+    out = checkpointed(gone.groupBy("doc_id", "t").agg(F.array_sort(exact).alias("exact"), F.array_sort(F.collect_list(F.when(~F.col("later"), F.col("pos")))).alias("near")))
+    delete(known, firsts, near)
+    return out
+
+
+def _with_marks(documents: DataFrame, marks: DataFrame) -> DataFrame:
+    """``documents`` with the marks of their rows, by doc_id and text."""
+    marks = marks.withColumnsRenamed({"doc_id": GONE_ID, "t": GONE_HASH})
+    rows = documents.withColumn(HASH, F.xxhash64("text"))
+    return rows.join(marks, F.expr(f"doc_id <=> {GONE_ID} AND {HASH} = {GONE_HASH}"), "left")
 
 
 def report(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per document: its lines, those dropped as copies and as near copies, and their numbers from 0."""
-    base = documents.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
-    joined = base.join(dropped(documents, edits, min_chars), "doc_id", "left")
+    joined = _with_marks(documents.select("doc_id", "text"), dropped(documents, edits, min_chars))
+    joined = joined.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
     exact, near = F.coalesce("exact", none), F.coalesce("near", none)
     return joined.select(
         "doc_id", "n_lines", F.size(exact).cast("long").alias("n_exact"), F.size(near).cast("long").alias("n_near"),
@@ -222,8 +380,7 @@ def report(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 def remove_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Documents without their dropped lines; those of which nothing is left go. Columns as given."""
-    gone = dropped(documents, edits, min_chars).select("doc_id", F.concat("exact", "near").alias(GONE))
-    joined = documents.join(gone, "doc_id", "left")
+    joined = _with_marks(documents, dropped(documents, edits, min_chars).select("doc_id", "t", F.concat("exact", "near").alias(GONE)))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(GONE, i)), "\n")
     text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumn(TEXT, text).where(F.col(GONE).isNull() | (F.trim(F.col(TEXT)) != ""))

@@ -103,6 +103,31 @@ def test_line_dedup_of_short_lines_is_brute_force(spark):
     assert want[64] == "0" and want[65] == "0"
 
 
+@pytest.mark.parametrize("hot", [12, 64])
+def test_line_dedup_of_hot_segments_is_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
+    rng = random.Random(41)
+    lines = [f"Annual report of the society, leaf {rng.randrange(3000)}" for _ in range(150)] + [f"{rng.randrange(400):04d} of the leaves é" for _ in range(40)]
+    lines += ["".join(rng.choice("ab") for _ in range(rng.randint(3, 9))) for _ in range(40)]
+    texts = ["\n".join(lines[k : k + 4]) for k in range(0, len(lines), 4)]
+    first = {}
+    for i, t in enumerate(texts):
+        for p, line in enumerate(t.split("\n")):
+            first.setdefault(line, (i, p))
+    near = {b for b in first for a in first if a != b and first[a] < first[b] and distance(a, b) <= 2}
+    want = {i: ",".join(str(p) for p, line in enumerate(t.split("\n")) if first[line] != (i, p) or line in near) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.dropped for r in line_dedup.report(docs_of(spark, texts), min_chars=1).collect()} == want
+
+
+def test_line_dedup_tells_rows_apart(spark):
+    line, other = "x" * 25 + " one line", "another line that stands once only"
+    rows = [(1, line), (2, line), (2, other), (2, other), (None, "a line of a row without an id"), (None, None)]
+    df = spark.createDataFrame(rows, DOC).withColumns(odd())
+    kept = sorted(((r.doc_id, r.text) for r in line_dedup.remove_lines(df).collect()), key=str)
+    assert kept == sorted([(1, line), (2, other), (2, other), *rows[4:]], key=str)
+    assert sorted((r.doc_id or 0, r.dropped) for r in line_dedup.report(df).collect()) == [(0, ""), (0, ""), (1, ""), (2, ""), (2, ""), (2, "0")]
+
+
 def test_op1_takes_short_lines(spark, tmp_path):
     from marginalia.llm import queries
 
