@@ -9,8 +9,8 @@ every term of a window, in any order) come from the same lists and stand in
 columns of their own; an exact occurrence is one of them. The corpus is never shuffled: only the benchmark travels, in blocks of bounded size.
 
 Defined results: null and empty texts have no words and no hits; an item
-without words has no windows; repeated documents are each reported; repeated
-items count once per row, and each item_id is listed once; an empty benchmark
+without words has no windows; repeated documents, and several texts with one
+doc_id, are each reported; repeated items count once per row, and each item_id is listed once; an empty benchmark
 leaves every document clean; extra columns are ignored.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.arrow_text import ALNUM_TABLE, chunks, text_view
+from marginalia.session import checkpointed
 
 WINDOW = 10
 #: Words of a stretch at most that holds all terms of a window.
 SPAN = 2 * WINDOW
 #: Bytes of benchmark text that one pass over the corpus carries to the executors.
 BLOCK_BYTES = 16 << 20
-SCHEMA = "doc_id long, n_words long, hits array<struct<start:int,stop:int>>, item_ids array<long>, near_hits array<struct<start:int,stop:int>>, near_item_ids array<long>"
+SCHEMA = "doc_id long, t long, n_words long, hits array<struct<start:int,stop:int>>, item_ids array<long>, near_hits array<struct<start:int,stop:int>>, near_item_ids array<long>"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -176,11 +178,17 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int = SPAN) -> DataFrame:
     """Per document: n_words, merged hit spans in words, the contaminating item_ids, and near_hits and near_item_ids of proximity matches.
 
-    One pass over ``documents`` for each BLOCK_BYTES of benchmark text; several
-    passes are merged by document and row.
+    One pass over ``documents`` for each BLOCK_BYTES of benchmark text. Several
+    passes are merged by doc_id and text, and each row gets its text's result,
+    so the rows are the same however many passes there are.
     """
+    return _found(documents, benchmark, window, span).drop("t")
+
+
+def _found(documents: DataFrame, benchmark: DataFrame, window: int, span: int) -> DataFrame:
+    """The columns of ``find_overlaps``, and t, the text's hash."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text")
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("t"))
     parts = []
     for block in _item_blocks(benchmark):
         phrases = spark.sparkContext.broadcast(PhraseIndex(block, window))
@@ -189,11 +197,12 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         parts.append(docs.mapInArrow(_searcher(spark.sparkContext.broadcast(PhraseIndex([], window)), span), SCHEMA))
     if len(parts) == 1:
         return parts[0]
-    # Several blocks: copies of a doc_id have the same text or are told apart by their word count.
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged.groupBy("doc_id", "n_words").agg(*[f(F.flatten(F.collect_list(p + c))).alias(p + c) for p in ("", "near_") for f, c in ((F.array_sort, "hits"), (F.array_distinct, "item_ids"))])
+    # Rows that repeat an id and a text have one result; each of them gets it back.
+    merged = checkpointed(reduce(DataFrame.unionByName, [p.dropDuplicates(["doc_id", "t"]) for p in parts]))
+    fold = [f(F.flatten(F.collect_list(p + c))).alias(p + c) for p in ("", "near_") for f, c in ((F.array_sort, "hits"), (F.array_distinct, "item_ids"))]
+    each = merged.groupBy(F.col("doc_id").alias("own_id"), F.col("t").alias("own_t"), "n_words").agg(*fold)
+    rows = docs.select("doc_id", "t").join(each, F.expr("doc_id <=> own_id AND t = own_t"))
+    return rows.select(*parts[0].columns)
 
 
 def _searcher(shared, span):
@@ -204,11 +213,11 @@ def _searcher(shared, span):
             for lo, hi in chunks(offsets, 4 << 20):
                 counts, *found = search_block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], phrases, span)
                 n = hi - lo
-                columns = [batch.column(0).slice(lo, n), pa.array(counts)]
+                columns = [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(counts)]
                 for spans, items in (found[:2], found[2:]):
                     columns.append(pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))))
                     columns.append(pa.array([sorted(x for x in items.get(d, ()) if x is not None) for d in range(n)], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "hits", "item_ids", "near_hits", "near_item_ids"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "n_words", "hits", "item_ids", "near_hits", "near_item_ids"])
 
     return search
 
@@ -240,14 +249,20 @@ def report(overlaps: DataFrame) -> DataFrame:
     )
 
 
+#: Columns added for a while; no table has columns of these names.
+TEXT_HASH, BAD_ID, BAD_HASH = "__text_hash__", "__bad_id__", "__bad_hash__"
+
+
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, most_share: float = 0.0) -> DataFrame:
     """Documents whose share of hit words is at most ``most_share``; columns as given.
 
-    Marks travel by doc_id without texts; of rows with one doc_id all go when one is marked.
+    Marks travel by doc_id and the text's hash, so of several texts with one doc_id only marked ones go.
     """
-    marks = report(find_overlaps(documents, benchmark))
-    bad = marks.where(F.col("n_hit") > F.lit(most_share) * F.col("n_words")).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti")
+    found = _found(documents, benchmark, WINDOW, SPAN)
+    bad = found.where((F.size("hits") > 0) & (_covered(F.col("hits")) > F.lit(most_share) * F.col("n_words")))
+    bad = checkpointed(bad.select(F.col("doc_id").alias(BAD_ID), F.col("t").alias(BAD_HASH)).distinct())
+    rows = documents.withColumn(TEXT_HASH, F.xxhash64("text"))
+    return rows.join(bad, F.expr(f"doc_id <=> {BAD_ID} AND {TEXT_HASH} = {BAD_HASH}"), "left_anti").drop(TEXT_HASH)
 
 
 def digest_of(item_ids) -> str:

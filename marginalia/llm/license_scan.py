@@ -48,6 +48,8 @@ STOP = ("a", "and", "any", "are", "by", "form", "free", "in", "is", "of", "or",
 COVER = 0.6
 
 _VOCABULARY = sorted({w for _, notice, _ in TEMPLATES for w in notice.split()} - set(STOP))
+#: Letters that are lower-cased; all others stand as they are.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -70,7 +72,7 @@ def _places(words: Column, phrase: str) -> Column:
 
 def file_index(documents: DataFrame) -> DataFrame:
     """Per file: n_words, places and labels of base phrases, key phrases met, postings of licence words."""
-    joined = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _NOT_WORD, " "))
+    joined = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), _NOT_WORD, " "))
     step = documents.select("doc_id", F.concat(F.lit(" "), joined, F.lit(" ")).alias("words"))
     count = F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) - 1
     step = step.select("doc_id", "words", F.when(F.length("words") > 2, count).otherwise(0).cast("long").alias("n_words"), F.col("words").rlike(" (" + "|".join(_VOCABULARY) + ") ").alias("some"))

@@ -159,6 +159,10 @@ def test_license_scan_of_many_notices(spark):
     texts = ["mozilla public license v 2 terms subject code"] + [gpl.replace("work", "thing").replace("licensed", "given")] + [gpl] * 4
     got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs_of(spark, texts)).collect()}
     assert got[0] == ("", 0.0) and got[1][0] == "gpl-3" and 0.6 <= got[1][1] < 1
+    # Only A-Z are lower-cased: a Kelvin sign is no k, a dotted capital I no i.
+    texts = ["under the m\u0130t license", "permission is hereby granted free of charge this software redistribution and use in source and binary forms all rights reserved"] + [rights] * 59
+    got = {r.doc_id: r for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert got[0].n_base == 0 and got[0].labels == "" and "all-rights-reserved" in got[1].labels.split(",")
 
 
 # ---------------------------------------------------------------- 3
@@ -227,6 +231,20 @@ def test_decontamination_is_brute_force(spark, monkeypatch):
     assert kept == {d for d, x in want.items() if not x[4]}
 
 
+def test_decontamination_is_the_same_in_any_number_of_blocks(spark, monkeypatch):
+    items = [" ".join(f"{c}{k}" for k in range(12)) for c in "abc"]
+    rows = [(1, "x y z"), (1, "x y w"), (2, f"{items[0]} {items[2]}"), (2, " ".join(f"q{k}" for k in range(24))), (2, f"{items[0]} {items[2]}"), (None, items[1]), (3, None)]
+    df = spark.createDataFrame(rows, DOC).withColumns(odd())
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    seen = []
+    for size in (1 << 24, 40):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+        seen.append(sorted(map(str, decontamination.report(decontamination.find_overlaps(df, bench)).collect())))
+        kept = sorted(((r.doc_id, r.text) for r in decontamination.remove_contaminated(df, bench).collect()), key=str)
+        assert kept == sorted([rows[0], rows[1], rows[3], rows[6]], key=str)
+    assert len(seen[0]) == len(rows) and seen[0] == seen[1]
+
+
 def test_proximity_matches_are_brute_force(spark):
     rng = random.Random(22)
     items = [words(rng, n, 40) for n in (24, 12, 4, 10)]
