@@ -4,6 +4,12 @@ Language ID drops documents without a language, line dedup cuts repeated and
 nearly repeated lines (and documents of which nothing is left), the Jaccard
 join keeps one document of each group of near copies, decontamination drops
 documents that hold benchmark windows, and the last stage encodes what remains.
+
+Defined results: rows are told apart by doc_id and text, so of several texts
+with one doc_id each is judged by itself, and rows that repeat both stand or
+fall together; documents without text or letters go with the first stage, for
+they have no language; an empty table, or nothing left after a stage, gives an
+empty result; extra columns stay until the last stage.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm import decontamination, jaccard_join, language_id, line_dedup, sentencepiece_codec
 from marginalia.llm.queries import model_path, table
-from marginalia.session import stored
+from marginalia.session import dropped, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents, each result written as Parquet and read as the next one's input."""
+    """STAGES over documents, each result written as Parquet and read as the next one's input; a stage's input goes once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = stored(stage(spark, docs, sf_dir))
+        if k:
+            dropped(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
