@@ -44,7 +44,7 @@ EDITS = 2
 MIN_CHARS = 20
 BLANK = " \t\r\x0b\x0c"
 #: Characters, or groups of them, whose counts are compared before lines are; each edit moves two of them by one at most.
-LETTERS = ("e", "a", "t", "n", "o", "i", "rs", "h", "0123", "456789")
+LETTERS = ("e", "a", "t", "n", "o", "i", "r", "h", "01234", "56789")
 #: Classes that may post one segment before its bucket is parted by further segments.
 HOT_LINES = 64
 #: Rows of (doc_id, line) that may be broadcast when lines are read again; beyond, they are shuffled.
@@ -113,7 +113,8 @@ def _counts(line: str) -> Column:
     """Counts of LETTERS up to 63, six bits each."""
     packed = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
-        n = F.octet_length(line) - F.octet_length(F.translate(F.col(line), letter, ""))
+        rest = reduce(lambda text, one: F.replace(text, F.lit(one), F.lit("")), letter, F.col(line))
+        n = F.octet_length(line) - F.octet_length(rest)
         packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(63)).cast("long"), 6 * k))
     return packed
 
