@@ -111,10 +111,7 @@ def later_copies(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     starts = _window_starts(cut, length)
     lpf = np.zeros(len(x), np.int64)
     if len(starts):
-        rank = suffix_array(x, length)[starts]
-        order = np.lexsort((starts, rank))
-        again = rank[order][1:] == rank[order][:-1]  # the position before in suffix order is the previous smaller one
-        lpf[starts[order[1:][again]]] = length
+        lpf[starts] = matches_before_and_after(suffix_array(x, length)[starts], starts, length)[0]
     mask = _covered(np.flatnonzero(lpf), length, len(x))
     return [mask[cut[i] : cut[i + 1]] for i in range(len(texts))]
 
@@ -227,11 +224,26 @@ def _contexts(documents: DataFrame, marked: DataFrame, length: int) -> DataFrame
     return texts.select("text", "runs", "t").mapInArrow(run, "h long, t long, a int, edge boolean, hot boolean, bytes binary")
 
 
+def matches_before_and_after(rank: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each start the longest previous factor, and its mirror towards later places, up to ``depth``: whole matches count, shorter ones as 0.
+
+    In suffix order cut at ``depth``, the previous smaller position of a suffix
+    that has a whole match before it is its neighbour of the same rank; the next
+    larger one likewise tells of a match after it.
+    """
+    order = np.lexsort((starts, rank))
+    same = rank[order][1:] == rank[order][:-1]
+    before, after = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    before[order[1:][same]] = depth
+    after[order[:-1][same]] = depth
+    return before, after
+
+
 def _repeated_windows(data: np.ndarray, cut: np.ndarray, length: int) -> np.ndarray:
-    """Of every window of a block of contexts, whether it occurs again in the block."""
+    """Of every window of a block of contexts, whether it occurs again in the block, before it or after it."""
     starts = _window_starts(cut, length)
-    rank = suffix_array(data, length)[starts]
-    return np.bincount(rank, minlength=len(data))[rank] > 1
+    before, after = matches_before_and_after(suffix_array(data, length)[starts], starts, length)
+    return (before >= length) | (after >= length)
 
 
 def _edge_runs(contexts: DataFrame, length: int) -> DataFrame:
@@ -316,8 +328,10 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     size = F.octet_length("text").cast("long")
     base = checkpointed(docs.select("doc_id", "t", size.alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
-    copies = base.where(F.col("n_bytes") >= length).groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t", F.lit(True).alias("copied"))
-    spans = checkpointed(repeated_spans(docs, length, gram).join(copies, "t", "left_anti"))
+    # Texts that occur again are known by their SHA-256: the 64-bit t would delete two texts for a collision.
+    copies = base.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("n"), F.min("t").alias("t")).where("n > 1").select("sha", "t", F.lit(True).alias("copied"))
+    copies = checkpointed(copies)
+    spans = checkpointed(repeated_spans(docs, length, gram).join(copies.select("t"), "t", "left_anti"))
 
     def run(batches):
         for batch in batches:
@@ -338,7 +352,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     cut = prefiltered(docs.select("t", "text"), spans, "t").join(spans, "t").select("t", "text", "runs").mapInArrow(run, "t long, n_removed long, n_spans long, kept string")
     all_gone = F.coalesce("copied", F.lit(False))
     return (
-        base.join(copies, "t", "left").join(cut, "t", "left")
+        base.join(copies.select("sha", "copied"), "sha", "left").join(cut, "t", "left")
         .select(
             "doc_id",
             "n_bytes",

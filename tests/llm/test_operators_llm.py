@@ -494,6 +494,19 @@ def test_longest_previous_factors():
     assert [m.sum() for m in masks] == [0, 8, 0]
 
 
+def test_whole_matches_are_those_of_the_factor_arrays():
+    rng = random.Random(51)
+    for _ in range(40):
+        data = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 60)))
+        depth, x = 4, np.frombuffer(data, np.uint8)
+        starts = np.arange(max(len(data) - depth + 1, 0))
+        before, after = suffix_dedup.matches_before_and_after(suffix_dedup.suffix_array(x, depth)[starts], starts, depth)
+        lpf = suffix_dedup.longest_previous_factor(data)
+        assert (before >= depth).tolist() == (lpf[: len(starts)] >= depth).tolist()
+        later = [any(data[j : j + depth] == data[i : i + depth] for j in range(i + 1, len(starts))) for i in starts]
+        assert (after >= depth).tolist() == later
+
+
 # ---------------------------------------------------------------- 9 and 10
 
 
