@@ -19,7 +19,7 @@ _PLAIN = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '{LI
 
 
 def _stats(question: str) -> str:
-    from marginalia.operators.quality import CTA, PROMO, QUERY_STOP, SIGNALS
+    from marginalia.operators.quality import AFFILIATE, CTA, PROMO, QUERY_STOP, SIGNALS
 
     count = lambda patterns: " + ".join("len(regexp_extract_all(low, '" + p.replace("'", "''") + "'))" for p in patterns)
     stop = ", ".join(f"'{w}'" for w in QUERY_STOP)
@@ -34,6 +34,9 @@ m AS (SELECT doc_id, n, len(lines) AS n_lines,
   len(lines) - len(list_distinct(list_transform(lines, lambda x: regexp_replace(lower(x), '[{WS}]+', ' ', 'g')))) AS dups,
   coalesce(list_sum(list_filter(list_transform(lines, lambda x: len({_words(f"regexp_replace(regexp_replace(x, '{LINK}', '\\1', 'g'), '[#>*_`|~]', ' ', 'g')")})), lambda k: k >= 20)), 0) AS substantial,
   len(list_filter(lines, lambda x: regexp_matches(x, '^#{{1,6}}[{WS}]'))) AS headings,
+  len(regexp_extract_all(raw, '{LINK}', 2)) AS links,
+  coalesce(list_sum(list_transform(regexp_extract_all(raw, '{LINK}', 1), lambda x: len({_words("x")}))), 0) AS link_words,
+  len(list_filter(regexp_extract_all(raw, '{LINK}', 2), lambda x: regexp_matches(x, '{AFFILIATE}'))) AS affiliates,
   {count(PROMO)} AS promo, {count(CTA)} AS cta, {count(SIGNALS)} AS signals,
   len(terms) AS n_terms, len(list_filter(terms, lambda t: contains(low, t))) AS matched
   FROM base, terms)"""
@@ -44,11 +47,11 @@ def all_of() -> dict[str, str]:
     from marginalia.plans.registry import QUESTION
 
     share = lambda a, b: f"CASE WHEN {b} > 0 THEN ({a}) / {b} ELSE 0.0 END"
-    # A corpus without links, channels and so on has zeros where no statement looks for them.
+    # Documents have no URL of their own, so no link is outbound; channel pitches are tested apart, on rows that have some.
     stats = f"""WITH {_stats(QUESTION)}
-SELECT doc_id, n AS word_count, 0::BIGINT AS link_count, 0::BIGINT AS link_text_words, 0::BIGINT AS affiliate_links, 0::BIGINT AS outbound_links,
+SELECT doc_id, n AS word_count, links::BIGINT AS link_count, link_words::BIGINT AS link_text_words, affiliates::BIGINT AS affiliate_links, 0::BIGINT AS outbound_links,
   headings::BIGINT AS headings, round({share("dups", "n_lines")}, 9) AS duplicate_line_share, round({share("substantial", "n")}, 9) AS substantial_word_share,
-  0.0::DOUBLE AS link_text_share, 0.0::DOUBLE AS links_per_100_words, round(promo * {share("1000", "n")}, 9) AS promo_per_1000,
+  round({share("link_words", "n")}, 9) AS link_text_share, round({share("links * 100", "n")}, 9) AS links_per_100_words, round(promo * {share("1000", "n")}, 9) AS promo_per_1000,
   round(cta * {share("1000", "n")}, 9) AS cta_per_1000, signals::BIGINT AS signal_selling_hits, 0::BIGINT AS channel_pitch_hits,
   n_terms::BIGINT AS query_term_count, matched::BIGINT AS query_terms_matched, round(CASE WHEN n_terms > 0 THEN matched / n_terms ELSE 1.0 END, 9) AS query_overlap FROM m"""
 
