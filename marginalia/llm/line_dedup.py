@@ -45,6 +45,8 @@ MIN_CHARS = 20
 BLANK = " \t\r\x0b\x0c"
 #: Characters, or groups of them, whose counts are compared before lines are; each edit moves two of them by one at most.
 LETTERS = ("e", "a", "t", "n", "o", "i", "r", "h", "01234", "56789")
+#: Characters at either end of a line whose letters are counted; all are, of lines of twice as many.
+END = 32
 #: Classes that may post one segment before its bucket is parted by further segments.
 HOT_LINES = 64
 #: Rows of (doc_id, line) that may be broadcast when lines are read again; beyond, they are shuffled.
@@ -109,12 +111,21 @@ def _all_but_the_first(classes: DataFrame) -> DataFrame:
     return classes.join(F.broadcast(least), F.col("first") > F.col("least")).select("h", "g")
 
 
-def _counts(line: str) -> Column:
+def _ends(line: str) -> Column:
+    """A line's first and last END characters, or all of a line that has no more.
+
+    An edit within them takes one character of them in and puts another out at
+    most, and one between them changes nothing, so an edit moves two counts by one at most here too.
+    """
+    return F.concat(F.substring(line, F.lit(1), F.lit(END)), F.substring(line, F.greatest(F.col("len") - END, F.lit(END)) + 1, F.lit(END)))
+
+
+def _counts(ends: str) -> Column:
     """Counts of LETTERS up to 63, six bits each."""
     packed = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
-        rest = reduce(lambda text, one: F.replace(text, F.lit(one), F.lit("")), letter, F.col(line))
-        n = F.octet_length(line) - F.octet_length(rest)
+        rest = reduce(lambda text, one: F.replace(text, F.lit(one), F.lit("")), letter, F.col(ends))
+        n = F.octet_length(ends) - F.octet_length(rest)
         packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(63)).cast("long"), 6 * k))
     return packed
 
@@ -305,8 +316,8 @@ def classes(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     raw = _lines(documents, min_chars).withColumns({"len": F.char_length("line"), "h": F.xxhash64("line"), "g": F.xxhash64("line", F.lit(1))})
     own, probes, kinds = _keys("line", edits)
     lines = raw.select("doc_id", "t", "pos", "h", "g")
-    keys = F.struct("len", _counts("line").alias("counts"), F.array(*own).alias("own"), F.array(*probes).alias("probes"), F.when(F.col("len") <= 2 * edits, _characters("line")).alias("chars"))
-    keyed = _with_shares(raw, edits).select("h", "g", F.struct("doc_id", "t", "pos").alias("at"), keys.alias("keys"))
+    keys = F.struct("len", _counts("ends").alias("counts"), F.array(*own).alias("own"), F.array(*probes).alias("probes"), F.when(F.col("len") <= 2 * edits, _characters("line")).alias("chars"))
+    keyed = _with_shares(raw, edits).withColumn("ends", _ends("line")).select("h", "g", F.struct("doc_id", "t", "pos").alias("at"), keys.alias("keys"))
     firsts = keyed.groupBy("h", "g").agg(F.min("at").alias("first"), F.first("keys").alias("keys"))
     whole = checkpointed(firsts.select("h", "g", "first", "keys.*"))
     tiny = F.col("len") <= edits
