@@ -46,7 +46,7 @@ BLANK = " \t\r\x0b\x0c"
 #: Characters, or groups of them, whose counts are compared before lines are; each edit moves two of them by one at most.
 LETTERS = ("e", "a", "t", "n", "o", "i", "r", "h", "01234", "56789")
 #: Characters at either end of a line whose letters are counted; all are, of lines of twice as many.
-END = 32
+END = 64
 #: Classes that may post one segment before its bucket is parted by further segments.
 HOT_LINES = 64
 #: Rows of (doc_id, line) that may be broadcast when lines are read again; beyond, they are shuffled.
@@ -203,14 +203,28 @@ def _paired(posted: DataFrame, asking: DataFrame, edits: int) -> DataFrame:
     return met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b"), F.col("apart").cast("byte").alias("apart"))
 
 
-def _verified(documents: DataFrame, firsts: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
-    """(h, g): the later classes of the pairs that are within ``edits``."""
-    who = pairs.select(F.col("later.h").alias("h"), F.col("later.g").alias("g")).unionByName(pairs.select("earlier.h", "earlier.g")).distinct()
+def _met_lines(documents: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(h, g, line, counts): the lines of all classes that met, and the counts of all their letters."""
+    who = pairs.select("later.h", "later.g").unionByName(pairs.select("earlier.h", "earlier.g")).distinct()
     places = checkpointed(firsts.join(who, ["h", "g"]).select("h", "g", "first"))
     read = _read(documents, places)
+    out = checkpointed(read.select("h", "g", "line", _counts("line").alias("counts")))
+    delete(places, read)
+    return out
+
+
+def _alike(pairs: DataFrame, read: DataFrame, edits: int) -> DataFrame:
+    """The pairs whose letters are nearly the same over the whole of both lines."""
+    side = lambda k: read.select(F.struct("h", "g").alias(k), F.col("counts").alias(f"{k}_counts"))
+    both = pairs.select("later", "earlier").join(side("later"), "later").join(side("earlier"), "earlier")
+    return checkpointed(both.select("later", "earlier", _apart("later_counts", "earlier_counts").alias("apart")).where(F.col("apart") <= 2 * edits))
+
+
+def _verified(read: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
+    """(h, g): the later classes of the pairs that are within ``edits``."""
     side = lambda k, c: read.select(F.struct("h", "g").alias(k), F.col("line").alias(c))
     # Few bytes, much work: as many tasks as shuffles have.
-    dealt = pairs.select("later", "earlier").repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "later", "earlier")
+    dealt = pairs.select("later", "earlier").repartition(int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")), "later", "earlier")
     texts = dealt.join(side("later", "la"), "later").join(side("earlier", "lb"), "earlier")
     ends = texts.withColumns({"head": _shared_start(F.col("la"), F.col("lb")), "tail": _shared_start(F.reverse("la"), F.reverse("lb"))})
     shorter = F.least(F.char_length("la"), F.char_length("lb")) - F.col("head")
@@ -218,7 +232,7 @@ def _verified(documents: DataFrame, firsts: DataFrame, pairs: DataFrame, edits:
     # Written here, or the filter below would be rewritten over these expressions many times.
     trimmed = checkpointed(ends.select("later", rest("la"), rest("lb")))
     near = checkpointed(trimmed.where(within("la", "lb", edits)).select("later.h", "later.g").distinct())
-    delete(places, read, trimmed)
+    delete(trimmed)
     return near
 
 
@@ -343,13 +357,16 @@ def classes(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     pairs = met.join(mark("a"), "a").join(mark("b"), "b")
     pairs = checkpointed(pairs.select(F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("later"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("earlier"), "apart"))
     delete(met)
+    read = _met_lines(documents, firsts, pairs)
+    met, pairs = pairs, _alike(pairs, read, edits)
+    delete(met)
     # One earlier line is enough: each class is compared with the likeliest one first, and only if that fails with all.
     best = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("x")).select("later", "x.earlier")
-    sure = _verified(documents, firsts, checkpointed(best), edits)
+    sure = _verified(read, checkpointed(best), edits)
     left = checkpointed(pairs.join(sure.select(F.struct("h", "g").alias("later")), "later", "left_anti"))
     delete(pairs)
-    near = sure.unionByName(_verified(documents, firsts, left, edits))
-    delete(left)
+    near = sure.unionByName(_verified(read, left, edits))
+    delete(left, read)
     if min_chars <= edits:
         near = near.unionByName(_all_but_the_first(firsts.where(tiny))).distinct()
     near = checkpointed(near)
