@@ -45,6 +45,8 @@ MIN_CHARS = 20
 BLANK = " \t\r\x0b\x0c"
 #: Characters, or groups of them, whose counts are compared before lines are; each edit moves two of them by one at most.
 LETTERS = ("e", "a", "t", "n", "o", "i", "r", "h", "01234", "56789")
+#: Characters counted over whole lines, of the lines that are read again; sixteen counts go in one word.
+MORE_LETTERS = (*"abcdefghiklmnoprstuvwyz", "jqx", "áéíóúñ", "äöüß", "0123", "456", "789", ",.", "ABCDEFGHIJKLM", "NOPQRSTUVWXYZ")
 #: Characters at either end of a line whose letters are counted; all are, of lines of twice as many.
 END = 64
 #: Classes that may post one segment before its bucket is parted by further segments.
@@ -130,6 +132,28 @@ def _counts(ends: str) -> Column:
     return packed
 
 
+def _all_counts(line: str) -> Column:
+    """Counts of MORE_LETTERS in a whole line modulo 16, four bits each, in words of sixteen."""
+    words = []
+    for first in range(0, len(MORE_LETTERS), 16):
+        packed = F.lit(0).cast("long")
+        for k, letters in enumerate(MORE_LETTERS[first : first + 16]):
+            rest = reduce(lambda text, one: F.replace(text, F.lit(one), F.lit("")), letters, F.col(line))
+            packed = packed.bitwiseOR(F.shiftleft((F.char_length(line) - F.char_length(rest)).cast("long").bitwiseAND(F.lit(15)), 4 * k))
+        words.append(packed)
+    return F.array(*words)
+
+
+def _all_apart(a: str, b: str) -> Column:
+    """Sum of the differences of two lines' counts the shorter way round, which are at most those of the true counts."""
+    total = F.lit(0)
+    for k in range(len(MORE_LETTERS)):
+        x, y = (F.shiftrightunsigned(F.get(c, F.lit(k // 16)), 4 * (k % 16)).bitwiseAND(F.lit(15)) for c in (a, b))
+        off = (x - y).bitwiseAND(F.lit(15))
+        total = total + F.least(off, 16 - off)
+    return total
+
+
 def _apart(a: str, b: str) -> Column:
     """Sum of the differences of two packed counts."""
     total = F.lit(0)
@@ -196,10 +220,10 @@ def _order() -> Column:
     return (F.col("other") & (F.col("h") != F.col("h2"))) | (~F.col("other") & (F.col("h") < F.col("h2")))
 
 
-def _paired(posted: DataFrame, asking: DataFrame, edits: int) -> DataFrame:
-    """(a, b, apart): classes that meet under a key and have nearly the same letters."""
+def _paired(posted: DataFrame, asking: DataFrame, edits: int, differ=_apart) -> DataFrame:
+    """(a, b, apart): classes that meet under a key and have nearly the same letters, by the counts that ``differ`` compares."""
     met = posted.select("k", "h", "counts").join(asking.select("k", "h2", "counts2", "other"), "k")
-    met = met.withColumn("apart", _apart("counts", "counts2")).where(_order() & (F.col("apart") <= 2 * edits))
+    met = met.withColumn("apart", differ("counts", "counts2")).where(_order() & (F.col("apart") <= 2 * edits))
     return met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b"), F.col("apart").cast("byte").alias("apart"))
 
 
@@ -208,7 +232,7 @@ def _met_lines(documents: DataFrame, firsts: DataFrame, pairs: DataFrame) -> Dat
     who = pairs.select("later.h", "later.g").unionByName(pairs.select("earlier.h", "earlier.g")).distinct()
     places = checkpointed(firsts.join(who, ["h", "g"]).select("h", "g", "first"))
     read = _read(documents, places)
-    out = checkpointed(read.select("h", "g", "line", _counts("line").alias("counts")))
+    out = checkpointed(read.select("h", "g", "line", _all_counts("line").alias("counts")))
     delete(places, read)
     return out
 
@@ -217,7 +241,7 @@ def _alike(pairs: DataFrame, read: DataFrame, edits: int) -> DataFrame:
     """The pairs whose letters are nearly the same over the whole of both lines."""
     side = lambda k: read.select(F.struct("h", "g").alias(k), F.col("counts").alias(f"{k}_counts"))
     both = pairs.select("later", "earlier").join(side("later"), "later").join(side("earlier"), "earlier")
-    return checkpointed(both.select("later", "earlier", _apart("later_counts", "earlier_counts").alias("apart")).where(F.col("apart") <= 2 * edits))
+    return checkpointed(both.select("later", "earlier", _all_apart("later_counts", "earlier_counts").alias("apart")).where(F.col("apart") <= 2 * edits))
 
 
 def _verified(read: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
@@ -301,25 +325,27 @@ def _met_in_hot_buckets(documents: DataFrame, firsts: DataFrame, posted: DataFra
     """(a, b) of the pairs that meet in hot buckets, part by part."""
     p, a = checkpointed(_beside(posted, hot, "k")), checkpointed(_beside(asking, hot, "k"))
     who = p.select("h").unionByName(a.select(F.col("h2").alias("h"))).distinct()
-    read = _read(documents, checkpointed(firsts.join(who, "h").select("h", "g", "first"))).select("h", F.col("line").alias("rest"))
+    read = _read(documents, checkpointed(firsts.join(who, "h").select("h", "g", "first")))
+    # Lines of one template share their ends, so here all of a line is counted.
+    read = checkpointed(read.select("h", F.col("line").alias("rest"), _all_counts("line").alias("counts")))
     sized = lambda rows: _with_shares(rows.withColumn("len", F.char_length("rest")), edits)
 
     def cut_out(kinds):
         spots = [(*_segment(shorter, i, edits), shift) for shorter, i, shift in kinds]
         return F.array(*[_without("rest", start + shift, size) for start, size, shift in spots])
 
-    p = sized(p.join(read, "h")).select("k", "h", "counts", F.get(cut_out([(0, i, 0) for i in range(edits + 1)]), F.col("at")).alias("rest"))
+    p = sized(p.drop("counts").join(read, "h")).select("k", "h", "counts", F.get(cut_out([(0, i, 0) for i in range(edits + 1)]), F.col("at")).alias("rest"))
     every = [(0, i, 0) for i in range(edits + 1)] + kinds
     shorter = F.get(F.array(*[F.lit(x) for x, _, _ in every]), F.col("at"))
-    a = sized(a.join(read.withColumnRenamed("h", "h2"), "h2")).select("k", "h2", "counts2", "other", shorter.alias("shorter"), F.get(cut_out(every), F.col("at")).alias("rest"))
+    a = sized(a.drop("counts2").join(read.withColumnsRenamed({"h": "h2", "counts": "counts2"}), "h2")).select("k", "h2", "counts2", "other", shorter.alias("shorter"), F.get(cut_out(every), F.col("at")).alias("rest"))
     found = []
     while True:
         p, a = _parted(checkpointed(p), checkpointed(a), edits)
         # Few different texts of EDITS characters are left of any bucket.
         hot = _hot(p.where(F.char_length("rest") > edits))
         if hot.isEmpty():
-            return [*found, checkpointed(_paired(p, a, edits).distinct())]
-        found.append(checkpointed(_paired(_beside(p, hot, "k", "left_anti"), a, edits).distinct()))
+            return [*found, checkpointed(_paired(p, a, edits, _all_apart).distinct())]
+        found.append(checkpointed(_paired(_beside(p, hot, "k", "left_anti"), a, edits, _all_apart).distinct()))
         whole = p, a
         p, a = checkpointed(_beside(p, hot, "k")), checkpointed(_beside(a, hot, "k"))
         delete(hot, *whole)
