@@ -11,8 +11,9 @@ may be compared with, the substrings that can match a segment of that length
 (the multi-match-aware choice of starts). What meets is compared by counts of
 letters and digits first and then by a banded bit-parallel edit distance.
 
-A segment that more than HOT_LINES classes post is hot (all lines of one
-template share some): its lines are not paired. What is left of them without
+Buckets of more than READ_LINES classes have their lines read, and pairs are
+told by the letters of whole lines. A segment that more than HOT_LINES classes
+post is hot (all lines of one template share some): its lines are not paired. What is left of them without
 the segment is within EDITS edits again, so it is cut into EDITS + 1 segments
 anew, at places that share out what varies in the bucket, and so on until no
 bucket is hot or EDITS characters are left.
@@ -48,9 +49,10 @@ LETTERS = ("e", "a", "t", "n", "o", "i", "r", "h", "01234", "56789")
 #: Characters counted over whole lines, of the lines that are read again; sixteen counts go in one word.
 MORE_LETTERS = (*"abcdefghiklmnoprstuvwyz", "jqx", "áéíóúñ", "äöüß", "0123", "456", "789", ",.", "ABCDEFGHIJKLM", "NOPQRSTUVWXYZ")
 #: Characters at either end of a line whose letters are counted; all are, of lines of twice as many.
-END = 64
-#: Classes that may post one segment before its bucket is parted by further segments.
-HOT_LINES = 64
+END = 16
+#: Classes that may post one segment before its bucket's lines are read and compared by the counts of all their letters,
+#: and before the bucket is parted by further segments.
+READ_LINES, HOT_LINES = 8, 64
 #: Rows of (doc_id, line) that may be broadcast when lines are read again; beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
 #: Columns added for a while; no table has columns of these names.
@@ -317,12 +319,13 @@ def _parted(posted: DataFrame, asking: DataFrame, edits: int) -> tuple[DataFrame
     return p, a
 
 
-def _hot(posted: DataFrame) -> DataFrame:
-    return checkpointed(posted.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > HOT_LINES).select("k"))
+def _hot(posted: DataFrame, most: int) -> DataFrame:
+    """Keys under which more than ``most`` classes are posted."""
+    return checkpointed(posted.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > most).select("k"))
 
 
 def _met_in_hot_buckets(documents: DataFrame, firsts: DataFrame, posted: DataFrame, asking: DataFrame, hot: DataFrame, kinds, edits: int) -> list[DataFrame]:
-    """(a, b) of the pairs that meet in hot buckets, part by part."""
+    """(a, b) of the pairs that meet in buckets whose lines are read, part by part."""
     p, a = checkpointed(_beside(posted, hot, "k")), checkpointed(_beside(asking, hot, "k"))
     who = p.select("h").unionByName(a.select(F.col("h2").alias("h"))).distinct()
     read = _read(documents, checkpointed(firsts.join(who, "h").select("h", "g", "first")))
@@ -339,16 +342,17 @@ def _met_in_hot_buckets(documents: DataFrame, firsts: DataFrame, posted: DataFra
     shorter = F.get(F.array(*[F.lit(x) for x, _, _ in every]), F.col("at"))
     a = sized(a.drop("counts2").join(read.withColumnsRenamed({"h": "h2", "counts": "counts2"}), "h2")).select("k", "h2", "counts2", "other", shorter.alias("shorter"), F.get(cut_out(every), F.col("at")).alias("rest"))
     found = []
+    p, a = checkpointed(p), checkpointed(a)
     while True:
-        p, a = _parted(checkpointed(p), checkpointed(a), edits)
         # Few different texts of EDITS characters are left of any bucket.
-        hot = _hot(p.where(F.char_length("rest") > edits))
+        hot = _hot(p.where(F.char_length("rest") > edits), HOT_LINES)
         if hot.isEmpty():
             return [*found, checkpointed(_paired(p, a, edits, _all_apart).distinct())]
         found.append(checkpointed(_paired(_beside(p, hot, "k", "left_anti"), a, edits, _all_apart).distinct()))
         whole = p, a
         p, a = checkpointed(_beside(p, hot, "k")), checkpointed(_beside(a, hot, "k"))
         delete(hot, *whole)
+        p, a = _parted(p, a, edits)
 
 
 def classes(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -365,7 +369,7 @@ def classes(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     probing = [F.col("h").alias("h2"), F.col("counts").alias("counts2")]
     others = whole.where(~tiny).select(*probing, F.posexplode("probes").alias("at", "k"), F.lit(True).alias("other")).withColumn("at", F.col("at") + (edits + 1))
     asking = others.unionByName(whole.where(~tiny).select(*probing, F.posexplode("own").alias("at", "k"), F.lit(False).alias("other")))
-    hot = _hot(posted)
+    hot = _hot(posted, min(READ_LINES, HOT_LINES))
     if hot.isEmpty():
         found = [checkpointed(_paired(posted, asking, edits).distinct())]
     else:
