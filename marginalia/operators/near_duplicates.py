@@ -1,18 +1,95 @@
-"""Exact near-duplicate pairs over shingle sets, and the gate that keeps the first of near copies in order."""
+"""Exact near-duplicate pairs over shingle sets, groups of equal sets, and the gate that keeps the first of near copies in order."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.quality import DUPLICATE, fingerprint
+from marginalia.operators.quality import DUPLICATE, SHINGLE, fingerprint, shingle_source
 from marginalia.session import checkpointed
 
+#: Odd multipliers of the hashes of words and of shingles.
+WORD_BASE, SHINGLE_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+IN_WORD = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8))
+#: Bytes of text that are hashed at once; a longer text is hashed by itself.
+AT_ONCE = 1 << 20
+
 
 def fingerprints(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(ident).alias("id"), fingerprint(F.col(text)).alias("prints"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every input bit."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _set_keys(data: np.ndarray, offsets: np.ndarray, size: int) -> list[bytes | None]:
+    """SHA-256 of each text's set of shingles, as sorted 64-bit hashes; None without any. Texts lie between the offsets."""
+    none = [None] * (len(offsets) - 1)
+    inside = IN_WORD[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(data)]
+    begins[edges] = inside[edges]
+    at = np.flatnonzero(inside)  # the words' bytes
+    starts = np.flatnonzero(begins[at])  # of each word its first place in ``at``
+    if len(starts) < size:
+        return none
+    lengths = np.diff(starts, append=len(at))
+    powers = np.full(int(lengths.max()), WORD_BASE)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    letters = (data[at].astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(at)) - np.repeat(starts, lengths)]
+    words = _mixed(np.add.reduceat(letters, starts))
+    count = len(words) - size + 1
+    hashes = words[:count].copy()
+    for k in range(1, size):
+        hashes = hashes * SHINGLE_BASE + words[k : k + count]
+    hashes = _mixed(hashes)
+    first = np.searchsorted(at[starts], offsets).tolist()
+    spans = zip(first, (x - size + 1 for x in first[1:]))
+    return [hashlib.sha256(np.unique(hashes[lo:hi]).tobytes()).digest() if hi > lo else None for lo, hi in spans]
+
+
+def set_keys(texts: pa.Array, size: int = SHINGLE) -> pa.Array:
+    """Of each text a digest of its set of ``size``-word shingles, words being runs of a-z0-9; null without any. A null text is empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return pa.array([], pa.binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    out, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + AT_ONCE, side="right")) - 1)
+        out += _set_keys(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+        lo = hi
+    return pa.array(out, pa.binary())
+
+
+def equal_sets(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, group): each id whose text has shingles, with the smallest id of those that have the same set.
+
+    Sets are told apart by SHA-256 over 64-bit hashes of their shingles. Texts are read once, and only ids and digests are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), set_keys(batch.column(1))], names=["id", "key"])
+
+    rows = df.select(F.col(ident).alias("id"), shingle_source(F.col(text)).alias("source"))
+    keyed = checkpointed(rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key binary").where("key IS NOT NULL"))
+    return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("group")), "key").select("id", "group")
+
+
 def _postings(prints: DataFrame, percent: int) -> DataFrame:
     """(h, group, size): of each distinct set its rarest features, more than similar sets can lack."""
     rows = prints.select("group", F.size("prints").alias("size"), F.explode("prints").alias("h"))

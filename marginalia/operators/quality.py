@@ -198,9 +198,14 @@ def scored(measured: DataFrame) -> DataFrame:
     return step.withColumns({"verdict": F.when(junk, "reject").otherwise("keep"), "category": F.when(junk, "junk"), "reason": F.when(junk, spoken)})
 
 
+def shingle_source(c: Column) -> Column:
+    """The text whose runs of a-z0-9 are the words of shingles: code and link targets are out, letters lower."""
+    return F.lower(F.regexp_replace(without_code(c), LINK, "$1"))
+
+
 def shingle_texts(c: Column, size: int = SHINGLE) -> Column:
     """Distinct shingles of the words left when code, link targets and other than a-z0-9 are out."""
-    plain = F.regexp_replace(F.lower(F.regexp_replace(without_code(c), LINK, "$1")), rf"[^a-z0-9{WS}]", " ")
+    plain = F.regexp_replace(shingle_source(c), rf"[^a-z0-9{WS}]", " ")
     # Bound to a lambda variable, the words are split once and not once a shingle.
     cut = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
     each = F.transform(F.array(words_of(plain)), lambda w: F.when(F.size(w) >= size, F.array_distinct(cut(w))).otherwise(F.array().cast("array<string>")))

@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marginalia.operators import near_duplicates, quality
+from marginalia.plans import registry
 
 ARTICLE = "\n\n".join(
     f"The council met on day {i} to discuss the harbour bridge, and after a long debate about costs and safety the members agreed "
@@ -87,3 +89,28 @@ def test_gate_keeps_the_far_end_of_a_chain(spark):
     docs = spark.createDataFrame([(1, " ".join(words[:50])), (2, " ".join(words[6:56])), (3, " ".join(words[12:62]))], "doc_id long, text string")
     got = near_duplicates.gate(near_duplicates.fingerprints(docs).withColumn("junk", F.lit(False)))
     assert [r.disposition for r in got.orderBy("id").collect()] == ["accepted", "duplicate", "accepted"]
+
+
+def test_members_are_found_without_pairs(spark, tmp_path, monkeypatch):
+    def unwanted(*args, **more):
+        raise AssertionError("members need neither postings nor fingerprints")
+
+    rng = random.Random(6)
+    pool = ["a", "b", "B", "c1", "é", "K", "İ", "```", "[x](http://u/v w)", "![a b](c)", "\n", "\u00a0", "\u3000", "-", "😀"]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(0, 14))) for _ in range(300)] + [None, "", "a a a a a a", "a a a a a a a", "A-a a\ta a,a", "a " * 5]
+    texts += ["vic wes una kay kay tom", "ada fox jim una pam leo"]  # one 32-bit fingerprint, two sets
+    docs = spark.createDataFrame([(500 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    first, sets = {}, {r.doc_id: frozenset(r.s) for r in docs.select("doc_id", quality.shingle_texts(F.col("text")).alias("s")).collect()}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    assert len(first) < len([x for x in sets.values() if x])  # some are equal
+    monkeypatch.setattr(near_duplicates, "_postings", unwanted)
+    monkeypatch.setattr(near_duplicates, "fingerprint", unwanted)
+    got = {r.doc_id: r.class_id for r in registry.near_dup_members(spark, str(tmp_path)).collect()}
+    assert got == {i: first[s] for i, s in sets.items() if s}
+    spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert registry.near_dup_members(spark, str(tmp_path / "none")).count() == 0
+    monkeypatch.setattr(near_duplicates, "AT_ONCE", 1)
+    whole = near_duplicates.set_keys(pa.array(texts)[3:]).to_pylist()
+    assert whole == [near_duplicates.set_keys(pa.array([t], pa.string()))[0].as_py() for t in texts[3:]]
