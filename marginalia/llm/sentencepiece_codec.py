@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding that keeps the way back to source bytes.
 
-A text is normalised by longest-prefix matches in the model's compiled
+Every text is normalised by longest-prefix matches in the model's compiled
 character map (a double-array trie), recording for every normalised byte the
 source byte it came from. The normalised text falls into chunks at which no
 piece of the vocabulary can merge (a run of meta spaces and what follows);
-the library's own merge engine encodes each distinct chunk once, and each
-piece is projected back to a span of original bytes.
+the library's own merge engine, its normaliser switched off, encodes each
+distinct chunk once, and each piece of the text is projected back to a span of
+original bytes.
 
 Defined results: a null text counts as empty and gives only the begin and end
 ids; repeated rows are each encoded; a text of any length is one text.
@@ -14,7 +15,6 @@ ids; repeated rows are each encoded; a text of any length is one text.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +24,12 @@ from pyspark.sql import DataFrame
 from marginalia.llm.arrow_text import chunks, text_view
 
 META = "▁"
+META_BYTES = META.encode()
+#: A normaliser spec (field 3 of a model, merged over the model's own) that leaves a text as it is.
+AS_IT_IS = b"\x1a\x08" + b"\x12\x00" + b"\x18\x00" + b"\x20\x00" + b"\x28\x00"
 #: Distinct chunks that a worker remembers before it starts anew.
 REMEMBERED = 200_000
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long, spans_sha256 string"
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -63,6 +66,15 @@ class CharacterMap:
         size = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob[4 : 4 + size], np.uint32).tolist()
         self.targets = blob[4 + size :]
+        #: Of each byte whether an entry can begin with it: the trie's first step.
+        self.begins = np.array([self._begins(x) for x in range(256)], bool)
+
+    def _begins(self, byte: int) -> bool:
+        if not self.units:
+            return False
+        root = self.units[0]
+        node = ((root >> 10) << ((root & 512) >> 6)) ^ byte
+        return node < len(self.units) and self.units[node] & 0x800000FF == byte
 
     def longest(self, text: bytes, i: int) -> tuple[int, bytes] | None:
         """(bytes read, replacement) of the longest entry that begins at i."""
@@ -86,15 +98,21 @@ class CharacterMap:
         return best[0], self.targets[best[1] : self.targets.index(0, best[1])]
 
 
+def covered(spans: np.ndarray) -> int:
+    """Source bytes that the spans cover."""
+    return int((spans[:, 1] - spans[:, 0]).sum())
+
+
 class Codec:
     """One model: normaliser, chunked encoder with spans, decoder."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        self.engine = sentencepiece.SentencePieceProcessor(model_file=path)
         with open(path, "rb") as f:
             model = f.read()
+        self.engine = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.merges = sentencepiece.SentencePieceProcessor(model_proto=model + AS_IT_IS)
         norm, self.own_symbols, crossing = {}, False, False
         self.dummy = self.strip = self.escape = True
         for number, value in _fields(model):
@@ -106,128 +124,142 @@ class Codec:
                 self.own_symbols |= piece.get(3) == 4
         self.map = CharacterMap(norm.get(2, b""))
         self.dummy, self.strip, self.escape = bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1))
-        #: Chunks are independent unless a piece spans them or the normaliser looks beyond them.
-        self.chunked = self.dummy and self.escape and not (self.strip or crossing or self.own_symbols or self.map.units)
-        self.space = self.engine.piece_to_id(META)
-        self.bos, self.eos = self.engine.bos_id(), self.engine.eos_id()
-        self.sizes = [1 if self.engine.is_byte(i) else len(self.engine.id_to_piece(i).encode()) for i in range(self.engine.vocab_size())]
-        self.cache: dict[str, tuple[bytes, str, int]] = {}
-
-    def normalise(self, text: str) -> tuple[bytes, list[int]]:
+        #: Normalised chunks are independent unless a piece spans them; decoded ones unless spaces are stripped.
+        self.chunked = self.dummy and self.escape and not (self.strip or crossing or self.own_symbols)
+        self.bos, self.eos, self.unknown = self.engine.bos_id(), self.engine.eos_id(), self.engine.unk_id()
+        self.sizes = np.array([1 if self.engine.is_byte(i) else len(self.engine.id_to_piece(i).encode()) for i in range(self.engine.vocab_size())], np.int64)
+        self.cache: dict[bytes, tuple[bytes, str]] = {}
+
+    def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """(normalised bytes, source byte of each and of the end), by longest prefixes."""
-        raw, meta = text.encode(), META.encode()
-        out, source = bytearray(), []
-        i = 0
-        if self.strip:
-            while i < len(raw) and raw[i] == 32:
-                i += 1
-        if self.dummy and i < len(raw):
-            out += meta
-            source += [i] * 3
-        while i < len(raw):
-            hit = self.map.longest(raw, i)
-            if hit is None:
-                lead = raw[i]
-                size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                put = raw[i : i + size]
-            else:
-                size, put = hit
-            if self.strip and put[:1] == b" " and (not out or out.endswith(meta if self.escape else b" ")):
+        raw = text.encode()
+        data = np.frombuffer(raw, np.uint8)
+        count = np.arange(len(raw) + 1, dtype=np.int32)
+        parts, at, after_space = [], 0, True
+        for i in np.flatnonzero(self.map.begins[data] | (data == 32) if self.strip else self.map.begins[data]).tolist():
+            hit = self.map.longest(raw, i) if i >= at else None
+            if i < at or hit is None and not (self.strip and raw[i] == 32):
+                continue
+            if i > at:
+                parts.append((data[at:i], count[at:i]))
+                after_space = False
+            size, put = hit or (1, b" ")
+            if self.strip and after_space:
                 put = put.lstrip(b" ")
-            if hit is None and put != b" " or not self.escape:
-                source += range(i, i + len(put)) if hit is None else [i] * len(put)
-            else:
-                put = put.replace(b" ", meta)
-                source += [i] * len(put)
-            out += put
-            i += size
+            if put:
+                parts.append((np.frombuffer(put, np.uint8), np.full(len(put), i, np.int32)))
+                after_space = put.endswith(b" ")
+            at = i + size
+        if at < len(raw):
+            parts.append((data[at:], count[at:-1]))
+        if not parts:
+            return b"", count[-1:]
+        if self.dummy:
+            parts.insert(0, (np.array([32], np.uint8), parts[0][1][:1]))
+        put, source = (np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+        out = put.tobytes()
+        if self.escape:
+            out, source = out.replace(b" ", META_BYTES), np.repeat(source, np.where(put == 32, len(META_BYTES), 1))
         if self.strip:
-            tail = meta if self.escape else b" "
-            while out.endswith(tail):
-                del out[-len(tail) :], source[-len(tail) :]
-        return bytes(out), [*source, len(raw)]
-
-    def _chunks(self, text: str) -> list[str]:
-        """The text (its dummy prefix left out of the first chunk) cut before each run of spaces but a chunk's first."""
-        if "  " in text or text[:1] == " " or text[-1:] == " ":
-            return [x[1:] for x in re.findall(f"{META}+[^{META}]*", META + text.replace(" ", META))]
-        return text.split(" ")
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Remember of each chunk its ids, its decoded text and the source bytes its pieces cover."""
-        if len(self.cache) + len(chunks) > REMEMBERED:
-            self.cache.clear()
-        found = self.engine.encode(chunks, num_threads=1)
-        found = [ids or [self.space] for ids in found]
-        size, small = self.sizes, {}
-        for chunk, ids, plain in zip(chunks, found, self.engine.decode(found, num_threads=1)):
-            # Of the normalised bytes, the dummy prefix has no source and an escaped space has one byte.
-            covered = sum([size[i] for i in ids]) - 3 - 2 * chunk.count(META)
-            small[chunk] = np.array(ids, "<u4").tobytes(), plain, covered
-        self.cache.update(small)
+            tail, end = META_BYTES if self.escape else b" ", len(out)
+            while out.endswith(tail, 0, end):
+                end -= len(tail)
+            # The text ends for its pieces where the stripped spaces begin.
+            return out[:end], np.append(source, count[-1:])[: end + 1]
+        return out, np.append(source, count[-1:])
+
+    def _chunks(self, normal: bytes) -> list[bytes]:
+        """The normalised text cut before each run of meta spaces, each chunk without its first one."""
+        parts = normal[len(META_BYTES) :].split(META_BYTES)
+        if b"" not in parts:
+            return parts
+        out, run = [], b""
+        for part in parts[:-1]:
+            if part:
+                out.append(run + part)
+                run = b""
+            else:
+                run += META_BYTES
+        return [*out, run + parts[-1]]
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, str, int]]:
-        """(ids as little-endian 32-bit integers, decoded text, source bytes covered) of each text."""
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Remember of each chunk its ids and its decoded text."""
+        found = self.merges.encode([META + c.decode() for c in chunks], num_threads=1)
+        plain = self.engine.decode(found, num_threads=1)
+        self.cache.update((c, (np.array(ids, "<u4").tobytes(), text)) for c, ids, text in zip(chunks, found, plain))
+
+    def encode_aligned(self, texts: list[str | None]) -> list[tuple[bytes, str, np.ndarray]]:
+        """(ids as little-endian 32-bit integers, decoded text, source span of each piece between begin and end) of each text."""
         begin, end = np.array([self.bos], "<u4").tobytes(), np.array([self.eos], "<u4").tobytes()
-        cut = [self._chunks(t) if t and self.chunked and META not in t else None for t in texts]
-        unseen = {c for parts in cut if parts for c in parts} - self.cache.keys()
+        normal = [self.normalise(t or "") for t in texts]
+        cut = [self._chunks(n) if n and self.chunked else [] for n, _ in normal]
+        wanted = {c for parts in cut for c in parts}
+        unseen = wanted - self.cache.keys()
         if unseen:
             if len(unseen) + len(self.cache) > REMEMBERED:
                 self.cache.clear()
-                unseen = {c for parts in cut if parts for c in parts}
+                unseen = wanted
             self._learn(list(unseen))
         known, out = self.cache, []
-        for text, parts in zip(texts, cut):
-            if not text:
-                out.append((begin + end, "", 0))
-            elif parts is None:
-                ids = self.engine.encode(text)
-                covered = sum(b - a for a, b, _ in self.project(text, ids))
-                out.append((begin + np.array(ids, "<u4").tobytes() + end, self.engine.decode(ids), covered))
-            else:
+        for text, (n, source), parts in zip(texts, normal, cut):
+            if self.chunked:
                 got = [known[c] for c in parts]
-                out.append((begin + b"".join([g[0] for g in got]) + end, " ".join([g[1] for g in got]), sum([g[2] for g in got]) + len(got) - 1))
+                raw, plain = b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+            else:
+                # Symbols of the model's own are matched before its map; the library's normaliser sees to them.
+                ids = self.engine.encode(text or "") if self.own_symbols else self.merges.encode(n.decode())
+                raw, plain = np.array(ids, "<u4").tobytes(), self.engine.decode(ids)
+            out.append((begin + raw + end, plain, self._project(n, source, np.frombuffer(raw, "<u4"))))
         return out
 
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, str, int]]:
+        """(ids as little-endian 32-bit integers, decoded text, source bytes covered by the pieces' spans) of each text."""
+        return [(raw, plain, covered(spans)) for raw, plain, spans in self.encode_aligned(texts)]
+
     def encode(self, text: str | None) -> tuple[bytes, str, int]:
         return self.encode_batch([text])[0]
 
-    def project(self, text: str, ids: list[int]) -> list[tuple[int, int, int]]:
-        """(first byte, end byte, id) in the source of each id of a whole text."""
-        normal, source = self.normalise(text)
-        out, at = [], 0
-        for i in ids:
-            size = 1 if self.engine.is_byte(i) else len(self.engine.id_to_piece(i).encode())
-            if self.engine.is_unknown(i):
-                lead = normal[at]
-                size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            end = min(at + size, len(normal))
-            out.append((source[min(at, len(normal))], source[end], i))
-            at = end
-        return out
+    def _project(self, normal: bytes, source: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Rows of (first byte, end byte) in the source, one for each id of a whole text."""
+        sizes = self.sizes[ids]
+        for k in np.flatnonzero(ids == self.unknown).tolist():
+            # An unknown piece is one character.
+            lead = normal[int(sizes[:k].sum())]
+            sizes[k] = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        bounds = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(sizes, out=bounds[1:])
+        edges = source[np.minimum(bounds, len(normal))]
+        return np.stack([edges[:-1], edges[1:]], axis=1)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        return self.project(text, self.engine.encode(text))
+        """(first byte, end byte, id) in the source of each piece of a whole text."""
+        raw, _, spans = self.encode_aligned([text])[0]
+        return [(a, b, i) for (a, b), i in zip(spans.tolist(), np.frombuffer(raw, "<u4")[1:-1].tolist())]
 
     def decode(self, ids: list[int]) -> str:
         return self.engine.decode(ids)
 
 
 def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
-    """Per document: token count, digests of ids and decoded text, source bytes covered by pieces."""
+    """Per document: token count, digests of ids and decoded text, source bytes covered by pieces, and a digest of the pieces' spans.
+
+    That of the spans is SHA-256 over (first byte, end byte) of each piece, as little-endian unsigned 32-bit integers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_path)
         for batch in batches:
-            n, ids, decoded, covered = [], [], [], []
+            n, ids, decoded, span_bytes, span_digests = [], [], [], [], []
             _, offsets = text_view(batch.column(1))
             for lo, hi in chunks(offsets, 1 << 20):
-                for raw, plain, spanned in codec.encode_batch(batch.column(1).slice(lo, hi - lo).to_pylist()):
+                for raw, plain, spans in codec.encode_aligned(batch.column(1).slice(lo, hi - lo).to_pylist()):
                     n.append(len(raw) // 4)
                     ids.append(hashlib.sha256(raw).hexdigest())
                     decoded.append(hashlib.sha256(plain.encode()).hexdigest())
-                    covered.append(spanned)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(covered, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_span_bytes"])
+                    span_bytes.append(covered(spans))
+                    span_digests.append(hashlib.sha256(spans.astype("<u4").tobytes()).hexdigest())
+            columns = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(span_bytes, pa.int64()), pa.array(span_digests, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_span_bytes", "spans_sha256"])
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -307,6 +307,67 @@ def test_spans_tile_the_source(spark, model):
         assert spans[0][0] == 0 and spans[-1][1] == len(text.encode()) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
 
 
+def hand_made_map():
+    """A double array for "a" -> "x" and "ab" -> "yz", as in the test of the longest prefix."""
+    units = [0] * 1024
+    units[0] = 256 << 10
+    a = 256 ^ ord("a")
+    units[a], units[a ^ 512] = (512 << 10) | 256 | ord("a"), 0
+    b = (a ^ 512) ^ ord("b")
+    units[b], units[b ^ 768] = (768 << 10) | 256 | ord("b"), 2
+    return (4096).to_bytes(4, "little") + np.array(units, "<u4").tobytes() + b"x\0yz\0"
+
+
+def library_spans(engine, text):
+    """(first byte, end byte, id) of each piece as the library aligns it, None for bytes of a character: it gives them no share."""
+    at = [0, *np.cumsum([len(c.encode()) for c in text]).tolist()]
+    found = engine.encode(text, return_type="offset_mapping")
+    return [None if engine.is_byte(i) else (at[a], at[b], i) for i, (a, b) in zip(found["ids"], found["offsets"])]
+
+
+def test_every_piece_is_projected(spark, model):
+    codec = sentencepiece_codec.Codec(model)
+    rng = random.Random(8)
+    pool = [*" ab \n\t▁é漢😀\x00ﬁ.'", "the ", " of", "  ", "▁▁", "word"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(400)] + ["plain words only", " ", "", None]
+    rows = {r.doc_id: r for r in sentencepiece_codec.encode_documents(docs_of(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        spans = codec.spans(text or "")
+        assert all(want is None or got == want for got, want in zip(spans, library_spans(codec.engine, text or ""), strict=True))
+        assert [x[0] for x in spans] == [0, *(x[1] for x in spans)][: len(spans)]  # bytes of a character too: nothing is left out
+        raw = np.array([x[:2] for x in spans], "<u4").tobytes()
+        assert rows[i].spans_sha256 == hashlib.sha256(raw).hexdigest() and rows[i].n_span_bytes == len((text or "").encode())
+
+
+def test_rows_come_through_the_character_map(model):
+    codec = sentencepiece_codec.Codec(model)
+    codec.map = sentencepiece_codec.CharacterMap(hand_made_map())
+    raw, plain, _ = codec.encode("ab word ca")
+    assert raw == np.array(codec.engine.encode("yz word cx", add_bos=True, add_eos=True), "<u4").tobytes() and plain == "yz word cx"
+    assert codec.spans("ab")[-1][1] == 2
+
+
+@pytest.mark.parametrize("strip", [False, True])
+def test_models_with_a_character_map(tmp_path, strip):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rng = random.Random(9)
+    lines = [" ".join("".join(rng.choices("abcdefi", k=rng.randint(1, 6))) for _ in range(8)) for _ in range(200)]
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_prefix=str(tmp_path / "m"), vocab_size=400, model_type="bpe", byte_fallback=True,
+        normalization_rule_name="nmt_nfkc", remove_extra_whitespaces=strip, minloglevel=2,
+    )
+    codec = sentencepiece_codec.Codec(str(tmp_path / "m.model"))
+    assert codec.map.begins.any() and codec.strip == strip
+    pool = [*" abcdef ", "ﬁ", "ａｂ", "\u3000", "\u00a0", "①", "e\u0301", "漢", "\t", "\n", "  ", "㌔"]
+    for _ in range(600):
+        text = "".join(rng.choices(pool, k=rng.randint(0, 10)))
+        ids = codec.engine.encode(text, add_bos=True, add_eos=True)
+        raw, plain, _ = codec.encode(text)
+        assert raw == np.array(ids, "<u4").tobytes() and plain == codec.engine.decode(ids), repr(text)
+        got, want = codec.spans(text), library_spans(codec.engine, text)
+        assert all(w is None or g == w for g, w in zip(got, want, strict=True)), repr(text)
+
+
 def test_character_map_takes_the_longest_prefix():
     # A double array for "a" -> "x" and "ab" -> "yz", laid out by hand: a node's children stand at node ^ offset ^ byte.
     units = [0] * 1024
