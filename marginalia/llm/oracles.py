@@ -38,6 +38,43 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least_id AS component_id
 FROM d LEFT JOIN sized USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS least_id FROM reach GROUP BY x) USING (doc_id)
 """
 
+#: By positions in the text, without lists of units; what is restored is the text itself.
+FILL_IN_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
+g AS (SELECT *, length(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def centroids(rounds: int = 3, k: int = 16) -> str:
+    """Every vector against every centroid in every round, without trees."""
+    parts = [rf"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(v, lambda y: floor(64 * y)::BIGINT) AS v FROM e
+      WHERE len(v) = 64 AND len(list_filter(v, lambda y: isfinite(y))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM x QUALIFY c < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(rf"""
+a{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d
+      FROM (SELECT r, c, list_sum(list_transform(list_zip(x.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x, c{i} m) GROUP BY r)""")
+        if i < rounds:
+            parts.append(rf"""
+s{i} AS (SELECT c, j, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS y, unnest(range(1, 65)) AS j FROM a{i} JOIN x USING (r)) GROUP BY c, j),
+f{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(f.v, m.v) AS v FROM c{i} m LEFT JOIN f{i} f USING (c))""")
+    return ",".join(parts) + rf"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN x USING (r) JOIN c{rounds} m USING (c)
+"""
+
 
 def license_scan() -> str:
     """Every template at every beginning, without the index: what the scan must find."""

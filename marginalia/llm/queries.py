@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, jaccard_join, language_id, license_scan, line_dedup, multi_index, oracles, quality_classifier, sentencepiece_codec, suffix_dedup, url_filter
+from marginalia.llm import ball_tree, byte_bpe, decontamination, fill_in_middle, jaccard_join, language_id, license_scan, line_dedup, multi_index, oracles, quality_classifier, sentencepiece_codec, suffix_dedup, url_filter
 
-#: The tokenizer file that production encodes with.
+#: The tokenizer files that production encodes with.
 MODEL = "piece_bpe_32k.model"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def model_path() -> str:
     return str(public_tokenizers.path(MODEL))
 
 
+def ranks_path_and_pattern() -> tuple[str, str]:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN
+
+
 def op1_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"), min_chars=1)
 
@@ -63,9 +70,27 @@ def op10_quality_classifier(spark, sf_dir):
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_byte_bpe(spark, sf_dir):
+    return byte_bpe.digest(table(spark, sf_dir, "documents"), *ranks_path_and_pattern())
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.transform(table(spark, sf_dir, "documents"), fill_in_middle.DIGESTS)
+
+
+def op13_ball_tree(spark, sf_dir):
+    return ball_tree.report(*ball_tree.cluster(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": oracles.license_scan(), "op4_decontamination": oracles.DECONTAMINATION, "op6_jaccard_join": oracles.JACCARD_JOIN}
+    return {
+        "op2_license_scan": oracles.license_scan(),
+        "op4_decontamination": oracles.DECONTAMINATION,
+        "op6_jaccard_join": oracles.JACCARD_JOIN,
+        "op12_fill_in_middle": oracles.FILL_IN_MIDDLE,
+        "op13_ball_tree": oracles.centroids(),
+    }
