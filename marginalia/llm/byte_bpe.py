@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain, islice
 
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from marginalia.llm.arrow_text import chunks, text_view
 
 #: Steps, and distinct matches of up to SHORT characters, that a worker remembers before it starts anew.
-STEPS, REMEMBERED, SHORT = 400_000, 200_000, 64
+STEPS, REMEMBERED, SHORT = 600_000, 300_000, 64
 #: Characters of a text whose matches are listed at once; those of a longer text are listed in blocks of BLOCK.
 LISTED, BLOCK = 1 << 20, 1 << 16
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -75,6 +77,7 @@ class Merges:
                 node = self.step[key]
             self.ends[node] = rank
         self._borders: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        self._adjoin: dict[int, bool] = {}
 
     def _merged(self, token: bytes, below: int) -> list[bytes]:
         """What the merges of ranks under ``below`` leave of a token."""
@@ -101,6 +104,14 @@ class Merges:
 
     def adjoin(self, left: int, right: int) -> bool:
         """Whether two tokens can stand side by side: no merge across the border is due before one of its sides is merged inwards."""
+        known = self._adjoin.get(left << 32 | right)
+        if known is None:
+            known = self._adjoin[left << 32 | right] = self._can_adjoin(left, right)
+            if len(self._adjoin) > STEPS:
+                self._adjoin.clear()
+        return known
+
+    def _can_adjoin(self, left: int, right: int) -> bool:
         a, b = self._border(left, 1), self._border(right, 0)
         i = j = 0
         while True:
@@ -134,25 +145,34 @@ class Transducer:
     def _take(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The step from a state over a byte: the next state, and the tokens it emits."""
         m = self.merges
-        live, whole = [], None
+        places, ends, inner = m.step, m.ends, m.inner
+        live, whole, shortest = [], None, 1 << 30
         for node, before, waiting in self.guesses[state]:
-            node = m.step.get(node << 8 | byte)
+            node = places.get(node << 8 | byte)
             if node is None:
                 continue
-            if node in m.inner:
-                live.append((node, before, waiting))
-            token = m.ends[node]
+            token = ends[node]
             if whole is None and token >= 0 and (before < 0 or m.adjoin(before, token)):
-                whole = (0, token, (*waiting, token))
+                whole = 0, token, (*waiting, token)
+            if node in inner:
+                live.append((node, before, waiting))
+                shortest = min(shortest, len(waiting))
         live.append(whole)  # some token always ends here, as single bytes are tokens
-        short = min((g[2] for g in live), key=len)
-        agreed = next((k for k, x in enumerate(short) if any(g[2][k] != x for g in live)), len(short))
-        after = tuple((node, before, waiting[agreed:]) for node, before, waiting in live)
+        agreed, emitted = 0, ()
+        if shortest:
+            first = live[0][2]
+            most = min(shortest, len(whole[2]))
+            while agreed < most and all(g[2][agreed] == first[agreed] for g in live):
+                agreed += 1
+            if agreed:
+                emitted = first[:agreed]
+                live = [(node, before, waiting[agreed:]) for node, before, waiting in live]
+        after = tuple(live)
         to = self.states.get(after)
         if to is None:
             to = self.states[after] = len(self.guesses)
             self.guesses.append(after)
-        step = self.taken[state << 8 | byte] = to, short[:agreed]
+        step = self.taken[state << 8 | byte] = to, emitted
         return step
 
     def start(self) -> Encoding:
@@ -224,27 +244,40 @@ def utf8_step(pending: bytes, byte: int) -> tuple[bytes, str]:
 class Decoding:
     """A streaming decoder: text comes out as soon as its characters are whole."""
 
-    def __init__(self, tokens: dict[int, bytes], steps: dict | None = None):
-        #: (unfinished character, token) -> (unfinished character, text); may be shared, as it is the same for every text.
-        self.tokens, self.steps, self.pending = tokens, {} if steps is None else steps, b""
-
-    def feed(self, ids: Iterable[int]) -> str:
-        steps, pending, out = self.steps, self.pending, []
+    def __init__(self, tokens: dict[int, bytes], whole: dict | None = None, steps: dict | None = None):
+        #: Tokens of whole characters with their text, and (unfinished character, token) -> (unfinished character, text); may be shared, as both are the same for every text.
+        self.tokens, self.whole, self.steps, self.pending = tokens, {} if whole is None else whole, {} if steps is None else steps, b""
+
+    def feed(self, ids: list[int]) -> str:
+        whole = self.whole
+        if not self.pending:
+            try:
+                return "".join([whole[x] for x in ids])
+            except KeyError:
+                pass
+        pending, out = self.pending, []
         for token in ids:
-            step = steps.get((pending, token))
-            if step is None:
-                after, text = pending, []
-                for byte in self.tokens[token]:
-                    after, settled = utf8_step(after, byte)
-                    text.append(settled)
-                step = after, "".join(text)
-                if len(steps) < STEPS:
-                    steps[pending, token] = step
-            pending, text = step
+            text = None if pending else whole.get(token)
+            if text is None:
+                pending, text = self._step(pending, token)
             out.append(text)
         self.pending = pending
         return "".join(out)
 
+    def _step(self, pending: bytes, token: int) -> tuple[bytes, str]:
+        step = self.steps.get((pending, token))
+        if step is None:
+            after, text = pending, []
+            for byte in self.tokens[token]:
+                after, settled = utf8_step(after, byte)
+                text.append(settled)
+            step = after, "".join(text)
+            if not pending and not after:
+                self.whole[token] = step[1]
+            elif len(self.steps) < STEPS:
+                self.steps[pending, token] = step
+        return step
+
     def finish(self) -> str:
         left, self.pending = self.pending, b""
         return "�" if left else ""
@@ -260,7 +293,8 @@ class Codec:
         self.machine = Transducer(self.merges)
         self.pattern = regex.compile(pattern)
         self.seen: dict[str, tuple[int, ...]] = {}
-        self.decoded: dict = {}
+        self.decoded: tuple[dict, dict] = {}, {}
+        self.decimal = {rank: str(rank) for rank in self.merges.bytes}
 
     def _match(self, match: str) -> tuple[int, ...]:
         data = match.encode()
@@ -289,11 +323,11 @@ class Codec:
         return [x for block in self.encode_blocks(text) for x in block]
 
     def decoder(self) -> Decoding:
-        return Decoding(self.merges.bytes, self.decoded)
+        return Decoding(self.merges.bytes, *self.decoded)
 
     def decode(self, ids: Iterable[int]) -> str:
         run = self.decoder()
-        return run.feed(ids) + run.finish()
+        return run.feed(list(ids)) + run.finish()
 
 
 @functools.lru_cache(maxsize=2)
@@ -302,6 +336,18 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@contextmanager
+def uncollected():
+    """No cycle collection meanwhile: states and steps hold no cycles, and looking through them takes a third of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document its ids: doc_id, ids (array<int>)."""
 
@@ -310,7 +356,8 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             _, offsets = text_view(batch.column(1))
             for lo, hi in chunks(offsets):
-                ids = [own.encode(t) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                with uncollected():
+                    ids = [own.encode(t) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -336,18 +383,20 @@ def digest(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
+        decimal = own.decimal
         for batch in batches:
             _, offsets = text_view(batch.column(1))
             for lo, hi in chunks(offsets):
                 rows = []
-                for text in batch.column(1).slice(lo, hi - lo):
-                    n, ids, plain, back = 0, hashlib.sha256(), hashlib.sha256(), own.decoder()
-                    for block in own.encode_blocks(text.as_py()):
-                        ids.update((("," if n else "") + ",".join(map(str, block))).encode())
-                        plain.update(back.feed(block).encode())
-                        n += len(block)
-                    plain.update(back.finish().encode())
-                    rows.append((n, ids.hexdigest(), plain.hexdigest()))
+                with uncollected():
+                    for text in batch.column(1).slice(lo, hi - lo):
+                        n, ids, plain, back = 0, hashlib.sha256(), hashlib.sha256(), own.decoder()
+                        for block in own.encode_blocks(text.as_py()):
+                            ids.update((("," if n else "") + ",".join([decimal[x] for x in block])).encode())
+                            plain.update(back.feed(block).encode())
+                            n += len(block)
+                        plain.update(back.finish().encode())
+                        rows.append((n, ids.hexdigest(), plain.hexdigest()))
                 n, ids, plain = zip(*rows)
                 columns = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
