@@ -1,4 +1,18 @@
-"""Exact near-duplicate pairs over shingle sets, groups of equal sets, and the gate that keeps the first of near copies in order."""
+"""Exact near-duplicate pairs over shingle sets, groups of equal sets, and the gate that keeps the first of near copies in order.
+
+A text's set is the sorted 64-bit hashes of its shingles; sets are told apart by
+SHA-256 over them, here and in ``equal_sets``. Sets meet by a positional prefix
+filter: of each set the features that a similar set cannot all lack, rarest
+first, are posted, and two sets that share one are compared unless their sizes
+or the places of the feature rule it out. A feature that very many sets post is
+split by the feature that comes next: similar sets share two of a prefix that
+is one longer. Pairs are verified in blocks of sets, so a set travels once for
+each pair of blocks and not once for each pair.
+
+Defined results: null and empty texts and texts under ``SHINGLE`` words have an
+empty set, which is similar to nothing; equal sets are one group, named by its
+smallest id, and are not paired; ids must be unique; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.quality import DUPLICATE, SHINGLE, fingerprint, shingle_source
-from marginalia.session import checkpointed
+from marginalia.operators.quality import DUPLICATE, SHINGLE, shingle_source
+from marginalia.session import checkpointed, dropped, stored
 
 #: Odd multipliers of the hashes of words and of shingles.
 WORD_BASE, SHINGLE_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 IN_WORD = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8))
 #: Bytes of text that are hashed at once; a longer text is hashed by itself.
 AT_ONCE = 1 << 20
-
-
-def fingerprints(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    return df.select(F.col(ident).alias("id"), fingerprint(F.col(text)).alias("prints"))
+#: Features of a block of sets, on average.
+BLOCK_FEATURES = 1 << 17
+#: Sets that the order of features is taken from, and features that it ranks. Any order gives the same pairs.
+ORDER_SETS, RANKED = 20_000, 1 << 17
+#: Postings of a feature beyond which it is split by the next one.
+LONG = 1_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -31,9 +47,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _set_keys(data: np.ndarray, offsets: np.ndarray, size: int) -> list[bytes | None]:
-    """SHA-256 of each text's set of shingles, as sorted 64-bit hashes; None without any. Texts lie between the offsets."""
-    none = [None] * (len(offsets) - 1)
+def _set_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """Each text's shingles as sorted distinct 64-bit hashes. Texts lie between the offsets."""
+    none = [np.zeros(0, np.uint64)] * (len(offsets) - 1)
     inside = IN_WORD[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -56,101 +72,273 @@ def _set_keys(data: np.ndarray, offsets: np.ndarray, size: int) -> list[bytes |
     hashes = _mixed(hashes)
     first = np.searchsorted(at[starts], offsets).tolist()
     spans = zip(first, (x - size + 1 for x in first[1:]))
-    return [hashlib.sha256(np.unique(hashes[lo:hi]).tobytes()).digest() if hi > lo else None for lo, hi in spans]
+    return [np.unique(hashes[lo:hi]) if hi > lo else none[0] for lo, hi in spans]
 
 
-def set_keys(texts: pa.Array, size: int = SHINGLE) -> pa.Array:
-    """Of each text a digest of its set of ``size``-word shingles, words being runs of a-z0-9; null without any. A null text is empty."""
+def _sets(texts: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
+    """The sets of about a megabyte of texts at a time."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
-        return pa.array([], pa.binary())
+        return
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    out, lo = [], 0
+    lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + AT_ONCE, side="right")) - 1)
-        out += _set_keys(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+        yield _set_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
         lo = hi
-    return pa.array(out, pa.binary())
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.sha256(hashes.tobytes()).digest()
+
+
+def set_keys(texts: pa.Array, size: int = SHINGLE) -> pa.Array:
+    """Of each text a digest of its set of ``size``-word shingles, words being runs of a-z0-9; null without any. A null text is empty."""
+    return pa.array([_digest(x) if len(x) else None for part in _sets(texts, size) for x in part], pa.binary())
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(x) for x in arrays], out=offsets[1:])
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
+def _named(df: DataFrame, ident: str, text: str) -> DataFrame:
+    return df.select(F.col(ident).alias("id"), shingle_source(F.col(text)).alias("source"))
+
+
+def fingerprints(df: DataFrame, ident: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(id, prints): of each text its set, as sorted 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in _sets(batch.column(1), size):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), _lists(part)], names=["id", "prints"])
+                at += len(part)
+
+    rows = _named(df, ident, text)
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, prints array<long>")
 
 
 def equal_sets(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, group): each id whose text has shingles, with the smallest id of those that have the same set.
 
-    Sets are told apart by SHA-256 over 64-bit hashes of their shingles. Texts are read once, and only ids and digests are shuffled.
+    Texts are read once, and only ids and digests are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), set_keys(batch.column(1))], names=["id", "key"])
 
-    rows = df.select(F.col(ident).alias("id"), shingle_source(F.col(text)).alias("source"))
+    rows = _named(df, ident, text)
     keyed = checkpointed(rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key binary").where("key IS NOT NULL"))
     return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("group")), "key").select("id", "group")
 
 
-def _postings(prints: DataFrame, percent: int) -> DataFrame:
-    """(h, group, size): of each distinct set its rarest features, more than similar sets can lack."""
-    rows = prints.select("group", F.size("prints").alias("size"), F.explode("prints").alias("h"))
-    often = rows.groupBy("h").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("group").orderBy("df", "h"))
-    keep = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    # A feature of one set only meets nothing; it still takes its place in the order.
-    return rows.join(often, "h").withColumn("r", rank).where((F.col("r") <= keep) & (F.col("df") > 1)).select("h", "group", "size")
+def _keyed(prints: DataFrame) -> DataFrame:
+    """(id, key, n, prints) of the sets that are not empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(x.values.to_numpy().view(np.uint64)) for x in batch.column(1)]
+            keys = pa.array([_digest(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array([len(x) for x in sets], pa.int32()), _lists(sets)], names=["id", "key", "n", "prints"])
+
+    rows = prints.where(F.size("prints") > 0).select("id", "prints")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key binary, n int, prints array<long>")
+
+
+def _order(sets: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features that are common in a bounded sample of the sets, sorted, and how often they are."""
+    rate = min(1.0, ORDER_SETS / max(count, 1))
+    sample = sets.where(F.pmod(F.xxhash64("prints"), F.lit(1 << 20)) < rate * (1 << 20)).limit(2 * ORDER_SETS)
+    often = sample.select(F.explode("prints").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(RANKED).toArrow()
+    h, n = often.column("h").to_numpy(), often.column("count").to_numpy()
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def _prefixes(batch: pa.RecordBatch, order: tuple[np.ndarray, np.ndarray], percent: int, more: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, place, size) of the first features of each set: as many as a similar set cannot all lack, and ``more``."""
+    prints = batch.column(batch.schema.names.index("prints"))
+    sizes = np.diff(prints.offsets.to_numpy()).astype(np.int64)
+    flat = prints.flatten().to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    ranked, counts = order
+    weight = np.zeros(len(flat), np.int64)
+    if len(ranked):
+        at = np.minimum(np.searchsorted(ranked, flat), len(ranked) - 1)
+        weight = np.where(ranked[at] == flat, counts[at], 0)
+    by = np.lexsort((flat, weight, row))
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(flat)) - starts[row]
+    kept = place < (sizes + (-percent * sizes // 100) + 1 + more)[row]
+    return row[kept], flat[by][kept], place[kept], sizes[row[kept]]
+
+
+def _posted(sets: DataFrame, order, percent: int, ident: str) -> DataFrame:
+    """(h, group, size, place): each set's prefix."""
+    held = sets.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, h, place, size = _prefixes(batch, held.value, percent, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(row)), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))], names=["h", "group", "size", "place"])
+
+    return sets.select("group", "prints").mapInArrow(run, f"h long, group {ident}, size int, place int")
+
+
+def _split(sets: DataFrame, order, percent: int, ident: str) -> DataFrame:
+    """(h, group, size, place) of sets with ``long``, features to be split: each with every later one of a prefix that is one longer; ``place`` is that of the first."""
+    held = sets.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, h, place, size = _prefixes(batch, held.value, percent, 1)
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            for i, wanted in enumerate(batch.column(2)):
+                lo, hi = bounds[i], bounds[i + 1]
+                own = h[lo:hi].view(np.uint64)
+                for k in np.flatnonzero(np.isin(h[lo:hi], wanted.values.to_numpy())):
+                    both = _mixed(own[k] * SHINGLE_BASE + own[k + 1 :])
+                    for to, values in zip(out, (both.view(np.int64), np.full(len(both), i), size[lo : lo + 1].repeat(len(both)), np.full(len(both), k))):
+                        to.append(values)
+            a, b, c, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            yield pa.RecordBatch.from_arrays([pa.array(a), batch.column(0).take(pa.array(b)), pa.array(c.astype(np.int32)), pa.array(d.astype(np.int32))], names=["h", "group", "size", "place"])
+
+    return sets.select("group", "prints", "long").mapInArrow(run, f"h long, group {ident}, size int, place int")
+
+
+def _met(posted: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: groups that share a posting and whose sizes and places allow similarity, were it the first that they share."""
+    a, b = posted.alias("a"), posted.alias("b")
+    less, more = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
+    most = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+    fits = (less * 100 >= more * percent) & (most * (100 + percent) >= (F.col("a.size") + F.col("b.size")) * percent)
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.group") < F.col("b.group")) & fits)
+    return pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"))
+
+
+def _candidates(sets: DataFrame, count: int, percent: int, ident: str) -> DataFrame:
+    """(a, b), a < b: every pair of groups that may be similar, once."""
+    order = _order(sets, count)
+    posted = stored(_posted(sets, order, percent, ident))
+    often = stored(posted.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    met = _met(posted.join(often.where(F.col("df") <= LONG), "h"), percent)
+    hot = often.where(F.col("df") > LONG)
+    if not hot.isEmpty():
+        wanted = posted.join(hot.select("h"), "h").groupBy("group").agg(F.collect_list("h").alias("long"))  # a set's own prefix at most
+        met = met.unionByName(_met(_split(sets.join(wanted, "group"), order, percent, ident), percent))
+    out = checkpointed(met.distinct())
+    dropped(posted, often)
+    return out
+
+
+def _verified(met: DataFrame, sets: DataFrame, percent: int, ident: str) -> DataFrame:
+    """(a, b, shared, union) of the pairs that are similar; each set goes once to each pair of blocks that it has a pair in."""
+    place = sets.select("group", "block")
+    dealt = met.join(place.select(F.col("group").alias("a"), F.col("block").alias("p")), "a").join(place.select(F.col("group").alias("b"), F.col("block").alias("q")), "b")
+    dealt = checkpointed(dealt.select("p", "q", "a", "b"))
+    wanted = dealt.select("p", "q", F.col("a").alias("group")).unionByName(dealt.select("p", "q", F.col("b").alias("group"))).distinct()
+    held = wanted.join(sets.select("group", "prints"), "group").select(F.col("p").alias("p_of"), F.col("q").alias("q_of"), "group", "prints")
+
+    def verify(pairs: pa.Table, arrays: pa.Table) -> pa.Table:
+        groups = arrays.column("group").to_pylist()
+        at = {g: i for i, g in enumerate(groups)}
+        column = arrays.column("prints").combine_chunks()
+        flat, bounds = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
+        a = np.array([at[g] for g in pairs.column("a").to_pylist()], np.int64)
+        b = np.array([at[g] for g in pairs.column("b").to_pylist()], np.int64)
+        by = np.argsort(a, kind="stable")
+        a, b = a[by], b[by]
+        sizes = np.diff(bounds)
+        shared = np.zeros(len(a), np.int64)
+        edges = np.flatnonzero(np.diff(a, prepend=-1)).tolist() + [len(a)]
+        for lo, hi in zip(edges, edges[1:]):
+            own = flat[bounds[a[lo]] : bounds[a[lo] + 1]]
+            others = np.concatenate([flat[bounds[j] : bounds[j + 1]] for j in b[lo:hi]])
+            found = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+            starts = np.cumsum(sizes[b[lo:hi]]) - sizes[b[lo:hi]]
+            shared[lo:hi] = np.add.reduceat(found.astype(np.int64), starts)
+        union = sizes[a] + sizes[b] - shared
+        good = np.flatnonzero(shared * 100 >= union * percent)
+        names = arrays.column("group").combine_chunks()
+        return pa.table({"a": names.take(pa.array(a[good])), "b": names.take(pa.array(b[good])), "shared": pa.array(shared[good]), "union": pa.array(union[good])})
+
+    out = dealt.groupBy("p", "q").cogroup(held.groupBy("p_of", "q_of")).applyInArrow(verify, f"a {ident}, b {ident}, shared long, union long")
+    out = checkpointed(out)
+    dropped(dealt)
+    return out
 
 
 def similar_groups(prints: DataFrame, percent: int = int(DUPLICATE * 100)) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): ``members`` names each id's group of equal sets; ``pairs`` are groups of Jaccard percent / 100 or more.
+    """(members, pairs): ``members`` (id, group) names each id's group of equal sets; ``pairs`` (a, b, shared, union) are groups of Jaccard percent / 100 or more.
 
-    Equal sets are one group, so copies are never paired with one another. Empty sets have no group.
+    ``prints``: id, prints. Equal sets are one group, so copies are never paired
+    with one another. Empty sets have no group. Both results are checkpoints.
     """
-    named = prints.where(F.size("prints") > 0).withColumn("prints", F.array_sort("prints"))
-    named = named.withColumn("key", F.sha2(F.array_join(F.transform("prints", lambda x: x.cast("string")), ","), 256))
-    members = checkpointed(named.groupBy("key").agg(F.min("id").alias("group"), F.first("prints").alias("prints"), F.count("*").alias("n")))
-    who = named.select("id", "key").join(members.select("key", "group"), "key").select("id", "group")
-    sets = members.select("group", "prints")
-    posted = checkpointed(_postings(sets, percent))
-    a, b = posted.alias("a"), posted.alias("b")
-    fits = (F.col("a.size") * 100 >= F.col("b.size") * percent) & (F.col("b.size") * 100 >= F.col("a.size") * percent)
-    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.group") < F.col("b.group")) & fits)
-    met = met.select(F.col("a.group").alias("a"), F.col("b.group").alias("b")).distinct()
-    both = met.join(sets.select(F.col("group").alias("a"), F.col("prints").alias("pa")), "a").join(sets.select(F.col("group").alias("b"), F.col("prints").alias("pb")), "b")
-    shared = F.size(F.array_intersect("pa", "pb"))
-    union = F.size("pa") + F.size("pb") - shared
-    return who, both.select("a", "b", shared.alias("shared"), union.alias("union")).where(F.col("shared") * 100 >= F.col("union") * percent)
+    keyed = stored(_keyed(prints))
+    ident = dict(keyed.dtypes)["id"]
+    distinct = keyed.groupBy("key").agg(F.min("id").alias("group"), F.first("prints").alias("prints"), F.first("n").alias("n"))
+    total = keyed.agg(F.sum("n").alias("n")).first()["n"] or 0
+    # Sets with the same least feature are likely to be similar, so blocks are cut from their order by it.
+    blocks = max(1, -(-total // BLOCK_FEATURES))
+    ordered = distinct.withColumn("least", F.get("prints", F.lit(0))).repartitionByRange(blocks, "least", "group")
+    sets = stored(ordered.select("key", "group", "n", "prints", F.spark_partition_id().alias("block")))
+    who = checkpointed(keyed.select("id", "key").join(sets.select("key", "group"), "key").select("id", "group"))
+    met = _candidates(sets, sets.count(), percent, ident)
+    pairs = _verified(met, sets, percent, ident)
+    dropped(keyed, sets, met)
+    return who, pairs
 
 
 def gate(candidates: DataFrame, percent: int = int(DUPLICATE * 100)) -> DataFrame:
     """(id, disposition, named) in the order of ids: accepted, junk, or duplicate of the first accepted similar one.
 
     ``candidates``: id, prints, junk. Only accepted documents hold others back.
-    Settled by rounds over links from earlier to later documents: one with an
-    accepted earlier neighbour is a duplicate, one whose earlier neighbours are
-    all settled otherwise is accepted. Of a group of equal sets the first that is
-    not junk speaks for it. Rounds end; each settles the smallest open id at least.
+    The accepted ones are the independent set that goes by smallest ids, found
+    by rounds: of the documents that still wait, one without an earlier one that
+    waits is accepted, and those similar to it go. A round carries on only the
+    links between documents that wait, so there are as many rounds as the longest
+    run of decisions that hang on one another, and each reads less than the last.
+    Of a group of equal sets the first that is not junk speaks for it. The result is a checkpoint.
     """
     candidates = checkpointed(candidates)  # read several times below
     who, pairs = similar_groups(candidates.select("id", "prints"), percent)
-    who = checkpointed(who.join(candidates.select("id", "junk"), "id"))
-    speaker = who.where("NOT junk").groupBy("group").agg(F.min("id").alias("speaker"))
-    pairs = checkpointed(pairs)
+    named = checkpointed(who.join(candidates.select("id", "junk"), "id"))
+    speaker = checkpointed(named.where("NOT junk").groupBy("group").agg(F.min("id").alias("speaker")))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.join(speaker.select(F.col("group").alias("a"), F.col("speaker").alias("first")), "a").join(speaker.select(F.col("group").alias("b"), F.col("speaker").alias("later")), "b")
     links = checkpointed(links.where("first < later").select("first", "later"))
-    state = checkpointed(speaker.select(F.col("speaker").alias("id"), F.lit(None).cast("string").alias("s")))
-    while not state.where("s IS NULL").isEmpty():
-        seen = links.join(state.select(F.col("id").alias("first"), F.coalesce("s", F.lit("open")).alias("fs")), "first")
-        facts = seen.groupBy("later").agg(F.bool_or(F.col("fs") == "accepted").alias("held"), F.bool_or(F.col("fs") == "open").alias("open"))
-        judged = state.join(facts, state.id == facts.later, "left")
-        now = F.when(F.col("held"), "duplicate").when(~F.coalesce("open", F.lit(False)), "accepted")
-        state = checkpointed(judged.select("id", F.coalesce("s", now).alias("s")))
-    accepted = state.where("s = 'accepted'").select(F.col("id").alias("acc"))
+    gone: list[DataFrame] = []
+    waiting = links
+    while not waiting.isEmpty():
+        later = waiting.select(F.col("later").alias("first")).distinct()
+        free = checkpointed(waiting.select("first").distinct().join(later, "first", "left_anti"))  # no earlier one waits: accepted
+        held = checkpointed(waiting.join(free, "first", "left_semi").select(F.col("later").alias("first")).distinct())
+        settled = free.unionByName(held)
+        rest = waiting.join(settled, "first", "left_anti").join(held.select(F.col("first").alias("later")), "later", "left_anti")
+        rest = checkpointed(rest.select("first", "later"))
+        gone.append(held)
+        dropped(free, *([waiting] if waiting is not links else []))
+        waiting = rest
+    accepted = speaker
+    if gone:
+        refused = gone[0]
+        for more in gone[1:]:
+            refused = refused.unionByName(more)
+        accepted = speaker.join(refused.select(F.col("first").alias("speaker")), "speaker", "left_anti")
     # Which accepted document each group meets first: its own speaker, or one of a similar group.
-    own = speaker.join(accepted, F.col("speaker") == F.col("acc")).select("group", "acc")
+    own = accepted.select("group", F.col("speaker").alias("acc"))
     near = both.join(own.select(F.col("group").alias("a"), "acc"), "a").select(F.col("b").alias("group"), "acc")
-    held = own.unionByName(near)
-    first = who.join(held, "group").where("acc < id").groupBy("id").agg(F.min("acc").alias("named"))
-    out = candidates.select("id", "junk").join(first, "id", "left")
+    held_by = named.join(own.unionByName(near), "group").where("acc < id").groupBy("id").agg(F.min("acc").alias("named"))
+    out = candidates.select("id", "junk").join(held_by, "id", "left")
     disposition = F.when(F.col("named").isNotNull(), "duplicate").when(F.col("junk"), "junk").otherwise("accepted")
-    return out.select("id", disposition.alias("disposition"), "named")
+    out = checkpointed(out.select("id", disposition.alias("disposition"), "named"))
+    dropped(candidates, who, pairs, named, speaker, links, *([waiting] if waiting is not links else []), *gone)
+    return out

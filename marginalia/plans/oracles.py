@@ -134,6 +134,23 @@ UNION ALL SELECT page_id, 'http://' || a || '.' || b || '.0.1/', CASE WHEN a IN
         "shingle_counts": f"WITH {shingles}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id) SELECT doc_id, coalesce(n, 0)::BIGINT AS shingles FROM documents LEFT JOIN n USING (doc_id)",
         "near_dup_members": f"WITH {shingles}, {classes} SELECT doc_id, class_id FROM cls",
         "near_dup_pairs": f"WITH {shingles}, {classes}, {pairs} SELECT a, b, shared::BIGINT AS shared, (x.n + y.n - shared)::BIGINT AS total FROM pr JOIN cls x ON x.doc_id = a JOIN cls y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)",
+        # Of each class the first that is not junk speaks; speakers are taken in the order of ids, each accepted unless a similar one was before it.
+        "near_dup_gate": f"""WITH RECURSIVE scored AS ({score}), {shingles}, {classes}, {pairs},
+alike AS MATERIALIZED (SELECT a, b FROM pr JOIN cls x ON x.doc_id = a JOIN cls y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+eitherway AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
+named AS MATERIALIZED (SELECT doc_id, class_id, verdict = 'reject' AS junk FROM cls JOIN scored USING (doc_id)),
+speaker AS MATERIALIZED (SELECT class_id, min(doc_id) AS id FROM named WHERE NOT junk GROUP BY class_id),
+links AS MATERIALIZED (SELECT x.id AS earlier, y.id AS later FROM eitherway JOIN speaker x ON x.class_id = a JOIN speaker y ON y.class_id = b WHERE x.id < y.id),
+turns AS MATERIALIZED (SELECT later, row_number() OVER (ORDER BY later) AS k FROM (SELECT DISTINCT later FROM links)),
+walk(k, refused) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT t.k, CASE WHEN EXISTS (SELECT 1 FROM links l WHERE l.later = t.later AND NOT list_contains(w.refused, l.earlier)) THEN list_append(w.refused, t.later) ELSE w.refused END
+  FROM walk w JOIN turns t ON t.k = w.k + 1),
+refused AS (SELECT unnest(refused) AS id FROM (SELECT refused FROM walk ORDER BY k DESC LIMIT 1)),
+accepted AS (SELECT class_id, id FROM speaker WHERE id NOT IN (SELECT id FROM refused)),
+reach AS (SELECT class_id, id FROM accepted UNION ALL SELECT b, id FROM eitherway JOIN accepted ON class_id = a),
+first_met AS (SELECT n.doc_id, min(id) AS named FROM named n JOIN reach USING (class_id) WHERE id < n.doc_id GROUP BY n.doc_id)
+SELECT doc_id, CASE WHEN named IS NOT NULL THEN 'duplicate' WHEN verdict = 'reject' THEN 'junk' ELSE 'accepted' END AS disposition, named
+FROM scored LEFT JOIN first_met USING (doc_id)""",
         # What the table of decisions says of six kinds of responses; no fixture page holds a challenge.
         "response_classify": """SELECT page_id AS source_id, list_value('html', 'nonHtml', 'httpError', 'httpError', 'text', 'html')[page_id % 6 + 1] AS kind,
   list_value('use', 'reject', 'reject', 'render', 'render', 'use')[page_id % 6 + 1] AS decision,

@@ -157,8 +157,8 @@ def active_branch(spark, sf_dir):
 
 
 def shingle_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(quality.shingle_texts(F.col("text"))).cast("long").alias("shingles"))
+    prints = near_duplicates.fingerprints(table(spark, sf_dir, "documents"))
+    return prints.select(F.col("id").alias("doc_id"), F.size("prints").cast("long").alias("shingles"))
 
 
 def near_dup_pairs(spark, sf_dir):

@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import near_duplicates, quality
@@ -105,8 +106,8 @@ def test_members_are_found_without_pairs(spark, tmp_path, monkeypatch):
     for i in sorted(sets):
         first.setdefault(sets[i], i)
     assert len(first) < len([x for x in sets.values() if x])  # some are equal
-    monkeypatch.setattr(near_duplicates, "_postings", unwanted)
-    monkeypatch.setattr(near_duplicates, "fingerprint", unwanted)
+    for name in ("_posted", "_keyed", "fingerprints"):
+        monkeypatch.setattr(near_duplicates, name, unwanted)
     got = {r.doc_id: r.class_id for r in registry.near_dup_members(spark, str(tmp_path)).collect()}
     assert got == {i: first[s] for i, s in sets.items() if s}
     spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
@@ -114,3 +115,65 @@ def test_members_are_found_without_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(near_duplicates, "AT_ONCE", 1)
     whole = near_duplicates.set_keys(pa.array(texts)[3:]).to_pylist()
     assert whole == [near_duplicates.set_keys(pa.array([t], pa.string()))[0].as_py() for t in texts[3:]]
+
+
+def brute_pairs(rows, percent):
+    """Groups of equal sets by their smallest id, and their pairs."""
+    first = {}
+    for i, s in sorted(rows):
+        if s:
+            first.setdefault(frozenset(s), i)
+    heads = sorted((i, s) for s, i in first.items())
+    out = set()
+    for k, (a, x) in enumerate(heads):
+        for b, y in heads[k + 1 :]:
+            shared, union = len(x & y), len(x | y)
+            if shared * 100 >= union * percent:
+                out.add((a, b, shared, union))
+    return {i: first[frozenset(s)] for i, s in rows if s}, out
+
+
+@pytest.mark.parametrize("percent, long", [(75, 1_000), (75, 3), (60, 3), (90, 2), (100, 1)])
+def test_similar_groups_are_brute_force(spark, monkeypatch, percent, long):
+    """With one hot feature, families of near sets, copies, tiny and empty sets, and many small blocks."""
+    monkeypatch.setattr(near_duplicates, "LONG", long)
+    monkeypatch.setattr(near_duplicates, "BLOCK_FEATURES", 300)
+    rng = random.Random(percent * long)
+    base = [[rng.getrandbits(64) - (1 << 63) for _ in range(rng.randint(4, 40))] for _ in range(6)]
+    rows = []
+    for i in range(220):
+        own = set(rng.choice(base)) if rng.random() < 0.7 else {rng.getrandbits(64) - (1 << 63) for _ in range(rng.randint(0, 6))}
+        for x in rng.sample(sorted(own), min(len(own), rng.randrange(5))):
+            own.discard(x)
+            if rng.random() < 0.5:
+                own.add(rng.getrandbits(64) - (1 << 63))
+        rows.append((i, own | {7} if own else own))
+    rows += [(300 + i, rows[i][1]) for i in range(60)]
+    who, pairs = near_duplicates.similar_groups(spark.createDataFrame([(i, sorted(s)) for i, s in rows], "id long, prints array<long>").repartition(3), percent)
+    want, met = brute_pairs(rows, percent)
+    assert {r.id: r.group for r in who.collect()} == want
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == met
+
+
+def test_similar_groups_of_nothing(spark):
+    none = spark.createDataFrame([(1, [])], "id long, prints array<long>")
+    for df in (none, none.limit(0)):
+        who, pairs = near_duplicates.similar_groups(df)
+        assert who.count() == pairs.count() == 0
+    judged = near_duplicates.gate(none.withColumn("junk", F.lit(True))).collect()
+    assert [tuple(r) for r in judged] == [(1, "junk", None)]
+
+
+def test_fingerprints_are_the_shingles(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["ab", "c", "d9", "é", "```", "[x](u)"], k=rng.randint(0, 30))) for _ in range(80)] + [None, "", "a " * 4000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = {r.doc_id: r.n for r in docs.select("doc_id", F.size(quality.shingle_texts(F.col("text"))).alias("n")).collect()}
+    got = {r.id: r.prints for r in near_duplicates.fingerprints(docs).collect()}
+    assert {i: len(p) for i, p in got.items()} == sizes
+    named = {r.id: r.group for r in near_duplicates.equal_sets(docs).collect()}
+    first = {}
+    for i in sorted(got):
+        first.setdefault(tuple(got[i]), i)
+    assert named == {i: first[tuple(p)] for i, p in got.items() if p}  # one identity of sets
