@@ -17,7 +17,7 @@ smallest id, and are not paired; ids must be unique; an empty table gives no row
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -106,22 +106,24 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _named(df: DataFrame, ident: str, text: str) -> DataFrame:
-    return df.select(F.col(ident).alias("id"), shingle_source(F.col(text)).alias("source"))
+def _named(df: DataFrame, ident: str, text: str, carried: Sequence[str] = ()) -> DataFrame:
+    return df.select(F.col(ident).alias("id"), shingle_source(F.col(text)).alias("source"), *carried)
 
 
-def fingerprints(df: DataFrame, ident: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, prints): of each text its set, as sorted 64-bit hashes."""
+def fingerprints(df: DataFrame, ident: str = "doc_id", text: str = "text", size: int = SHINGLE, carried: Sequence[str] = ()) -> DataFrame:
+    """(id, prints) and the columns carried along: of each text its set, as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for part in _sets(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), _lists(part)], names=["id", "prints"])
+                own = [batch.column(k).slice(at, len(part)) for k in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([own[0], _lists(part), *own[1:]], names=["id", "prints", *carried])
                 at += len(part)
 
-    rows = _named(df, ident, text)
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, prints array<long>")
+    rows = _named(df, ident, text, carried)
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([f"id {kinds['id']}", "prints array<long>", *(f"`{c}` {kinds[c]}" for c in carried)]))
 
 
 def equal_sets(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,79 +141,71 @@ def equal_sets(df: DataFrame, ident: str = "doc_id", text: str = "text") -> Data
     return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("group")), "key").select("id", "group")
 
 
-def _keyed(prints: DataFrame) -> DataFrame:
-    """(id, key, n, prints) of the sets that are not empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(x.values.to_numpy().view(np.uint64)) for x in batch.column(1)]
-            keys = pa.array([_digest(x) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array([len(x) for x in sets], pa.int32()), _lists(sets)], names=["id", "key", "n", "prints"])
-
-    rows = prints.where(F.size("prints") > 0).select("id", "prints")
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key binary, n int, prints array<long>")
+def _sampled(df: DataFrame, ident: str) -> DataFrame:
+    """At most about ORDER_SETS rows, chosen by a hash of the id."""
+    rate = min(1.0, ORDER_SETS / max(df.count(), 1))
+    return df.where(F.pmod(F.xxhash64(ident), F.lit(1 << 20)) < rate * (1 << 20)).limit(2 * ORDER_SETS)
 
 
-def _order(sets: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+def _order(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Features that are common in a bounded sample of the sets, sorted, and how often they are."""
-    rate = min(1.0, ORDER_SETS / max(count, 1))
-    sample = sets.where(F.pmod(F.xxhash64("prints"), F.lit(1 << 20)) < rate * (1 << 20)).limit(2 * ORDER_SETS)
     often = sample.select(F.explode("prints").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(RANKED).toArrow()
     h, n = often.column("h").to_numpy(), often.column("count").to_numpy()
     by = np.argsort(h)
     return h[by], n[by]
 
 
-def _prefixes(batch: pa.RecordBatch, order: tuple[np.ndarray, np.ndarray], percent: int, more: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, place, size) of the first features of each set: as many as a similar set cannot all lack, and ``more``."""
-    prints = batch.column(batch.schema.names.index("prints"))
-    sizes = np.diff(prints.offsets.to_numpy()).astype(np.int64)
-    flat = prints.flatten().to_numpy()
-    row = np.repeat(np.arange(len(sizes)), sizes)
+def _prefixes(sets: list[np.ndarray], order: tuple[np.ndarray, np.ndarray], percent: int) -> list[np.ndarray]:
+    """The rarest features of each set: as many as a similar set cannot all lack, and one more."""
     ranked, counts = order
-    weight = np.zeros(len(flat), np.int64)
-    if len(ranked):
-        at = np.minimum(np.searchsorted(ranked, flat), len(ranked) - 1)
-        weight = np.where(ranked[at] == flat, counts[at], 0)
-    by = np.lexsort((flat, weight, row))
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(flat)) - starts[row]
-    kept = place < (sizes + (-percent * sizes // 100) + 1 + more)[row]
-    return row[kept], flat[by][kept], place[kept], sizes[row[kept]]
+    out = []
+    for own in sets:
+        own = own.view(np.int64)
+        if len(ranked) and len(own):
+            at = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
+            own = own[np.argsort(np.where(ranked[at] == own, counts[at], 0), kind="stable")]
+        out.append(own[: len(own) + (-percent * len(own) // 100) + 2].view(np.uint64))
+    return out
 
 
-def _posted(sets: DataFrame, order, percent: int, ident: str) -> DataFrame:
-    """(h, group, size, place): each set's prefix."""
-    held = sets.sparkSession.sparkContext.broadcast(order)
+def _keyed(prints: DataFrame, order: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """(id, key, n, least, prefix) of the sets that are not empty: digest, size, least feature and first features."""
+    held = prints.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, h, place, size = _prefixes(batch, held.value, percent, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(row)), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))], names=["h", "group", "size", "place"])
+            sets = [np.unique(x.values.to_numpy().view(np.uint64)) for x in batch.column(1)]
+            least = np.array([x[0] for x in sets], np.uint64).view(np.int64)
+            columns = [pa.array([_digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(least), _lists(_prefixes(sets, held.value, percent))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "key", "n", "least", "prefix"])
 
-    return sets.select("group", "prints").mapInArrow(run, f"h long, group {ident}, size int, place int")
+    rows = prints.where(F.size("prints") > 0).select("id", "prints")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key binary, n int, least long, prefix array<long>")
 
 
-def _split(sets: DataFrame, order, percent: int, ident: str) -> DataFrame:
-    """(h, group, size, place) of sets with ``long``, features to be split: each with every later one of a prefix that is one longer; ``place`` is that of the first."""
-    held = sets.sparkSession.sparkContext.broadcast(order)
+def _posted(heads: DataFrame, percent: int) -> DataFrame:
+    """(h, group, size, place): the features that each set posts."""
+    kept = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return heads.select("group", F.col("n").alias("size"), kept.alias("kept"), F.posexplode("prefix").alias("place", "h")).where("place < kept").select("h", "group", "size", "place")
+
+
+def _split(heads: DataFrame, ident: str) -> DataFrame:
+    """(h, group, size, place) of sets with ``long``, features to be split: each with every later one of the prefix; ``place`` is that of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, h, place, size = _prefixes(batch, held.value, percent, 1)
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            for i, wanted in enumerate(batch.column(2)):
-                lo, hi = bounds[i], bounds[i + 1]
-                own = h[lo:hi].view(np.uint64)
-                for k in np.flatnonzero(np.isin(h[lo:hi], wanted.values.to_numpy())):
-                    both = _mixed(own[k] * SHINGLE_BASE + own[k + 1 :])
-                    for to, values in zip(out, (both.view(np.int64), np.full(len(both), i), size[lo : lo + 1].repeat(len(both)), np.full(len(both), k))):
-                        to.append(values)
-            a, b, c, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-            yield pa.RecordBatch.from_arrays([pa.array(a), batch.column(0).take(pa.array(b)), pa.array(c.astype(np.int32)), pa.array(d.astype(np.int32))], names=["h", "group", "size", "place"])
-
-    return sets.select("group", "prints", "long").mapInArrow(run, f"h long, group {ident}, size int, place int")
+            h, row, size, place = [np.zeros(0, np.int64)], [], [], []
+            for i, (n, prefix, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3))):
+                own = prefix.values.to_numpy()
+                for k in np.flatnonzero(np.isin(own, wanted.values.to_numpy())).tolist():
+                    both = _mixed(own[k].view(np.uint64) * SHINGLE_BASE + own[k + 1 :].view(np.uint64))
+                    h.append(both.view(np.int64))
+                    row += [i] * len(both)
+                    size += [n] * len(both)
+                    place += [k] * len(both)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), batch.column(0).take(pa.array(row, pa.int64())), pa.array(size, pa.int32()), pa.array(place, pa.int32())], names=["h", "group", "size", "place"])
+
+    return heads.select("group", "n", "prefix", "long").mapInArrow(run, f"h long, group {ident}, size int, place int")
 
 
 def _met(posted: DataFrame, percent: int) -> DataFrame:
@@ -224,33 +218,37 @@ def _met(posted: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"))
 
 
-def _candidates(sets: DataFrame, count: int, percent: int, ident: str) -> DataFrame:
+def _candidates(heads: DataFrame, percent: int, ident: str) -> DataFrame:
     """(a, b), a < b: every pair of groups that may be similar, once."""
-    order = _order(sets, count)
-    posted = stored(_posted(sets, order, percent, ident))
-    often = stored(posted.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    posted = _posted(heads, percent)
+    often = checkpointed(posted.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     met = _met(posted.join(often.where(F.col("df") <= LONG), "h"), percent)
     hot = often.where(F.col("df") > LONG)
     if not hot.isEmpty():
         wanted = posted.join(hot.select("h"), "h").groupBy("group").agg(F.collect_list("h").alias("long"))  # a set's own prefix at most
-        met = met.unionByName(_met(_split(sets.join(wanted, "group"), order, percent, ident), percent))
+        met = met.unionByName(_met(_split(heads.join(wanted, "group"), ident), percent))
     out = checkpointed(met.distinct())
-    dropped(posted, often)
+    dropped(often)
     return out
 
 
-def _verified(met: DataFrame, sets: DataFrame, percent: int, ident: str) -> DataFrame:
-    """(a, b, shared, union) of the pairs that are similar; each set goes once to each pair of blocks that it has a pair in."""
-    place = sets.select("group", "block")
+def _verified(met: DataFrame, place: DataFrame, sets: DataFrame, percent: int, ident: str) -> DataFrame:
+    """(a, b, shared, union) of the pairs that are similar; each set goes once to each pair of blocks that it has a pair in.
+
+    ``sets``: id with prints, or with the source that they are made of, which is smaller.
+    """
     dealt = met.join(place.select(F.col("group").alias("a"), F.col("block").alias("p")), "a").join(place.select(F.col("group").alias("b"), F.col("block").alias("q")), "b")
     dealt = checkpointed(dealt.select("p", "q", "a", "b"))
-    wanted = dealt.select("p", "q", F.col("a").alias("group")).unionByName(dealt.select("p", "q", F.col("b").alias("group"))).distinct()
-    held = wanted.join(sets.select("group", "prints"), "group").select(F.col("p").alias("p_of"), F.col("q").alias("q_of"), "group", "prints")
+    wanted = dealt.select("p", "q", F.col("a").alias("id")).unionByName(dealt.select("p", "q", F.col("b").alias("id"))).distinct()
+    made = sets.columns[1]
+    held = wanted.join(sets, "id").select(F.col("p").alias("p_of"), F.col("q").alias("q_of"), F.col("id").alias("group"), made)
 
     def verify(pairs: pa.Table, arrays: pa.Table) -> pa.Table:
         groups = arrays.column("group").to_pylist()
         at = {g: i for i, g in enumerate(groups)}
-        column = arrays.column("prints").combine_chunks()
+        column = arrays.column(made).combine_chunks()
+        if made == "source":
+            column = _lists([x for part in _sets(column, SHINGLE) for x in part])
         flat, bounds = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
         a = np.array([at[g] for g in pairs.column("a").to_pylist()], np.int64)
         b = np.array([at[g] for g in pairs.column("b").to_pylist()], np.int64)
@@ -260,7 +258,7 @@ def _verified(met: DataFrame, sets: DataFrame, percent: int, ident: str) -> Data
         shared = np.zeros(len(a), np.int64)
         edges = np.flatnonzero(np.diff(a, prepend=-1)).tolist() + [len(a)]
         for lo, hi in zip(edges, edges[1:]):
-            own = flat[bounds[a[lo]] : bounds[a[lo] + 1]]
+            own = np.sort(flat[bounds[a[lo]] : bounds[a[lo] + 1]])
             others = np.concatenate([flat[bounds[j] : bounds[j + 1]] for j in b[lo:hi]])
             found = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
             starts = np.cumsum(sizes[b[lo:hi]]) - sizes[b[lo:hi]]
@@ -276,31 +274,47 @@ def _verified(met: DataFrame, sets: DataFrame, percent: int, ident: str) -> Data
     return out
 
 
-def similar_groups(prints: DataFrame, percent: int = int(DUPLICATE * 100)) -> tuple[DataFrame, DataFrame]:
+def similar_groups(prints: DataFrame, percent: int = int(DUPLICATE * 100), sample: DataFrame | None = None, source: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): ``members`` (id, group) names each id's group of equal sets; ``pairs`` (a, b, shared, union) are groups of Jaccard percent / 100 or more.
 
-    ``prints``: id, prints. Equal sets are one group, so copies are never paired
-    with one another. Empty sets have no group. Both results are checkpoints.
+    ``prints``: id, prints (distinct, in any order). It is run three times, as
+    whole sets take more room than the texts that they are made of: for the order
+    of features, for keys and prefixes, and for the sets that are to be verified.
+    ``sample`` (prints of some of the rows) and ``source`` (id, source) stand in for
+    it the first and the last time. Equal sets are one group, so copies are never
+    paired with one another. Empty sets have no group. Both results are checkpoints.
     """
-    keyed = stored(_keyed(prints))
+    sample = _sampled(prints, "id") if sample is None else sample
+    keyed = stored(_keyed(prints, _order(sample), percent))
     ident = dict(keyed.dtypes)["id"]
-    distinct = keyed.groupBy("key").agg(F.min("id").alias("group"), F.first("prints").alias("prints"), F.first("n").alias("n"))
-    total = keyed.agg(F.sum("n").alias("n")).first()["n"] or 0
+    who = checkpointed(keyed.join(keyed.groupBy("key").agg(F.min("id").alias("group")), "key").select("id", "group"))
+    first = who.where("id = group").select("id")
+    heads = stored(keyed.join(first, "id", "left_semi").select(F.col("id").alias("group"), "n", "least", "prefix"))
+    dropped(keyed)
+    met = _candidates(heads, percent, ident)
     # Sets with the same least feature are likely to be similar, so blocks are cut from their order by it.
-    blocks = max(1, -(-total // BLOCK_FEATURES))
-    ordered = distinct.withColumn("least", F.get("prints", F.lit(0))).repartitionByRange(blocks, "least", "group")
-    sets = stored(ordered.select("key", "group", "n", "prints", F.spark_partition_id().alias("block")))
-    who = checkpointed(keyed.select("id", "key").join(sets.select("key", "group"), "key").select("id", "group"))
-    met = _candidates(sets, sets.count(), percent, ident)
-    pairs = _verified(met, sets, percent, ident)
-    dropped(keyed, sets, met)
+    total = heads.agg(F.sum("n").alias("n")).first()["n"] or 0
+    ordered = heads.select("group", "least").repartitionByRange(max(1, -(-total // BLOCK_FEATURES)), "least", "group")
+    place = checkpointed(ordered.select("group", F.spark_partition_id().alias("block")))
+    pairs = _verified(met, place, prints.select("id", "prints") if source is None else source, percent, ident)
+    dropped(heads, met, place)
     return who, pairs
 
 
+def text_groups(df: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = int(DUPLICATE * 100)) -> tuple[DataFrame, DataFrame]:
+    """``similar_groups`` of texts."""
+    return similar_groups(fingerprints(df, ident, text), percent, fingerprints(_sampled(df, ident), ident, text), _named(df, ident, text))
+
+
 def gate(candidates: DataFrame, percent: int = int(DUPLICATE * 100)) -> DataFrame:
+    """``gated`` of candidates with id, prints and junk."""
+    return gated(similar_groups(candidates.select("id", "prints"), percent), candidates.select("id", "junk"))
+
+
+def gated(groups: tuple[DataFrame, DataFrame], flags: DataFrame) -> DataFrame:
     """(id, disposition, named) in the order of ids: accepted, junk, or duplicate of the first accepted similar one.
 
-    ``candidates``: id, prints, junk. Only accepted documents hold others back.
+    ``groups``: what ``similar_groups`` gives, which goes; ``flags``: id, junk. Only accepted documents hold others back.
     The accepted ones are the independent set that goes by smallest ids, found
     by rounds: of the documents that still wait, one without an earlier one that
     waits is accepted, and those similar to it go. A round carries on only the
@@ -308,9 +322,9 @@ def gate(candidates: DataFrame, percent: int = int(DUPLICATE * 100)) -> DataFram
     run of decisions that hang on one another, and each reads less than the last.
     Of a group of equal sets the first that is not junk speaks for it. The result is a checkpoint.
     """
-    candidates = checkpointed(candidates)  # read several times below
-    who, pairs = similar_groups(candidates.select("id", "prints"), percent)
-    named = checkpointed(who.join(candidates.select("id", "junk"), "id"))
+    flags = checkpointed(flags.select("id", "junk"))
+    who, pairs = groups
+    named = checkpointed(who.join(flags, "id"))
     speaker = checkpointed(named.where("NOT junk").groupBy("group").agg(F.min("id").alias("speaker")))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.join(speaker.select(F.col("group").alias("a"), F.col("speaker").alias("first")), "a").join(speaker.select(F.col("group").alias("b"), F.col("speaker").alias("later")), "b")
@@ -337,8 +351,8 @@ def gate(candidates: DataFrame, percent: int = int(DUPLICATE * 100)) -> DataFram
     own = accepted.select("group", F.col("speaker").alias("acc"))
     near = both.join(own.select(F.col("group").alias("a"), "acc"), "a").select(F.col("b").alias("group"), "acc")
     held_by = named.join(own.unionByName(near), "group").where("acc < id").groupBy("id").agg(F.min("acc").alias("named"))
-    out = candidates.select("id", "junk").join(held_by, "id", "left")
+    out = flags.join(held_by, "id", "left")
     disposition = F.when(F.col("named").isNotNull(), "duplicate").when(F.col("junk"), "junk").otherwise("accepted")
     out = checkpointed(out.select("id", disposition.alias("disposition"), "named"))
-    dropped(candidates, who, pairs, named, speaker, links, *([waiting] if waiting is not links else []), *gone)
+    dropped(flags, who, pairs, named, speaker, links, *([waiting] if waiting is not links else []), *gone)
     return out

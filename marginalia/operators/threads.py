@@ -1,17 +1,20 @@
 """Trees and sequences: comment trees, active branches, exchanges, self-threads, file trees, message streams.
 
-Trees are walked level by level with joins, so a thread of any size stays
-distributed; sequences are window functions. Only the depth-coded stream of
-one page (bounded by the page) is folded in Python.
+Trees are walked by joins, so a thread of any size stays distributed: branches
+and comment paths double their reach with every round, so a chain of n messages
+takes about log2(n) of them; sequences are window functions. Only the
+depth-coded stream of one page (bounded by the page) is folded in Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import demoted_headings, normalised_body, text_of
-from marginalia.session import checkpointed
+from marginalia.session import checkpointed, dropped
 
 UNBOUNDED = Window.unboundedPreceding
 
@@ -77,35 +80,51 @@ def _descend(roots: DataFrame, step) -> DataFrame:
             return out
 
 
+def _doubled(nodes: DataFrame, group: str, fold: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """``nodes`` with the columns of ``fold`` gathered from each node up to its root.
+
+    ``nodes``: ``group``, id, up (null for a root), and the columns. A column's
+    function takes a node's value and the value above it. Every round a node takes
+    over its upper node's pointer, so a chain of n nodes takes log2(n) rounds; nodes
+    below an unknown id, and on or below a cycle, go. The result is a checkpoint.
+    """
+    most = nodes.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    table = checkpointed(nodes)
+    for _ in range(int(most).bit_length() + 1):
+        if table.where("up IS NOT NULL").isEmpty():
+            break
+        above = table.select(group, F.col("id").alias("up"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in fold])
+        moved = table.where("up IS NOT NULL").join(above, [group, "up"])
+        moved = moved.select(*[F.col("_up").alias("up") if c == "up" else fold[c](F.col(c), F.col(f"_{c}")).alias(c) if c in fold else F.col(c) for c in table.columns])
+        new = checkpointed(table.where("up IS NULL").unionByName(moved))
+        dropped(table)
+        table = new
+    return table.where("up IS NULL")  # who still points somewhere is on a cycle
+
+
 def numbered_comments(comments: DataFrame, limit: int | None = None) -> DataFrame:
     """Live comments with ``path`` (1, 1.1, ...) and ``ord`` in depth-first order.
 
     Needs post_id, id, parent_id (null for roots), pos, kind and body. Deleted
     comments go and their replies rise into their place; ``more`` nodes take no
-    number; comments whose parent is unknown go. With ``limit``, only the first
-    so many in that order stay. Repeated ids: the first place counts.
+    number; comments whose parent is unknown go, and cycles. With ``limit``, only the
+    first so many in that order stay. Repeated ids: the first place counts.
     """
     first = F.row_number().over(Window.partitionBy("post_id", "id").orderBy("pos"))
     base = comments.withColumn("_r", first).where(F.col("_r") == 1).drop("_r").where("kind = 't1'")
-    base = checkpointed(base.select("post_id", "id", "parent_id", F.lpad(F.col("pos").cast("string"), 9, "0").alias("at"), is_deleted(F.col("body")).alias("gone")))
-    roots = base.where("parent_id IS NULL").select("post_id", "id", F.col("at").alias("sort"), F.lit(None).cast("string").alias("up"), "gone")
-
-    def below(level):
-        held = level.select("post_id", F.col("id").alias("parent_id"), "sort", F.when(F.col("gone"), F.col("up")).otherwise(F.col("id").cast("string")).alias("up"))
-        joined = base.join(held, ["post_id", "parent_id"])
-        return joined.select("post_id", "id", F.concat_ws(".", "sort", "at").alias("sort"), "up", "gone")
-
-    live = checkpointed(_descend(roots, below).where("NOT gone"))
-    place = F.row_number().over(Window.partitionBy("post_id", "up").orderBy("sort"))
-    live = live.withColumns({"n": place.cast("string"), "ord": F.row_number().over(Window.partitionBy("post_id").orderBy("sort"))})
-    live = checkpointed(live)
-    top = live.where("up IS NULL").select("post_id", F.col("id").cast("string").alias("up"), F.col("n").alias("path"))
-
-    def named(level):
-        return live.join(level, ["post_id", "up"]).select("post_id", F.col("id").cast("string").alias("up"), F.concat_ws(".", "path", "n").alias("path"))
-
-    paths = _descend(top, named).select("post_id", F.col("up").alias("id"), "path")
-    out = live.withColumn("id", F.col("id").cast("string")).join(paths, ["post_id", "id"]).select("post_id", "id", "path", "ord")
+    text = lambda c: F.col(c).cast("string")
+    base = checkpointed(base.select("post_id", text("id").alias("id"), text("parent_id").alias("up"), F.lpad(text("pos"), 9, "0").alias("sort"), is_deleted(F.col("body")).alias("gone")))
+    # Of each comment the nearest live one above it, and the places from the top, which sort in depth-first order.
+    alive = base.select("post_id", F.col("id").alias("up"), F.when(~F.col("gone"), F.col("id")).alias("live"))
+    lifted = _doubled(
+        base.join(alive, ["post_id", "up"], "left").select("post_id", "id", "up", "sort", "live", "gone"), "post_id",
+        {"sort": lambda own, above: F.concat_ws(".", above, own), "live": lambda own, above: F.coalesce(own, above)},
+    )
+    place = F.row_number().over(Window.partitionBy("post_id", "live").orderBy("sort"))
+    live = lifted.where("NOT gone").withColumns({"path": place.cast("string"), "ord": F.row_number().over(Window.partitionBy("post_id").orderBy("sort"))})
+    out = _doubled(live.select("post_id", "id", F.col("live").alias("up"), "path", "ord"), "post_id", {"path": lambda own, above: F.concat_ws(".", above, own)})
+    dropped(base)
+    out = out.select("post_id", "id", "path", "ord")
     return out.where(F.col("ord") <= limit) if limit else out
 
 
@@ -175,21 +194,32 @@ def active_branch(nodes: DataFrame, leaves: DataFrame | None = None) -> DataFram
     """(conv_id, node_id, depth from the leaf) from each conversation's leaf to its root.
 
     ``nodes``: conv_id, node_id, parent_id, created_at. Without a known leaf the
-    newest node is it (ties: the larger id). A cycle ends where it closes.
+    newest node is it (ties: the larger id). A cycle ends where it closes. Each round doubles
+    the branch, by pointers that skip as many nodes as it has. The result is a checkpoint.
     """
     newest = nodes.groupBy("conv_id").agg(F.max_by("node_id", F.struct("created_at", "node_id")).alias("node_id"))
     if leaves is not None:
         known = leaves.join(nodes.select("conv_id", "node_id"), ["conv_id", "node_id"], "left_semi").groupBy("conv_id").agg(F.first("node_id").alias("leaf"))
         newest = newest.join(known, "conv_id", "left").select("conv_id", F.coalesce("leaf", "node_id").alias("node_id"))
-    edges = checkpointed(nodes.select("conv_id", "node_id", "parent_id"))
-    start = newest.select("conv_id", "node_id", F.lit(0).alias("depth"), F.array(F.col("node_id").cast("string")).alias("seen"))
-
-    def up(level):
-        parents = level.join(edges, ["conv_id", "node_id"]).select("conv_id", F.col("parent_id").alias("node_id"), (F.col("depth") + 1).alias("depth"), "seen")
-        fresh = parents.where(F.col("node_id").isNotNull() & ~F.array_contains("seen", F.col("node_id").cast("string")))
-        return fresh.join(edges, ["conv_id", "node_id"], "left_semi").withColumn("seen", F.concat("seen", F.array(F.col("node_id").cast("string"))))
-
-    return _descend(start, up).select("conv_id", "node_id", "depth")
+    at = nodes.select("conv_id", "node_id").distinct()
+    jumps = nodes.select("conv_id", "node_id", F.col("parent_id").alias("to")).where("to IS NOT NULL").join(at.withColumnRenamed("node_id", "to"), ["conv_id", "to"], "left_semi")
+    jumps = checkpointed(jumps.select("conv_id", "node_id", "to").distinct())
+    path = checkpointed(newest.select("conv_id", "node_id", F.lit(0).alias("depth")))
+    reach, held = 1, path.count()
+    while True:
+        # The branch so far, and the same moved up by its length; on a cycle nothing is new.
+        ahead = path.join(jumps, ["conv_id", "node_id"]).select("conv_id", F.col("to").alias("node_id"), (F.col("depth") + reach).alias("depth"))
+        longer = checkpointed(path.unionByName(ahead).groupBy("conv_id", "node_id").agg(F.min("depth").alias("depth")))
+        dropped(path)
+        path, now = longer, longer.count()
+        if now == held:
+            dropped(jumps)
+            return path
+        held, reach = now, 2 * reach
+        twice = jumps.join(jumps.select("conv_id", F.col("node_id").alias("to"), F.col("to").alias("further")), ["conv_id", "to"])
+        twice = checkpointed(twice.select("conv_id", "node_id", F.col("further").alias("to")))
+        dropped(jumps)
+        jumps = twice
 
 
 def exchanges(messages: DataFrame, order: str = "turn") -> DataFrame:
