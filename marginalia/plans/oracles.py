@@ -44,7 +44,7 @@ m AS (SELECT doc_id, n, len(lines) AS n_lines,
 
 def all_of() -> dict[str, str]:
     from marginalia.functions.text import NAMED_ENTITIES
-    from marginalia.plans.registry import QUESTION
+    from marginalia.plans.registry import HARVEST_SECONDS, QUESTION
 
     share = lambda a, b: f"CASE WHEN {b} > 0 THEN ({a}) / {b} ELSE 0.0 END"
     # Documents have no URL of their own, so no link is outbound; channel pitches are tested apart, on rows that have some.
@@ -131,6 +131,13 @@ UNION ALL SELECT page_id, 'http://' || a || '.' || b || '.0.1/', CASE WHEN a IN
         "first_n": "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) > 3 AS truncated FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3",
         "file_tree": f"WITH {url_parts}, f AS (SELECT DISTINCT host AS repo, list_filter(string_split(path, '/'), lambda s: s <> '') AS l FROM p), n AS (SELECT repo, array_to_string(l[1:k], '/') AS path, max(k < len(l)) AS is_dir FROM (SELECT repo, l, unnest(range(1, len(l) + 1)) AS k FROM f) GROUP BY 1, 2) SELECT repo, count(*) FILTER (NOT is_dir) AS files, count(*) FILTER (is_dir) AS dirs FROM n GROUP BY repo",
         "active_branch": "WITH RECURSIVE top AS (SELECT conv_id, max(turn) AS node_id FROM conversations GROUP BY conv_id), b AS (SELECT conv_id, node_id, 0 AS depth FROM top UNION ALL SELECT b.conv_id, c.turn, depth + 1 FROM b JOIN conversations c ON c.conv_id = b.conv_id AND c.turn = floor(b.node_id / 2)::BIGINT WHERE b.node_id > 0) SELECT conv_id, node_id, depth::BIGINT AS depth FROM b",
+        # Replies of deleted comments rise into their place; a level at a time.
+        "comment_paths": """WITH RECURSIVE c AS (SELECT DISTINCT conv_id, turn, CASE WHEN turn > 0 THEN floor(turn / 2)::BIGINT END AS parent, turn % 3 = 1 AS gone FROM conversations),
+t AS (SELECT conv_id, turn, lpad(turn::VARCHAR, 9, '0') AS sort, NULL::BIGINT AS up, gone FROM c WHERE parent IS NULL
+  UNION ALL SELECT c.conv_id, c.turn, t.sort || '.' || lpad(c.turn::VARCHAR, 9, '0'), CASE WHEN t.gone THEN t.up ELSE t.turn END, c.gone FROM c JOIN t ON c.conv_id = t.conv_id AND c.parent = t.turn),
+live AS (SELECT *, row_number() OVER (PARTITION BY conv_id, up ORDER BY sort) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY sort) AS ord FROM t WHERE NOT gone),
+p AS (SELECT conv_id, turn, n::VARCHAR AS path, ord FROM live WHERE up IS NULL UNION ALL SELECT l.conv_id, l.turn, p.path || '.' || l.n, l.ord FROM live l JOIN p ON l.conv_id = p.conv_id AND l.up = p.turn)
+SELECT conv_id AS post_id, turn::VARCHAR AS id, path, ord::BIGINT AS ord FROM p""",
         "shingle_counts": f"WITH {shingles}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id) SELECT doc_id, coalesce(n, 0)::BIGINT AS shingles FROM documents LEFT JOIN n USING (doc_id)",
         "near_dup_members": f"WITH {shingles}, {classes} SELECT doc_id, class_id FROM cls",
         "near_dup_pairs": f"WITH {shingles}, {classes}, {pairs} SELECT a, b, shared::BIGINT AS shared, (x.n + y.n - shared)::BIGINT AS total FROM pr JOIN cls x ON x.doc_id = a JOIN cls y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)",
@@ -151,6 +158,28 @@ reach AS (SELECT class_id, id FROM accepted UNION ALL SELECT b, id FROM eitherwa
 first_met AS (SELECT n.doc_id, min(id) AS named FROM named n JOIN reach USING (class_id) WHERE id < n.doc_id GROUP BY n.doc_id)
 SELECT doc_id, CASE WHEN named IS NOT NULL THEN 'duplicate' WHEN verdict = 'reject' THEN 'junk' ELSE 'accepted' END AS disposition, named
 FROM scored LEFT JOIN first_met USING (doc_id)""",
+        # Pairs within a run; each document in turn is a duplicate if an accepted one before it is similar.
+        "stream_gate": f"""WITH RECURSIVE {shingles}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id AND x.doc_id // 50 = y.doc_id // 50 GROUP BY 1, 2),
+d AS MATERIALIZED (SELECT doc_id, coalesce(length(text), 0) < 200 AS junk FROM documents),
+links AS MATERIALIZED (SELECT a, b FROM pr JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b JOIN d ON d.doc_id = a WHERE 100 * shared >= 75 * (x.n + y.n - shared) AND NOT junk),
+turns AS MATERIALIZED (SELECT b, row_number() OVER (ORDER BY b) AS k FROM (SELECT DISTINCT b FROM links)),
+walk(k, refused) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT t.k, CASE WHEN EXISTS (SELECT 1 FROM links l WHERE l.b = t.b AND NOT list_contains(w.refused, l.a)) THEN list_append(w.refused, t.b) ELSE w.refused END FROM walk w JOIN turns t ON t.k = w.k + 1),
+refused AS MATERIALIZED (SELECT unnest(refused) AS id FROM (SELECT refused FROM walk ORDER BY k DESC LIMIT 1)),
+met AS (SELECT b AS doc_id, min(a) AS named FROM links WHERE a NOT IN (SELECT id FROM refused) GROUP BY b)
+SELECT doc_id, (doc_id // 50)::VARCHAR AS run, CASE WHEN named IS NOT NULL THEN 'duplicate' WHEN junk THEN 'junk' ELSE 'accepted' END AS disposition, named FROM d LEFT JOIN met USING (doc_id)""",
+        # A list ends with its 15th item, with a pass after two without news, or with one that begins too late.
+        "stream_harvest": f"""WITH e AS (SELECT user_id, event_id AS seq, ts, (ts::DATE - DATE '1970-01-01')::BIGINT AS pass, event_type || ':' || floor(value / 10)::BIGINT AS key FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id, key ORDER BY pass, seq) = 1 AS fresh FROM e),
+p AS (SELECT user_id, pass, count(*) FILTER (fresh) AS added, arg_min(ts, seq) AS t FROM f GROUP BY user_id, pass),
+q AS (SELECT *, max(CASE WHEN added > 0 THEN pass END) OVER (PARTITION BY user_id ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_new, first_value(t) OVER (PARTITION BY user_id ORDER BY pass) AS t0 FROM p),
+cut AS (SELECT user_id, min(pass) FILTER (pass - last_new - 1 >= 2) AS idle_pass, min(pass) FILTER (epoch_ms(t) > epoch_ms(t0) + {HARVEST_SECONDS * 1000}) AS late_pass FROM q GROUP BY user_id),
+items AS (SELECT user_id, key, pass, row_number() OVER (PARTITION BY user_id ORDER BY pass, seq) AS pos FROM f JOIN cut USING (user_id) WHERE fresh AND pass < coalesce(least(idle_pass, late_pass), pass + 1)),
+ends AS (SELECT user_id, max(pass) FILTER (pos = 15) AS full_pass FROM items GROUP BY user_id)
+SELECT user_id::VARCHAR AS list, key, pos, pass, NULL AS ended FROM items WHERE pos <= 15
+UNION ALL SELECT user_id::VARCHAR, NULL, NULL, coalesce(full_pass, least(idle_pass, late_pass)), CASE WHEN full_pass IS NOT NULL THEN 'limit' WHEN idle_pass <= coalesce(late_pass, idle_pass) THEN 'idle' ELSE 'deadline' END
+FROM cut JOIN ends USING (user_id) WHERE full_pass IS NOT NULL OR idle_pass IS NOT NULL OR late_pass IS NOT NULL""",
         # What the table of decisions says of six kinds of responses; no fixture page holds a challenge.
         "response_classify": """SELECT page_id AS source_id, list_value('html', 'nonHtml', 'httpError', 'httpError', 'text', 'html')[page_id % 6 + 1] AS kind,
   list_value('use', 'reject', 'reject', 'render', 'render', 'use')[page_id % 6 + 1] AS decision,

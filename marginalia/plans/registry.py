@@ -6,6 +6,8 @@ become search candidates by page_id, documents become chat or file rows by id.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,11 @@ from marginalia.functions import text, urls
 from marginalia.operators import classify, code, discovery, near_duplicates, quality, sinks, threads
 from marginalia.operators.markdown import Options, pages_to_markdown
 from marginalia.plans import oracles
-from marginalia.session import checkpointed
+from marginalia.session import checkpointed, shared_dir
+from marginalia.streaming import stateful
 
+#: How long a list is read in ``stream_harvest``.
+HARVEST_SECONDS = 20 * 24 * 3600
 #: The question that queries with a question ask of the corpus.
 QUESTION = "What does the nation say about the shingle and with whom"
 
@@ -163,8 +168,7 @@ def shingle_counts(spark, sf_dir):
 
 def near_dup_pairs(spark, sf_dir):
     """Groups of equal fingerprints by their smallest doc_id, in pairs of Jaccard 0.75 or more."""
-    prints = near_duplicates.fingerprints(table(spark, sf_dir, "documents"))
-    _, pairs = near_duplicates.similar_groups(prints)
+    _, pairs = near_duplicates.text_groups(table(spark, sf_dir, "documents"))
     return pairs.select("a", "b", F.col("shared").cast("long").alias("shared"), F.col("union").cast("long").alias("total"))
 
 
@@ -177,8 +181,27 @@ def near_dup_members(spark, sf_dir):
 def near_dup_gate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.scored(quality.measures(docs, "text")).select(F.col("doc_id").alias("id"), (F.col("verdict") == "reject").alias("junk"))
-    prints = near_duplicates.fingerprints(docs)
-    return near_duplicates.gate(prints.join(scored, "id")).select(F.col("id").alias("doc_id"), "disposition", "named")
+    return near_duplicates.gated(near_duplicates.text_groups(docs), scored).select(F.col("id").alias("doc_id"), "disposition", "named")
+
+
+def stream_gate(spark, sf_dir):
+    """Documents as candidates of runs of fifty, streamed through the gate; texts under 200 characters are junk."""
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern, as a stream reads one file or a folder
+    rows = docs.select("doc_id", "text", F.floor(F.col("doc_id") / 50).cast("string").alias("run"), (F.coalesce(F.length("text"), F.lit(0)) < 200).alias("junk"))
+    judged = stateful.gated(near_duplicates.fingerprints(rows, carried=("run", "junk")))
+    return _streamed(judged).select(F.col("id").alias("doc_id"), "run", "disposition", "named")
+
+
+def stream_harvest(spark, sf_dir):
+    """Events as the posts of a user's list, a pass each day: 15 items at most, two idle days, 20 days of time."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    rows = events.select(F.col("user_id").alias("list"), F.unix_date(F.to_date("ts")).alias("pass"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(":"), F.floor(F.col("value") / 10).cast("string")).alias("key"), "ts")
+    return _streamed(stateful.harvested(rows, limit=15, idle=2, seconds=HARVEST_SECONDS, patience=None))
+
+
+def _streamed(result: DataFrame) -> DataFrame:
+    spark, name = result.sparkSession, uuid.uuid4().hex
+    return stateful.run_to_end(result, f"{shared_dir(spark)}/tables/{name}", f"{shared_dir(spark)}/streams/{name}")
 
 
 def page_markdown(spark, sf_dir):
@@ -235,7 +258,7 @@ def queries():
     names = (
         quality_score, quality_stats, quality_reasons, dup_lines, query_overlap, token_estimate, token_heuristic, token_limit, url_normalize,
         url_private_guard, url_route, discovery_rank, discovery_reject_reasons, chat_exchanges, chat_last_n, chat_transcript, author_carry,
-        self_thread, first_n, file_tree, comment_paths, active_branch, shingle_counts, near_dup_pairs, near_dup_members, near_dup_gate,
+        self_thread, first_n, file_tree, comment_paths, active_branch, shingle_counts, near_dup_pairs, near_dup_members, near_dup_gate, stream_gate, stream_harvest,
         page_markdown, page_full, html_title, looks_like_code, response_classify, file_names, merged_documents, run_snapshot,
     )
     return {f.__name__: f for f in names}

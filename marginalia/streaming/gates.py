@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators import near_duplicates
-from marginalia.operators.quality import fingerprint
 from marginalia.operators.sinks import snapshot
+from marginalia.streaming import stateful
 
 
 def harvested(rows: DataFrame, keys: list[str], time: str, patience: str = "10 minutes") -> DataFrame:
@@ -17,28 +17,16 @@ def harvested(rows: DataFrame, keys: list[str], time: str, patience: str = "10 m
     return rows.withWatermark(time, patience).dropDuplicatesWithinWatermark(keys)
 
 
-def gated(stream: DataFrame, path: str, junk: Callable[[DataFrame], DataFrame], checkpoint: str, ident: str = "doc_id", text: str = "text"):
+def gated(stream: DataFrame, path: str, junk: Callable[[DataFrame], DataFrame], checkpoint: str, ident: str = "doc_id", text: str = "text", run: str | None = None):
     """A started query that appends each batch's verdicts to ``path`` (Parquet).
 
-    Accepted fingerprints of earlier batches are state on storage, and each batch
-    is judged after them; ids must grow from batch to batch, as arrival does. A
-    batch that is run again first finds its own earlier rows and leaves them out.
+    What earlier batches accepted is keyed state of each run, so a batch reads of
+    it only what shares features with its own documents; ids must grow from batch
+    to batch, as arrival does. Without ``run`` all documents are one run, which one task judges.
     """
-    spark = stream.sparkSession
-
-    def one(batch: DataFrame, number: int) -> None:
-        new = junk(batch).select(F.col(ident).alias("id"), fingerprint(F.col(text)).alias("prints"), "junk")
-        try:
-            known = spark.read.parquet(path).where(F.col("batch") < number)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            known = spark.createDataFrame([], "id long, prints array<long>, disposition string, named long, batch long")
-        old = known.where("disposition = 'accepted'").select("id", "prints", F.lit(False).alias("junk"))
-        judged = near_duplicates.gate(old.unionByName(new)).join(new.select("id", "prints"), "id")
-        judged.select("id", "prints", "disposition", "named").withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = junk(stream).select(F.col(ident), F.col(text), (F.lit("") if run is None else F.col(run)).alias("run"), "junk")
+    judged = stateful.gated(near_duplicates.fingerprints(rows, ident, text, carried=("run", "junk")))
+    return judged.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def progress(entries: DataFrame, tell: Callable[[DataFrame], None], checkpoint: str, every: str = "250 milliseconds"):
