@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from marginalia.llm.arrow_text import chunks, text_view
 
 ORDER = 3
-#: Documents a language is learned from at most, chosen by a hash of their id. Longer ones
-#: than TRAIN_BYTES are passed over for training, which bounds the sample's size.
+#: Documents a language is learned from at most, chosen by a hash of their id: whole ones of up to
+#: TRAIN_BYTES first, and where there are too few, so many bytes each of longer ones. This bounds the sample's size.
 TRAIN_DOCS = 400
 TRAIN_BYTES = 20_000
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -139,17 +139,20 @@ class ContextTrees:
 def learn(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> ContextTrees:
     """Trees from the training fold: at most ``train_docs`` texts of each language."""
     base = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = F.xxhash64(F.col("doc_id"))
-    counts = {r.lang: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    order, long = F.xxhash64(F.col("doc_id")), F.octet_length("text") > TRAIN_BYTES
+    counts = base.groupBy("lang").agg(F.count_if(~long).alias("short"), F.count_if(long).alias("long")).collect()
     if not counts:
         return ContextTrees({})
-    # A hash threshold per language takes about 1.5 times the documents asked for; the rest is cut exactly.
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * train_docs / n))])
-    few = base.where(F.pmod(order, F.lit(1 << 20)) < F.element_at(rate, F.col("lang")) * (1 << 20)).where(F.octet_length("text") <= TRAIN_BYTES)
-    texts: dict[str, list[tuple[int, bytes]]] = {}
-    for r in few.select("lang", "doc_id", "text").toLocalIterator():
-        texts.setdefault(r.lang, []).append((r.doc_id, r.text.encode()))
-    return ContextTrees({k: [t for _, t in sorted(v)[:train_docs]] for k, v in texts.items()})
+    # A hash threshold per language and kind takes about 1.5 times the documents asked for; the rest is cut exactly.
+    share = lambda wanted, n: min(1.0, 1.5 * wanted / n) if wanted > 0 and n else 0.0
+    rates = {r.lang: (share(train_docs, r["short"]), share(train_docs - r["short"], r["long"])) for r in counts}
+    rate = [F.create_map(*[F.lit(x) for lang, own in rates.items() for x in (lang, own[k])]) for k in (0, 1)]
+    taken = F.when(long, F.element_at(rate[1], F.col("lang"))).otherwise(F.element_at(rate[0], F.col("lang")))
+    few = base.where(F.pmod(order, F.lit(1 << 20)) < taken * (1 << 20)).select("lang", long.alias("long"), "doc_id", F.left("text", F.lit(TRAIN_BYTES)).alias("text"))
+    texts: dict[str, list[tuple[bool, int, bytes]]] = {}
+    for r in few.toLocalIterator():
+        texts.setdefault(r.lang, []).append((r.long, r.doc_id, r.text.encode()[:TRAIN_BYTES]))
+    return ContextTrees({k: [t for _, _, t in sorted(v)[:train_docs]] for k, v in texts.items()})
 
 
 def predict(documents: DataFrame, trees: ContextTrees) -> DataFrame:
@@ -185,8 +188,10 @@ def identify(documents: DataFrame) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame) -> DataFrame:
-    """Documents with a language, ``lang`` set to the one found; those without a letter go."""
+    """Documents with a language, ``lang`` set to the one found; those without a letter go, and all of them if there is nothing to learn from."""
     trees = learn(documents)
+    if not trees.langs:
+        return documents.where(F.lit(False))
     columns = documents.columns
     shared = documents.sparkSession.sparkContext.broadcast(trees)
     kept = documents.where(F.col("text").rlike("\\p{L}"))
@@ -197,11 +202,8 @@ def keep_identified(documents: DataFrame) -> DataFrame:
             data, offsets = text_view(batch.column("text"))
             names = []
             for lo, hi in chunks(offsets, 1 << 20):
-                if trees.langs:
-                    bits = trees.lengths(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    names += [trees.langs[b] for b in bits.argmin(1)]
-                else:
-                    names += [None] * (hi - lo)
+                bits = trees.lengths(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                names += [trees.langs[b] for b in bits.argmin(1)]
             at = batch.schema.get_field_index("lang")
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)], names=columns)
 

@@ -174,7 +174,7 @@ def train(labelled=LABELLED, rounds: int = 300, rate: float = 0.5, decay: float
 
 
 def rule_for(host, path, rules):
-    """(action, name) of the longest rule that fits, or nulls; a later rule loses a tie."""
+    """(action, name) of the longest rule that fits, or nulls; of rules of one length the later one wins."""
     chosen = F.lit(None).cast("struct<action:string,name:string>")
     for action, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
