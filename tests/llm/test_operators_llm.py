@@ -222,8 +222,8 @@ def test_decontamination_is_brute_force(spark, monkeypatch):
         want[d] = (len(w), len(hit), len(found), decontamination.digest_of(found), bool(hit))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumns(odd())
     df = docs_of(spark, texts)
-    for size in (1 << 24, 40):  # in one block, and in several
-        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+    for size in (1 << 19, 7):  # in one block, and in several
+        monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", size)
         got = decontamination.report(decontamination.find_overlaps(df, bench)).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want
     assert decontamination.report(decontamination.find_overlaps(df, bench.limit(0))).where("contaminated").count() == 0
@@ -237,8 +237,8 @@ def test_decontamination_is_the_same_in_any_number_of_blocks(spark, monkeypatch)
     df = spark.createDataFrame(rows, DOC).withColumns(odd())
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     seen = []
-    for size in (1 << 24, 40):
-        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+    for size in (1 << 19, 2):
+        monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", size)
         seen.append(sorted(map(str, decontamination.report(decontamination.find_overlaps(df, bench)).collect())))
         kept = sorted(((r.doc_id, r.text) for r in decontamination.remove_contaminated(df, bench).collect()), key=str)
         assert kept == sorted([rows[0], rows[1], rows[3], rows[6]], key=str)
@@ -266,16 +266,43 @@ def test_proximity_matches_are_brute_force(spark):
                             found.add(i)
         want[d] = (hit, sorted(found))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = decontamination.find_overlaps(docs_of(spark, texts).coalesce(1), bench).collect()
+    got = decontamination.find_overlaps(docs_of(spark, texts).coalesce(1), bench).sort("doc_id").collect()
     assert {r.doc_id: ({p for h in r.near_hits for p in range(h.start, h.stop)}, r.near_item_ids) for r in got} == want
     assert got[0].item_ids == [] and got[0].near_item_ids == [0] and want[1][1] == [1]
 
 
+def test_proximity_matches_are_the_same_in_any_number_of_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    bench = spark.createDataFrame([(i // 2, words(rng, n, 12)) for i, n in enumerate((14, 12, 4, 30, 1, 10))], "item_id long, text string")
+    df = docs_of(spark, [words(rng, 80, 12) for _ in range(8)] + [None, "w1"])
+    seen = []
+    for size, places in ((1 << 19, 1 << 20), (3, 5)):
+        monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", size)
+        monkeypatch.setattr(decontamination, "PLACES", places)
+        seen.append(sorted(map(str, decontamination.find_overlaps(df, bench).collect())))
+    assert seen[0] == seen[1] and len(seen[0]) == 10
+
+
+def test_a_frequent_term_and_shared_windows(spark):
+    shared = " ".join(f"s{k}" for k in range(12))
+    bench = spark.createDataFrame([(i, f"{shared} own{i}") for i in range(30)] + [(90, "the " * 10)], "item_id long, text string")
+    df = docs_of(spark, ["the " * 3000, f"x {shared} y", "the " * 9, f"the {shared} own7"])
+    got = {r.doc_id: r for r in decontamination.find_overlaps(df, bench).collect()}
+    assert got[0].item_ids == [90] and [tuple(h) for h in got[0].hits] == [(0, 3000)]
+    assert got[1].item_ids == list(range(30)) and [tuple(h) for h in got[1].hits] == [(1, 13)]
+    assert got[2].item_ids == [] and got[2].near_item_ids == [90]
+    assert got[3].item_ids == list(range(30)) and [tuple(h) for h in got[3].hits] == [(1, 14)]
+
+
 def test_proximity():
-    ids = np.array([0, 9, 1, 9, 9, 9, 2, 0, 1, 2], np.int32)
-    index = decontamination.PositionalIndex(ids, 10)
-    assert index.phrase((0, 1, 2)).tolist() == [7]
-    assert set(index.near((0, 1, 2), 3).tolist()) == {7}
+    ids = np.array([0, 9, 1, 9, 9, 9, 2, 0, 1, 2])
+    terms, counts = np.unique(ids, return_counts=True)
+    index = decontamination.PositionalIndex(terms, counts, np.argsort(ids, kind="stable"))
+    ranks, whole = index.ranks(np.array([[0, 1, 2], [0, 1, 5]]))
+    assert whole.tolist() == [True, False]
+    row, at = index.near(ranks[:1], 3)
+    assert at.tolist() == [7] and index.exact(ranks[:1], np.array([[0, 1, 2]]), row, at)[1].tolist() == [7]
+    assert [x.tolist() for x in index.stretches(ranks[:1], row, at, 4)] == [[0, 0], [6, 7], [9, 10]]
 
 
 # ---------------------------------------------------------------- 5
