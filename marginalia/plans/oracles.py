@@ -44,7 +44,8 @@ m AS (SELECT doc_id, n, len(lines) AS n_lines,
 
 def all_of() -> dict[str, str]:
     from marginalia.functions.text import NAMED_ENTITIES
-    from marginalia.plans.registry import HARVEST_SECONDS, QUESTION
+    from marginalia.operators.routing import LAZY_HOSTS
+    from marginalia.plans.registry import CHAT_SHAPES, HARVEST_SECONDS, QUESTION
 
     share = lambda a, b: f"CASE WHEN {b} > 0 THEN ({a}) / {b} ELSE 0.0 END"
     # Documents have no URL of their own, so no link is outbound; channel pitches are tested apart, on rows that have some.
@@ -82,6 +83,24 @@ SELECT s.doc_id, coalesce(score, 0)::INT AS score, CASE WHEN score >= 100 THEN '
     kept = f"list_filter(string_split(substr({query}, 2), '&'), lambda p: p <> '' AND NOT regexp_matches(split_part(p, '=', 1), '(?i)^(utm_.*|fbclid|gclid|ref|rut)$'))"
     clean = f"CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END"
     url_parts = f"p AS (SELECT page_id, url, html, {host} AS www, {bare} AS host, CASE WHEN {path} = '' THEN '/' ELSE {path} END AS path, {clean} AS query, {query} AS full_query FROM pages)"
+    shapes = ", ".join(f"'{x}'" for x in CHAT_SHAPES)
+    # The sites by expressions over whole hosts, where the library joins suffixes of labels.
+    sites = [
+        ("claude", "Claude", r"(^|\.)claude\.ai$", "path LIKE '/chat/%' AND regexp_matches(path, '^/chat/[0-9a-fA-F-]{36}')"),
+        ("chatgpt", "ChatGPT", r"(^|\.)(chatgpt\.com|chat\.openai\.com)$", "regexp_matches(path, '(?i)^/(c|g/[^/]+/c|share)/[0-9a-z-]{16,}')"),
+        ("google-ai", "Google AI Mode", r"(^|\.)google\.[a-z]{2,3}(\.[a-z]{2})?$", "path LIKE '/search%' AND regexp_extract(url, '[?&]udm=([^&#]*)', 1) = '50'"),
+        ("gemini", "Gemini", r"(^|\.)gemini\.google\.com$", "regexp_matches(path, '(?i)^/(app|share)/')"),
+        ("grok", "Grok", r"(^|\.)(grok\.com|x\.ai)$", "regexp_matches(path, '(?i)^/(chat|c|share)/')"),
+        ("perplexity", "Perplexity", r"(^|\.)perplexity\.ai$", "regexp_matches(path, '(?i)^/(search|page)/')"),
+        ("deepseek", "DeepSeek", r"(^|\.)deepseek\.com$", "regexp_matches(path, '(?i)^/a/chat/')"),
+        ("copilot", "Copilot", r"(^|\.)copilot\.microsoft\.com$", "regexp_matches(path, '(?i)^/(chats?|c)/')"),
+        ("mistral", "Le Chat", r"(^|\.)chat\.mistral\.ai$", "regexp_matches(path, '(?i)^/chat/')"),
+        ("cursor", "Cursor", r"(^|\.)cursor\.(com|sh)$", "regexp_matches(path, '(?i)^/(agents?|chat|dashboard)')"),
+        ("openwebui", "Local chat", r"^(localhost|127\.0\.0\.1|0\.0\.0\.0|\[::1\]|.*\.local)$", "true"),
+    ]
+    pick = lambda k: "CASE " + " ".join(f"WHEN regexp_matches(host, '{x[2]}') THEN {x[k] if k == 3 else repr(x[k])}" for x in sites) + " END"
+    lazy = " ".join(f"WHEN host = '{h}' OR ends_with(host, '.{h}') THEN 'host:{h}'" for h in LAZY_HOSTS)
+    chat = f"h AS (SELECT *, {host} AS host, CASE WHEN {path} = '' THEN '/' ELSE {path} END AS path FROM u), c AS (SELECT *, {pick(0)} AS site, {pick(1)} AS label, {pick(3)} AS thread, CASE {lazy} END AS lazy FROM h)"
     entity = "title"
     for name, char in NAMED_ENTITIES:
         entity = f"replace({entity}, '{name.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
@@ -121,6 +140,12 @@ pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM heads x JOIN
 SELECT page_id, url, '' AS refused FROM a UNION ALL SELECT page_id, 'http://' || www || '.local/', 'Refused: this URL points at a private address' FROM a
 UNION ALL SELECT page_id, 'http://' || a || '.' || b || '.0.1/', CASE WHEN a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) THEN 'Refused: this URL points at a private address' ELSE '' END FROM a""",
         "url_route": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'reddit' WHEN 1 THEN 'x' WHEN 2 THEN 'github' WHEN 3 THEN 'youtube' ELSE 'discord' END AS site, CASE page_id % 5 WHEN 0 THEN 'post' WHEN 1 THEN 'post' WHEN 2 THEN 'repository' WHEN 3 THEN 'video' ELSE 'channel' END AS page_type FROM pages",
+        "chat_route": f"WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, list_value({shapes})[page_id % {len(CHAT_SHAPES)} + 1] || page_id FROM pages), {chat} SELECT page_id, url, site, label, thread, lazy FROM c",
+        "chat_probe": f"""WITH k AS (SELECT DISTINCT conv_id FROM conversations), u AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN list_value({shapes})[conv_id % {len(CHAT_SHAPES)} + 1] || conv_id ELSE 'https://forum.example.org/t/' || conv_id END AS url FROM k), {chat},
+t AS (SELECT conv_id, coalesce(role IN ('user', 'assistant'), false) AS said, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS k FROM conversations),
+f AS (SELECT conv_id, k, said, CASE WHEN said THEN role WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END AS role FROM t),
+n AS (SELECT conv_id, count(*) AS turns, count(*) FILTER (said) AS said, count(*) FILTER (role = 'user') + CASE WHEN arg_min(role, k) = 'user' THEN 0 ELSE coalesce(min(k) FILTER (role = 'user'), max(k) + 1) - 1 END AS exchanges FROM f GROUP BY conv_id)
+SELECT conv_id, site, coalesce(label, host) AS label, turns, exchanges::BIGINT AS exchanges, coalesce(thread AND (site IN ('claude', 'chatgpt', 'google-ai') OR turns >= 2), false) OR (turns >= 4 AND 2 * said >= turns) AS is_chat FROM c JOIN n USING (conv_id)""",
         "discovery_rank": f"{cand}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, engine_rank, url) AS pos FROM g) SELECT query_id, scheme || '://' || regexp_extract(url, '://([^/?#]*)', 1) || path || query || fragment AS url, host, engine_rank::BIGINT AS engine_rank, CASE WHEN pos <= 8 THEN 'result' ELSE 'reserve' END AS disposition, score::BIGINT AS score, pos FROM o",
         "discovery_reject_reasons": f"{cand} SELECT query_id, CASE WHEN key = first_key THEN 'Duplicate URL' ELSE 'Duplicate host' END AS reason, count(*) AS n FROM k WHERE r > 1 GROUP BY 1, 2 UNION ALL SELECT query_id, 'Not a web page', count(*) FROM c WHERE file GROUP BY query_id",
         "chat_exchanges": f"{exchange} SELECT conv_id, turn, role, exchange FROM x",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text, urls
-from marginalia.operators import classify, code, discovery, near_duplicates, quality, sinks, threads
+from marginalia.operators import classify, code, discovery, near_duplicates, quality, routing, sinks, threads
 from marginalia.operators.markdown import Options, pages_to_markdown
 from marginalia.plans import oracles
 from marginalia.session import checkpointed, shared_dir
@@ -96,6 +96,34 @@ def url_route(spark, sf_dir):
     return rows.select("page_id", urls.route("url").alias("r")).select("page_id", F.col("r.site").alias("site"), F.col("r.page_type").alias("page_type"))
 
 
+#: Beginnings of URLs on chat sites and beside them; an id follows.
+CHAT_SHAPES = (
+    "https://claude.ai/chat/01234567-89ab-cdef-0123-456789abcdef?n=", "https://chatgpt.com/share/0123456789abcdef", "https://chat.openai.com/gpts/", "https://www.google.co.uk/search?udm=50&q=",
+    "https://google.de/search?q=a&udm=5", "https://gemini.google.com/app/", "https://grok.com/chat/", "https://x.ai/c/", "https://www.perplexity.ai/search/", "https://chat.deepseek.com/a/chat/s/",
+    "https://copilot.microsoft.com/chats/", "https://chat.mistral.ai/chat/", "https://cursor.sh/agents?id=", "http://localhost:3080/c/", "http://box.local/", "https://m.poe.com/chat/", "https://notclaude.ai/chat/",
+)
+
+
+def chat_url(key):
+    """A URL of CHAT_SHAPES by the key's remainder, ending in the key."""
+    return F.concat(F.element_at(F.array(*[F.lit(x) for x in CHAT_SHAPES]), (F.col(key) % len(CHAT_SHAPES) + 1).cast("int")), F.col(key).cast("string"))
+
+
+def chat_route(spark, sf_dir):
+    """Chat site, conversation or not, and lazily loaded host, of the pages and of URLs on chat sites."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rows = pages.unionByName(pages.select("page_id", chat_url("page_id").alias("url")))
+    found = routing.lazy_hosts(routing.chat_routed(rows))
+    return found.select("page_id", "url", F.col("chat.site").alias("site"), F.col("chat.label").alias("label"), F.col("chat.thread").alias("thread"), "lazy")
+
+
+def chat_probe(spark, sf_dir):
+    """Conversations as pages: every second one on a chat site, the rest elsewhere."""
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    url = F.when(F.col("conv_id") % 2 == 0, chat_url("conv_id")).otherwise(F.concat(F.lit("https://forum.example.org/t/"), F.col("conv_id").cast("string")))
+    return routing.chat_probe(messages, messages.select("conv_id").distinct().withColumn("url", url))
+
+
 def candidates(spark, sf_dir) -> DataFrame:
     """Pages as candidates of the query page_id mod 10: rank by page_id, title from the page, no snippet."""
     title = text.stripped_tags(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
@@ -257,7 +285,7 @@ def quality_score(spark, sf_dir):
 def queries():
     names = (
         quality_score, quality_stats, quality_reasons, dup_lines, query_overlap, token_estimate, token_heuristic, token_limit, url_normalize,
-        url_private_guard, url_route, discovery_rank, discovery_reject_reasons, chat_exchanges, chat_last_n, chat_transcript, author_carry,
+        url_private_guard, url_route, chat_route, chat_probe, discovery_rank, discovery_reject_reasons, chat_exchanges, chat_last_n, chat_transcript, author_carry,
         self_thread, first_n, file_tree, comment_paths, active_branch, shingle_counts, near_dup_pairs, near_dup_members, near_dup_gate, stream_gate, stream_harvest,
         page_markdown, page_full, html_title, looks_like_code, response_classify, file_names, merged_documents, run_snapshot,
     )
