@@ -1,48 +1,14 @@
-"""Document sinks and summaries: file names, merged documents, research reports, archives, run snapshots."""
+"""Document sinks and summaries: merged documents, research reports, run snapshots."""
 
 from __future__ import annotations
 
-import zipfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import collapsed, safe_inline, safe_target, text_of, trimmed
+from marginalia.operators.names import file_name, unique_names  # noqa: F401  (names of sinks)
 
 SEPARATOR = "\n\n---\n\n"
-NAME_CHARS = 100
-
-
-def file_name(title: Column, most: int = NAME_CHARS) -> Column:
-    """Letters safe for file systems, white space and dots as single underscores, cut; ``untitled`` for nothing."""
-    c = F.regexp_replace(text_of(title), r'[<>:"/\\|?*\x00-\x1F]', "")
-    c = F.regexp_replace(c, r"[\s.]+", "_")
-    c = F.regexp_replace(F.regexp_replace(c, "_+", "_"), r"^_+|_+\z", "")
-    c = F.regexp_replace(F.substring(c, 1, most), r"_+\z", "")
-    return F.when(c == "", "untitled").otherwise(c)
-
-
-def unique_names(df: DataFrame, batch: str, order: str, title: str = "title") -> DataFrame:
-    """``name`` for each row: its file name, or the first of _1, _2, ... that no earlier row of the batch took.
-
-    A batch is one archive, so it is folded in order by one task.
-    """
-    named = df.withColumn("_base", file_name(F.col(title)))
-
-    def fold(pdf):
-        pdf = pdf.sort_values(order)
-        used, following, out = set(), {}, []
-        for base in pdf["_base"]:
-            name, k = base, following.get(base, 1)
-            while name in used:
-                name, k = f"{base}_{k}", k + 1
-            following[base] = k
-            used.add(name)
-            out.append(name + ".md")
-        return pdf.assign(name=out).drop(columns="_base")
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", name string"
-    return named.groupBy(batch).applyInPandas(fold, schema)
 
 
 def merged(df: DataFrame, batch: str, order: str, markdown: str = "markdown") -> DataFrame:
@@ -138,19 +104,6 @@ def tab_summary(results: DataFrame, batch: str) -> DataFrame:
     return results.groupBy(batch).agg(said.alias("message"), ok.alias("n_ok"), bad.alias("n_failed"))
 
 
-def write_archive(df: DataFrame, path: str, order: str = "pos", title: str = "title", markdown: str = "markdown") -> int:
-    """One ZIP of a batch's successful texts under unique names; rows stream to the driver one by one. The number written."""
-    good = unique_names(df.where("success").withColumn("_all", F.lit(0)), "_all", order, title)
-    n = 0
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for row in good.orderBy(order).select("name", markdown).toLocalIterator():
-            z.writestr(row[0], row[1] or "")
-            n += 1
-    if not n:
-        raise ValueError("no tab was converted")
-    return n
-
-
 def write_folder(df: DataFrame, path: str, batch: str) -> None:
     """The distributed form: a Parquet folder of (name, markdown), one part of the tree for each batch."""
     df.write.partitionBy(batch).parquet(path)

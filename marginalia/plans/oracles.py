@@ -213,6 +213,17 @@ FROM cut JOIN ends USING (user_id) WHERE full_pass IS NOT NULL OR idle_pass IS N
   list_value(NULL, 'unusable', 'unusable', 'transient', 'transient', NULL)[page_id % 6 + 1] AS category FROM pages""",
         "html_title": titles,
         "file_names": f"SELECT doc_id, CASE WHEN {name} = '' THEN 'untitled' ELSE {name} END AS name FROM documents",
+        "unique_file_names": """WITH d AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN 'note ' || coalesce(lang, '') WHEN 1 THEN 'note ' || coalesce(lang, '') || ' ' || doc_id % 9
+  WHEN 2 THEN 'note.' || coalesce(lang, '') || '_1_' || doc_id % 5 ELSE 'note <' || coalesce(lang, '') || '> 0' || doc_id % 3 END AS title FROM documents),
+b AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids, list([rtrim(regexp_replace(regexp_replace(title, '[<>]', '', 'g'), '[ ._]+', '_', 'g'), '_')] ORDER BY doc_id) AS bases FROM d GROUP BY source),
+n AS (SELECT source, ids, list_reduce(bases, lambda used, x: list_append(used, CASE WHEN NOT list_contains(used, x[1]) THEN x[1]
+  ELSE x[1] || '_' || list_filter(range(1, len(used) + 2), lambda k: NOT list_contains(used, x[1] || '_' || k))[1] END), []::VARCHAR[]) AS names FROM b)
+SELECT unnest(ids) AS doc_id, source, unnest(names) || '.md' AS name FROM n""",
+        "archived_conversations": """SELECT conv_id % 16 AS batch, role || CASE WHEN n > 1 THEN '_' || (n - 1) ELSE '' END || '.md' AS name, strlen(t) AS bytes, strlen(t) > 1000 AS too_large,
+  CASE WHEN strlen(t) <= 1000 THEN sha256(t) END AS body_sha256
+FROM (SELECT conv_id, role, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id % 16, role ORDER BY conv_id * 1000 + turn) AS n FROM conversations WHERE role <> 'system')""",
+        "archived_pages": f"""WITH {url_parts} SELECT page_id, p.host, strlen(t) AS bytes, strlen(t) > 1000 AS too_large, CASE WHEN strlen(t) <= 1000 THEN sha256(t) END AS body_sha256
+FROM p JOIN (SELECT page_id, coalesce(html, '') AS t FROM pages) USING (page_id)""",
         "merged_documents": "SELECT conv_id, count(*) AS n, sha256(string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS document_sha256 FROM conversations WHERE role <> 'system' GROUP BY conv_id",
         "run_snapshot": """WITH e AS (SELECT user_id AS run_id, list_value('ok', 'error', 'skipped', 'pending')[event_id % 4 + 1] AS status, list_value('quiet', 'tab')[event_id % 2 + 1] AS path, list_value(NULL, 'junk', 'wall')[event_id % 3 + 1] AS category, floor(value)::BIGINT AS tokens FROM events)
 SELECT run_id, count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'fetching') AS fetching, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'skipped') AS skipped,

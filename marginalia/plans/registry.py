@@ -16,6 +16,7 @@ from marginalia.operators import classify, code, discovery, near_duplicates, qua
 from marginalia.operators.markdown import Options, pages_to_markdown
 from marginalia.plans import oracles
 from marginalia.session import checkpointed, shared_dir
+from marginalia.sources import archives
 from marginalia.streaming import stateful
 
 #: How long a list is read in ``stream_harvest``.
@@ -265,6 +266,42 @@ def file_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sinks.file_name(F.substring("text", 1, 160)).alias("name"))
 
 
+def unique_file_names(spark, sf_dir):
+    """Documents as the notes of an archive for each source, under titles that read like each other's numbered names."""
+    lang, n = F.coalesce("lang", F.lit("")), lambda by: (F.col("doc_id") % by).cast("string")
+    title = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("note "), lang)).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("note "), lang, F.lit(" "), n(9)))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("note."), lang, F.lit("_1_"), n(5))).otherwise(F.concat(F.lit("note <"), lang, F.lit("> 0"), n(3)))
+    )
+    return sinks.unique_names(table(spark, sf_dir, "documents").select("doc_id", "source", title.alias("title")), "source", "doc_id").select("doc_id", "source", "name")
+
+
+#: Bytes that one archive of the queries holds, and the largest member that they read.
+QUERY_VOLUME, QUERY_CAP = 8 << 20, 1000
+
+
+def _through_archives(rows: DataFrame) -> DataFrame:
+    """The members of the archives that rows (batch, pos, title, markdown, success) are written to."""
+    spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/archives/{uuid.uuid4().hex}"
+    archives.write_archives(rows, path, "batch", "pos", volume_bytes=QUERY_VOLUME)
+    members = archives.read_archives(spark, path, QUERY_CAP)
+    return checkpointed(members.select("archive", "name", "bytes", "too_large", F.sha2("body", 256).alias("body_sha256")))
+
+
+def archived_conversations(spark, sf_dir):
+    """Messages in sixteen archives under their roles' names; system messages are failures."""
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select((F.col("conv_id") % 16).alias("batch"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("role").alias("title"), F.col("text").alias("markdown"), (F.col("role") != "system").alias("success"))
+    return _through_archives(rows).select(F.split("archive", r"[+.]")[0].cast("long").alias("batch"), "name", "bytes", "too_large", "body_sha256")
+
+
+def archived_pages(spark, sf_dir):
+    """Pages as stored responses of a host, read back below a byte cap."""
+    p = table(spark, sf_dir, "pages")
+    rows = p.select(urls.host_of("url").alias("batch"), F.col("page_id").alias("pos"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), F.col("html").alias("markdown"), F.lit(True).alias("success"))
+    return _through_archives(rows).select(F.regexp_extract("name", "page_([0-9]+)", 1).cast("long").alias("page_id"), F.regexp_replace("archive", r"(\+[0-9]+)?\.zip\z", "").alias("host"), "bytes", "too_large", "body_sha256")
+
+
 def merged_documents(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") != "system").alias("success"), F.col("text").alias("markdown"))
     return sinks.merged(c, "conv_id", "turn").select("conv_id", "n", F.sha2("document", 256).alias("document_sha256"))
@@ -287,7 +324,7 @@ def queries():
         quality_score, quality_stats, quality_reasons, dup_lines, query_overlap, token_estimate, token_heuristic, token_limit, url_normalize,
         url_private_guard, url_route, chat_route, chat_probe, discovery_rank, discovery_reject_reasons, chat_exchanges, chat_last_n, chat_transcript, author_carry,
         self_thread, first_n, file_tree, comment_paths, active_branch, shingle_counts, near_dup_pairs, near_dup_members, near_dup_gate, stream_gate, stream_harvest,
-        page_markdown, page_full, html_title, looks_like_code, response_classify, file_names, merged_documents, run_snapshot,
+        page_markdown, page_full, html_title, looks_like_code, response_classify, file_names, unique_file_names, archived_conversations, archived_pages, merged_documents, run_snapshot,
     )
     return {f.__name__: f for f in names}
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text, urls
 from marginalia.operators import classify, code, discovery, sinks, threads
+from marginalia.sources import archives
 from marginalia.operators.markdown import Options, convert, pages_to_markdown
 from marginalia.streaming import gates
 
@@ -97,7 +98,8 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame(rows, "batch int, pos int, title string, markdown string, success boolean")
     assert [r.name for r in sinks.unique_names(df, "batch", "pos").orderBy("pos").collect()] == ["A_b.md", "A_b_1.md", "A_b_1_1.md", "x.md"]
     assert sinks.merged(df, "batch", "pos").first().document == "m0\n\n---\n\nm1\n\n---\n\nm2"
-    assert sinks.write_archive(df, str(tmp_path / "a.zip")) == 3 and len(zipfile.ZipFile(tmp_path / "a.zip").namelist()) == 3
+    archives.write_archives(df, str(tmp_path / "z"), "batch", "pos")
+    assert zipfile.ZipFile(tmp_path / "z" / "1.zip").namelist() == ["A_b.md", "A_b_1.md", "A_b_1_1.md"]
     assert sinks.tab_summary(df, "batch").first().message == "3 tabs (1 failed)"
 
 
