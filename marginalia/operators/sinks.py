@@ -107,20 +107,3 @@ def tab_summary(results: DataFrame, batch: str) -> DataFrame:
 def write_folder(df: DataFrame, path: str, batch: str) -> None:
     """The distributed form: a Parquet folder of (name, markdown), one part of the tree for each batch."""
     df.write.partitionBy(batch).parquet(path)
-
-
-def chat_blocks(blocks: Column) -> Column:
-    """Markdown of a message's blocks: array of (type, text, name, input, sources)."""
-    fence = lambda body, lang: F.concat(F.lit(f"```{lang}\n"), body, F.lit("\n```"))
-
-    def one(b):
-        return (
-            F.when(b["type"] == "text", b["text"])
-            .when(b["type"] == "thinking", F.concat(F.lit("<details>\n<summary>Thinking</summary>\n\n"), b["text"], F.lit("\n\n</details>")))
-            .when(b["type"] == "tool_use", F.concat(F.lit("**Tool:** "), text_of(b["name"]), F.lit("\n\n"), fence(text_of(b["input"]), "json")))
-            .when((b["type"] == "tool_result") & (F.size(b["sources"]) > 0), F.array_join(F.transform(b["sources"], lambda s: F.concat(F.lit("- ["), safe_inline(s["title"]), F.lit("]("), safe_target(s["url"]), F.lit(")"))), "\n"))
-            .when(b["type"] == "tool_result", fence(text_of(b["text"]), ""))
-            .when(b["type"] == "file", F.concat(F.lit("**File:** "), text_of(b["name"])))
-        )
-
-    return F.array_join(F.filter(F.transform(blocks, one), lambda x: x.isNotNull() & (x != "")), "\n\n")

@@ -224,6 +224,24 @@ SELECT unnest(ids) AS doc_id, source, unnest(names) || '.md' AS name FROM n""",
 FROM (SELECT conv_id, role, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id % 16, role ORDER BY conv_id * 1000 + turn) AS n FROM conversations WHERE role <> 'system')""",
         "archived_pages": f"""WITH {url_parts} SELECT page_id, p.host, strlen(t) AS bytes, strlen(t) > 1000 AS too_large, CASE WHEN strlen(t) <= 1000 THEN sha256(t) END AS body_sha256
 FROM p JOIN (SELECT page_id, coalesce(html, '') AS t FROM pages) USING (page_id)""",
+        "message_markdown": rf"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t, (conv_id * 7 + turn) % 10 AS k, chr(10) AS nl, chr(10) || chr(10) AS gap FROM conversations),
+r AS (SELECT *, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: len(x))), 0) AS ticks FROM c),
+f AS (SELECT *, repeat('`', greatest(ticks, 2)::INT + 1) AS fence, repeat('`', greatest(ticks, 4)::INT + 1) AS fence5, {_trim("t")} AS u FROM r),
+m AS (SELECT conv_id, turn, CASE k
+  WHEN 0 THEN CASE WHEN u = '' THEN '' ELSE '<details>' || nl || '<summary>Reading</summary>' || gap || '- Weighing' || gap || u || gap || '_(cut off)_' || gap || '</details>' || gap || u END
+  WHEN 1 THEN '**Wrote a file**' || gap || fence5 || 'py' || nl || t || nl || '````' || nl || fence5
+  WHEN 2 THEN '**search**: ' || q || ' ``' || t || ' ' || q
+  WHEN 3 THEN '**make — Notes**' || gap || fence || 'md' || nl || 'x' || t || nl || fence
+  WHEN 4 THEN '**Sources**' || gap || '- [A page](https://x.org/p) — X' || nl || '- [https://x.org/q](https://x.org/q)'
+  WHEN 5 THEN '**Result**' || gap || fence || nl || 'o' || t || nl || fence || gap || '_stderr_' || gap || fence || nl || 'e' || regexp_replace(t, '\n$', '') || nl || fence
+  WHEN 6 THEN '**Result**' || gap || '_exit code 3, no output_' || gap || '**Result (failed)**' || gap || fence || nl || '{{not json ' || t || nl || fence
+  WHEN 7 THEN {_trim("'x' || t")} || gap || '- image: [a.png](https://x.org/a)' || nl || '- attached: b.txt' || nl || '- attached: c.csv'
+  WHEN 8 THEN 'x' || t || ' y' || gap || '- image: [a.png](https://x.org/a)' || nl || '- attached: b.txt'
+  ELSE '**Tool**' || gap || '```json' || nl || '{{"a":true,"b":5}}' || nl || '```' END AS md
+  FROM (SELECT *, repeat('`', greatest(ticks, 2)::INT + 1) AS q FROM f))
+SELECT conv_id, turn, sha256(md) AS markdown_sha256, length(md) AS n FROM m""",
+        "listing_tokens": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'c' || page_id WHEN 1 THEN 'd' || page_id END AS section,
+  CASE page_id % 4 WHEN 0 THEN 'r' || page_id WHEN 1 THEN 'first' || page_id END AS following FROM pages""",
         "merged_documents": "SELECT conv_id, count(*) AS n, sha256(string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS document_sha256 FROM conversations WHERE role <> 'system' GROUP BY conv_id",
         "run_snapshot": """WITH e AS (SELECT user_id AS run_id, list_value('ok', 'error', 'skipped', 'pending')[event_id % 4 + 1] AS status, list_value('quiet', 'tab')[event_id % 2 + 1] AS path, list_value(NULL, 'junk', 'wall')[event_id % 3 + 1] AS category, floor(value)::BIGINT AS tokens FROM events)
 SELECT run_id, count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'fetching') AS fetching, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'skipped') AS skipped,

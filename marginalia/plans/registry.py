@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text, urls
-from marginalia.operators import classify, code, discovery, near_duplicates, quality, routing, sinks, threads
+from marginalia.operators import classify, code, discovery, message_blocks, near_duplicates, quality, routing, sinks, threads
 from marginalia.operators.markdown import Options, pages_to_markdown
 from marginalia.plans import oracles
 from marginalia.session import checkpointed, shared_dir
-from marginalia.sources import archives
+from marginalia.sources import archives, site_payloads
 from marginalia.streaming import stateful
 
 #: How long a list is read in ``stream_harvest``.
@@ -302,6 +302,46 @@ def archived_pages(spark, sf_dir):
     return _through_archives(rows).select(F.regexp_extract("name", "page_([0-9]+)", 1).cast("long").alias("page_id"), F.regexp_replace("archive", r"(\+[0-9]+)?\.zip\z", "").alias("host"), "bytes", "too_large", "body_sha256")
 
 
+def message_markdown(spark, sf_dir):
+    """Messages as stored payloads of ten shapes by conversation and turn: every kind of block, files, and none at all."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"), ((F.col("conv_id") * 7 + F.col("turn")) % 10).cast("int").alias("k"))
+    t, lit, st = F.col("t"), F.lit, F.struct
+    block = lambda kind, **fields: st(lit(kind).alias("type"), *[v.alias(k) for k, v in fields.items()])
+    message = lambda *blocks, **fields: F.concat(lit('{"content":['), F.concat_ws(",", *[F.to_json(b) for b in blocks]), lit("]"), *[F.concat(lit(f',"{k}":'), F.to_json(v)) for k, v in fields.items()], lit("}"))
+    steps = F.array(*[st(lit(x).alias("summary")) for x in ("Reading", "", "Weighing")])
+    shell = lambda out, err: F.to_json(st(out.alias("stdout"), err.alias("stderr"), lit(3).alias("returncode")))
+    result = lambda text, **fields: block("tool_result", content=F.array(st(lit("text").alias("type"), text.alias("text"))), **fields)
+    files = F.array(st(lit("a.png").alias("file_name"), lit("image").alias("file_kind"), lit("https://x.org/a").alias("preview_url")), st(lit("b.txt").alias("file_name"), lit(None).cast("string").alias("file_kind"), lit(None).cast("string").alias("preview_url")))
+    shapes = [
+        message(block("thinking", thinking=t, summaries=steps, cut_off=lit(True)), block("text", text=t)),
+        message(block("tool_use", message=lit("Wrote a file"), display_content=st(lit("code_block").alias("type"), F.concat(t, lit("\n````")).alias("code"), lit("py").alias("language")))),
+        message(block("tool_use", name=lit("search"), input=st(F.concat(lit("``"), t).alias("query")))),
+        message(block("tool_use", name=lit("make"), input=st(F.concat(lit("x"), t).alias("content"), lit("Notes").alias("title"), lit("md").alias("language")))),
+        message(block("tool_result", content=F.array(st(lit("knowledge").alias("type"), lit("https://x.org/p").alias("url"), lit(" A page ").alias("title"), st(lit("X").alias("site_name")).alias("metadata")), st(lit("knowledge").alias("type"), lit("https://x.org/q").alias("url"), lit("").alias("title"), st(lit("").alias("site_name")).alias("metadata"))))),
+        message(result(shell(F.concat(lit("o"), t, lit("\n")), F.concat(lit("e"), t)))),
+        message(result(shell(lit(""), lit(""))), result(F.concat(lit("{not json "), t), is_error=lit(True))),
+        message(block("image", text=t), block("thinking", thinking=t, hidden=lit(True)), block("text", text=F.concat(lit(" x"), t)), files=files, attachments=F.array(st(lit("c.csv").alias("name")))),
+        F.to_json(st(F.concat(lit("x"), t, lit(" y ")).alias("text"), files.alias("files"))),
+        message(block("tool_use", input=st(lit(5).alias("b"), lit(True).alias("a")))),
+    ]
+    rows = c.withColumn("payload", F.coalesce(*[F.when(F.col("k") == k, shape) for k, shape in enumerate(shapes)]))
+    return rows.select("conv_id", "turn", F.sha2(message_blocks.message_markdown(F.col("payload")), 256).alias("markdown_sha256"), F.length(message_blocks.message_markdown(F.col("payload"))).cast("long").alias("n"))
+
+
+def listing_tokens(spark, sf_dir):
+    """Pages as listings of four shapes whose tokens end in the page's id."""
+    item = lambda x: f'{{"continuationItemRenderer":{{"trigger":{{"a":[1]}},"continuationEndpoint":{{"clickTrackingParams":{{}},"continuationCommand":{{"request":{{"n":1}},"token":"{x}@"}}}}}}}}'
+    section = lambda name, *items: f'{{"itemSectionRenderer":{{"contents":[{",".join(items)}],"sectionIdentifier":"{name}"}}}}'
+    shapes = (
+        f'{{"z":{{"contents":[{section("related", item("r"))},{section("comment-item-section", "null", "{}", item("c"))}]}},"a":{item("late")}}}',
+        f'{{"z":[[{item("first")}]],"a":{section("comment-item-section")},"b":[{section("comment-item-section", item("d"), item("e"))}]}}',
+        '{"continuationItemRenderer":{"continuationEndpoint":{"continuationCommand":{"token":""}}},"x":[1,"t",null]}', '{"broken":',
+    )
+    shape = F.element_at(F.array(*[F.lit(x) for x in shapes]), (F.col("page_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.replace(shape, F.lit("@"), F.col("page_id").cast("string")).alias("payload"))
+    return rows.select("page_id", site_payloads.continuation_tokens(F.col("payload")).alias("t")).select("page_id", "t.section", "t.following")
+
+
 def merged_documents(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") != "system").alias("success"), F.col("text").alias("markdown"))
     return sinks.merged(c, "conv_id", "turn").select("conv_id", "n", F.sha2("document", 256).alias("document_sha256"))
@@ -324,7 +364,7 @@ def queries():
         quality_score, quality_stats, quality_reasons, dup_lines, query_overlap, token_estimate, token_heuristic, token_limit, url_normalize,
         url_private_guard, url_route, chat_route, chat_probe, discovery_rank, discovery_reject_reasons, chat_exchanges, chat_last_n, chat_transcript, author_carry,
         self_thread, first_n, file_tree, comment_paths, active_branch, shingle_counts, near_dup_pairs, near_dup_members, near_dup_gate, stream_gate, stream_harvest,
-        page_markdown, page_full, html_title, looks_like_code, response_classify, file_names, unique_file_names, archived_conversations, archived_pages, merged_documents, run_snapshot,
+        page_markdown, page_full, html_title, looks_like_code, response_classify, file_names, unique_file_names, archived_conversations, archived_pages, message_markdown, listing_tokens, merged_documents, run_snapshot,
     )
     return {f.__name__: f for f in names}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,9 +48,39 @@ def base64_text(content: Column) -> Column:
     return F.decode(F.unbase64(F.regexp_replace(text_of(content), f"[{WS}]+", "")), "UTF-8")
 
 
+def _tokens(payload: str | None) -> tuple[str | None, str | None]:
+    """The comment section's token and the first token of all, in depth-first order; null for what is no JSON."""
+    try:
+        stack = [json.loads(payload or "")]
+    except (ValueError, RecursionError):
+        return None, None
+    section = following = None
+    named = lambda node, *path: (named(node.get(path[0]), *path[1:]) if isinstance(node, dict) else None) if path else node
+    inner = ("continuationItemRenderer", "continuationEndpoint", "continuationCommand", "token")
+    while stack and (section is None or following is None):
+        node = stack.pop()
+        if isinstance(node, dict):
+            own = named(node, "itemSectionRenderer")
+            if section is None and named(own, "sectionIdentifier") == "comment-item-section":
+                items = own.get("contents")
+                section = next((t for t in (named(item, *inner) for item in items) if t), None) if isinstance(items, list) else None
+            following = following or named(node, *inner) or None
+        children = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
+        stack.extend(reversed(children))
+    return tuple(t if t is None or isinstance(t, str) else json.dumps(t) for t in (section, following))
+
+
 def continuation_tokens(payload: Column) -> Column:
-    """Tokens of a payload in the order in which they stand; the first continues the listing."""
-    return F.regexp_extract_all(text_of(payload), F.lit(r'"continuationCommand"\s*:\s*\{[^{}]*"token"\s*:\s*"([^"]+)"'), F.lit(1))
+    """(section, following) of a listing's JSON: the token that opens the comment section, and the first one that continues.
+
+    The order is that in which fields stand, which VARIANT and maps of Spark do not keep, so each payload is walked in Python.
+    """
+
+    @F.pandas_udf("section string, following string")
+    def walk(payloads: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_tokens(p) for p in payloads], columns=["section", "following"], dtype="object")
+
+    return walk(text_of(payload))
 
 
 def read_chats(spark: SparkSession, path: str) -> DataFrame:
