@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
 from marginalia.operators.names import running_total, unique_names
+from marginalia.session import dropped
 
 FORMAT = "marginalia_archive"
 #: A member of more bytes is told of, but not read.
@@ -182,16 +183,22 @@ def archive_name(batch: Column, volume: Column) -> Column:
 def write_archives(df: DataFrame, path: str, batch: str, order: str, title: str = "title", markdown: str = "markdown", volume_bytes: int = VOLUME_BYTES, mode: str = "append") -> None:
     """An archive for each batch's rows with ``success``, under unique names in ``order``; batches without any get none.
 
-    A batch of more than ``volume_bytes`` gets further volumes, so no task writes an unbounded one.
+    A batch of more than ``volume_bytes`` gets further volumes, so no task writes an unbounded one. ``order`` is not
+    null and tells the rows of a batch apart; two rows equal in both are an error. Texts do not travel
+    while rows are named and put into volumes: they join their names and go to the task that writes them.
     """
     good = df.where("success").select(F.col(batch).alias("batch"), F.col(order).alias("pos"), F.col(title).alias("title"), F.encode(F.coalesce(markdown, F.lit("")), "UTF-8").alias("body"))
-    named = unique_names(good, "batch", "pos")
-    sized, _ = running_total(named, ["batch"], ["pos", "name"], F.octet_length("body"), "start")
-    sized = sized.withColumn("volume", F.floor(F.col("start") / volume_bytes).cast("long"))
-    spread = sized.repartition("batch", "volume").sortWithinPartitions("batch", "volume", "pos", "name")
+    named = unique_names(good.select("batch", "pos", "title", F.octet_length("body").alias("size")), "batch", "pos")
+    if not named.groupBy("batch", "pos").count().where("count > 1").isEmpty():
+        raise ValueError(f"rows of a batch are equal in {order}")
+    sized, placed = running_total(named, ["batch"], ["pos"], F.col("size"), "start")
+    volume = F.floor(F.col("start") / volume_bytes).cast("long")
+    places = sized.select(F.col("batch").alias("batch2"), F.col("pos").alias("pos2"), "name", archive_name(F.col("batch"), volume).alias("archive"))
+    rows = good.select("batch", "pos", "body").join(places, F.col("batch").eqNullSafe(F.col("batch2")) & (F.col("pos") == F.col("pos2")))
+    spread = rows.repartition("archive").sortWithinPartitions("archive", "pos").select("archive", "name", "body")
     df.sparkSession.dataSource.register(ArchiveSource)
-    rows = spread.select(archive_name(F.col("batch"), F.col("volume")).alias("archive"), "name", "body")
-    rows.write.format(FORMAT).mode(mode).option("path", path).save()
+    spread.write.format(FORMAT).mode(mode).option("path", path).save()
+    dropped(named, placed)
 
 
 def read_archives(spark: SparkSession, path: str, cap: int = CAP) -> DataFrame:

@@ -105,6 +105,12 @@ def test_append_refuses_what_is_there_and_overwrite_replaces(spark, tmp_path):
     assert sorted(os.listdir(path)) == ["_SUCCESS", "x%2Fy.zip"] and zipfile.ZipFile(f"{path}/x%2Fy.zip").namelist() == ["t_0.md", "t_1.md", "t_0_1.md", "t_0_2.md"]
 
 
+def test_rows_equal_in_batch_and_order_are_refused(spark, tmp_path):
+    df, _ = batches(spark)
+    with pytest.raises(ValueError, match="equal in pos"):
+        archives.write_archives(df.unionByName(df), str(tmp_path / "twice"), "batch", "pos")
+
+
 def test_many_archives_at_once(spark, tmp_path):
     df = spark.range(3000).select((F.col("id") % 1000).alias("batch"), F.col("id").alias("pos"), F.lit("n").alias("title"), F.col("id").cast("string").alias("markdown"), F.lit(True).alias("success"))
     path = str(tmp_path / "many")
