@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,54 @@ def test_gate_of_runs_is_the_batch_gate_after_any_split(spark, tmp_path, cuts):
     assert got == want and {x for x, _ in want.values()} == {"accepted", "duplicate", "junk"}
 
 
+def test_a_small_run_takes_two_calls_to_its_state_a_batch():
+    """The gate's processor alone: calls do not grow with features until the run outgrows its one value, and verdicts are the same then."""
+
+    class Kept:
+        def __init__(self):
+            self.calls, self.value, self.map = 0, None, {}
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self.map
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.map[key]
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self.map[key] = value
+
+    class Handle(dict):
+        def getValueState(self, name, *_):
+            return self.setdefault(name, Kept())
+
+        getMapState = getValueState
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(-(2**62), 2**62, 200)) for _ in range(12)]
+    sets += [np.concatenate([x[: 200 - k], rng.integers(0, 2**62, k)]) for x, k in zip(sets, (0, 5, 20, 60, 10, 3))]
+    verdicts, calls = [], []
+    for most in (1 << 18, 700, 0):
+        gate, handle, got = stateful._Gate(75, most), Handle(), []
+        gate.init(handle)
+        for lo in range(0, len(sets), 3):
+            batch = pd.DataFrame({"id": range(lo, lo + 3), "prints": sets[lo : lo + 3], "junk": [False] * 3})
+            got += [tuple(None if pd.isna(x) else x for x in r) for part in gate.handleInputRows(("r",), iter([batch]), None) for r in part.itertuples(index=False)]
+        verdicts.append(got)
+        calls.append(sum(x.calls for x in handle.values()))
+    assert verdicts[0] == verdicts[1] == verdicts[2] and [r[3] for r in verdicts[0][12:]] == [0, 1, 2, None, 4, 5]
+    assert calls[0] <= 2 * 6 < 100 < calls[1]
+
+
 def test_a_batch_reads_no_history_of_other_features(spark, tmp_path):
     """A second start writes verdicts on its own rows only."""
     source, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
