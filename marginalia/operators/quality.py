@@ -6,10 +6,14 @@ sentences are fixed values of the score.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import WS, ascii_boundaries, js_pattern, text_of, trimmed, utf16_length, words_of
+from marginalia.functions.text import WS, ascii_boundaries, js_pattern, text_of, utf16_length, words_of
 from marginalia.functions.urls import host_of
 
 # Phrases of selling, of calls to action, of paid signals, of channels, and what makes a channel a pitch.
@@ -48,6 +52,10 @@ QUERY_STOP = (
 LINK = rf'\[([^\]]*)\]\(([^){WS}]*)(?:[{WS}]+"[^"]*")?\)'
 FENCE = r"```(?s:.)*?(?:```|\z)"
 MARKS = r"[#>*_`|~]"
+#: White space beyond ASCII, marks with white space within it, and the latter without line ends.
+WIDE_SPACE = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+MARKS_OR_SPACE = r"[\t-\r #>*_`|~]"
+IN_LINE_SPACE = r"[\t\x0B-\r ]"
 JUNK_SCORE = 100
 DUPLICATE = 0.75
 SHINGLE = 6
@@ -60,20 +68,47 @@ STATS = (
 
 
 def without_code(c: Column) -> Column:
-    return F.regexp_replace(text_of(c), FENCE, " ")
+    c = text_of(c)
+    return F.when(c.contains("```"), F.regexp_replace(c, FENCE, " ")).otherwise(c)
+
+
+def unlinked(c: Column) -> Column:
+    """Links to their texts."""
+    return F.when(c.contains("]("), F.regexp_replace(c, LINK, "$1")).otherwise(c)
+
+
+def ascii_spaces(c: Column) -> Column:
+    """White space beyond ASCII to single spaces, which measure the same."""
+    some = reduce(or_, (c.contains(x) for x in WIDE_SPACE))
+    return F.when((F.octet_length(c) > F.char_length(c)) & some, F.regexp_replace(c, f"[{WIDE_SPACE}]", " ")).otherwise(c)
+
+
+def _spaced(c: Column, class_: str) -> Column:
+    """Runs of the class, which holds a space, to one space. Single spaces are passed over, not replaced."""
+    return F.regexp_replace(c, f"{class_}(?:{class_}+|(?<=[^ ]))", " ")
 
 
 def plain_text(code_free: Column) -> Column:
-    """Links to their texts, images out, marks to spaces, white space collapsed."""
-    c = F.regexp_replace(code_free, LINK, "$1")
-    c = F.regexp_replace(c, r"!\[[^\]]*\]\([^)]*\)", " ")
-    return F.regexp_replace(F.regexp_replace(c, MARKS, " "), f"[{WS}]+", " ")
+    """Links to their texts, images out, marks to spaces, white space collapsed. White space is ASCII."""
+    c = unlinked(code_free)
+    c = F.when(code_free.contains("]("), F.regexp_replace(c, r"!\[[^\]]*\]\([^)]*\)", " ")).otherwise(c)
+    return _spaced(c, MARKS_OR_SPACE)
+
+
+def spaced_words(c: Column) -> Column:
+    """The number of words of a trimmed text whose only white space is single spaces."""
+    return F.when(c == "", 0).otherwise(F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
+
+
+def literal_of(pattern: str) -> str:
+    """The longest text that every match of a pattern of PROMO, CTA, SIGNALS or CHANNELS holds."""
+    pattern = re.sub(r"\(\?:[^()]*\)\??", "\0", pattern.replace(r"\b", ""))
+    return max(re.sub(r"\[[^\]]*\]|\\d\+|.\?", "\0", pattern).split("\0"), key=len)
 
 
 def hits(c: Column, patterns) -> Column:
-    """Non-overlapping matches of each pattern, summed. Most texts have none, which one pass without word boundaries tells."""
-    some = "|".join(p.replace(r"\b", "") for p in patterns)
-    return F.when(c.rlike(some), sum((F.regexp_count(c, F.lit(ascii_boundaries(p))) for p in patterns), F.lit(0))).otherwise(0)
+    """Non-overlapping matches of each pattern, summed. A pattern is only looked for where its literal part stands, as most texts have none."""
+    return sum((F.when(c.contains(literal_of(p)), F.regexp_count(c, F.lit(ascii_boundaries(p)))).otherwise(0) for p in patterns), F.lit(0))
 
 
 def hits_near(c: Column, patterns, cue: str, reach: int) -> Column:
@@ -95,7 +130,7 @@ def hits_near(c: Column, patterns, cue: str, reach: int) -> Column:
             at = F.sequence(F.lit(0), (F.size(all_pieces) / 2 - 2).cast("int"))
             return F.aggregate(F.transform(at, lambda k: counts(all_pieces, k)), F.lit(0), lambda a, x: a + x)
 
-        return F.when(c.rlike(p), F.get(F.transform(F.array(pieces), total), F.lit(0))).otherwise(0)
+        return F.when(c.contains(literal_of(pattern)) & c.rlike(p), F.get(F.transform(F.array(pieces), total), F.lit(0))).otherwise(0)
 
     return sum((one(p) for p in patterns), F.lit(0))
 
@@ -108,12 +143,15 @@ def query_terms(query: Column) -> Column:
 def measures(df: DataFrame, markdown: str = "markdown", query: Column | None = None, url: Column | None = None) -> DataFrame:
     """``df`` with the columns STATS. Null and empty texts measure 0 everywhere."""
     query = F.lit("") if query is None else query
-    step = df.withColumns({"_raw": without_code(F.col(markdown)), "_terms": query_terms(query), "_host": host_of(F.lit("") if url is None else url)})
-    step = step.withColumns({"_plain": plain_text(F.col("_raw")), "_targets": F.regexp_extract_all("_raw", F.lit(LINK), F.lit(2)), "_texts": F.regexp_extract_all("_raw", F.lit(LINK), F.lit(1))})
-    lines = F.filter(F.transform(F.split("_raw", "\n"), trimmed), lambda x: x != "")
-    step = step.withColumns({"_lower": F.lower("_plain"), "_lines": lines, "_n": F.size(words_of(F.col("_plain")))})
-    flat = F.transform("_lines", lambda x: F.regexp_replace(F.lower(x), f"[{WS}]+", " "))
-    line_words = F.transform("_lines", lambda x: F.size(words_of(F.regexp_replace(F.regexp_replace(x, LINK, "$1"), MARKS, " "))))
+    step = df.withColumns({"_raw": without_code(ascii_spaces(text_of(markdown))), "_terms": query_terms(query), "_host": host_of(F.lit("") if url is None else url)})
+    linked = lambda part: F.when(F.col("_raw").contains("]("), F.regexp_extract_all("_raw", F.lit(LINK), F.lit(part))).otherwise(F.array().cast("array<string>"))
+    # Lines in lower case with white space collapsed: neither changes what is counted of them.
+    flat = F.filter(F.transform(F.split(F.lower(_spaced(F.col("_raw"), IN_LINE_SPACE)), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    step = step.withColumns({"_plain": plain_text(F.col("_raw")), "_targets": linked(2), "_texts": linked(1), "_lines": flat})
+    step = step.withColumns({"_lower": F.lower("_plain"), "_n": spaced_words(F.trim("_plain"))})
+    # One step each, as a lambda evaluates an argument anew wherever it stands.
+    plain_lines = F.transform(F.transform("_lines", unlinked), lambda x: F.trim(_spaced(x, MARKS_OR_SPACE)))
+    line_words = F.transform(plain_lines, spaced_words)
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     step = step.withColumns(
         {
@@ -122,8 +160,8 @@ def measures(df: DataFrame, markdown: str = "markdown", query: Column | None = N
             "link_text_words": total(F.transform("_texts", lambda x: F.size(words_of(x)))),
             "affiliate_links": F.size(F.filter("_targets", lambda x: x.rlike(AFFILIATE))),
             "outbound_links": F.size(F.filter(F.transform("_targets", host_of), lambda h: (h != "") & (F.col("_host") != "") & (h != F.col("_host")))),
-            "headings": F.size(F.filter("_lines", lambda x: x.rlike(f"^#{{1,6}}[{WS}]"))),
-            "_dup": F.size(flat) - F.size(F.array_distinct(flat)),
+            "headings": F.size(F.filter("_lines", lambda x: x.startswith("#") & x.rlike("^#{1,6} "))),
+            "_dup": F.size("_lines") - F.size(F.array_distinct("_lines")),
             "_substantial": total(F.filter(line_words, lambda n: n >= 20)),
             "_promo": hits(F.col("_lower"), PROMO),
             "_cta": hits(F.col("_lower"), CTA),
@@ -200,7 +238,7 @@ def scored(measured: DataFrame) -> DataFrame:
 
 def shingle_source(c: Column) -> Column:
     """The text whose runs of a-z0-9 are the words of shingles: code and link targets are out, letters lower."""
-    return F.lower(F.regexp_replace(without_code(c), LINK, "$1"))
+    return F.lower(unlinked(without_code(c)))
 
 
 def shingle_texts(c: Column, size: int = SHINGLE) -> Column:

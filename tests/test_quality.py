@@ -1,6 +1,7 @@
 """Quality score, fingerprints, tokens and the near-duplicate gate."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -34,6 +35,28 @@ def test_articles_stay_and_pitches_go(spark):
     assert got[6].word_count == got[7].word_count == 0 and got[6].score == 35
 
 
+def test_every_match_of_a_phrase_holds_its_literal():
+    """Texts made of a pattern's own alternatives, with and without its optional parts: each matches, and holds what the text is searched for first."""
+    for pattern in (*quality.PROMO, *quality.CTA, *quality.SIGNALS, *quality.CHANNELS):
+        some = [pattern.replace(r"\b", "").replace(r"\d+", "7").replace("[- ]", "-")]
+        while any("(?:" in x for x in some):
+            some = [x.replace(g.group(0), alt, 1) for x in some for g in [re.search(r"\(\?:([^()]*)\)\??", x)] for alt in [*g.group(1).split("|"), *[""] * g.group(0).endswith("?")]]
+        some = [y for x in some for y in (re.sub(r"(.)\?", r"\1", x), re.sub(r".\?", "", x))]
+        assert some and all(re.search(pattern, x) and quality.literal_of(pattern) in x for x in some), pattern
+        assert len(quality.literal_of(pattern)) > 1
+
+
+def test_measures_of_odd_white_space(spark):
+    """Wide spaces, tabs and carriage returns count like spaces, at the edges of lines, in links and between marks, too."""
+    plain = "# A Head\n\n  one two  three\n ONE two three \n##none\n*x* [a b](https://b.org/go/1?tag=x) | y\n" + " ".join(f"w{i}" for i in range(25)) + "\nuse code A 50% off"
+    odd = plain.replace("  ", "\u00a0\t").replace("# A", "#\u3000A").replace("a b", "a\u2003\r b").replace("x* ", "x*\ufeff").replace("w1 ", "w1\x0b\u2028").replace("A 50% off", "A\t50% off\u202f")
+    got = judged(spark, [(1, plain, "what use", "https://a.com/"), (2, odd, "what use", "https://a.com/")])
+    assert [got[1][c] for c in quality.STATS] == [got[2][c] for c in quality.STATS]
+    one = got[1]
+    assert (one.word_count, one.headings, one.link_count, one.link_text_words, one.affiliate_links, one.outbound_links) == (43, 1, 1, 2, 1, 1)
+    assert one.duplicate_line_share == 1 / 7 and one.substantial_word_share == 25 / 43 and one.promo_per_1000 == 2 * (1000 / 43) and got[1].reasons == got[2].reasons
+
+
 def test_links_are_counted_and_code_is_not(spark):
     text = "See [the study](https://b.org/study) and [buy](https://shop.com/go/1?tag=x).\n\n```\nuse code A, click here\n```\n"
     got = judged(spark, [(1, text, "", "https://a.com/")])[1]
