@@ -21,6 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ IN_WORD = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdefghijklmnopqrst
 AT_ONCE = 1 << 20
 #: Features of a block of sets, on average.
 BLOCK_FEATURES = 1 << 17
+#: Pairs of a pair of blocks that one group verifies, about.
+PAIRS_AT_ONCE = 1 << 18
 #: Sets that the order of features is taken from, and features that it ranks. Any order gives the same pairs.
 ORDER_SETS, RANKED = 20_000, 1 << 17
 #: Postings of a feature beyond which it is split by the next one.
@@ -90,6 +93,18 @@ def _sets(texts: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
         lo = hi
 
 
+def _sets_of(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The sets of texts, or of lists of hashes in any order, of about a megabyte at a time."""
+    if not pa.types.is_list(column.type):
+        yield from _sets(column, SHINGLE)
+        return
+    offsets, lo = column.offsets.to_numpy(), 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + AT_ONCE // 8, side="right")) - 1)
+        yield [np.unique(x.values.to_numpy().view(np.uint64)) if x.is_valid else np.zeros(0, np.uint64) for x in column.slice(lo, hi - lo)]
+        lo = hi
+
+
 def _digest(hashes: np.ndarray) -> bytes:
     return hashlib.sha256(hashes.tobytes()).digest()
 
@@ -168,18 +183,21 @@ def _prefixes(sets: list[np.ndarray], order: tuple[np.ndarray, np.ndarray], perc
     return out
 
 
-def _keyed(prints: DataFrame, order: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """(id, key, n, least, prefix) of the sets that are not empty: digest, size, least feature and first features."""
-    held = prints.sparkSession.sparkContext.broadcast(order)
+def _keyed(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """(id, key, n, least, prefix) of the sets that are not empty: digest, size, least feature and first features. ``rows``: id with prints or source."""
+    held = rows.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(x.values.to_numpy().view(np.uint64)) for x in batch.column(1)]
-            least = np.array([x[0] for x in sets], np.uint64).view(np.int64)
-            columns = [pa.array([_digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(least), _lists(_prefixes(sets, held.value, percent))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "key", "n", "least", "prefix"])
+            at = 0
+            for part in _sets_of(batch.column(1)):
+                some = np.flatnonzero([len(x) for x in part])
+                sets = [part[i] for i in some]
+                least = np.array([x[0] for x in sets], np.uint64).view(np.int64)
+                columns = [pa.array([_digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(least), _lists(_prefixes(sets, held.value, percent))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + at)), *columns], names=["id", "key", "n", "least", "prefix"])
+                at += len(part)
 
-    rows = prints.where(F.size("prints") > 0).select("id", "prints")
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key binary, n int, least long, prefix array<long>")
 
 
@@ -238,20 +256,23 @@ def _verified(met: DataFrame, place: DataFrame, sets: DataFrame, percent: int, i
     ``sets``: id with prints, or with the source that they are made of, which is smaller.
     """
     dealt = met.join(place.select(F.col("group").alias("a"), F.col("block").alias("p")), "a").join(place.select(F.col("group").alias("b"), F.col("block").alias("q")), "b")
-    dealt = checkpointed(dealt.select("p", "q", "a", "b"))
-    wanted = dealt.select("p", "q", F.col("a").alias("id")).unionByName(dealt.select("p", "q", F.col("b").alias("id"))).distinct()
+    whole = checkpointed(dealt.select("p", "q", "a", "b"))
+    # Copies by the thousand have their pairs in few blocks, so these are parted by their first set.
+    many = whole.groupBy("p", "q").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).alias("part")
+    dealt = checkpointed(whole.join(many, ["p", "q"], "left").select("p", "q", part, "a", "b"))
+    dropped(whole)
+    wanted = dealt.select("p", "q", "part", F.col("a").alias("id")).unionByName(dealt.select("p", "q", "part", F.col("b").alias("id"))).distinct()
     made = sets.columns[1]
-    held = wanted.join(sets, "id").select(F.col("p").alias("p_of"), F.col("q").alias("q_of"), F.col("id").alias("group"), made)
+    held = wanted.join(sets, "id").select(F.col("p").alias("p_of"), F.col("q").alias("q_of"), F.col("part").alias("part_of"), F.col("id").alias("group"), made)
 
     def verify(pairs: pa.Table, arrays: pa.Table) -> pa.Table:
-        groups = arrays.column("group").to_pylist()
-        at = {g: i for i, g in enumerate(groups)}
+        names = arrays.column("group").combine_chunks()
         column = arrays.column(made).combine_chunks()
         if made == "source":
             column = _lists([x for part in _sets(column, SHINGLE) for x in part])
         flat, bounds = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
-        a = np.array([at[g] for g in pairs.column("a").to_pylist()], np.int64)
-        b = np.array([at[g] for g in pairs.column("b").to_pylist()], np.int64)
+        a, b = (pc.index_in(pairs.column(c).combine_chunks(), names).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
         by = np.argsort(a, kind="stable")
         a, b = a[by], b[by]
         sizes = np.diff(bounds)
@@ -265,10 +286,9 @@ def _verified(met: DataFrame, place: DataFrame, sets: DataFrame, percent: int, i
             shared[lo:hi] = np.add.reduceat(found.astype(np.int64), starts)
         union = sizes[a] + sizes[b] - shared
         good = np.flatnonzero(shared * 100 >= union * percent)
-        names = arrays.column("group").combine_chunks()
         return pa.table({"a": names.take(pa.array(a[good])), "b": names.take(pa.array(b[good])), "shared": pa.array(shared[good]), "union": pa.array(union[good])})
 
-    out = dealt.groupBy("p", "q").cogroup(held.groupBy("p_of", "q_of")).applyInArrow(verify, f"a {ident}, b {ident}, shared long, union long")
+    out = dealt.groupBy("p", "q", "part").cogroup(held.groupBy("p_of", "q_of", "part_of")).applyInArrow(verify, f"a {ident}, b {ident}, shared long, union long")
     out = checkpointed(out)
     dropped(dealt)
     return out
@@ -280,12 +300,13 @@ def similar_groups(prints: DataFrame, percent: int = int(DUPLICATE * 100), sampl
     ``prints``: id, prints (distinct, in any order). It is run three times, as
     whole sets take more room than the texts that they are made of: for the order
     of features, for keys and prefixes, and for the sets that are to be verified.
-    ``sample`` (prints of some of the rows) and ``source`` (id, source) stand in for
-    it the first and the last time. Equal sets are one group, so copies are never
+    ``sample`` (prints of some of the rows) stands in for it the first time, and
+    ``source`` (id, source) the others, so that sets stay in the task that makes them. Equal sets are one group, so copies are never
     paired with one another. Empty sets have no group. Both results are checkpoints.
     """
     sample = _sampled(prints, "id") if sample is None else sample
-    keyed = stored(_keyed(prints, _order(sample), percent))
+    rows = prints.select("id", "prints") if source is None else source
+    keyed = stored(_keyed(rows, _order(sample), percent))
     ident = dict(keyed.dtypes)["id"]
     who = checkpointed(keyed.join(keyed.groupBy("key").agg(F.min("id").alias("group")), "key").select("id", "group"))
     first = who.where("id = group").select("id")
@@ -296,7 +317,7 @@ def similar_groups(prints: DataFrame, percent: int = int(DUPLICATE * 100), sampl
     total = heads.agg(F.sum("n").alias("n")).first()["n"] or 0
     ordered = heads.select("group", "least").repartitionByRange(max(1, -(-total // BLOCK_FEATURES)), "least", "group")
     place = checkpointed(ordered.select("group", F.spark_partition_id().alias("block")))
-    pairs = _verified(met, place, prints.select("id", "prints") if source is None else source, percent, ident)
+    pairs = _verified(met, place, rows, percent, ident)
     dropped(heads, met, place)
     return who, pairs
 

@@ -179,6 +179,25 @@ def test_similar_groups_are_brute_force(spark, monkeypatch, percent, long):
     assert len(got) == len(set(got)) and set(got) == met
 
 
+def test_near_copies_by_the_score_are_verified_in_parts(spark, monkeypatch):
+    """Sets made in the task from texts, in small parts of texts and of pairs, are those of prints; no group verifies all pairs of the one block."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    texts = [" ".join(base[: 110 + i % 8] + [f"x{i}"]) if i % 9 else None if i % 2 else "too short" for i in range(36)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    who, pairs = near_duplicates.similar_groups(near_duplicates.fingerprints(docs))
+    want = {tuple(r) for r in pairs.collect()}, {tuple(r) for r in who.collect()}
+    assert len(want[0]) > 300
+    sizes = []
+    monkeypatch.setattr(near_duplicates, "PAIRS_AT_ONCE", 40)
+    monkeypatch.setattr(near_duplicates, "AT_ONCE", 500)
+    kept = near_duplicates.checkpointed
+    monkeypatch.setattr(near_duplicates, "checkpointed", lambda df: (out := kept(df), "part" in df.columns and sizes.extend(r["count"] for r in out.groupBy("p", "q", "part").count().collect()))[0])
+    for got in (near_duplicates.text_groups(docs), near_duplicates.similar_groups(near_duplicates.fingerprints(docs))):
+        assert ({tuple(r) for r in got[1].collect()}, {tuple(r) for r in got[0].collect()}) == want
+    assert len(sizes) > 8 and max(sizes) < len(want[0]) / 2
+
+
 def test_similar_groups_of_nothing(spark):
     none = spark.createDataFrame([(1, [])], "id long, prints array<long>")
     for df in (none, none.limit(0)):
