@@ -6,8 +6,9 @@ filter: of each set the features that a similar set cannot all lack, rarest
 first, are posted, and two sets that share one are compared unless their sizes
 or the places of the feature rule it out. A feature that very many sets post is
 split by the feature that comes next: similar sets share two of a prefix that
-is one longer. Pairs are verified in blocks of sets, so a set travels once for
-each pair of blocks and not once for each pair.
+is one longer. Shared postings are counted, and pairs with fewer than similar
+sets share are left out. Pairs are verified in blocks of sets, so a set travels
+once for each pair of blocks and not once for each pair.
 
 Defined results: null and empty texts and texts under ``SHINGLE`` words have an
 empty set, which is similar to nothing; equal sets are one group, named by its
@@ -22,7 +23,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.quality import DUPLICATE, SHINGLE, shingle_source
@@ -157,9 +158,9 @@ def equal_sets(df: DataFrame, ident: str = "doc_id", text: str = "text") -> Data
 
 
 def _sampled(df: DataFrame, ident: str) -> DataFrame:
-    """At most about ORDER_SETS rows, chosen by a hash of the id."""
+    """About ORDER_SETS rows, chosen by a hash of the id. No limit, which would bring them all into one task."""
     rate = min(1.0, ORDER_SETS / max(df.count(), 1))
-    return df.where(F.pmod(F.xxhash64(ident), F.lit(1 << 20)) < rate * (1 << 20)).limit(2 * ORDER_SETS)
+    return df.where(F.pmod(F.xxhash64(ident), F.lit(1 << 20)) < rate * (1 << 20))
 
 
 def _order(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -201,18 +202,23 @@ def _keyed(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], percent: int)
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key binary, n int, least long, prefix array<long>")
 
 
-def _posted(heads: DataFrame, percent: int) -> DataFrame:
-    """(h, group, size, place): the features that each set posts."""
-    kept = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return heads.select("group", F.col("n").alias("size"), kept.alias("kept"), F.posexplode("prefix").alias("place", "h")).where("place < kept").select("h", "group", "size", "place")
+def _kept(n: Column, percent: int) -> Column:
+    """How many features a set of n posts."""
+    return n - F.ceil(n * percent / 100) + 1
+
+
+def _posted(heads: DataFrame, percent: int, *more: str) -> DataFrame:
+    """(h, group, size, place) and more columns of the heads: the features that each set posts."""
+    each = heads.select("group", F.col("n").alias("size"), _kept(F.col("n"), percent).alias("kept"), *more, F.posexplode("prefix").alias("place", "h"))
+    return each.where("place < kept").select("h", "group", "size", "place", *more)
 
 
 def _split(heads: DataFrame, ident: str) -> DataFrame:
-    """(h, group, size, place) of sets with ``long``, features to be split: each with every later one of the prefix; ``place`` is that of the first."""
+    """(h, group, size, place, hot) of sets with ``long``, features to be split: each with every later one of the prefix; ``place`` is that of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, row, size, place = [np.zeros(0, np.int64)], [], [], []
+            h, row, size, place, hot = [np.zeros(0, np.int64)], [], [], [], []
             for i, (n, prefix, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3))):
                 own = prefix.values.to_numpy()
                 for k in np.flatnonzero(np.isin(own, wanted.values.to_numpy())).tolist():
@@ -221,32 +227,46 @@ def _split(heads: DataFrame, ident: str) -> DataFrame:
                     row += [i] * len(both)
                     size += [n] * len(both)
                     place += [k] * len(both)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), batch.column(0).take(pa.array(row, pa.int64())), pa.array(size, pa.int32()), pa.array(place, pa.int32())], names=["h", "group", "size", "place"])
+                    hot += [len(wanted)] * len(both)
+            numbers = [pa.array(x, pa.int32()) for x in (size, place, hot)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), batch.column(0).take(pa.array(row, pa.int64())), *numbers], names=["h", "group", "size", "place", "hot"])
 
-    return heads.select("group", "n", "prefix", "long").mapInArrow(run, f"h long, group {ident}, size int, place int")
+    return heads.select("group", "n", "prefix", "long").mapInArrow(run, f"h long, group {ident}, size int, place int, hot int")
 
 
-def _met(posted: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: groups that share a posting and whose sizes and places allow similarity, were it the first that they share."""
+def _met(posted: DataFrame, percent: int, counts: int) -> DataFrame:
+    """(a, b, c, first, need), a < b: groups whose sizes allow similarity, a row for each posting that they share.
+
+    ``c`` is ``counts``; ``first`` is whether the places allow similarity, were it the first that they share; ``need`` is the least
+    number of shared postings that does. In the order of features, what two sets share beyond their postings comes after all postings
+    of one of them, so it is no more than that one has left. ``hot`` features of a set are not counted and may all be shared.
+    """
     a, b = posted.alias("a"), posted.alias("b")
     less, more = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.group") < F.col("b.group")) & (less * 100 >= more * percent))
+    both = (F.col("a.size") + F.col("b.size")) * percent
     most = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
-    fits = (less * 100 >= more * percent) & (most * (100 + percent) >= (F.col("a.size") + F.col("b.size")) * percent)
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.group") < F.col("b.group")) & fits)
-    return pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"))
+    need = F.ceil(both / (100 + percent)) - (more - _kept(more, percent)) - F.least("a.hot", "b.hot")
+    return pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"), F.lit(counts).alias("c"), (most * (100 + percent) >= both).alias("first"), need.cast("int").alias("need"))
 
 
 def _candidates(heads: DataFrame, percent: int, ident: str) -> DataFrame:
     """(a, b), a < b: every pair of groups that may be similar, once."""
-    posted = _posted(heads, percent)
-    often = checkpointed(posted.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-    met = _met(posted.join(often.where(F.col("df") <= LONG), "h"), percent)
+    often = checkpointed(_posted(heads, percent).groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    held = [often]
     hot = often.where(F.col("df") > LONG)
-    if not hot.isEmpty():
-        wanted = posted.join(hot.select("h"), "h").groupBy("group").agg(F.collect_list("h").alias("long"))  # a set's own prefix at most
-        met = met.unionByName(_met(_split(heads.join(wanted, "group"), ident), percent))
-    out = checkpointed(met.distinct())
-    dropped(often)
+    split = not hot.isEmpty()
+    if split:
+        wanted = _posted(heads, percent).join(hot.select("h"), "h").groupBy("group").agg(F.collect_list("h").alias("long"))  # a set's own prefix at most
+        held.append(checkpointed(wanted))
+        heads = heads.join(held[-1], "group", "left")
+    heads = heads.withColumn("hot", F.when(F.col("long").isNull(), 0).otherwise(F.size("long")) if split else F.lit(0))
+    met = _met(_posted(heads, percent, "hot").join(often.where(F.col("df") <= LONG).select("h"), "h"), percent, 1)
+    if split:
+        met = met.unionByName(_met(_split(heads.where("hot > 0"), ident), percent, 0))
+    enough = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("first").alias("first"), F.max("need").alias("need")).where("first AND c >= need")
+    out = checkpointed(enough.select("a", "b"))
+    dropped(*held)
     return out
 
 

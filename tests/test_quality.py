@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +220,25 @@ def test_fingerprints_are_the_shingles(spark):
     for i in sorted(got):
         first.setdefault(tuple(got[i]), i)
     assert named == {i: first[tuple(p)] for i, p in got.items() if p}  # one identity of sets
+
+
+def test_sample_of_sets_stays_spread(spark):
+    df = spark.range(0, 4000, 1, 4).select(F.col("id"))
+    sample = near_duplicates._sampled(df, "id")
+    assert sample.rdd.getNumPartitions() == 4 and sample.count() == 4000
+
+
+def test_sets_that_share_one_passage_are_not_compared(spark, monkeypatch):
+    """Sixty sets have a passage of eight features in common, two of them more."""
+    rng = random.Random(5)
+    draw = lambda n: [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
+    passage = draw(8)
+    rows = [(i, draw(72) + passage) for i in range(60)]
+    rows.append((60, rows[0][1][:70] + draw(4) + passage))
+    listed = []
+    candidates = near_duplicates._candidates
+    monkeypatch.setattr(near_duplicates, "_order", lambda sample: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(near_duplicates, "_candidates", lambda *a: (out := candidates(*a), listed.extend(map(tuple, out.collect())))[0])
+    _, pairs = near_duplicates.similar_groups(spark.createDataFrame(rows, "id long, prints array<long>").repartition(3))
+    assert [(r.a, r.b, r.shared, r.union) for r in pairs.collect()] == [(0, 60, 78, 84)]
+    assert listed == [(0, 60)]
