@@ -1,15 +1,15 @@
 """Quality measures, junk score with spoken reasons, and token accounting of Markdown texts.
 
-Everything is a projection: no shuffle, no Python. Thresholds, weights and
-sentences are fixed values of the score.
+Everything is a projection: no shuffle, and no Python but one look for phrases
+in Arrow. Thresholds, weights and sentences are fixed values of the score.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
-from operator import or_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +52,12 @@ QUERY_STOP = (
 LINK = rf'\[([^\]]*)\]\(([^){WS}]*)(?:[{WS}]+"[^"]*")?\)'
 FENCE = r"```(?s:.)*?(?:```|\z)"
 MARKS = r"[#>*_`|~]"
-#: White space beyond ASCII, marks with white space within it, and the latter without line ends.
-WIDE_SPACE = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-MARKS_OR_SPACE = r"[\t-\r #>*_`|~]"
-IN_LINE_SPACE = r"[\t\x0B-\r ]"
+#: White space beyond ASCII; the first class is quick to rule most letters out.
+WIDE_SPACE = r"[\x{00A0}\x{1680}-\x{FEFF}](?<=[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}])"
+#: Marks with white space within ASCII, marks with single spaces, and white space without line ends; Java looks single characters up at once, ranges one by one.
+MARKS_OR_SPACE = r"[\t\n\x0B\f\r #>*_`|~]"
+MARKS_IN_LINE = r"[ #>*_`|~]"
+IN_LINE_SPACE = r"[\t\x0B\f\r ]"
 JUNK_SCORE = 100
 DUPLICATE = 0.75
 SHINGLE = 6
@@ -79,8 +81,7 @@ def unlinked(c: Column) -> Column:
 
 def ascii_spaces(c: Column) -> Column:
     """White space beyond ASCII to single spaces, which measure the same."""
-    some = reduce(or_, (c.contains(x) for x in WIDE_SPACE))
-    return F.when((F.octet_length(c) > F.char_length(c)) & some, F.regexp_replace(c, f"[{WIDE_SPACE}]", " ")).otherwise(c)
+    return F.when(F.octet_length(c) > F.char_length(c), F.regexp_replace(c, WIDE_SPACE, " ")).otherwise(c)
 
 
 def _spaced(c: Column, class_: str) -> Column:
@@ -88,6 +89,16 @@ def _spaced(c: Column, class_: str) -> Column:
     return F.regexp_replace(c, f"{class_}(?:{class_}+|(?<=[^ ]))", " ")
 
 
+def _tight(c: Column) -> Column:
+    """Lines without blank ones and without spaces at their edges. The only white space is single spaces and line ends."""
+    ended = F.when(c.contains("\n"), F.replace(c, F.lit(" \n"), F.lit("\n"))).otherwise(c)
+    return F.btrim(F.when(c.contains("\n\n") | c.contains("\n "), F.regexp_replace(ended, "\n[ \n]+", "\n")).otherwise(ended), F.lit(" \n"))
+
+
+def _lines(tight: Column) -> Column:
+    return F.when(tight == "", F.array().cast("array<string>")).otherwise(F.split(tight, "\n"))
+
+
 def plain_text(code_free: Column) -> Column:
     """Links to their texts, images out, marks to spaces, white space collapsed. White space is ASCII."""
     c = unlinked(code_free)
@@ -106,6 +117,11 @@ def literal_of(pattern: str) -> str:
     return max(re.sub(r"\[[^\]]*\]|\\d\+|.\?", "\0", pattern).split("\0"), key=len)
 
 
+def has_phrase(texts: pa.Array) -> pa.Array:
+    """Whether a text holds any of the phrases. Arrow's expressions pass over a text once for all patterns, where Java's try them one by one."""
+    return pc.match_substring_regex(texts, "|".join(PROMO + CTA + SIGNALS + CHANNELS))
+
+
 def hits(c: Column, patterns) -> Column:
     """Non-overlapping matches of each pattern, summed. A pattern is only looked for where its literal part stands, as most texts have none."""
     return sum((F.when(c.contains(literal_of(p)), F.regexp_count(c, F.lit(ascii_boundaries(p)))).otherwise(0) for p in patterns), F.lit(0))
@@ -145,12 +161,17 @@ def measures(df: DataFrame, markdown: str = "markdown", query: Column | None = N
     query = F.lit("") if query is None else query
     step = df.withColumns({"_raw": without_code(ascii_spaces(text_of(markdown))), "_terms": query_terms(query), "_host": host_of(F.lit("") if url is None else url)})
     linked = lambda part: F.when(F.col("_raw").contains("]("), F.regexp_extract_all("_raw", F.lit(LINK), F.lit(part))).otherwise(F.array().cast("array<string>"))
+    step = step.withColumns({"_targets": linked(2), "_texts": linked(1), "_small": F.lower("_raw"), "_linked": F.col("_raw").contains("](")})
     # Lines in lower case with white space collapsed: neither changes what is counted of them.
-    flat = F.filter(F.transform(F.split(F.lower(_spaced(F.col("_raw"), IN_LINE_SPACE)), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    step = step.withColumns({"_plain": plain_text(F.col("_raw")), "_targets": linked(2), "_texts": linked(1), "_lines": flat})
-    step = step.withColumns({"_lower": F.lower("_plain"), "_n": spaced_words(F.trim("_plain"))})
+    step = step.withColumn("_even", _spaced(F.col("_small"), IN_LINE_SPACE))
+    step = step.withColumn("_flat", _tight(F.col("_even")))
+    # Marks go from the whole text at once, unless there are links, which may reach over lines.
+    step = step.withColumns({"_lines": _lines(F.col("_flat")), "_unmarked": F.when(~F.col("_linked"), _spaced(F.col("_flat"), MARKS_IN_LINE))})
+    step = step.withColumn("_bare", _tight(F.col("_unmarked")))
+    step = step.withColumn("_lower", F.when(F.col("_linked"), plain_text(F.col("_small"))).otherwise(F.replace("_bare", F.lit("\n"), F.lit(" "))))
+    step = step.withColumn("_n", spaced_words(F.trim("_lower")))
     # One step each, as a lambda evaluates an argument anew wherever it stands.
-    plain_lines = F.transform(F.transform("_lines", unlinked), lambda x: F.trim(_spaced(x, MARKS_OR_SPACE)))
+    plain_lines = F.when(F.col("_linked"), F.transform(F.transform("_lines", unlinked), lambda x: F.trim(_spaced(x, MARKS_OR_SPACE)))).otherwise(_lines(F.col("_bare")))
     line_words = F.transform(plain_lines, spaced_words)
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     step = step.withColumns(
@@ -163,19 +184,27 @@ def measures(df: DataFrame, markdown: str = "markdown", query: Column | None = N
             "headings": F.size(F.filter("_lines", lambda x: x.startswith("#") & x.rlike("^#{1,6} "))),
             "_dup": F.size("_lines") - F.size(F.array_distinct("_lines")),
             "_substantial": total(F.filter(line_words, lambda n: n >= 20)),
-            "_promo": hits(F.col("_lower"), PROMO),
-            "_cta": hits(F.col("_lower"), CTA),
-            "signal_selling_hits": hits(F.col("_lower"), SIGNALS),
-            "channel_pitch_hits": hits_near(F.col("_lower"), CHANNELS, CUE, CUE_REACH),
             "query_term_count": F.size("_terms"),
             "query_terms_matched": F.size(F.filter("_terms", lambda t: F.contains(F.col("_lower"), t))),
+            "_n_lines": F.size("_lines"),
+        }
+    )
+    # Last, so that of all texts one alone waits for Python.
+    step = step.withColumn("_phrased", F.arrow_udf(has_phrase, "boolean")(F.col("_lower")))
+    found = lambda counted: F.when(F.col("_phrased"), counted).otherwise(0)
+    step = step.withColumns(
+        {
+            "_promo": found(hits(F.col("_lower"), PROMO)),
+            "_cta": found(hits(F.col("_lower"), CTA)),
+            "signal_selling_hits": found(hits(F.col("_lower"), SIGNALS)),
+            "channel_pitch_hits": found(hits_near(F.col("_lower"), CHANNELS, CUE, CUE_REACH)),
         }
     )
     share = lambda x, n: F.when(n > 0, x / n).otherwise(0.0)
     n = F.col("_n")
     step = step.withColumns(
         {
-            "duplicate_line_share": share(F.col("_dup"), F.size("_lines")),
+            "duplicate_line_share": share(F.col("_dup"), F.col("_n_lines")),
             "substantial_word_share": share(F.col("_substantial"), n),
             "link_text_share": share(F.col("link_text_words"), n),
             "links_per_100_words": share(F.col("link_count") * 100, n),

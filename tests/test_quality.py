@@ -242,3 +242,24 @@ def test_sets_that_share_one_passage_are_not_compared(spark, monkeypatch):
     _, pairs = near_duplicates.similar_groups(spark.createDataFrame(rows, "id long, prints array<long>").repartition(3))
     assert [(r.a, r.b, r.shared, r.union) for r in pairs.collect()] == [(0, 60, 78, 84)]
     assert listed == [(0, 60)]
+
+
+def test_phrases_are_found_in_one_pass():
+    said = ["click here", "(use code)", "é10% off", "save up to 5 %", "don't miss out!", "win rate of 3%", "9 % weekly roi", "telegram channel"]
+    unsaid = ["", "clickhere", "reuse codex", "a_10% off_", "learn mores", "click\u00a0here", "act  now"]
+    got = quality.has_phrase(pa.array([*said, *unsaid, None])).to_pylist()
+    assert got == [True] * len(said) + [False] * len(unsaid) + [None]
+
+
+def test_marks_and_lines_measure_the_same_with_and_without_links(spark):
+    """Marks go from the whole text where there are no links, line by line where there are."""
+    prose = " ".join(f"Word{i}" for i in range(21))
+    texts = [f"# H\n\n \t\n* {prose} \r\n*{prose}*\n***\n  \x0b\n> a `b`\n", f"{prose}\n \n{prose}", "\n \n", "***\n#\n", f"|{prose}|\x0c\n#  x\n####### y", "one two\n　\nthree"]
+    docs = spark.createDataFrame([(i, t + end) for i, t in enumerate(texts) for end in ("", "\n[](")], "doc_id long, text string")
+    got = {}
+    for r in quality.measures(docs.withColumn("linked", F.col("text").contains("](")), "text").collect():
+        got[r.doc_id, r.linked] = [r.headings, round(r.substantial_word_share * r.word_count), r.word_count, r.duplicate_line_share]
+    for i in range(len(texts)):
+        plain, linked = got[i, False], got[i, True]
+        assert plain[0] == linked[0] and plain[1] == linked[1] and plain[2] == linked[2] - 1, (i, plain, linked)
+    assert got[0, False] == [1, 42, 45, 0.0] and got[1, False][3] == 0.5 and got[2, False] == [0, 0, 0, 0.0]
