@@ -89,14 +89,23 @@ def _spaced(c: Column, class_: str) -> Column:
     return F.regexp_replace(c, f"{class_}(?:{class_}+|(?<=[^ ]))", " ")
 
 
+def _bound(c: Column, made) -> Column:
+    """``made`` of a lambda variable that stands for ``c``, so that a filter that takes in the whole expression takes in ``c`` once."""
+    return F.get(F.transform(F.array(c), made), F.lit(0))
+
+
 def _tight(c: Column) -> Column:
     """Lines without blank ones and without spaces at their edges. The only white space is single spaces and line ends."""
-    ended = F.when(c.contains("\n"), F.replace(c, F.lit(" \n"), F.lit("\n"))).otherwise(c)
-    return F.btrim(F.when(c.contains("\n\n") | c.contains("\n "), F.regexp_replace(ended, "\n[ \n]+", "\n")).otherwise(ended), F.lit(" \n"))
+
+    def one(x):
+        ended = F.when(x.contains("\n"), F.replace(x, F.lit(" \n"), F.lit("\n"))).otherwise(x)
+        return F.btrim(F.when(x.contains("\n\n") | x.contains("\n "), F.regexp_replace(ended, "\n[ \n]+", "\n")).otherwise(ended), F.lit(" \n"))
+
+    return _bound(c, one)
 
 
 def _lines(tight: Column) -> Column:
-    return F.when(tight == "", F.array().cast("array<string>")).otherwise(F.split(tight, "\n"))
+    return _bound(tight, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, "\n")))
 
 
 def plain_text(code_free: Column) -> Column:
