@@ -191,11 +191,10 @@ def measures(df: DataFrame, markdown: str = "markdown", query: Column | None = N
             "affiliate_links": F.size(F.filter("_targets", lambda x: x.rlike(AFFILIATE))),
             "outbound_links": F.size(F.filter(F.transform("_targets", host_of), lambda h: (h != "") & (F.col("_host") != "") & (h != F.col("_host")))),
             "headings": F.size(F.filter("_lines", lambda x: x.startswith("#") & x.rlike("^#{1,6} "))),
-            "_dup": F.size("_lines") - F.size(F.array_distinct("_lines")),
+            "duplicate_line_share": _bound(F.col("_lines"), lambda x: F.when(F.size(x) > 0, (F.size(x) - F.size(F.array_distinct(x))) / F.size(x)).otherwise(0.0)),
             "_substantial": total(F.filter(line_words, lambda n: n >= 20)),
             "query_term_count": F.size("_terms"),
             "query_terms_matched": F.size(F.filter("_terms", lambda t: F.contains(F.col("_lower"), t))),
-            "_n_lines": F.size("_lines"),
         }
     )
     # Last, so that of all texts one alone waits for Python.
@@ -213,7 +212,6 @@ def measures(df: DataFrame, markdown: str = "markdown", query: Column | None = N
     n = F.col("_n")
     step = step.withColumns(
         {
-            "duplicate_line_share": share(F.col("_dup"), F.col("_n_lines")),
             "substantial_word_share": share(F.col("_substantial"), n),
             "link_text_share": share(F.col("link_text_words"), n),
             "links_per_100_words": share(F.col("link_count") * 100, n),
