@@ -1,13 +1,17 @@
 """Quality measures, junk score with spoken reasons, and token accounting of Markdown texts.
 
-Everything is a projection: no shuffle, and no Python but one look for phrases
-in Arrow. Thresholds, weights and sentences are fixed values of the score.
+Everything is a projection: no shuffle. Links and code are found by Spark's
+expressions; words, lines, phrases and terms are counted in Arrow, whose passes
+over a text are quicker. Thresholds, weights and sentences are fixed values of
+the score.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -51,13 +55,12 @@ QUERY_STOP = (
 )
 LINK = rf'\[([^\]]*)\]\(([^){WS}]*)(?:[{WS}]+"[^"]*")?\)'
 FENCE = r"```(?s:.)*?(?:```|\z)"
-MARKS = r"[#>*_`|~]"
-#: White space beyond ASCII; the first class is quick to rule most letters out.
-WIDE_SPACE = r"[\x{00A0}\x{1680}-\x{FEFF}](?<=[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}])"
-#: Marks with white space within ASCII, marks with single spaces, and white space without line ends; Java looks single characters up at once, ranges one by one.
-MARKS_OR_SPACE = r"[\t\n\x0B\f\r #>*_`|~]"
-MARKS_IN_LINE = r"[ #>*_`|~]"
-IN_LINE_SPACE = r"[\t\x0B\f\r ]"
+IMAGE = r"!\[[^\]]*\]\([^)]*\)"
+#: Insides of character classes: marks, and white space other than the space and line ends.
+MARKS = r"#>*_`|~"
+IN_LINE_SPACE = WS.replace(r"\n", "").replace(" ", "")
+#: Bytes of text that are measured at once; a longer text is measured by itself.
+AT_ONCE = 1 << 20
 JUNK_SCORE = 100
 DUPLICATE = 0.75
 SHINGLE = 6
@@ -79,56 +82,80 @@ def unlinked(c: Column) -> Column:
     return F.when(c.contains("]("), F.regexp_replace(c, LINK, "$1")).otherwise(c)
 
 
-def ascii_spaces(c: Column) -> Column:
-    """White space beyond ASCII to single spaces, which measure the same."""
-    return F.when(F.octet_length(c) > F.char_length(c), F.regexp_replace(c, WIDE_SPACE, " ")).otherwise(c)
+def literal_of(pattern: str) -> str:
+    """The longest text that every match of a pattern of PROMO, CTA, SIGNALS or CHANNELS holds."""
+    pattern = re.sub(r"\(\?:[^()]*\)\??", "\0", pattern.replace(r"\b", ""))
+    return max(re.sub(r"\[[^\]]*\]|\\d\+|.\?", "\0", pattern).split("\0"), key=len)
 
 
-def _spaced(c: Column, class_: str) -> Column:
-    """Runs of the class, which holds a space, to one space. Single spaces are passed over, not replaced."""
-    return F.regexp_replace(c, f"{class_}(?:{class_}+|(?<=[^ ]))", " ")
+def has_phrase(texts: pa.Array) -> pa.Array:
+    """Whether a text holds any of the phrases. Arrow's expressions pass over a text once for all patterns, where Java's try them one by one."""
+    return pc.match_substring_regex(texts, "|".join(PROMO + CTA + SIGNALS + CHANNELS))
 
 
-def _bound(c: Column, made) -> Column:
-    """``made`` of a lambda variable that stands for ``c``, so that a filter that takes in the whole expression takes in ``c`` once."""
-    return F.get(F.transform(F.array(c), made), F.lit(0))
+def _evened(texts: pa.Array, class_: str) -> pa.Array:
+    """Runs of the class and of spaces to one space, without those at the edges. Single spaces are passed over, not replaced."""
+    return pc.ascii_trim(pc.replace_substring_regex(texts, pattern=f"[ {class_}]{{2,}}|[{class_}]", replacement=" "), characters=" ")
 
 
-def _tight(c: Column) -> Column:
-    """Lines without blank ones and without spaces at their edges. The only white space is single spaces and line ends."""
+def _words(evened: pa.Array) -> np.ndarray:
+    """The number of words of each text, between which stand single spaces."""
+    return np.where(pc.equal(evened, ""), 0, pc.add(pc.count_substring(evened, " "), 1))
 
-    def one(x):
-        ended = F.when(x.contains("\n"), F.replace(x, F.lit(" \n"), F.lit("\n"))).otherwise(x)
-        return F.btrim(F.when(x.contains("\n\n") | x.contains("\n "), F.regexp_replace(ended, "\n[ \n]+", "\n")).otherwise(ended), F.lit(" \n"))
 
-    return _bound(c, one)
+def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lines that are not blank, evened, and the place of each one's text."""
+    split = pc.split_pattern(texts, "\n")
+    lines, at = _evened(split.flatten(), IN_LINE_SPACE), pc.list_parent_indices(split)
+    some = pc.not_equal(lines, "")
+    return lines.filter(some), at.filter(some).to_numpy()
 
 
-def _lines(tight: Column) -> Column:
-    return _bound(tight, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, "\n")))
+def _by_parts(measured: Callable[..., pa.Array], texts: pa.Array, *more: pa.Array) -> pa.Array:
+    """``measured`` of about ``AT_ONCE`` bytes of texts at a time, as each of its steps makes a copy."""
+    part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return pa.concat_arrays([measured(*(x.slice(lo, hi - lo) for x in (texts, *more))) for lo, hi in zip(edges, edges[1:])])
 
 
-def plain_text(code_free: Column) -> Column:
-    """Links to their texts, images out, marks to spaces, white space collapsed. White space is ASCII."""
-    c = unlinked(code_free)
-    c = F.when(code_free.contains("]("), F.regexp_replace(c, r"!\[[^\]]*\]\([^)]*\)", " ")).otherwise(c)
-    return _spaced(c, MARKS_OR_SPACE)
+def _line_measures(texts: pa.Array, unlinked_lines: pa.Array) -> pa.Array:
+    lines, at = _lines(texts)
+    coded = lines.dictionary_encode()
+    kinds = max(1, len(coded.dictionary))
+    distinct = np.unique(at * kinds + coded.indices.to_numpy()) // kinds
+    heads = at[pc.match_substring_regex(lines, "^#{1,6} ").to_numpy(zero_copy_only=False)]
+    # Words are those of lines without links, where there are any.
+    linked = unlinked_lines.is_valid().to_numpy(zero_copy_only=False)
+    other, of = _lines(unlinked_lines.drop_null())
+    own = ~linked[at]
+    words, of = _words(_evened(pa.concat_arrays([lines.filter(pa.array(own)), other]), MARKS)), np.concatenate([at[own], np.flatnonzero(linked)[of]])
+    many = words >= 20
+    counts = np.bincount(at, minlength=len(texts)), np.bincount(distinct, minlength=len(texts)), np.bincount(heads, minlength=len(texts)), np.bincount(of[many], words[many], len(texts))
+    return pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in counts], ["lines", "distinct", "headings", "substantial"])
 
 
-def spaced_words(c: Column) -> Column:
-    """The number of words of a trimmed text whose only white space is single spaces."""
-    return F.when(c == "", 0).otherwise(F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
+def _text_measures(texts: pa.Array, plain: pa.Array) -> pa.Array:
+    flat = _evened(pc.coalesce(plain, texts), rf"\n{IN_LINE_SPACE}{MARKS}")
+    phrased = pc.if_else(has_phrase(flat), flat, pa.scalar(None, flat.type))
+    return pa.StructArray.from_arrays([pa.array(_words(flat).astype(np.int32)), phrased], ["words", "phrased"])
 
 
-def literal_of(pattern: str) -> str:
-    """The longest text that every match of a pattern of PROMO, CTA, SIGNALS or CHANNELS holds."""
-    pattern = re.sub(r"\(\?:[^()]*\)\??", "\0", pattern.replace(r"\b", ""))
-    return max(re.sub(r"\[[^\]]*\]|\\d\+|.\?", "\0", pattern).split("\0"), key=len)
+def line_measures(texts: pa.Array, unlinked_lines: pa.Array) -> pa.Array:
+    """Lines, distinct lines, headings, and words in lines of twenty or more. Where a text has links, the second text is the same without those within a line, else null."""
+    return _by_parts(_line_measures, texts, unlinked_lines)
 
 
-def has_phrase(texts: pa.Array) -> pa.Array:
-    """Whether a text holds any of the phrases. Arrow's expressions pass over a text once for all patterns, where Java's try them one by one."""
-    return pc.match_substring_regex(texts, "|".join(PROMO + CTA + SIGNALS + CHANNELS))
+def text_measures(texts: pa.Array, plain: pa.Array) -> pa.Array:
+    """Words, and the text as one line without marks where it holds a phrase, else null. ``plain`` is the text without links where it has some, else null."""
+    return _by_parts(_text_measures, texts, plain)
+
+
+def terms_matched(texts: pa.Array, plain: pa.Array, terms: pa.Array) -> pa.Array:
+    """How many of the terms a text holds. They have neither marks nor white space in them, so the text need not be evened."""
+    if not pc.any(pc.greater(pc.list_value_length(terms), 0)).as_py():
+        return pa.array(np.zeros(len(texts), np.int32))
+    sought, raw = terms.cast(pa.list_(pa.binary())), pc.coalesce(plain, texts).cast(pa.binary())
+    return pa.array([sum(t in x.as_py() for t in some) for x, some in zip(raw, sought.to_pylist())], pa.int32())
 
 
 def hits(c: Column, patterns) -> Column:
@@ -168,51 +195,53 @@ def query_terms(query: Column) -> Column:
 def measures(df: DataFrame, markdown: str = "markdown", query: Column | None = None, url: Column | None = None) -> DataFrame:
     """``df`` with the columns STATS. Null and empty texts measure 0 everywhere."""
     query = F.lit("") if query is None else query
-    step = df.withColumns({"_raw": without_code(ascii_spaces(text_of(markdown))), "_terms": query_terms(query), "_host": host_of(F.lit("") if url is None else url)})
-    linked = lambda part: F.when(F.col("_raw").contains("]("), F.regexp_extract_all("_raw", F.lit(LINK), F.lit(part))).otherwise(F.array().cast("array<string>"))
-    step = step.withColumns({"_targets": linked(2), "_texts": linked(1), "_small": F.lower("_raw"), "_linked": F.col("_raw").contains("](")})
-    # Lines in lower case with white space collapsed: neither changes what is counted of them.
-    step = step.withColumn("_even", _spaced(F.col("_small"), IN_LINE_SPACE))
-    step = step.withColumn("_flat", _tight(F.col("_even")))
-    # Marks go from the whole text at once, unless there are links, which may reach over lines.
-    step = step.withColumns({"_lines": _lines(F.col("_flat")), "_unmarked": F.when(~F.col("_linked"), _spaced(F.col("_flat"), MARKS_IN_LINE))})
-    step = step.withColumn("_bare", _tight(F.col("_unmarked")))
-    step = step.withColumn("_lower", F.when(F.col("_linked"), plain_text(F.col("_small"))).otherwise(F.replace("_bare", F.lit("\n"), F.lit(" "))))
-    step = step.withColumn("_n", spaced_words(F.trim("_lower")))
-    # One step each, as a lambda evaluates an argument anew wherever it stands.
-    plain_lines = F.when(F.col("_linked"), F.transform(F.transform("_lines", unlinked), lambda x: F.trim(_spaced(x, MARKS_OR_SPACE)))).otherwise(_lines(F.col("_bare")))
-    line_words = F.transform(plain_lines, spaced_words)
+    step = df.withColumns({"_raw": without_code(text_of(markdown)), "_terms": query_terms(query), "_host": host_of(F.lit("") if url is None else url)})
+    step = step.withColumns({"_linked": F.col("_raw").contains("]("), "_small": F.lower("_raw")})
+    linked = lambda part: F.when(F.col("_linked"), F.regexp_extract_all("_raw", F.lit(LINK), F.lit(part))).otherwise(F.array().cast("array<string>"))
+    step = step.withColumns(
+        {
+            "_targets": linked(2),
+            "_texts": linked(1),
+            "_plain": F.when(F.col("_linked"), F.regexp_replace(unlinked(F.col("_small")), IMAGE, " ")),
+            # Line by line, as a link may reach over lines.
+            "_unlinked": F.when(F.col("_linked"), F.array_join(F.transform(F.split("_small", "\n"), unlinked), "\n")),
+        }
+    )
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     step = step.withColumns(
         {
-            "word_count": F.col("_n"),
             "link_count": F.size("_targets"),
             "link_text_words": total(F.transform("_texts", lambda x: F.size(words_of(x)))),
             "affiliate_links": F.size(F.filter("_targets", lambda x: x.rlike(AFFILIATE))),
             "outbound_links": F.size(F.filter(F.transform("_targets", host_of), lambda h: (h != "") & (F.col("_host") != "") & (h != F.col("_host")))),
-            "headings": F.size(F.filter("_lines", lambda x: x.startswith("#") & x.rlike("^#{1,6} "))),
-            "duplicate_line_share": _bound(F.col("_lines"), lambda x: F.when(F.size(x) > 0, (F.size(x) - F.size(F.array_distinct(x))) / F.size(x)).otherwise(0.0)),
-            "_substantial": total(F.filter(line_words, lambda n: n >= 20)),
             "query_term_count": F.size("_terms"),
-            "query_terms_matched": F.size(F.filter("_terms", lambda t: F.contains(F.col("_lower"), t))),
         }
     )
-    # Last, so that of all texts one alone waits for Python.
-    step = step.withColumn("_phrased", F.arrow_udf(has_phrase, "boolean")(F.col("_lower")))
-    found = lambda counted: F.when(F.col("_phrased"), counted).otherwise(0)
+    # Three, so that a query that needs one leaves out the others; the texts go to Python once.
+    step = step.withColumns(
+        {
+            "_by_line": F.arrow_udf(line_measures, "lines int, distinct int, headings int, substantial int")("_small", "_unlinked"),
+            "_by_text": F.arrow_udf(text_measures, "words int, phrased string")("_small", "_plain"),
+            "query_terms_matched": F.arrow_udf(terms_matched, "int")("_small", "_plain", "_terms"),
+        }
+    )
+    lines, n, phrased = F.col("_by_line.lines"), F.col("_by_text.words"), F.col("_by_text.phrased")
+    found = lambda counted: F.when(phrased.isNotNull(), counted).otherwise(0)
     step = step.withColumns(
         {
-            "_promo": found(hits(F.col("_lower"), PROMO)),
-            "_cta": found(hits(F.col("_lower"), CTA)),
-            "signal_selling_hits": found(hits(F.col("_lower"), SIGNALS)),
-            "channel_pitch_hits": found(hits_near(F.col("_lower"), CHANNELS, CUE, CUE_REACH)),
+            "word_count": n,
+            "headings": F.col("_by_line.headings"),
+            "duplicate_line_share": F.when(lines > 0, (lines - F.col("_by_line.distinct")) / lines).otherwise(0.0),
+            "_promo": found(hits(phrased, PROMO)),
+            "_cta": found(hits(phrased, CTA)),
+            "signal_selling_hits": found(hits(phrased, SIGNALS)),
+            "channel_pitch_hits": found(hits_near(phrased, CHANNELS, CUE, CUE_REACH)),
         }
     )
     share = lambda x, n: F.when(n > 0, x / n).otherwise(0.0)
-    n = F.col("_n")
     step = step.withColumns(
         {
-            "substantial_word_share": share(F.col("_substantial"), n),
+            "substantial_word_share": share(F.col("_by_line.substantial"), n),
             "link_text_share": share(F.col("link_text_words"), n),
             "links_per_100_words": share(F.col("link_count") * 100, n),
             "promo_per_1000": F.col("_promo") * share(F.lit(1000), n),

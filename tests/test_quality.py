@@ -263,3 +263,46 @@ def test_marks_and_lines_measure_the_same_with_and_without_links(spark):
         plain, linked = got[i, False], got[i, True]
         assert plain[0] == linked[0] and plain[1] == linked[1] and plain[2] == linked[2] - 1, (i, plain, linked)
     assert got[0, False] == [1, 42, 45, 0.0] and got[1, False][3] == 0.5 and got[2, False] == [0, 0, 0, 0.0]
+
+
+def test_texts_are_counted_in_arrow_part_by_part(monkeypatch):
+    """Against plain code, in parts of a few texts, with and without links; a text larger than a part, empty ones and none at all."""
+    rng = random.Random(8)
+    pool = ["a", "bb", "É", "日本", "#", "##", "*", "_x_", "|", "use code", "nation", "na", "tion"]
+    spaces = [" ", "  ", "\t", "\n", "\n\n", " \n", "　", "﻿", "\r\n", "\x0b"]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", rng.choice(spaces)]) for _ in range(rng.randint(0, 90))) for _ in range(200)] + ["", "\n \n", "***", "# x\n" * 400]
+    other = [rng.choice([None, rng.choice(texts)]) for _ in texts]
+    terms = [rng.choice([[], ["nation"], ["nation", "use", "zz"]]) for _ in texts]
+    white = f"[{quality.WS}]".replace(r"\x{", r"\u").replace("}", "")
+    words = lambda x: [w for w in re.split(white, re.sub(r"[#>*_`|~]", " ", x)) if w]
+    lines, by_text, matched = [], [], []
+    for text, instead, some in zip(texts, other, terms):
+        own = [y for x in text.split("\n") if (y := re.sub(f"{white}+", " ", x).strip(" "))]
+        counts = [len(words(x)) for x in (text if instead is None else instead).split("\n")]
+        lines.append({"lines": len(own), "distinct": len(set(own)), "headings": sum(bool(re.match("#{1,6} ", x)) for x in own), "substantial": sum(n for n in counts if n >= 20)})
+        flat = " ".join(words(text if instead is None else instead))
+        by_text.append({"words": len(flat.split(" ")) if flat else 0, "phrased": flat if re.search(r"\buse code\b", flat, re.A) else None})
+        matched.append(sum(t in (text if instead is None else instead) for t in some))
+    one, two, three = pa.array(texts), pa.array(other, pa.string()), pa.array(terms, pa.list_(pa.string()))
+    sizes, cut = [], quality._lines
+    monkeypatch.setattr(quality, "_lines", lambda x: (sizes.append(len(x)), cut(x))[1])
+    for at_once in (300, 1 << 20):
+        monkeypatch.setattr(quality, "AT_ONCE", at_once)
+        assert quality.line_measures(one, two).to_pylist() == lines
+        assert quality.text_measures(one, two).to_pylist() == by_text
+        assert quality.terms_matched(one, two, three).to_pylist() == matched
+        assert max(sizes) < 60 if at_once == 300 else max(sizes) == len(texts)
+    none = one.slice(0, 0), two.slice(0, 0)
+    assert len(quality.line_measures(*none)) == len(quality.text_measures(*none)) == len(quality.terms_matched(*none, three.slice(0, 0))) == 0
+
+
+def test_whole_texts_are_not_rewritten_by_expressions(spark):
+    """Spark's replacing, splitting and trimming pass over a text at a high cost a byte, so texts are measured in one turn to Python, which only counts what is asked for."""
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    measured = quality.measures(df, "text", F.lit(registry.QUESTION))
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(measured).count("ArrowEvalPython") == 1
+    lines = plan(measured.select("doc_id", "duplicate_line_share"))
+    assert "line_measures" in lines and "text_measures" not in lines and "terms_matched" not in lines
+    # Of code, and of links line by line.
+    assert " replace(" not in lines and "trim(" not in lines and lines.count("regexp_replace(") == 2 and lines.count("split(") == 1
