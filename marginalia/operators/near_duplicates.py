@@ -4,10 +4,11 @@ A text's set is the sorted 64-bit hashes of its shingles; sets are told apart by
 SHA-256 over them, here and in ``equal_sets``. Sets meet by a positional prefix
 filter: of each set the features that a similar set cannot all lack, rarest
 first, are posted, and two sets that share one are compared unless their sizes
-or the places of the feature rule it out. A feature that very many sets post is
-split by the feature that comes next: similar sets share two of a prefix that
-is one longer. Shared postings are counted, and pairs with fewer than similar
-sets share are left out. Pairs are verified in blocks of sets, so a set travels
+or the places of the feature rule it out. Shared postings are counted, and pairs
+with fewer than similar sets share are left out. Pairs are listed for each
+feature that a few sets post; of features that many sets post they are counted
+in blocks of sets, so near copies by the thousand are listed once a pair and
+not once for each feature. Pairs are verified in blocks of sets, so a set travels
 once for each pair of blocks and not once for each pair.
 
 Defined results: null and empty texts and texts under ``SHINGLE`` words have an
@@ -19,15 +20,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators.quality import DUPLICATE, SHINGLE, shingle_source
-from marginalia.session import checkpointed, dropped, stored
+from marginalia.session import checkpointed, dropped, release, stored
 
 #: Odd multipliers of the hashes of words and of shingles.
 WORD_BASE, SHINGLE_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -40,8 +42,12 @@ BLOCK_FEATURES = 1 << 17
 PAIRS_AT_ONCE = 1 << 18
 #: Sets that the order of features is taken from, and features that it ranks. Any order gives the same pairs.
 ORDER_SETS, RANKED = 20_000, 1 << 17
-#: Postings of a feature beyond which it is split by the next one.
-LONG = 1_000
+#: Postings of a feature beyond which its sets meet in blocks; sets of a block, and counts of two blocks that are held at once.
+LONG, BLOCK_SETS, CELLS = 64, 1 << 11, 1 << 23
+#: Parts in which postings are shuffled, and features of the sets for which there is one more.
+TURNS, TURN_FEATURES = 4, 1 << 25
+#: Bits of a map of ids.
+MAP_BITS = 1 << 24
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -172,7 +178,7 @@ def _order(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(sets: list[np.ndarray], order: tuple[np.ndarray, np.ndarray], percent: int) -> list[np.ndarray]:
-    """The rarest features of each set: as many as a similar set cannot all lack, and one more."""
+    """The rarest features of each set: as many as a similar set cannot all lack."""
     ranked, counts = order
     out = []
     for own in sets:
@@ -180,7 +186,7 @@ def _prefixes(sets: list[np.ndarray], order: tuple[np.ndarray, np.ndarray], perc
         if len(ranked) and len(own):
             at = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
             own = own[np.argsort(np.where(ranked[at] == own, counts[at], 0), kind="stable")]
-        out.append(own[: len(own) + (-percent * len(own) // 100) + 2].view(np.uint64))
+        out.append(own[: len(own) + (-percent * len(own) // 100) + 1].view(np.uint64))
     return out
 
 
@@ -202,68 +208,142 @@ def _keyed(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], percent: int)
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key binary, n int, least long, prefix array<long>")
 
 
+def _perhaps(ids: DataFrame) -> Column:
+    """Whether the row's id may be among ``ids``: a map of ``MAP_BITS`` bits travels, however many they are, and never says no to one of them."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    rows = ids.groupBy(F.shiftright(slot, 15).alias("bucket")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    bits = np.zeros((max(1, MAP_BITS >> 15), 1 << 12), np.uint8)
+    for row in rows.collect():
+        bits[row.bucket] = np.frombuffer(bytes(row.bits), np.uint8)
+    held = ids.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    def among(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False)
+        return pa.array((held.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return F.arrow_udf(among, "boolean")(slot)
+
+
 def _kept(n: Column, percent: int) -> Column:
     """How many features a set of n posts."""
     return n - F.ceil(n * percent / 100) + 1
 
 
-def _posted(heads: DataFrame, percent: int, *more: str) -> DataFrame:
-    """(h, group, size, place) and more columns of the heads: the features that each set posts."""
-    each = heads.select("group", F.col("n").alias("size"), _kept(F.col("n"), percent).alias("kept"), *more, F.posexplode("prefix").alias("place", "h"))
-    return each.where("place < kept").select("h", "group", "size", "place", *more)
+def _posted(heads: DataFrame, percent: int) -> DataFrame:
+    """(h, group, size, place) of the features that each set posts."""
+    each = heads.select("group", F.col("n").alias("size"), _kept(F.col("n"), percent).alias("kept"), F.posexplode("prefix").alias("place", "h"))
+    return each.where("place < kept").select("h", "group", "size", "place")
 
 
-def _split(heads: DataFrame, ident: str) -> DataFrame:
-    """(h, group, size, place, hot) of sets with ``long``, features to be split: each with every later one of the prefix; ``place`` is that of the first."""
+def _repeated(heads: DataFrame, percent: int, total: int) -> list[DataFrame]:
+    """(h, group, size, place, df) of the postings whose feature ``df`` > 1 sets post, most features being of one set alone.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, row, size, place, hot = [np.zeros(0, np.int64)], [], [], [], []
-            for i, (n, prefix, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3))):
-                own = prefix.values.to_numpy()
-                for k in np.flatnonzero(np.isin(own, wanted.values.to_numpy())).tolist():
-                    both = _mixed(own[k].view(np.uint64) * SHINGLE_BASE + own[k + 1 :].view(np.uint64))
-                    h.append(both.view(np.int64))
-                    row += [i] * len(both)
-                    size += [n] * len(both)
-                    place += [k] * len(both)
-                    hot += [len(wanted)] * len(both)
-            numbers = [pa.array(x, pa.int32()) for x in (size, place, hot)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), batch.column(0).take(pa.array(row, pa.int64())), *numbers], names=["h", "group", "size", "place", "hot"])
-
-    return heads.select("group", "n", "prefix", "long").mapInArrow(run, f"h long, group {ident}, size int, place int, hot int")
-
-
-def _met(posted: DataFrame, percent: int, counts: int) -> DataFrame:
+    Postings are shuffled once, in up to ``TURNS`` parts by feature, each of which goes before the next.
+    """
+    turns = min(TURNS, 1 + total // TURN_FEATURES)
+    posted, out = _posted(heads, percent), []
+    for k in range(turns):
+        part = posted.where(F.pmod(F.xxhash64("h"), F.lit(turns)) == k) if turns > 1 else posted
+        counted = part.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+        out.append(stored(counted))
+        release(heads.sparkSession)
+    return out
+
+
+def _need(both: Column, more: Column, percent: int) -> Column:
+    """The least number of postings that similar sets share, ``both`` being the sum of their sizes and ``more`` the larger one.
+
+    In the order of features, what two sets share beyond their postings comes after all
+    postings of one of them, so it is no more than that one has left.
+    """
+    return (F.ceil(both * percent / (100 + percent)) - (more - _kept(more, percent))).cast("int")
+
+
+def _met(posted: DataFrame, percent: int) -> DataFrame:
     """(a, b, c, first, need), a < b: groups whose sizes allow similarity, a row for each posting that they share.
 
-    ``c`` is ``counts``; ``first`` is whether the places allow similarity, were it the first that they share; ``need`` is the least
-    number of shared postings that does. In the order of features, what two sets share beyond their postings comes after all postings
-    of one of them, so it is no more than that one has left. ``hot`` features of a set are not counted and may all be shared.
+    ``c`` is 1; ``first`` is whether the places allow similarity, were it the first that they share.
     """
     a, b = posted.alias("a"), posted.alias("b")
-    less, more = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
+    less, more, both = F.least("a.size", "b.size"), F.greatest("a.size", "b.size"), F.col("a.size") + F.col("b.size")
     pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.group") < F.col("b.group")) & (less * 100 >= more * percent))
-    both = (F.col("a.size") + F.col("b.size")) * percent
     most = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
-    need = F.ceil(both / (100 + percent)) - (more - _kept(more, percent)) - F.least("a.hot", "b.hot")
-    return pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"), F.lit(counts).alias("c"), (most * (100 + percent) >= both).alias("first"), need.cast("int").alias("need"))
+    return pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"), F.lit(1).alias("c"), (most * (100 + percent) >= both * percent).alias("first"), _need(both, more, percent).alias("need"))
+
+
+def _counted(rows: pa.Table, percent: int) -> pa.Table:
+    """(a, b, c, first, size_a, size_b): of two blocks' postings of common features the pairs that share some, once each, with the number of those shared.
+
+    ``rows``: group, h, size, left (features from this one on), side (1 in the second block; a block by itself has no second).
+    """
+    h = rows.column("h").to_numpy()
+    side = rows.column("side").to_numpy(zero_copy_only=False).astype(bool)
+    size, left = rows.column("size").to_numpy(), rows.column("left").to_numpy()
+    names = rows.column("group").combine_chunks().dictionary_encode()
+    number, names = names.indices.to_numpy(), names.dictionary
+    sizes = np.zeros(len(names), np.int64)
+    sizes[number] = size
+    alone = not side.any()
+    # Places of the sets in the counts: those of the first block are rows, those of the second columns.
+    of_rows, of_columns = np.unique(number[~side]), np.unique(number if alone else number[side])
+    by = np.argsort(h, kind="stable")
+    edges = np.flatnonzero(np.diff(h[by], prepend=h[by[0]] - 1 if len(by) else 0)).tolist() + [len(by)]
+    features = [(own[~side[own]], own if alone else own[side[own]]) for own in (by[lo:hi] for lo, hi in zip(edges, edges[1:]))]
+    found: list[tuple[np.ndarray, ...]] = []
+    step = max(1, CELLS // max(1, len(of_columns)))
+    row, column = np.searchsorted(of_rows, number), np.searchsorted(of_columns, number)
+    for lo in range(0, len(of_rows), step):
+        shape = (min(step, len(of_rows) - lo), len(of_columns))
+        count, most = np.zeros(shape, np.int32), np.zeros(shape, np.int32)
+        for first, second in features:
+            first = first[(row[first] >= lo) & (row[first] < lo + step)]
+            if len(first) and len(second):
+                cells = np.ix_(row[first] - lo, column[second])
+                count[cells] += 1
+                most[cells] = np.maximum(most[cells], np.minimum.outer(left[first], left[second]))
+        x, y = np.nonzero(count)
+        a, b = of_rows[x + lo], of_columns[y]
+        less, more = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+        good = less * 100 >= more * percent
+        if alone:
+            good &= a < b
+        found.append((a[good], b[good], count[x, y][good], most[x, y][good]))
+    a, b, count, most = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+    near = most.astype(np.int64) * (100 + percent) >= (sizes[a] + sizes[b]) * percent
+    columns = [names.take(pa.array(a)), names.take(pa.array(b)), pa.array(count, pa.int32()), pa.array(near), pa.array(sizes[a], pa.int32()), pa.array(sizes[b], pa.int32())]
+    return pa.table(columns, names=["a", "b", "c", "first", "size_a", "size_b"])
+
+
+def _met_often(posted: DataFrame, percent: int, ident: str) -> tuple[DataFrame, list[DataFrame]]:
+    """``_met`` of features that many sets post, with a row for each pair of groups, ``c`` being how many of them they share; what is to be dropped after it.
+
+    Near copies by the thousand share all of their features, which would list each pair
+    a hundred times. Sets are put into blocks of like ones, and the postings of a
+    feature go once to each two blocks that have it, where pairs are counted in memory.
+    """
+    sets = checkpointed(posted.groupBy("group").agg(F.min("h").alias("least"), F.count("*").alias("n")))
+    rows, postings = sets.agg(F.count("*"), F.sum("n")).first()
+    blocks = max(1, -(-rows // BLOCK_SETS), -(-postings // BLOCK_FEATURES))
+    placed = checkpointed(sets.select("group", "least").repartitionByRange(blocks, "least", "group").select("group", F.spark_partition_id().alias("block")))
+    where = checkpointed(posted.join(placed, "group").select("h", "group", "size", (F.col("size") - F.col("place")).alias("left"), "block"))
+    others = where.select("h", F.col("block").alias("other")).distinct()
+    p, q = F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")
+    dealt = where.join(others, "h").select(p, q, "group", "h", "size", "left", (F.col("block") > F.col("other")).alias("side"))
+    counted = dealt.groupBy("p", "q").applyInArrow(lambda rows: _counted(rows, percent), f"a {ident}, b {ident}, c int, first boolean, size_a int, size_b int")
+    need = _need(F.col("size_a") + F.col("size_b"), F.greatest("size_a", "size_b"), percent)
+    return counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c", "first", need.alias("need")), [sets, placed, where]
 
 
 def _candidates(heads: DataFrame, percent: int, ident: str) -> DataFrame:
     """(a, b), a < b: every pair of groups that may be similar, once."""
-    often = checkpointed(_posted(heads, percent).groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-    held = [often]
-    hot = often.where(F.col("df") > LONG)
-    split = not hot.isEmpty()
-    if split:
-        wanted = _posted(heads, percent).join(hot.select("h"), "h").groupBy("group").agg(F.collect_list("h").alias("long"))  # a set's own prefix at most
-        held.append(checkpointed(wanted))
-        heads = heads.join(held[-1], "group", "left")
-    heads = heads.withColumn("hot", F.when(F.col("long").isNull(), 0).otherwise(F.size("long")) if split else F.lit(0))
-    met = _met(_posted(heads, percent, "hot").join(often.where(F.col("df") <= LONG).select("h"), "h"), percent, 1)
-    if split:
-        met = met.unionByName(_met(_split(heads.where("hot > 0"), ident), percent, 0))
+    total = heads.agg(F.sum("n").alias("n")).first()["n"] or 0
+    held = _repeated(heads, percent, total)
+    posted = reduce(DataFrame.unionByName, held)
+    often = posted.where(F.col("df") > LONG)
+    met = _met(posted.where(F.col("df") <= LONG), percent)
+    if not often.isEmpty():
+        more, also = _met_often(often, percent, ident)
+        met, held = met.unionByName(more), [*held, *also]
     enough = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("first").alias("first"), F.max("need").alias("need")).where("first AND c >= need")
     out = checkpointed(enough.select("a", "b"))
     dropped(*held)
@@ -284,6 +364,7 @@ def _verified(met: DataFrame, place: DataFrame, sets: DataFrame, percent: int, i
     dropped(whole)
     wanted = dealt.select("p", "q", "part", F.col("a").alias("id")).unionByName(dealt.select("p", "q", "part", F.col("b").alias("id"))).distinct()
     made = sets.columns[1]
+    sets = sets.where(_perhaps(wanted.select("id")))  # most sets have no pair and are not shuffled
     held = wanted.join(sets, "id").select(F.col("p").alias("p_of"), F.col("q").alias("q_of"), F.col("part").alias("part_of"), F.col("id").alias("group"), made)
 
     def verify(pairs: pa.Table, arrays: pa.Table) -> pa.Table:
@@ -329,16 +410,20 @@ def similar_groups(prints: DataFrame, percent: int = int(DUPLICATE * 100), sampl
     keyed = stored(_keyed(rows, _order(sample), percent))
     ident = dict(keyed.dtypes)["id"]
     who = checkpointed(keyed.join(keyed.groupBy("key").agg(F.min("id").alias("group")), "key").select("id", "group"))
-    first = who.where("id = group").select("id")
-    heads = stored(keyed.join(first, "id", "left_semi").select(F.col("id").alias("group"), "n", "least", "prefix"))
+    copies = who.where("id <> group").select("id")
+    perhaps = _perhaps(copies)
+    first = keyed.where(~perhaps).unionByName(keyed.where(perhaps).join(copies, "id", "left_anti"))  # one of each group; others are not shuffled
+    heads = stored(first.select(F.col("id").alias("group"), "n", "least", "prefix"))
     dropped(keyed)
+    release(heads.sparkSession)
     met = _candidates(heads, percent, ident)
     # Sets with the same least feature are likely to be similar, so blocks are cut from their order by it.
     total = heads.agg(F.sum("n").alias("n")).first()["n"] or 0
     ordered = heads.select("group", "least").repartitionByRange(max(1, -(-total // BLOCK_FEATURES)), "least", "group")
     place = checkpointed(ordered.select("group", F.spark_partition_id().alias("block")))
+    dropped(heads)
     pairs = _verified(met, place, rows, percent, ident)
-    dropped(heads, met, place)
+    dropped(met, place)
     return who, pairs
 
 

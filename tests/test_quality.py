@@ -244,6 +244,28 @@ def test_sets_that_share_one_passage_are_not_compared(spark, monkeypatch):
     assert listed == [(0, 60)]
 
 
+def test_near_copies_are_listed_once_a_pair(spark, monkeypatch):
+    """Ninety near copies share about ninety features; their pairs are counted in blocks, in small parts, and not listed for each feature."""
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) - (1 << 63) for _ in range(100)]
+    rows = [(i, set(rng.sample(base, 90 + i % 9)) | {rng.getrandbits(64) - (1 << 63)}) for i in range(90)]
+    rows += [(100 + i, {rng.getrandbits(64) - (1 << 63) for _ in range(8)} | set(base[:2])) for i in range(20)]
+    monkeypatch.setattr(near_duplicates, "LONG", 10)
+    monkeypatch.setattr(near_duplicates, "BLOCK_SETS", 16, raising=False)
+    monkeypatch.setattr(near_duplicates, "CELLS", 50, raising=False)
+    monkeypatch.setattr(near_duplicates, "TURN_FEATURES", 3_000, raising=False)
+    monkeypatch.setattr(near_duplicates, "MAP_BITS", 1 << 15, raising=False)
+    listed = []
+    for name in ("_met", "_met_often"):
+        if met := getattr(near_duplicates, name, None):
+            monkeypatch.setattr(near_duplicates, name, lambda *a, met=met: (out := met(*a), listed.append((out[0] if isinstance(out, tuple) else out).count()))[0])
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in rows], "id long, prints array<long>").repartition(3)
+    _, pairs = near_duplicates.similar_groups(df)
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, 75)[1]
+    assert len(got) > 3_000 and sum(listed) < 90 * 89
+
+
 def test_phrases_are_found_in_one_pass():
     said = ["click here", "(use code)", "é10% off", "save up to 5 %", "don't miss out!", "win rate of 3%", "9 % weekly roi", "telegram channel"]
     unsaid = ["", "clickhere", "reuse codex", "a_10% off_", "learn mores", "click\u00a0here", "act  now"]
