@@ -46,6 +46,8 @@ ORDER_SETS, RANKED = 20_000, 1 << 17
 LONG, BLOCK_SETS, CELLS = 64, 1 << 11, 1 << 23
 #: Parts in which postings are shuffled, and features of the sets for which there is one more.
 TURNS, TURN_FEATURES = 4, 1 << 25
+#: Tasks that pairs of blocks are dealt to, at most.
+TASKS = 1_000
 #: Bits of a map of ids.
 MAP_BITS = 1 << 24
 
@@ -272,17 +274,16 @@ def _met(posted: DataFrame, percent: int) -> DataFrame:
 
 
 def _counted(rows: pa.Table, percent: int) -> pa.Table:
-    """(a, b, c, first, size_a, size_b): of two blocks' postings of common features the pairs that share some, once each, with the number of those shared.
+    """(a, b, c, size_a, size_b): of two blocks' postings of common features the pairs that share some, once each, with the number of those shared.
 
-    ``rows``: group, h, size, left (features from this one on), side (1 in the second block; a block by itself has no second).
+    ``rows``: group, h, size, side (true in the second block; a block by itself has no second).
     """
     h = rows.column("h").to_numpy()
     side = rows.column("side").to_numpy(zero_copy_only=False).astype(bool)
-    size, left = rows.column("size").to_numpy(), rows.column("left").to_numpy()
     names = rows.column("group").combine_chunks().dictionary_encode()
     number, names = names.indices.to_numpy(), names.dictionary
     sizes = np.zeros(len(names), np.int64)
-    sizes[number] = size
+    sizes[number] = rows.column("size").to_numpy()
     alone = not side.any()
     # Places of the sets in the counts: those of the first block are rows, those of the second columns.
     of_rows, of_columns = np.unique(number[~side]), np.unique(number if alone else number[side])
@@ -294,24 +295,29 @@ def _counted(rows: pa.Table, percent: int) -> pa.Table:
     row, column = np.searchsorted(of_rows, number), np.searchsorted(of_columns, number)
     for lo in range(0, len(of_rows), step):
         shape = (min(step, len(of_rows) - lo), len(of_columns))
-        count, most = np.zeros(shape, np.int32), np.zeros(shape, np.int32)
+        count, dense = np.zeros(shape, np.float32), []
         for first, second in features:
             first = first[(row[first] >= lo) & (row[first] < lo + step)]
-            if len(first) and len(second):
-                cells = np.ix_(row[first] - lo, column[second])
-                count[cells] += 1
-                most[cells] = np.maximum(most[cells], np.minimum.outer(left[first], left[second]))
+            if len(first) * len(second) * 256 >= shape[0] * shape[1]:
+                dense.append((row[first] - lo, column[second]))
+            elif len(first) and len(second):
+                count[np.ix_(row[first] - lo, column[second])] += 1
+        for k in range(0, len(dense), 512):  # what most sets have is counted as a product of matrices
+            part = dense[k : k + 512]
+            x, y = np.zeros((shape[0], len(part)), np.float32), np.zeros((len(part), shape[1]), np.float32)
+            for j, (first, second) in enumerate(part):
+                x[first, j] = y[j, second] = 1
+            count += x @ y
         x, y = np.nonzero(count)
         a, b = of_rows[x + lo], of_columns[y]
         less, more = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
         good = less * 100 >= more * percent
         if alone:
             good &= a < b
-        found.append((a[good], b[good], count[x, y][good], most[x, y][good]))
-    a, b, count, most = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
-    near = most.astype(np.int64) * (100 + percent) >= (sizes[a] + sizes[b]) * percent
-    columns = [names.take(pa.array(a)), names.take(pa.array(b)), pa.array(count, pa.int32()), pa.array(near), pa.array(sizes[a], pa.int32()), pa.array(sizes[b], pa.int32())]
-    return pa.table(columns, names=["a", "b", "c", "first", "size_a", "size_b"])
+        found.append((a[good], b[good], count[x, y][good].astype(np.int32)))
+    a, b, count = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+    columns = [names.take(pa.array(a)), names.take(pa.array(b)), pa.array(count, pa.int32()), pa.array(sizes[a], pa.int32()), pa.array(sizes[b], pa.int32())]
+    return pa.table(columns, names=["a", "b", "c", "size_a", "size_b"])
 
 
 def _met_often(posted: DataFrame, percent: int, ident: str) -> tuple[DataFrame, list[DataFrame]]:
@@ -320,18 +326,20 @@ def _met_often(posted: DataFrame, percent: int, ident: str) -> tuple[DataFrame,
     Near copies by the thousand share all of their features, which would list each pair
     a hundred times. Sets are put into blocks of like ones, and the postings of a
     feature go once to each two blocks that have it, where pairs are counted in memory.
+    ``first`` is true, as enough counted postings leave hardly a pair that places rule out.
     """
     sets = checkpointed(posted.groupBy("group").agg(F.min("h").alias("least"), F.count("*").alias("n")))
     rows, postings = sets.agg(F.count("*"), F.sum("n")).first()
     blocks = max(1, -(-rows // BLOCK_SETS), -(-postings // BLOCK_FEATURES))
     placed = checkpointed(sets.select("group", "least").repartitionByRange(blocks, "least", "group").select("group", F.spark_partition_id().alias("block")))
-    where = checkpointed(posted.join(placed, "group").select("h", "group", "size", (F.col("size") - F.col("place")).alias("left"), "block"))
+    where = checkpointed(posted.join(placed, "group").select("h", "group", "size", "block"))
     others = where.select("h", F.col("block").alias("other")).distinct()
     p, q = F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")
-    dealt = where.join(others, "h").select(p, q, "group", "h", "size", "left", (F.col("block") > F.col("other")).alias("side"))
-    counted = dealt.groupBy("p", "q").applyInArrow(lambda rows: _counted(rows, percent), f"a {ident}, b {ident}, c int, first boolean, size_a int, size_b int")
+    dealt = where.join(others, "h").select(p, q, "group", "h", "size", (F.col("block") > F.col("other")).alias("side"))
+    dealt = dealt.repartition(min(TASKS, blocks * (blocks + 1) // 2), "p", "q")  # few bytes and much work: not to be put into one task
+    counted = dealt.groupBy("p", "q").applyInArrow(lambda rows: _counted(rows, percent), f"a {ident}, b {ident}, c int, size_a int, size_b int")
     need = _need(F.col("size_a") + F.col("size_b"), F.greatest("size_a", "size_b"), percent)
-    return counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c", "first", need.alias("need")), [sets, placed, where]
+    return counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c", F.lit(True).alias("first"), need.alias("need")), [sets, placed, where]
 
 
 def _candidates(heads: DataFrame, percent: int, ident: str) -> DataFrame:
@@ -389,7 +397,9 @@ def _verified(met: DataFrame, place: DataFrame, sets: DataFrame, percent: int, i
         good = np.flatnonzero(shared * 100 >= union * percent)
         return pa.table({"a": names.take(pa.array(a[good])), "b": names.take(pa.array(b[good])), "shared": pa.array(shared[good]), "union": pa.array(union[good])})
 
-    out = dealt.groupBy("p", "q", "part").cogroup(held.groupBy("p_of", "q_of", "part_of")).applyInArrow(verify, f"a {ident}, b {ident}, shared long, union long")
+    tasks = min(TASKS, max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-dealt.count() // PAIRS_AT_ONCE)))
+    pairs, held = dealt.repartition(tasks, "p", "q", "part"), held.repartition(tasks, "p_of", "q_of", "part_of")
+    out = pairs.groupBy("p", "q", "part").cogroup(held.groupBy("p_of", "q_of", "part_of")).applyInArrow(verify, f"a {ident}, b {ident}, shared long, union long")
     out = checkpointed(out)
     dropped(dealt)
     return out
